@@ -16,39 +16,44 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import UPPER, stage, whole_text
+from .common import stage, whole_text
 
 SAMPLE = 20_000
 THRESHOLD = 0.5
 LIMITS = (0.005, 0.995)
-SYMBOLS = "#$%&*|!"
-N_FEATURES = 10
-
-
-def features(text: Column) -> Column:
-    """Array of doubles, one pass each over the whole text."""
-    n = F.greatest(F.length(text), F.lit(1)).cast("double")
-    words = F.split(text, "[\\x20\\x09-\\x0D]++")
-    n_words = F.size(words).cast("double")
-    share = lambda chars: (F.length(text) - F.length(F.translate(text, chars, ""))) / n
-    return F.transform(
-        F.array(words),
-        lambda w: F.array(
-            F.sqrt(share(SYMBOLS)),
-            share(UPPER),
-            F.size(F.array_distinct(w)) / F.greatest(F.sqrt(n_words), F.lit(1.0)) / 10,
-            F.size(F.array_distinct(w)) / n_words,
-            F.log1p(n_words) / 5,
-            F.least(n / n_words, F.lit(40.0)) / 10,
-            F.sqrt(share(".,;:?")),
-            F.sqrt(share("0123456789")),
-            F.sqrt(share("\n")),
-            (share(UPPER) > 0.3).cast("double"),
-        ),
-    )[0]
+SYMBOLS = b"#$%&*|!"
+UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def features(text: str) -> list[float]:
+    """Shares of kinds of characters, repetition of words, and length, over the whole text."""
+    raw = text.encode("utf-8", "surrogatepass")
+    words = raw.split()
+    n, n_words = max(len(raw), 1), max(len(words), 1)
+    share = lambda chars: (len(raw) - len(raw.translate(None, chars))) / n
+    distinct, upper = len(set(words)), share(UPPER)
+    return [
+        math.sqrt(share(SYMBOLS)),
+        upper,
+        distinct / math.sqrt(n_words) / 10,
+        distinct / n_words,
+        math.log1p(n_words) / 5,
+        min(n / n_words, 40.0) / 10,
+        math.sqrt(share(b".,;:?")),
+        math.sqrt(share(b"0123456789")),
+        math.sqrt(share(b"\n")),
+        float(upper > 0.3),
+    ]
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def feature_column(texts: pd.Series) -> pd.Series:
+    return texts.map(features)
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
@@ -73,7 +78,7 @@ def train(documents: DataFrame, labels: DataFrame, target: str = "quality", samp
     known = labels.where(f"doc_id is not null and {target} is not null").groupBy("doc_id").agg(F.max(target).alias("_y"))
     chosen = known.orderBy(F.xxhash64(F.lit("fit"), "doc_id")).limit(sample)
     rows = documents.select("doc_id", whole_text().alias("_t")).join(F.broadcast(chosen), "doc_id")
-    got = rows.select(features(F.col("_t")).alias("x"), "_y").collect()  # at most `sample` short rows
+    got = rows.select(feature_column(F.col("_t")).alias("x"), "_y").collect()  # at most `sample` short rows
     y = np.array([float(r[1]) for r in got])
     if not len(y) or y.min() == y.max():
         return None
@@ -83,9 +88,12 @@ def train(documents: DataFrame, labels: DataFrame, target: str = "quality", samp
 
 def log_odds(weights: list[float], text: Column) -> Column:
     """The classifier's log-odds as a column."""
-    scale = F.array(*[F.lit(w) for w in weights[:-1]])
-    products = F.zip_with(features(text), scale, lambda a, b: a * b)
-    return F.aggregate(products, F.lit(weights[-1]), lambda a, v: a + v)
+
+    @F.pandas_udf(T.DoubleType())
+    def scored(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: float(sum(w * x for w, x in zip(weights, features(t))) + weights[-1]))
+
+    return scored(text)
 
 
 def _logit(p: Column) -> Column:
