@@ -1,8 +1,9 @@
 """Exact dedup against a persistent digest index (DataFrame functions only).
 
 The index is a table bucketed and sorted by digest, one row per distinct normalised text. A batch is
-reduced to its distinct digests before any shuffle of single rows, the digests known already are found
-by a sort-merge join that reads the index in its buckets, and the new ones are appended.
+reduced to its distinct digests before any shuffle of single rows, a sort-merge anti-join that reads the
+index in its buckets finds the new ones, and these are appended; decisions are then read off the index.
+A batch that is run again under the same name appends nothing twice and decides the same.
 
 Defined cases: a null text counts as empty; equal means identical after lower-casing A-Z only; of the
 equal texts of a batch the largest doc_id stays (a null doc_id is smaller than any other); rows that
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, lookup_by_group, new_path, stage, whole_text
 
 BUCKETS = 64
+COLUMNS = "text_sha256 string, keep_id long, batch string"
 
 
 class DigestIndex:
@@ -30,46 +32,36 @@ class DigestIndex:
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
         self.path = new_path(spark, self.name)
 
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
-
     def read(self) -> DataFrame:
+        if not self.spark.catalog.tableExists(self.name):
+            self._writer(self.spark.createDataFrame([], COLUMNS)).option("path", self.path).saveAsTable(self.name)
         return self.spark.table(self.name)
 
-    def append(self, groups: DataFrame) -> None:
-        """groups: text_sha256, keep_id, group_size. One file a bucket and batch."""
-        writer = groups.repartition(self.buckets, "text_sha256").write.mode("append")
-        writer = writer.bucketBy(self.buckets, "text_sha256").sortBy("text_sha256")
-        if not self.exists():
-            writer = writer.option("path", self.path)
-        writer.saveAsTable(self.name)
+    def append(self, rows: DataFrame) -> None:
+        """rows: text_sha256, keep_id, batch. One file a bucket and batch."""
+        self._writer(rows.repartition(self.buckets, "text_sha256")).mode("append").saveAsTable(self.name)
+
+    def _writer(self, rows: DataFrame):
+        return rows.write.bucketBy(self.buckets, "text_sha256").sortBy("text_sha256")
 
 
 def digests(documents: DataFrame) -> DataFrame:
-    return documents.select("doc_id", F.sha2(ascii_lower(whole_text()), 256).alias("text_sha256"))
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(ascii_lower(whole_text()), 256).alias("text_sha256"))
 
 
-def dedup_batch(documents: DataFrame, index: DigestIndex) -> DataFrame:
+def dedup_batch(documents: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:
     """Decide every row of the batch and add its new texts to the index.
 
     Returns doc_id, keep_id, group_size (rows of the batch with this text), kept, text_sha256.
     """
+    batch = batch or uuid.uuid4().hex
     rows = stage(digests(documents), "digests")
-    groups = rows.groupBy("text_sha256").agg(F.max("doc_id").alias("last_id"), F.count("*").alias("group_size"))
-    if index.exists():
-        known = index.read().select("text_sha256", F.col("keep_id").alias("known_id"), F.lit(True).alias("known"))
-        groups = groups.join(known.hint("merge"), "text_sha256", "left")
-    else:
-        groups = groups.select("*", F.lit(None).cast("long").alias("known_id"), F.lit(None).cast("boolean").alias("known"))
-    groups = stage(groups, "groups")
-    new = groups.where(F.col("known").isNull())
-    index.append(new.select("text_sha256", F.col("last_id").alias("keep_id"), "group_size"))
-    decided = groups.select(
-        "text_sha256",
-        "group_size",
-        F.when(F.col("known").isNull(), F.col("last_id")).otherwise(F.col("known_id")).alias("keep_id"),
-        F.col("known").isNull().alias("is_new"),
-    )
+    counted = rows.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = stage(counted, "groups")
+    new = groups.join(index.read().select("text_sha256").hint("merge"), "text_sha256", "left_anti")
+    index.append(new.select("text_sha256", "keep_id", F.lit(batch).alias("batch")))
+    known = index.read().select("text_sha256", "keep_id", (F.col("batch") == batch).alias("is_new"))
+    decided = stage(groups.drop("keep_id").join(known.hint("merge"), "text_sha256"), "decided")
     return lookup_by_group(rows, decided, "text_sha256", "group_size").select(
         "doc_id",
         "keep_id",

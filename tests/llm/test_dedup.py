@@ -42,6 +42,12 @@ def test_index_persists(spark):
     assert index.read().count() == 3
     third = dedup_batch(documents(spark, ["c"], 20), index).first()
     assert (third.keep_id, third.kept) == (12, False)
+    for _ in range(2):  # a batch run again decides the same
+        again = {r.doc_id: r.kept for r in dedup_batch(documents(spark, ["d", "D", "a"], 30), index, "b30").collect()}
+        assert again == {30: False, 31: True, 32: False}
+    assert index.read().count() == 4
+    plan = index.read().join(index.read().hint("merge"), "text_sha256")._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan.split("== Physical Plan ==")[1]
 
 
 def test_hot_digest(spark):
