@@ -2,8 +2,10 @@
 
 import pytest
 
-from tallyloom.plans.oracles import ORACLES
-from tallyloom.plans.queries import QUERIES
+from tallyloom.plans import more, more_oracles, oracles, queries
+
+ORACLES = oracles.ORACLES | more_oracles.ORACLES
+QUERIES = queries.QUERIES | more.QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
