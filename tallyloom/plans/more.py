@@ -10,7 +10,7 @@ from ..functions import numbers as fn
 from ..functions import products as fp
 from ..functions import text as ft
 from ..functions import times as fd
-from ..operators import disparity, freshness, ingest, outreach, promotions
+from ..operators import disparity, freshness, ingest, outreach, promotions, regions, series, serving
 from ..sources import adapter, payloads
 from . import queries as q
 
@@ -280,6 +280,66 @@ def x10_summary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return share.select("run", F.format_string("%s: %d of %d questions cited, %d checks failed", "run", "cited_questions", "questions", "errors").alias("line"))
 
 
+def f2_nested_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = serving.nested_stores(adapter.stores(spark, sf_dir).select("dispensary_id"), promotions.usable_deals(adapter.deals(spark, sf_dir)))
+    active = serving.with_active_deals(documents, q.DAY, q.MINUTE)
+    return active.select("dispensary_id", F.size("deals").alias("deals"), F.get("deals", F.lit(0))["deal_id"].alias("first_deal"))
+
+
+def f8_normalized_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = adapter.stores(spark, sf_dir)
+    far = F.when(F.col("balance") < 0, F.lit(float("nan"))).when(F.col("balance") < 5000, F.col("balance"))
+    raw = s.select("dispensary_id", far.alias("distance_miles"), F.when(F.col("balance") < 7000, F.col("lat")).alias("lat"), "lng")
+    out = serving.normalized_stores(raw)
+    return out.select("dispensary_id", "distance_miles", fn.r4(F.col("lat")).alias("lat"), fn.r4(F.col("lng")).alias("lng"))
+
+
+def f19_valid_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = series.own_median(adapter.series(spark, sf_dir), ["dispensary_id", "product_id"], q.EVENT_DAY)
+    return serving.valid_drops(found).select("dispensary_id", "product_id", "pct_vs_median")
+
+
+def s32_citation_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = q._read(spark, sf_dir, "pages")
+    answers = p.select(F.col("page_id").alias("answer_id"), F.when(F.col("page_id") % 2 == 0, "see Tallyloom today").otherwise("none").alias("text"), F.array("url", F.lit("https://www.last.example/x"), "url").alias("urls"))
+    return serving.citation_hits(answers, "example.org", "tallyloom").select("answer_id", "cited", "named_only", F.size("hosts").alias("hosts"))
+
+
+def s33_badges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.urgency_badges(adapter.deals(spark, sf_dir).where("deal_id % 6 = 0"), q.MINUTE)
+
+
+def js2_classifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("int")
+    answer = F.when(F.col("event_id") % 5 == 0, "no json").otherwise(
+        F.concat(F.lit('{"intent": '), (k % 9).cast("string"), F.lit(', "confidence": '), (k / 50).cast("string"), F.lit("}"))
+    )
+    return q._read(spark, sf_dir, "events").select("event_id", serving.classification(answer).alias("c")).select("event_id", "c.intent", fn.r4(F.col("c.confidence")).alias("confidence"))
+
+
+def src50_listed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_size").cast("string")
+    one = F.concat(F.lit('{"item": {"text": "a", "value": "'), n, F.lit('"}}'))
+    many = F.concat(F.lit('{"item": [{"text": "a", "value": "'), n, F.lit('"}, {"text": "b", "value": "7"}, {"text": "c", "value": "7"}]}'))
+    answer = F.when(F.col("p_partkey") % 2 == 0, one).otherwise(many)
+    return q._read(spark, sf_dir, "part").select("p_partkey", F.array_join(serving.listed_values(answer, "item"), ",").alias("listed"))
+
+
+def x2_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = q._cells(spark, sf_dir)
+    kind = F.when(F.col("stores") > 2, "disparity").otherwise("regional-floor")
+    return c.select("match_key", "weight_grams", serving.headline(kind, F.col("display_name"), F.col("low_price"), F.col("high_price"), F.col("stores")).alias("headline"))
+
+
+def r3_region_caveats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = adapter.stores(spark, sf_dir).select("dispensary_id", F.when(F.col("balance") < 2000, "stale").otherwise("ok").alias("status"))
+    return serving.region_caveats(regions.standing_floors(q._floors(spark, sf_dir, q._members(spark, sf_dir)), status))
+
+
+def r7_site_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.site_entries(q.t5_sitemap(spark, sf_dir), "https://site.example/?a=1&b=")
+
+
 QUERIES = {
     name: f for name, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not name.startswith("_")
 }

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .oracles import ACTIVE, CATALOG, CITES, DEALS, EVENTS, FETCHED, FLOORS, GATED, PAIRS, PLACES, RECORDS, ROAD, SHARE, USABLE
+from .oracles import ACTIVE, CATALOG, CITES, DEALS, EVENTS, FETCHED, FLOORS, GATED, HOST, MEDIANS, PAIRS, PLACES, RECORDS, ROAD, SHARE, USABLE
+from .oracles import ORACLES as FIRST
 
 ORACLES = {
     "f3_open_windows": f"WITH {DEALS} SELECT deal_id FROM deal WHERE w IN (0, 2, 4, 5)",
@@ -69,4 +70,20 @@ ORACLES = {
     "w7_store_runs": f"WITH {EVENTS} SELECT dispensary_id, count(DISTINCT day) AS runs, CAST(min(day) AS VARCHAR) AS first_run, CAST(max(day) AS VARCHAR) AS last_run FROM ev GROUP BY 1",
     "x6_unexpired": "SELECT event_id FROM events WHERE event_id % 7 = 0 OR ts >= TIMESTAMP '2024-01-15 00:00:00'",
     "x10_summary_lines": f"WITH {SHARE} SELECT run, run || ': ' || cited_questions || ' of ' || questions || ' questions cited, ' || errors || ' checks failed' AS line FROM shares",
+    "f2_nested_active": f"""WITH {DEALS}, {PLACES}, a AS (SELECT dispensary_id, count(*) AS n, min(deal_id) AS f FROM deal WHERE {USABLE} AND {ACTIVE} GROUP BY 1)
+        SELECT dispensary_id, CAST(coalesce(n, 0) AS INT) AS deals, f AS first_deal FROM place LEFT JOIN a USING (dispensary_id)""",
+    "f8_normalized_stores": f"""WITH {PLACES} SELECT dispensary_id, CASE WHEN balance < 5000 THEN balance END AS distance_miles, CASE WHEN balance < 7000 THEN floor(lat * 10000 + 0.5::DOUBLE) / 10000 END AS lat,
+        CASE WHEN balance < 7000 THEN floor(lng * 10000 + 0.5::DOUBLE) / 10000 END AS lng FROM place WHERE balance >= 0""",
+    "f19_valid_drops": f"WITH {MEDIANS} SELECT dispensary_id, product_id, pct_vs_median FROM moved WHERE pct_vs_median < 0",
+    "s32_citation_hits": f"""SELECT page_id AS answer_id, regexp_matches({HOST}, '(^|\\.)example\\.org$') AS cited, page_id % 2 = 0 AND NOT regexp_matches({HOST}, '(^|\\.)example\\.org$') AS named_only,
+        CAST(2 AS INT) AS hosts FROM pages""",
+    "s33_badges": f"""WITH {DEALS}, b AS (SELECT dispensary_id, CASE WHEN type = 'happy_hour' AND w IN (1, 2, 3, 4) THEN deal_id END AS d, w FROM deal WHERE deal_id % 6 = 0)
+        SELECT dispensary_id, CASE WHEN count(d) = 0 THEN 'Active today' ELSE [NULL, '18:30', '1:00', '9:00', '15:00', NULL][any_value(w) + 1] END AS badge FROM b GROUP BY dispensary_id""",
+    "js2_classifications": """WITH c AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, event_id % 5 <> 0 AS ok FROM events)
+        SELECT event_id, CASE WHEN ok AND k % 9 BETWEEN 1 AND 6 THEN CAST(k % 9 AS INT) ELSE 0 END AS intent, CASE WHEN ok THEN floor(least(k / 50, 1) * 10000 + 0.5::DOUBLE) / 10000 ELSE 0 END AS confidence FROM c""",
+    "src50_listed_values": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 OR p_size = 7 THEN CAST(p_size AS VARCHAR) ELSE p_size || ',7' END AS listed FROM part",
+    "x2_headlines": f"""WITH {GATED} SELECT match_key, weight_grams, display_name || CASE WHEN stores > 2 THEN ': $' || format('{{:.2f}}', low_price) || ' to $' || format('{{:.2f}}', high_price) || ' across ' || stores || ' stores'
+        ELSE ': from $' || format('{{:.2f}}', low_price) || ' nearby' END AS headline FROM gap""",
+    "r3_region_caveats": "WITH s AS (" + FIRST["d13_standing_floors"] + ") SELECT cluster_id, category, count(*) AS floors, bool_and(stale) AS caveat FROM s GROUP BY ALL",
+    "r7_site_entries": "WITH s AS (" + FIRST["t5_sitemap"] + ") SELECT path, '<url><loc>https://site.example/?a=1&amp;b=' || path || '</loc></url>' AS entry FROM s",
 }
