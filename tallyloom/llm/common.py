@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+BATCH_ROWS = 1000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Settings of the session that the operators with Python tasks rely on.
+
+    Workers on this machine can import the library; a cluster gets it with the job (--py-files). Documents
+    are long, so Arrow batches hold fewer rows than Spark's 10,000.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{known}".rstrip(":")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tallyloom/{name}-{uuid.uuid4().hex}"
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,9 +51,9 @@ def features(text: str) -> list[float]:
     ]
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def feature_column(texts: pd.Series) -> pd.Series:
-    return texts.map(features)
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def feature_column(texts: pa.Array) -> pa.Array:
+    return pa.array([features(t.as_py()) for t in texts], pa.list_(pa.float64()))
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
@@ -89,11 +89,12 @@ def train(documents: DataFrame, labels: DataFrame, target: str = "quality", samp
 def log_odds(weights: list[float], text: Column) -> Column:
     """The classifier's log-odds as a column."""
 
-    @F.pandas_udf(T.DoubleType())
-    def scored(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: float(sum(w * x for w, x in zip(weights, features(t))) + weights[-1]))
+    @F.arrow_udf(T.DoubleType())
+    def scored(texts: pa.Array) -> pa.Array:
+        return pa.array([sum(w * x for w, x in zip(weights, features(t.as_py()))) + weights[-1] for t in texts], pa.float64())
 
-    return scored(text)
+    # never null; said so lest a null check be pushed down as a second evaluation
+    return F.coalesce(scored(text), F.lit(0.0))
 
 
 def _logit(p: Column) -> Column:

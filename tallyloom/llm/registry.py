@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
+from .common import prepare
 from .exact_dedup import EXACT_DEDUP_SQL, exact_dedup
 from .html_text import html_main_text
 from .mixing import mixing_weights
@@ -13,6 +16,16 @@ from .spotsigs import spotsigs_fingerprints
 from .url_filter import url_filter
 from .warc import WARC_SQL, warc_revisits
 
+
+def _prepared(query):
+    @wraps(query)
+    def run(spark, sf_dir):
+        prepare(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES = {
     "op1_exact_dedup": exact_dedup,
     "op2_pii_weak_supervision": pii_weak_supervision,
@@ -25,6 +38,7 @@ QUERIES = {
     "op9_quality_classifier": quality_classifier,
     "op10_url_filter": url_filter,
 }
+QUERIES = {name: _prepared(query) for name, query in QUERIES.items()}
 
 ORACLES = {
     "op1_exact_dedup": EXACT_DEDUP_SQL,
