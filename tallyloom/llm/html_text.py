@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|select|object|canvas|math)\b[^>]*>"
+    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|select|object|canvas|math|button|datalist)\b[^>]*>"
     r".*?(?:</(?P=raw)\b[^>]*>|$)"
     r"|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|</?[a-z][^>]*(?:>|$)|<[!?/][^>]*(?:>|$)",
@@ -184,11 +184,19 @@ def score(root: Node) -> Node | None:
             up, level = up.parent, level + 1 if level > 1 else 2
     best, most = None, 0.0
     for node in touched:
-        bonus = 1.25 if node.tag in ("article", "main") else 1.0
+        bonus = 2.0 if node.tag == "article" else 1.25 if node.tag == "main" else 1.0
         value = node.score * (1 - density(node)) * bonus
         if value > most:
             best, most = node, value
-    return best
+    return _whole_article(best)
+
+
+def _whole_article(best: Node | None) -> Node | None:
+    """The article that the best container is part of, if it is marked as one; a main element only if it holds little else."""
+    up = best
+    while up is not None and up.tag != "article" and not (up.tag == "main" and up.chars <= 1.3 * best.chars):
+        up = up.parent
+    return up or best
 
 
 def _blocks(node: Node, out: list[str], inside_header: bool = False) -> None:
@@ -229,7 +237,7 @@ def main_text(html: str) -> str:
         return "\n".join(out)
     parent = best.parent
     siblings = parent.children if parent is not None and best.tag not in ("article", "main", "body") else [best]
-    limit = max(10.0, best.score * 0.2)
+    limit = best.score * 0.2
     for node in siblings:
         if node is best:
             take = True

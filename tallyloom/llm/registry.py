@@ -13,7 +13,7 @@ from .pii import pii_weak_supervision
 from .quality import quality_classifier
 from .simhash import simhash_near_dedup
 from .spotsigs import spotsigs_fingerprints
-from .url_filter import url_filter
+from .url_filter import URL_FILTER_SQL, url_filter
 from .warc import WARC_SQL, warc_revisits
 
 
@@ -43,4 +43,5 @@ QUERIES = {name: _prepared(query) for name, query in QUERIES.items()}
 ORACLES = {
     "op1_exact_dedup": EXACT_DEDUP_SQL,
     "op3_warc_revisits": WARC_SQL,
+    "op10_url_filter": URL_FILTER_SQL,
 }

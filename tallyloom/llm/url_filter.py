@@ -112,3 +112,37 @@ def filter_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None
 
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rule_table(spark, RULES))
+
+
+_HOST = r"CASE WHEN contains({0}, '://') THEN translate(regexp_extract({0}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END"
+_PATH = r"CASE WHEN contains({0}, '://') THEN regexp_extract({0}, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END"
+_NODE = r"CASE WHEN contains({0}, '://') THEN 'x://' || " + _HOST + r" || regexp_extract({0}, '(?s)^.*?://[^/?#]*([^#]*)', 1) END"
+
+
+def _attribute(name: str) -> str:
+    pattern = rf"""'(?is)\b{name}\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))'"""
+    return "(" + " || ".join(f"regexp_extract(t, {pattern}, {k})" for k in (1, 2, 3)) + ")"
+
+
+URL_FILTER_SQL = f"""
+WITH RECURSIVE p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+rules(h, p, a) AS (VALUES {", ".join(str(r) for r in RULES)}),
+tag AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\b[^>]*>')) AS t FROM p WHERE regexp_matches(html, '(?i)canonical|refresh')),
+aim AS (
+  SELECT url, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS base, trim(CASE WHEN regexp_matches(lower({_attribute("rel")}), '\\bcanonical\\b') THEN {_attribute("href")}
+    WHEN lower({_attribute("http-equiv")}) = 'refresh' THEN regexp_extract({_attribute("content")}, '(?is)\\burl\\s*=\\s*[''"]?([^''"]*)', 1) END) AS g FROM tag),
+link AS (SELECT url, CASE WHEN regexp_matches(g, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN g WHEN g LIKE '//%' THEN 'x:' || g WHEN g LIKE '/%' THEN base || g END AS g FROM aim),
+edge AS (SELECT {_NODE.format("url")} AS a, {_NODE.format("g")} AS b FROM link WHERE contains(url, '://') AND contains(g, '://')),
+pair AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
+reach(a, b) AS (SELECT a, a FROM pair UNION SELECT r.a, e.b FROM reach r JOIN pair e ON e.a = r.b),
+named AS (SELECT {_NODE.format("url")} AS node, page_id, {_HOST.format("url")} AS host, {_PATH.format("url")} AS path FROM p
+  UNION ALL SELECT DISTINCT b, NULL, {_HOST.format("b")}, {_PATH.format("b")} FROM reach),
+judged AS (
+  SELECT n.*, r.rule, r.a AS action FROM named n LEFT JOIN LATERAL (SELECT h || p AS rule, a FROM rules
+    WHERE (n.host = h OR n.host LIKE '%.' || h) AND starts_with(n.path, p) ORDER BY length(h || p) DESC LIMIT 1) r ON TRUE),
+alias AS (
+  SELECT r.a AS node, bool_or(coalesce(j.action = 'allow', FALSE)) AS allowed, bool_or(coalesce(j.action = 'block', FALSE)) AS blocked
+  FROM reach r JOIN (SELECT DISTINCT node, action FROM judged WHERE page_id IS NULL) j ON j.node = r.b GROUP BY r.a)
+SELECT page_id, host, path, rule, CASE WHEN action IS NOT NULL THEN action WHEN blocked AND NOT allowed THEN 'block' ELSE 'allow' END AS verdict
+FROM judged LEFT JOIN alias USING (node) WHERE page_id IS NOT NULL
+"""

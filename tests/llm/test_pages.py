@@ -45,6 +45,19 @@ def test_divs_without_article(spark):
     assert text_of(spark, html).split("\n") == ["One, two, three, four, five words and more of them.", "Short.", "Another, one, two, three, four, long enough to be a part."]
 
 
+def test_nested_containers(spark):
+    body = "<p>One, two, three, four, five words and more of them.</p><h2>Sub</h2><p>Another, one, two, three, four, long enough to be a part.</p><button>Share</button>"
+    want = ["Head", "One, two, three, four, five words and more of them.", "Sub", "Another, one, two, three, four, long enough to be a part."]
+    tail = "<div class=x><p>Other, words, of, some, length, that, stand, elsewhere, on, the, page.</p></div>"
+    for page in (
+        f"<article><header><h1>Head</h1></header><div><div class=body>{body}</div></div></article>",
+        f"<main><div><h1>Head</h1><div class=story>{body}</div></div></main>",
+        f"<div><h1>Head</h1><div>{body}</div></div>",
+        f"<article><h1>Head</h1><section>{body}</section></article>{tail}",
+    ):
+        assert text_of(spark, f"<body><nav>x</nav>{page}<footer>f</footer></body>").split("\n") == want, page
+
+
 def test_short_and_broken(spark):
     assert text_of(spark, "<html><body><nav>n</nav><article><h1>A.</h1><p>A.</p></article><footer>f f f</footer>") == "A.\nA."
     assert text_of(spark, "<article><p>cut of</p><p>in the mid &am") == "cut of\nin the mid &am"
@@ -137,23 +150,37 @@ def test_rules(spark):
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, action or "allow"), URLS[r.page_id]
 
 
+LINK = '<link href="%s" rel="canonical">'
+GO = "<meta http-equiv='refresh' content='0; url=%s'>"
+ALIASES = [
+    (1, "http://a.org/1", LINK % "http://b.org/1"),
+    (2, "http://b.org/1", GO % "http://x.net/es/1"),
+    (3, "http://c.org/1", LINK % "http://x.net/fr/2"),
+    (4, "http://c.org/2", LINK % "http://c.org/1"),
+    (5, "http://d.com/ok", LINK % "/other"),
+    (6, "http://e.org/1#frag", LINK % "http://d.com/ok"),
+    (7, "http://e.org/1", GO % "http://x.net/fr/3"),
+    (8, "http://lone.org/", ""),
+    (9, "http://f.org/", LINK % "//x.net/es/9"),
+]
+
+
 def test_aliases(spark):
-    link = '<link href="%s" rel="canonical">'
-    go = "<meta http-equiv='refresh' content='0; url=%s'>"
-    rows = [
-        (1, "http://a.org/1", link % "http://b.org/1"),
-        (2, "http://b.org/1", go % "http://x.net/es/1"),
-        (3, "http://c.org/1", link % "http://x.net/fr/2"),
-        (4, "http://c.org/2", link % "http://c.org/1"),
-        (5, "http://d.com/ok", link % "/other"),
-        (6, "http://e.org/1#frag", link % "http://d.com/ok"),
-        (7, "http://e.org/1", go % "http://x.net/fr/3"),
-        (8, "http://lone.org/", ""),
-        (9, "http://f.org/", link % "//x.net/es/9"),
-    ]
+    rows = ALIASES
     got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages(spark, rows), url_filter.rule_table(spark, url_filter.RULES)).collect()}
     assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow", 7: "allow", 8: "allow", 9: "block"}
     more = spark.createDataFrame([("http://lone.org/", "https://q.net/es/7"), (None, "x")], "a string, b string")
     got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages(spark, rows), url_filter.rule_table(spark, url_filter.RULES), more).collect()}
     assert got[8] == "block"
     assert url_filter.filter_urls(pages(spark, []), url_filter.rule_table(spark, url_filter.RULES)).count() == 0
+
+
+def test_aliases_against_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("create table pages (page_id bigint, url varchar, html varchar)")
+    con.executemany("insert into pages values (?, ?, ?)", [*ALIASES, (20, None, None)])
+    want = sorted(con.sql(url_filter.URL_FILTER_SQL).fetchall())
+    got = url_filter.filter_urls(pages(spark, [*ALIASES, (20, None, None)]), url_filter.rule_table(spark, url_filter.RULES))
+    assert sorted(tuple(r) for r in got.collect()) == want
