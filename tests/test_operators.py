@@ -221,3 +221,23 @@ def test_cards_and_feeds(spark):
 
 def test_missing_document_is_empty(spark, tmp_path):
     assert payloads.read_json_or_empty(spark, str(tmp_path / "none.json"), "a int").count() == 0
+
+
+def test_import_once(spark, tmp_path):
+    from tallyloom.operators import serving
+
+    target = str(tmp_path / "products")
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    assert serving.import_once(spark, rows, ["k"], target) == 2
+    with pytest.raises(ValueError, match="already"):
+        serving.import_once(spark, rows, ["k"], target)
+    with pytest.raises(ValueError, match="repeated"):
+        serving.import_once(spark, rows.unionByName(rows), ["k"], target, force=True)
+    assert serving.import_once(spark, rows.limit(1), ["k"], target, force=True) == 1
+
+
+def test_stated_percent_and_zip(spark):
+    df = spark.createDataFrame([("$5 grams", "10% off"), ("20% off $5", "20% off"), ("x", "none")], "n string, t string")
+    assert [r[0] for r in df.select(payloads.stated_percent(F.col("n"), F.col("t"))).collect()] == [None, 20, None]
+    z = spark.createDataFrame([(" 98201-1234 ",), ("9820",)], "z string")
+    assert [r[0] for r in z.select(payloads.zip_key(F.col("z"))).collect()] == ["98201", None]
