@@ -14,12 +14,13 @@ texts; the only document is its own next.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stage, whole_text
@@ -82,8 +83,7 @@ def next_ranges(documents: DataFrame, ranges: int) -> tuple[list[int], dict[int,
     Everything here has at most `ranges` entries, a number set by the cluster.
     """
     ids = documents.select(F.col("doc_id").cast("long").alias("id")).where("id is not null")
-    cuts = sorted(set(ids.approxQuantile("id", [k / ranges for k in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
-    cuts = [int(c) for c in cuts]
+    cuts = sorted({int(c) for c in ids.approxQuantile("id", [k / ranges for k in range(1, ranges)], 0.2 / ranges)}) if ranges > 1 else []
     tops = ids.groupBy(_range(F.col("id"), cuts).alias("r")).agg(F.max("id").alias("top")).collect()
     order = sorted(((r[0], r[1]) for r in tops), reverse=True)  # ranges in descending doc_id
     wanted: dict[int, list[int]] = {}
@@ -93,10 +93,17 @@ def next_ranges(documents: DataFrame, ranges: int) -> tuple[list[int], dict[int,
     return cuts, wanted
 
 
-def _range(column, cuts: list[int]):
-    """Number of split points below the id; null ids go to range 0, below all others."""
-    points = F.array(*[F.lit(c) for c in cuts]).cast("array<long>")
-    return F.coalesce(F.size(F.filter(points, lambda c: c < column)), F.lit(0))
+def _range(column: Column, cuts: list[int]) -> Column:
+    """Number of split points below the id, by way of blocks of them; null ids go to range 0, below all others."""
+    if not cuts:
+        return F.lit(0)
+    width = math.isqrt(len(cuts)) + 1
+    blocks = [cuts[k : k + width] for k in range(0, len(cuts), width)]
+    longs = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
+    block = F.size(F.filter(longs([b[0] for b in blocks]), lambda c: c < column))
+    inside = F.split(F.get(F.split(F.lit(";".join(",".join(map(str, b)) for b in blocks)), ";"), block - 1), ",").cast("array<long>")
+    below = (block - 1) * width + F.size(F.filter(inside, lambda c: c < column))
+    return F.when(column.isNull() | (block == 0), 0).otherwise(below)
 
 
 SCHEMA = (
@@ -148,12 +155,10 @@ def edited_fingerprints(documents: DataFrame, ranges: int | None = None) -> Data
     cuts, wanted = next_ranges(documents, ranges or 2 * parts)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     own = F.struct(_range(F.col("doc_id"), cuts).alias("r"), F.lit(False).alias("foreign"))
-    if not wanted:  # only null ids, or none
-        wanted = {}
-    needs = F.create_map(*[x for k, v in wanted.items() for x in (F.lit(k), F.array(*[F.lit(n) for n in v]))]) if wanted else None
-    extra = F.coalesce(F.element_at(needs, F.col("doc_id")), F.array().cast("array<int>")) if wanted else F.array().cast("array<int>")
-    copies = F.transform(extra, lambda n: F.struct(n.alias("r"), F.lit(True).alias("foreign")))
-    dealt = rows.select(F.explode(F.concat(F.array(own), copies)).alias("to"), "doc_id", "text").select("to.r", "to.foreign", "doc_id", "text")
+    needs = spark.createDataFrame(list(wanted.items()), "doc_id long, extra array<int>")  # at most `ranges` rows
+    copies = F.transform(F.coalesce("extra", F.array().cast("array<int>")), lambda n: F.struct(n.alias("r"), F.lit(True).alias("foreign")))
+    joined = rows.join(F.broadcast(needs), "doc_id", "left")
+    dealt = joined.select(F.explode(F.concat(F.array(own), copies)).alias("to"), "doc_id", "text").select("to.r", "to.foreign", "doc_id", "text")
     order = ["r", F.col("foreign"), F.col("doc_id").desc_nulls_last(), "text"]
     return dealt.repartition("r").sortWithinPartitions(*order).mapInArrow(_compare, SCHEMA)
 
