@@ -25,10 +25,14 @@ COLUMNS = "text_sha256 string, keep_id long, batch string"
 
 
 class DigestIndex:
-    """A digest index kept as a bucketed table; `name` makes it persistent across batches."""
+    """A digest index kept as a bucketed table; `name` makes it persistent across batches.
 
-    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int = BUCKETS):
-        self.spark, self.buckets = spark, buckets
+    buckets: fixed when the table is made; by default as many as shuffle partitions, 64 at least.
+    """
+
+    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None):
+        self.spark = spark
+        self.buckets = buckets or max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
         self.path = new_path(spark, self.name)
 
