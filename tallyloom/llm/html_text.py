@@ -11,6 +11,7 @@ end; nothing is dropped for its length. Other columns are ignored; repeated rows
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -50,10 +51,11 @@ SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "parts", "score", "linked", "chars", "dropped")
+    __slots__ = ("tag", "parent", "children", "parts", "score", "linked", "chars", "dropped", "inside")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool):
         self.tag, self.parent, self.dropped = tag, parent, dropped
+        self.inside = tag in ("article", "main") or parent is not None and parent.inside  # an article's or main element's
         self.children: list[Node] = []
         self.parts: list = []  # texts and child nodes in page order
         self.score, self.linked, self.chars = 0.0, 0, 0
@@ -84,7 +86,9 @@ def _unwanted(tag: str, attrs: str, inside_article: bool) -> bool:
 
 def parse(html: str) -> Node:
     root = node = Node("#root", None, False)
-    links = articles = at = 0
+    nodes = [root]
+    opened: Counter[str] = Counter()
+    links = at = 0
     for token in TOKEN.finditer(html):
         if token.start() > at:
             _add_text(node, html[at : token.start()], links)
@@ -100,45 +104,49 @@ def parse(html: str) -> Node:
         elif name in BLOCKS:
             links = 0
             if token["end"]:
-                open_node = node
-                while open_node.parent is not None and open_node.tag != name:
-                    open_node = open_node.parent
-                if open_node.parent is not None:
-                    node = open_node.parent
+                if opened[name]:
+                    while node.tag != name:
+                        node = _close(node, opened)
+                    node = _close(node, opened)
             elif name in VOID:
                 node.parts.append(Node(name, node, False))
             else:
-                node = _closed_for(node, name)
-                inside = any_article(node)
-                child = Node(name, node, node.dropped or _unwanted(name, token["attrs"], inside))
+                node = _closed_for(node, name, opened)
+                child = Node(name, node, node.dropped or _unwanted(name, token["attrs"], node.inside))
                 node.children.append(child)
                 node.parts.append(child)
+                nodes.append(child)
+                opened[name] += 1
                 node = child
     if at < len(html):
         _add_text(node, html[at:], links)
+    for node in reversed(nodes[1:]):  # children before parents
+        if not node.dropped:
+            node.parent.chars += node.chars
+            node.parent.linked += node.linked
     return root
 
 
-def any_article(node: Node | None) -> bool:
-    while node is not None:
-        if node.tag in ("article", "main"):
-            return True
-        node = node.parent
-    return False
+def _close(node: Node, opened: Counter[str]) -> Node:
+    opened[node.tag] -= 1
+    return node.parent
 
 
-def _closed_for(node: Node, name: str) -> Node:
+def _closed_for(node: Node, name: str, opened: Counter[str]) -> Node:
     """The open element that a new block goes into: open paragraphs and list items of its kind end."""
     while node.tag in CLOSED_BY_BLOCK or node.tag in HEADINGS and name in HEADINGS:
-        node = node.parent
+        node = _close(node, opened)
     if name in ("li", "td", "th", "tr", "dt", "dd"):
         stop = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",)}.get(name, ("table", "tbody", "thead", "tfoot"))
         same = ("dt", "dd") if name in ("dt", "dd") else ("td", "th") if name in ("td", "th") else (name,)
-        up = node
-        while up.parent is not None and up.tag not in stop and up.tag not in same:
-            up = up.parent
-        if up.tag in same:
-            return up.parent
+        if any(opened[tag] for tag in same):
+            up = node
+            while up.parent is not None and up.tag not in stop and up.tag not in same:
+                up = up.parent
+            if up.tag in same:
+                while node is not up:
+                    node = _close(node, opened)
+                return _close(node, opened)
     return node
 
 
@@ -147,11 +155,8 @@ def _add_text(node: Node, raw: str, links: int) -> None:
     node.parts.append(text)
     if not node.dropped:
         n = len(text.strip())
-        up = node
-        while up is not None and n:
-            up.chars += n
-            up.linked += n if links else 0
-            up = up.parent
+        node.chars += n
+        node.linked += n if links else 0
 
 
 def _nodes(node: Node) -> Iterator[Node]:
