@@ -1,8 +1,9 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps.
+"""Connected components of an edge table, by alternating small-star and large-star steps.
 
 Every step is a grouped minimum (combined before the shuffle) and an equi-join, so hubs are no
 special case; the edges of each round are written to the shared folder and nothing but two checksums
-comes to the driver.
+comes to the driver. The small star comes first: it leaves each node one edge but for those between
+its neighbours, so what the large star turns around is hardly more than one edge a node.
 """
 
 from __future__ import annotations
@@ -24,13 +25,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        root = now.groupBy("u").agg(F.min("v").alias("m"))
+        hung = now.join(root, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = hung.unionByName(root.select("u", F.col("m").alias("v"))).distinct()
+        both = small.unionByName(small.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        root = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(root, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = hung.unionByName(root.select("u", F.col("m").alias("v"))).distinct()
-        after = stage(small, "edges")
+        after = stage(large, "edges")
         unstage(now)
         now, was = after, seen
         seen = _checksum(now)

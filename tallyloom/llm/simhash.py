@@ -89,6 +89,8 @@ def compare_tiles(radius: int):
     """
 
     def links(ids: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(ids, kind="stable")  # roots are smallest ids, so tiles that share rows agree on them
+        ids, prints = ids[order], prints[order]
         i, j = close_pairs(prints, radius)
         root = forest(len(ids), i, j)
         tied = np.nonzero(root != np.arange(len(ids)))[0]
