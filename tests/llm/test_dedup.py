@@ -146,3 +146,10 @@ def test_similar_is_exact():
     root = near_text.similar([s.astype(np.int64) for s in sets], 0.8)
     want = groups(range(len(sets)), lambda a, b: jaccard(sets[a].tolist(), sets[b].tolist()) >= 0.8)
     assert root.tolist() == [want[k] for k in range(len(sets))]
+
+
+def test_bands_follow_the_corpus():
+    assert near_text.layout(0) == near_text.layout(4_000_000) == (12, 40)
+    for n in (10**8, 10**10, 10**12):
+        bits, bands = near_text.layout(n)
+        assert bits > 12 and (1 - (1 - near_text.DIFFER) ** bits) ** bands <= near_text.MISS
