@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,8 +144,25 @@ def own_median(prices: DataFrame, keys: list[str], today: str) -> DataFrame:
 
 
 def sessions(rows: DataFrame, keys: list[str], ts: str, order: list[str], gap_minutes: int = 10) -> DataFrame:
-    """Add run: it rises where more than the gap passed since the row before, and at every row without a time."""
-    axis = Window.partitionBy(*keys).orderBy(F.col(ts).asc_nulls_first(), *order)
-    gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(axis).cast("timestamp"))
-    starts = F.when(gap.isNull() | (gap > gap_minutes * 60_000_000), 1).otherwise(0)
-    return rows.withColumn("_starts", starts).withColumn("run", F.sum("_starts").over(axis)).drop("_starts")
+    """Add run: it rises where more than the gap passed since the row before, and at every row without a time.
+
+    Rows are ordered within a day of a key; the days of a key, one row each, are chained apart. So no
+    task holds more than a day of a key, however long its history.
+    """
+    by_day = [*keys, "_day"]
+    renamed = {c: f"_of_{c}" for c in by_day}
+    same_day = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(n)) for c, n in renamed.items()])
+    dated = rows.withColumn("_day", F.to_date(ts))
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    days = Window.partitionBy(*keys).orderBy(F.col("_day").asc_nulls_first())
+    ends = dated.groupBy(*by_day).agg(F.max(ts).alias("_last")).withColumn("_before", F.lag("_last").over(days)).drop("_last")
+    axis = Window.partitionBy(*by_day).orderBy(F.col(ts).asc_nulls_first(), *order)
+    met = dated.join(ends.withColumnsRenamed(renamed), same_day, "left").drop(*renamed.values())
+    gap = micros(F.col(ts)) - micros(F.coalesce(F.lag(ts).over(axis), F.col("_before")))
+    marked = met.withColumn("_starts", F.when(gap.isNull() | (gap > gap_minutes * 60_000_000), 1).otherwise(0)).drop("_before")
+    sums = marked.groupBy(*by_day).agg(F.sum("_starts").alias("_sum"))
+    before = days.rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    numbered = marked.withColumn("_own", F.sum("_starts").over(axis))
+    joined = numbered.join(bases.withColumnsRenamed(renamed), same_day)
+    return joined.withColumn("run", F.col("_base") + F.col("_own")).drop(*renamed.values(), "_day", "_starts", "_own", "_base")

@@ -96,12 +96,12 @@ def m9_drop_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def o3_category_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By category the hundred widest gaps in dollars, with the number in all."""
-    per = Window.partitionBy("category")
-    ranked = q._cells(spark, sf_dir).withColumn("total", F.count("*").over(per)).withColumn(
-        "place", F.row_number().over(per.orderBy(F.desc("spread"), "match_key", "weight_grams"))
-    )
-    return ranked.where("place <= 100").select("category", "place", "match_key", "weight_grams", "spread", "total")
+    """By category the hundred widest gaps in dollars, with the number in all; ranks are cut before they are shuffled."""
+    cells = q._cells(spark, sf_dir)
+    widest = Window.partitionBy("category").orderBy(F.desc("spread"), "match_key", "weight_grams")
+    top = cells.withColumn("place", F.row_number().over(widest)).where("place <= 100")
+    totals = cells.groupBy("category").agg(F.count("*").alias("total"))
+    return top.join(totals, "category").select("category", "place", "match_key", "weight_grams", "spread", "total")
 
 
 def o4_region_category(spark: SparkSession, sf_dir: str) -> DataFrame:
