@@ -86,20 +86,24 @@ def lookup_by_group(rows: DataFrame, groups: DataFrame, key: str, size: str, sha
     return first.unionByName(rest)
 
 
-def tiles(rows: DataFrame, key: str, member: str, cap: int) -> DataFrame:
+def tiles(rows: DataFrame, key: str, member: str, cap: int, share: int = 1000) -> DataFrame:
     """Add `tile`: rows that must be compared with each other share a tile of at most about 2 * cap rows.
 
     A key with up to `cap` rows is one tile. A larger one is dealt into b blocks and every pair of
     blocks is a tile, so each pair of its rows still meets and no task holds the whole key. Only rows
-    of such keys are repeated, b times each.
+    of such keys are repeated, b times each. rows should be staged: they are read again for each use.
     """
-    large = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > cap)
-    joined = rows.join(large, key, "left")
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    large = stage(counts.where(F.col("_n") > cap), "large")
+    total = rows.count()
+    hot = large.where(F.col("_n") * share > total)  # fewer than `share` keys
+    at_hot = rows.join(F.broadcast(hot), key)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(large.where(F.col("_n") * share <= total), key, "left")
     blocks = F.ceil(F.coalesce("_n", F.lit(1)) / F.lit(cap)).cast("int")
     own = F.pmod(F.xxhash64(F.lit("tile"), F.col(member)), F.col("_b").cast("long")).cast("int")
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("_b") - 1),
         lambda j: F.struct(F.least(j, F.col("_own")).alias("i"), F.greatest(j, F.col("_own")).alias("j")),
     )
-    dealt = joined.withColumn("_b", blocks).withColumn("_own", own).withColumn("_p", F.explode(pairs))
+    dealt = at_hot.unionByName(others).withColumn("_b", blocks).withColumn("_own", own).withColumn("_p", F.explode(pairs))
     return dealt.withColumn("tile", F.xxhash64(key, "_p.i", "_p.j")).drop("_n", "_b", "_own", "_p")

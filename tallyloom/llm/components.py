@@ -1,48 +1,7 @@
-"""Connected components of an edge table, by alternating small-star and large-star steps.
-
-Every step is a grouped minimum (combined before the shuffle) and an equi-join, so hubs are no
-special case; the edges of each round are written to the shared folder and nothing but two checksums
-comes to the driver. The small star comes first: it leaves each node one edge but for those between
-its neighbours, so what the large star turns around is hardly more than one edge a node.
-"""
+"""Connected components for the training-data operators: those of the library."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import stage, unstage
-
-
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """Rows (node, component) for every node with an edge; component is the smallest reachable node.
-
-    Self-loops and null ends are ignored, repeated edges count once. Nodes without an edge are absent.
-    """
-    start = edges.where(f"{a} is not null and {b} is not null and {a} <> {b}")
-    now = stage(start.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-    seen = _checksum(now)
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
-        root = now.groupBy("u").agg(F.min("v").alias("m"))
-        hung = now.join(root, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = hung.unionByName(root.select("u", F.col("m").alias("v"))).distinct()
-        both = small.unionByName(small.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        after = stage(large, "edges")
-        unstage(now)
-        now, was = after, seen
-        seen = _checksum(now)
-        if seen == was:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
-
+from ..operators.graph import components as connected_components
 
-def _checksum(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
+__all__ = ["connected_components"]

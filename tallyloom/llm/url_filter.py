@@ -99,11 +99,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None
         edges = edges.unionByName(redirects.select(node_of(F.col("a")).alias("a"), node_of(F.col("b")).alias("b")))
     joined = connected_components(edges)
     nodes = joined.select("node", "component", host_of(F.col("node")).alias("host"), path_of(F.col("node")).alias("path"))
-    members = judged(stage(nodes, "nodes"), rules)
+    members = stage(judged(stage(nodes, "nodes"), rules), "members")
     verdicts = members.groupBy("component").agg(
-        F.max((F.col("action") == "allow").cast("int")).alias("allow"), F.max((F.col("action") == "block").cast("int")).alias("block")
+        F.max((F.col("action") == "allow").cast("int")).alias("allow"), F.max((F.col("action") == "block").cast("int")).alias("block"), F.count("*").alias("_n")
     )
-    alias = members.join(verdicts, "component").select(
+    alias = lookup_by_group(members, stage(verdicts, "verdicts"), "component", "_n").select(
         "node", F.when((F.col("block") == 1) & (F.coalesce("allow", F.lit(0)) == 0), "block").otherwise("allow").alias("alias_verdict")
     )
     found = rows.join(alias, "node", "left")
