@@ -87,35 +87,43 @@ def _valid(kind: str, value: Column) -> Column:
     return (n >= 9) & (n <= 15)
 
 
-def _found(kind: str, strict: bool) -> Column:
-    """Spans of one pattern: array of (start, kind_no, end, strict, value, before, after).
+BLOCK = 128
 
-    Offsets are running sums over the pieces between matches, so the text is not searched again.
+
+def _with_spans(rows: DataFrame, kind: str, strict: bool) -> DataFrame:
+    """Add the spans of one pattern: array of (start, kind_no, end, strict, value, before, after).
+
+    Offsets are sums of the lengths of matches and of the pieces between them, so the text is searched
+    twice and no more; sums are kept by blocks of matches, so that a text with very many stays cheap.
     """
-    pattern = F.lit((STRICT if strict else LOOSE)[kind])
-    matches, pieces = F.regexp_extract_all("text", pattern, F.lit(0)), F.split("text", (STRICT if strict else LOOSE)[kind], -1)
-    parts = F.transform(
-        matches, lambda m, i: F.struct(F.get(pieces, i).alias("before"), m.alias("value"), F.get(pieces, i + 1).alias("after"))
-    )
-    fields = "struct<start:int,kind_no:int,end:int,strict:boolean,value:string,before:string,after:string>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{fields}>").alias("out"))
-
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + F.length(x["before"])
-        end = begin + F.length(x["value"])
-        span = F.struct(
-            begin.alias("start"),
+    pattern, name = (STRICT if strict else LOOSE)[kind], f"{kind}_{strict}"
+    n = F.size("_m")
+    rows = rows.withColumn("_m", F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).withColumn("_p", F.split("text", pattern, -1))
+    rows = rows.withColumn("_z", F.arrays_zip(F.slice("_p", F.lit(1), n), "_m", F.slice("_p", F.lit(2), n)))
+    rows = rows.withColumn("_l", F.transform("_z", lambda x: F.length(x["0"]) + F.length(x["_m"])))
+    total = lambda values: F.aggregate(values, F.lit(0), lambda a, v: a + v)
+    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("_b", F.transform(starts, lambda k: total(F.slice("_l", k + 1, F.lit(BLOCK)))))
+    rows = rows.withColumn("_b", F.transform("_b", lambda v, k: total(F.slice("_b", F.lit(1), k))))
+
+    def span(x: Column, k: Column) -> Column:
+        block = F.floor(k / BLOCK).cast("int")
+        before = F.get("_b", block) + total(F.slice("_l", block * BLOCK + 1, k - block * BLOCK))
+        start = before + F.length(x["0"])
+        return F.struct(
+            start.alias("start"),
             F.lit(KINDS.index(kind)).alias("kind_no"),
-            end.alias("end"),
+            (start + F.length(x["_m"])).alias("end"),
             F.lit(strict).alias("strict"),
-            x["value"].alias("value"),
-            F.right(x["before"], F.lit(24)).alias("before"),
-            F.left(x["after"], F.lit(4)).alias("after"),
+            x["_m"].alias("value"),
+            F.right(x["0"], F.lit(24)).alias("before"),
+            F.left(x["2"], F.lit(4)).alias("after"),
         )
-        out = F.concat(state["out"], F.array(span))
-        return F.struct(end.alias("at"), (F.when(_valid(kind, x["value"]), out).otherwise(state["out"]) if strict else out).alias("out"))
 
-    return F.aggregate(parts, start, step, lambda state: state["out"])
+    rows = rows.withColumn(name, F.transform("_z", span))
+    if strict:
+        rows = rows.withColumn(name, F.filter(name, lambda s: _valid(kind, s["value"])))
+    return rows.drop("_m", "_p", "_z", "_l", "_b")
 
 
 def _per_kind(kind_no: Column, by_kind) -> Column:
@@ -157,13 +165,14 @@ def candidates(documents: DataFrame) -> DataFrame:
     for kind in KINDS:
         for strict in (True, False):
             names.append(f"{kind}_{strict}")
-            rows = rows.withColumn(names[-1], _found(kind, strict))
+            rows = _with_spans(rows, kind, strict)
     # a loose span that overlaps a strict one says nothing new
+    rows = rows.withColumn("_strict", F.concat(*[F.col(f"{k}_True") for k in KINDS]))
     rows = rows.select("doc_id", *[
         (
             F.col(n)
             if n.endswith("True")
-            else F.filter(n, lambda a: ~F.exists(F.concat(*[F.col(f"{k}_True") for k in KINDS]), lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"])))
+            else F.filter(n, lambda a: ~F.exists("_strict", lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"])))
         ).alias(n)
         for n in names
     ])
