@@ -139,7 +139,7 @@ def _sited(documents: DataFrame, host: Column, path: Column) -> DataFrame:
 
 
 def classify(documents: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, target: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """The documents with _log_odds, _host_rate, _rate, _score and _keep.
+    """The documents with _log_odds, _host_rate, _rate, _score and _keep; columns of these names are replaced.
 
     host and path: columns that name the site and the section of a document (default: source and lang).
     The sites' table is small and joined at its size; texts are read twice rather than shuffled.
@@ -147,7 +147,7 @@ def classify(documents: DataFrame, labels: DataFrame, host: Column | None = None
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
     model = train(documents, labels, target)
-    rows = _sited(documents, host, path)
+    rows = _sited(documents.drop("_log_odds", "_host_rate", "_rate", "_score", "_keep"), host, path)
     if model is None:
         zero = F.lit(0.0)
         return rows.withColumns({"_log_odds": zero, "_host_rate": zero + 0.5, "_rate": zero + 0.5, "_score": zero + 0.5, "_keep": F.lit(True)})
