@@ -18,8 +18,16 @@ def lag_days(value: float | None) -> int:
     return max(0, int(value))
 
 
-def observed_day(ts: Column) -> Column:
-    return F.to_date(ts)
+def key_of(records: DataFrame) -> Column:
+    """The records' match key: their own column if they carry one, else made from their identity."""
+    if "match_key" in records.columns:
+        return F.col("match_key")
+    return match_key(F.col("name"), F.col("brand"), F.col("strain_type"), F.col("category"), F.col("subcategory"))
+
+
+def grams_of_option(records: DataFrame) -> Column:
+    """The records' canonical weight: their own column if they carry one, else read off the option."""
+    return F.col("weight_grams") if "weight_grams" in records.columns else canonical_grams(F.col("option"))
 
 
 def anchor_day(records: DataFrame, today: str) -> DataFrame:
@@ -34,7 +42,7 @@ def gated(records: DataFrame, today: str, max_lag_days: float | None = None, anc
     else the data's own. The anchor is one row, broadcast.
     """
     own = anchor_day(records, today).select(F.coalesce(F.lit(anchor).try_cast("date"), F.col("anchor")).alias("_anchor"))
-    key = match_key(F.col("name"), F.col("brand"), F.col("strain_type"), F.col("category"), F.col("subcategory"))
+    key = key_of(records)
     day = F.to_date("observed_at")
     stale = F.col("_anchor").isNotNull() & (day.isNull() | (day < F.date_sub("_anchor", lag_days(max_lag_days))))
     return (
@@ -59,7 +67,7 @@ def offers(gated_records: DataFrame) -> DataFrame:
         "product_id",
         "name",
         "category",
-        canonical_grams(F.col("option")).alias("weight_grams"),
+        grams_of_option(gated_records).alias("weight_grams"),
         price_of_record(F.col("special_price"), F.col("base_price")).alias("price"),
         "quantity_available",
     )

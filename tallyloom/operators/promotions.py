@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.deals import deal_active, deal_categories, deal_scope, tier_key, usable_days, usable_window
 from ..functions.numbers import positive, price_of_record
-from ..functions.products import EXCLUDED_FLAGS, canonical_grams
+from ..functions.products import EXCLUDED_FLAGS
 from ..functions.text import clean_description
+from .disparity import grams_of_option
 
 LINKABLE = ["Flower", "Vaporizers", "Pre-Rolls", "Concentrate"]
 
@@ -40,7 +41,7 @@ def deal_links(deals: DataFrame, records: DataFrame) -> DataFrame:
         .select(
             F.col("dispensary_id").alias("store"),
             F.col("category").alias("product_category"),
-            canonical_grams(F.col("option")).alias("grams"),
+            grams_of_option(records).alias("grams"),
             F.coalesce(F.arrays_overlap("flags", F.array(*[F.lit(f) for f in EXCLUDED_FLAGS])), F.lit(False)).alias("unsound"),
         )
         .groupBy("store", "product_category", "grams", "unsound")

@@ -69,7 +69,7 @@ def f37_priced_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products with a priced option, and with one at an eighth; sold out ones count."""
     r = adapter.latest_records(spark, sf_dir)
     priced = fn.positive(fn.price_of_record(F.col("special_price"), F.col("base_price")))
-    at = fp.canonical_grams(F.col("option"))
+    at = F.col("weight_grams")
     return r.groupBy("category").agg(F.count_if(priced).alias("priced"), F.count_if(priced & (at == 28.0)).alias("priced_ounce"))
 
 

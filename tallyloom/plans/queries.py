@@ -108,8 +108,8 @@ def _brand_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "dispensary_id",
         "product_id",
         "name",
-        fp.match_key(F.col("name"), F.col("brand"), F.col("strain_type"), F.col("category"), F.col("subcategory")).alias("match_key"),
-        fp.canonical_grams(F.col("option")).alias("weight_grams"),
+        "match_key",
+        "weight_grams",
         price.alias("price"),
     ).where(fn.positive(F.col("price")) & F.col("weight_grams").isNotNull())
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import r2
+from ..functions.products import canonical_grams, match_key
 
 CATEGORY_OF = {
     "ECONOMY": "Flower",
@@ -46,11 +47,14 @@ def _category(column: str):
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per part: identity columns of a product, with flags."""
+    """One row per part: identity columns of a product, with flags, match key and canonical weight.
+
+    Keys and weights depend on identity alone, so they are made here, before any join with observations.
+    """
     p = _table(spark, sf_dir, "part")
     key = F.col("p_partkey")
     none = F.array().cast("array<string>")
-    return p.select(
+    named = p.select(
         key.alias("partkey"),
         F.concat(F.lit("p"), key.cast("string")).alias("product_id"),
         F.col("p_name").alias("name"),
@@ -61,6 +65,8 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.col("p_size").cast("string"), F.lit("g")).alias("option"),
         F.when(key % 11 == 0, F.array(F.lit("weight-mismatch"))).when(key % 13 == 0, F.array(F.lit("assumed-single"))).otherwise(none).alias("flags"),
     )
+    identity = match_key(F.col("name"), F.col("brand"), F.col("strain_type"), F.col("category"), F.col("subcategory"))
+    return named.withColumns({"match_key": identity, "weight_grams": canonical_grams(F.col("option"))})
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
