@@ -90,40 +90,55 @@ def _valid(kind: str, value: Column) -> Column:
 BLOCK = 128
 
 
-def _with_spans(rows: DataFrame, kind: str, strict: bool) -> DataFrame:
-    """Add the spans of one pattern: array of (start, kind_no, end, strict, value, before, after).
+SPANS = "array<struct<start:int,kind_no:int,end:int,strict:boolean,value:string,before:string,after:string>>"
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _spans(kind: str, strict: bool) -> Column:
+    """Spans of one pattern: array of (start, kind_no, end, strict, value, before, after).
 
     Offsets are sums of the lengths of matches and of the pieces between them, so the text is searched
     twice and no more; sums are kept by blocks of matches, so that a text with very many stays cheap.
     """
-    pattern, name = (STRICT if strict else LOOSE)[kind], f"{kind}_{strict}"
-    n = F.size("_m")
-    rows = rows.withColumn("_m", F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).withColumn("_p", F.split("text", pattern, -1))
-    rows = rows.withColumn("_z", F.arrays_zip(F.slice("_p", F.lit(1), n), "_m", F.slice("_p", F.lit(2), n)))
-    rows = rows.withColumn("_l", F.transform("_z", lambda x: F.length(x["0"]) + F.length(x["_m"])))
+    pattern = (STRICT if strict else LOOSE)[kind]
     total = lambda values: F.aggregate(values, F.lit(0), lambda a, v: a + v)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
-    rows = rows.withColumn("_b", F.transform(starts, lambda k: total(F.slice("_l", k + 1, F.lit(BLOCK)))))
-    rows = rows.withColumn("_b", F.transform("_b", lambda v, k: total(F.slice("_b", F.lit(1), k))))
 
-    def span(x: Column, k: Column) -> Column:
+    def placed(parts: Column) -> Column:
+        lengths = F.transform(parts, lambda x: F.length(x["p"]) + F.length(x["m"]))
+        return _let(lengths, lambda n: _let(sums(n), lambda b: F.transform(parts, lambda x, k: span(x, k, n, b))))
+
+    def sums(lengths: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(lengths) - 1, F.lit(BLOCK))
+        each = F.transform(starts, lambda k: total(F.slice(lengths, k + 1, F.lit(BLOCK))))
+        return _let(each, lambda e: F.transform(e, lambda v, k: total(F.slice(e, F.lit(1), k))))
+
+    def span(x: Column, k: Column, lengths: Column, blocks: Column) -> Column:
         block = F.floor(k / BLOCK).cast("int")
-        before = F.get("_b", block) + total(F.slice("_l", block * BLOCK + 1, k - block * BLOCK))
-        start = before + F.length(x["0"])
+        before = F.get(blocks, block) + total(F.slice(lengths, block * BLOCK + 1, k - block * BLOCK))
+        start = before + F.length(x["p"])
         return F.struct(
             start.alias("start"),
             F.lit(KINDS.index(kind)).alias("kind_no"),
-            (start + F.length(x["_m"])).alias("end"),
+            (start + F.length(x["m"])).alias("end"),
             F.lit(strict).alias("strict"),
-            x["_m"].alias("value"),
-            F.right(x["0"], F.lit(24)).alias("before"),
-            F.left(x["2"], F.lit(4)).alias("after"),
+            x["m"].alias("value"),
+            F.right(x["p"], F.lit(24)).alias("before"),
+            F.left(x["q"], F.lit(4)).alias("after"),
         )
 
-    rows = rows.withColumn(name, F.transform("_z", span))
-    if strict:
-        rows = rows.withColumn(name, F.filter(name, lambda s: _valid(kind, s["value"])))
-    return rows.drop("_m", "_p", "_z", "_l", "_b")
+    def zipped(matches: Column) -> Column:
+        part = lambda p, m, q: F.struct(p.alias("p"), m.alias("m"), q.alias("q"))
+        pieces = F.split("text", pattern, -1)
+        found = _let(pieces, lambda p: F.transform(matches, lambda m, k: part(F.get(p, k), m, F.get(p, k + 1))))
+        kept = _let(found, placed)
+        return F.filter(kept, lambda s: _valid(kind, s["value"])) if strict else kept
+
+    matches = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    return _let(matches, lambda m: F.when(F.size(m) == 0, F.array().cast(SPANS)).otherwise(zipped(m)))
 
 
 def _per_kind(kind_no: Column, by_kind) -> Column:
@@ -161,11 +176,8 @@ def _voted(span: Column) -> Column:
 def candidates(documents: DataFrame) -> DataFrame:
     """doc_id, spans: every strict and loose span with votes and features, without text."""
     rows = documents.select("doc_id", whole_text().alias("text"))
-    names = []
-    for kind in KINDS:
-        for strict in (True, False):
-            names.append(f"{kind}_{strict}")
-            rows = _with_spans(rows, kind, strict)
+    names = [f"{kind}_{strict}" for kind in KINDS for strict in (True, False)]
+    rows = rows.select("doc_id", *[_spans(kind, strict).alias(f"{kind}_{strict}") for kind in KINDS for strict in (True, False)])
     # a loose span that overlaps a strict one says nothing new
     rows = rows.withColumn("_strict", F.concat(*[F.col(f"{k}_True") for k in KINDS]))
     rows = rows.select("doc_id", *[
