@@ -84,7 +84,7 @@ def discount_tier(pct: Column) -> Column:
 
 def multiple_phrase(share: Column) -> Column:
     """1 + share as "N.N×" from a tenth up, else a whole percentage."""
-    return F.when(share >= 0.1, F.concat(F.format_number(1 + share, 1), F.lit("×"))).otherwise(
+    return F.when(share >= 0.1, F.concat(F.replace(F.format_number(1 + share, 1), F.lit(","), F.lit("")), F.lit("×"))).otherwise(
         F.concat(F.floor(share * 100 + 0.5).cast("string"), F.lit("%"))
     )
 
