@@ -92,6 +92,43 @@ def test_rake_against_brute_force(spark):
             assert abs(sum(x for c, x in got.items() if c[k] == value) - target) < 0.02 * total
 
 
+def test_production_sweeps_meet_the_attainable_targets(spark, caplog):
+    rng = random.Random(3)
+    sides = [[rng.lognormvariate(0, 1.5) for _ in range(n)] for n in (6, 4, 5)]
+    spot = [(a, b, c) for a in range(6) for b in range(4) for c in range(5)]
+    tokens = {(f"s{a}", f"l{b}", f"t{c}"): int(1000 * sides[0][a] * sides[1][b] * sides[2][c] * rng.lognormvariate(0, 1)) + 1 for a, b, c in spot}
+    names = ["_source", "_lang", "_topic"]
+    cells = stage(spark.createDataFrame([(*c, n) for c, n in tokens.items()], "_source string, _lang string, _topic string, _tokens long"), "cells")
+    total = sum(tokens.values()) * mixing.BUDGET
+    goals = {n: stage(mixing.tempered(cells, n, mixing.POWER, total), "target") for n in names}
+    raked = [mixing.rake(cells, goals, mixing.BUDGET), mixing.rake(cells, goals, mixing.BUDGET, sweeps=3, gathered=0), mixing.rake(cells, goals, mixing.BUDGET, sweeps=3)]
+    got, tables, arrays = ({tuple(r[n] for n in names): r["_weight"] for r in d.collect()} for d in raked)
+    assert len(caplog.records) == 2 and "after 3 sweeps" in caplog.text  # the two cut short say so, the default settles
+    assert tables.keys() == arrays.keys() and all(abs(tables[c] - arrays[c]) < 1e-6 * arrays[c] for c in arrays)
+    assert got.keys() == tokens.keys() and all(got[c] <= tokens[c] for c in got)
+    short = 0
+    for k, n in enumerate(names):
+        wanted = {r[0]: r[1] for r in goals[n].collect()}
+        supply = {v: sum(t for c, t in tokens.items() if c[k] == v) for v in wanted}
+        low, high = 0.0, 1e6  # bisection for the rate at which targets held to supply sum to the total
+        for _ in range(200):
+            rate = (low + high) / 2
+            low, high = (rate, high) if sum(min(supply[v], rate * wanted[v]) for v in wanted) < total else (low, rate)
+        for v in wanted:
+            short += wanted[v] > supply[v]
+            want = min(supply[v], rate * wanted[v])
+            assert abs(sum(x for c, x in got.items() if c[k] == v) - want) <= 1.001e-3 * want
+    assert short
+
+
+def test_targets_that_cells_cannot_meet_together_are_reported(spark, caplog):
+    rows = [("a", "x", "t", 100), ("a", "y", "t", 10), ("b", "x", "t", 10), ("b", "y", "t", 100)]
+    cells = stage(spark.createDataFrame(rows, "_source string, _lang string, _topic string, _tokens long"), "cells")
+    goals = {"_source": {"a": 110.0, "b": 10.0}, "_lang": {"x": 20.0, "y": 100.0}, "_topic": {"t": 120.0}}
+    tables = {n: stage(spark.createDataFrame(list(g.items()), f"{n} string, _target double"), "target") for n, g in goals.items()}
+    assert mixing.rake(cells, tables, 0.5).count() == 4 and "of its target away" in caplog.text
+
+
 def test_mix_draws_as_calibrated(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = mixing.mix(docs, budget=0.5).select("doc_id", "_tokens", "_probability", "_drawn").collect()
