@@ -19,10 +19,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_HARD = (
+    r"</?(?:address|article|aside|blockquote|body|dl|d[dt]|fieldset|figure|footer|form|h[1-6]|header|html|li|main|nav|ol|p|pre|section|table|t[dhr]|ul)\b"
+    r"|<(?:svg|select|button|datalist|annotation)\b"
+)
+#: A control, drawing or annotation without its end tag before a block that it cannot hold ends at the next block.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|select|object|canvas|math|button|datalist)\b[^>]*>"
+    r"|<(?:svg|math|annotation(?:-xml)?)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<=/)>"
+    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|object|canvas)\b[^>]*>"
     r".*?(?:</(?P=raw)\b[^>]*>|$)"
+    r"|<(?P<short>svg|select|button|datalist|annotation-xml|annotation)\b[^>]*>"
+    rf"(?:(?:(?!{_HARD}).)*?</(?P=short)\b[^>]*>|.*?(?={_HARD}|</?(?:div|hr|center|dir|details|dialog|hgroup|menu|search|summary|tbody|thead|tfoot|caption|figcaption)\b|$))"
     r"|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|</?[a-z][^>]*(?:>|$)|<[!?/][^>]*(?:>|$)",
     re.IGNORECASE | re.DOTALL,

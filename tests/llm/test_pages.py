@@ -1,7 +1,10 @@
 import hashlib
 import re
+import time
 from html import unescape
 
+import pytest
+
 from tallyloom.llm import html_text, url_filter, warc
 
 PAGES = "page_id long, url string, html string"
@@ -28,6 +31,31 @@ ARTICLE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</styl
 <div class="sidebar"><p>More, of this, and that, and those, all of it, for free, today.</p></div><footer>&copy; 2024, all of it</footer></body></html>"""
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ('<p>One <svg class="i"/> two</p><p>three</p>', "One two\nthree"),
+        ('<p>One <svg class="a>b" /> two</p><p>three <svg><path d="M0"/></svg> four</p>', "One two\nthree four"),
+        ("<p>One <math/> two</p><p>three</p>", "One two\nthree"),
+        ("<p>One <math><mi>x</mi><mo>=</mo><mn>2</mn></math> two</p>", "One x=2 two"),
+        ('<p>One <math><semantics><mi>x</mi><annotation encoding="tex">\\chi</annotation></semantics></math> two</p>', "One x two"),
+        ("<p>One <select><option>a<option>b</p><p>two</p><p>three</p>", "One\ntwo\nthree"),
+        ("<div>One <button>press</div><p>two</p><button>off</button><p>three</p>", "One\ntwo\nthree"),
+        ("<p>One</p><button><div>Share</div></button><p>two</p>", "One\ntwo"),
+        ("<p>One <svg><g> two</p><p>three</p>", "One\nthree"),
+        ("<p>One <svg><svg><text>no</text></svg></svg> two</p>", "One two"),
+    ],
+)
+def test_skipped_elements_end(html, want):
+    assert html_text.main_text(html) == want
+
+
+def test_unclosed_controls_take_linear_time():
+    began = time.process_time()
+    html_text.main_text("<button><svg><select>x" * 100_000)
+    assert time.process_time() - began < 20
+
+
 def test_article(spark):
     got = text_of(spark, ARTICLE).split("\n")
     assert got == [
