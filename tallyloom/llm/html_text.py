@@ -35,7 +35,7 @@ TOKEN = re.compile(
     r"|</?[a-z][^>]*(?:>|$)|<[!?/][^>]*(?:>|$)",
     re.IGNORECASE | re.DOTALL,
 )
-ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden|type)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th"
@@ -54,12 +54,14 @@ UNWANTED = frozenset(
     " popup modal overlay pagination pager related recommended recommendations share sharing social sidebar sidebars"
     " skip toolbar topbar widget widgets reply replies signup login".split()
 )
+#: Words that sections of an article bear too; inside one their containers are judged by what they hold.
+SECTION_WORDS = frozenset("alert discussion header notice notices related".split())
 CONTENT_TAGS = frozenset(["html", "body", "main", "article"])
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "parts", "score", "linked", "chars", "dropped", "inside")
+    __slots__ = ("tag", "parent", "children", "parts", "score", "linked", "chars", "dropped", "inside", "suspect")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool):
         self.tag, self.parent, self.dropped = tag, parent, dropped
@@ -67,29 +69,57 @@ class Node:
         self.children: list[Node] = []
         self.parts: list = []  # texts and child nodes in page order
         self.score, self.linked, self.chars = 0.0, 0, 0
+        self.suspect = ""  # the word of the list in its class or id
 
 
-def _unwanted(tag: str, attrs: str, inside_article: bool) -> bool:
+def _unwanted(tag: str, attrs: str, inside_article: bool) -> tuple[bool, str]:
+    """Whether an element is dropped in any case, and else the word of the list for which it is to be judged."""
     if tag in DROPPED or tag == "header" and not inside_article:
-        return True
+        return True, ""
     if not attrs or tag in ("html", "body"):
-        return False
+        return False, ""
+    suspect = ""
     for name, *values in ATTRIBUTE.findall(attrs):
         name, value = name.lower(), "".join(values)
-        if name in ("class", "id") and tag not in CONTENT_TAGS:
+        if name in ("class", "id") and tag not in CONTENT_TAGS and not (inside_article and (tag == "p" or tag in HEADINGS)):
             words = [w for w in SPLIT.split(value) if w]
             words = [w.lower() for w in SPLIT.split(" ".join(words).lower()) if w] + [w.lower() for w in words]
             for k, word in enumerate(words):
                 if word in UNWANTED and not (k and words[k - 1] in ("no", "has", "with", "without")):
-                    if not (word == "header" and inside_article):
-                        return True
+                    if not (word == "header" and inside_article) and (not suspect or suspect in SECTION_WORDS):
+                        suspect = word
         elif name == "role" and value.lower() in DROPPED_ROLES:
-            return True
+            return True, ""
         elif name == "hidden" and not value or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, ""
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-            return True
-    return False
+            return True, ""
+    return False, suspect
+
+
+def _judge(nodes: list[Node]) -> None:
+    """Drop the containers whose class or id has a word of the list, except two kinds with few links: wrappers of
+    the page (its main element or h1, and half its text), and sections of an article that are mostly long paragraphs."""
+    sums = {id(n): [n.chars, n.linked, 0, n.tag in ("main", "h1")] for n in nodes}  # characters, linked, in long paragraphs, title or main
+    for node in reversed(nodes[1:]):
+        own = sums[id(node)]
+        if node.dropped:
+            continue
+        if node.tag in ("p", "pre", "blockquote") and own[0] >= 80 and own[1] < 0.25 * own[0]:
+            own[2] = own[0]
+        up = sums[id(node.parent)]
+        for k in range(3):
+            up[k] += own[k]
+        up[3] = up[3] or own[3]
+    total = sums[id(nodes[0])][0]
+    for node in nodes[1:]:  # parents before children
+        chars, linked, prose, titled = sums[id(node)]
+        if node.parent.dropped:
+            node.dropped = True
+        elif node.suspect and not node.dropped:
+            wrapper = titled and 2 * chars >= total
+            section = node.inside and node.suspect in SECTION_WORDS and 2 * prose >= chars
+            node.dropped = not (chars and linked < 0.25 * chars and (wrapper or section))
 
 
 def parse(html: str) -> Node:
@@ -120,7 +150,9 @@ def parse(html: str) -> Node:
                 node.parts.append(Node(name, node, False))
             else:
                 node = _closed_for(node, name, opened)
-                child = Node(name, node, node.dropped or _unwanted(name, token["attrs"], node.inside))
+                child = Node(name, node, node.dropped)
+                if not child.dropped:
+                    child.dropped, child.suspect = _unwanted(name, token["attrs"], node.inside)
                 node.children.append(child)
                 node.parts.append(child)
                 nodes.append(child)
@@ -128,6 +160,8 @@ def parse(html: str) -> Node:
                 node = child
     if at < len(html):
         _add_text(node, html[at:], links)
+    if any(n.suspect for n in nodes):
+        _judge(nodes)
     for node in reversed(nodes[1:]):  # children before parents
         if not node.dropped:
             node.parent.chars += node.chars

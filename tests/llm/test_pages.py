@@ -50,6 +50,26 @@ def test_skipped_elements_end(html, want):
     assert html_text.main_text(html) == want
 
 
+LONG = "The method was held against earlier ones on all of the data, and the differences were small, as the table shows."
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ('<article><h2 id="discussion">Discussion</h2><p id="notice-2">One, two</p></article>', "Discussion\nOne, two"),
+        (f'<article><p>{LONG}</p><section id="related-work"><h2>Related work</h2><p>{LONG}</p></section></article>', f"{LONG}\nRelated work\n{LONG}"),
+        (f'<article><p>{LONG}</p><section class="related"><a href="/x">{LONG}</a></section></article>', LONG),
+        (f'<article><p>{LONG}</p><section class="discussion comments"><p>{LONG}</p></section></article>', LONG),
+        (f'<div class="layout sidebar-right"><h1>Title</h1><p>{LONG}</p><div class="sidebar"><p>{LONG}</p></div></div>', f"Title\n{LONG}"),
+        (f'<div class="comments"><p>{LONG}</p><p>{LONG}</p></div><div><p>{LONG}</p></div>', LONG),
+        (f'<article><div data-id="ad"><p>{LONG}</p></div><div title="the hidden cave"><p>{LONG}</p></div></article>', f"{LONG}\n{LONG}"),
+        (f'<article><p>{LONG}</p><div hidden><p>no</p></div><div id=ad><p>no</p></div></article>', LONG),
+    ],
+)
+def test_words_of_the_list_are_judged(html, want):
+    assert html_text.main_text(html) == want
+
+
 def test_unclosed_controls_take_linear_time():
     began = time.process_time()
     html_text.main_text("<button><svg><select>x" * 100_000)
