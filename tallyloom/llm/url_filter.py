@@ -12,6 +12,11 @@ rules too; repeated rows are judged alike; null html has no edges. Other columns
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from html import unescape
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,27 +47,62 @@ def node_of(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(F.lit("x://"), host_of(url), rest))
 
 
+def _without_dots(path: str) -> str:
+    out: list[str] = []
+    parts = path.split("/")[1:]
+    for k, part in enumerate(parts):
+        if part in (".", ".."):
+            if part == "..":
+                del out[-1:]
+            if k == len(parts) - 1:
+                out.append("")
+        else:
+            out.append(part)
+    return "/" + "/".join(out)
+
+
+def resolve(base: str, reference: str) -> str | None:
+    """The URL that a reference names, read from base; None if it is empty, of a scheme without ://, or base is no URL."""
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", reference):
+        return reference if "://" in reference else None
+    if reference.startswith("//"):
+        return f"x:{reference}"
+    whole = re.match(r"(?s)(.*?://[^/?#]*)([^?#]*)(\?[^#]*)?", base)
+    if not whole or not reference:
+        return None
+    host, path, query = whole[1], whole[2], whole[3] or ""
+    if reference[0] == "#":
+        return host + path + query
+    if reference[0] == "?":
+        return host + path + reference
+    own, rest = re.match(r"(?s)([^?#]*)(.*)", reference).groups()
+    return host + _without_dots(own if own[0] == "/" else (path[: path.rfind("/") + 1] or "/") + own) + rest
+
+
+def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (url, base, target): the page and its target, with character references read and <base href> heeded."""
+    for batch in batches:
+        urls, bases, targets = ([unescape(v).strip(" \t\n\f\r") if k else v for v in c.to_pylist()] for k, c in enumerate(batch.columns))
+        found = [resolve(resolve(u, b) or u, t) for u, b, t in zip(urls, bases, targets)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["url", "whole"])
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): from each page to its canonical link and its redirect by meta refresh, absolute or relative to its host."""
+    """(a, b): from each page to its canonical link and its redirect by meta refresh, absolute or relative to the page or its base."""
     attribute = r"(?is)\b%s\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
     tags = F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    tag = pages.where(F.col("html").rlike("(?i)canonical|refresh")).select("url", F.explode(tags).alias("t"))
+    first_base = F.regexp_extract("html", r"(?is)<base\b[^>]*\bhref\b[^>]*>", 0)
+    tag = pages.where(F.col("html").rlike("(?i)canonical|refresh")).select("url", first_base.alias("base"), F.explode(tags).alias("t"))
     tag = stage(tag.where(F.col("t").rlike("(?i)canonical|refresh")), "tags")
 
-    def value(name: str) -> Column:
-        return F.concat(*[F.regexp_extract("t", attribute % name, k) for k in (1, 2, 3)])
+    def value(name: str, of: str = "t") -> Column:
+        return F.concat(*[F.regexp_extract(of, attribute % name, k) for k in (1, 2, 3)])
 
     link = F.when(F.lower(value("rel")).rlike(r"\bcanonical\b"), value("href"))
     refresh = F.when(F.lower(value("http-equiv")) == "refresh", F.regexp_extract(value("content"), r"(?is)\burl\s*=\s*['\"]?([^'\"]*)", 1))
-    base = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
-    aimed = stage(tag.select("url", base.alias("base"), F.trim(F.coalesce(link, refresh)).alias("target")), "targets")
-    target = F.col("target")
-    whole = (
-        F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target)
-        .when(target.startswith("//"), F.concat(F.lit("x:"), target))
-        .when(target.startswith("/"), F.concat("base", "target"))
-    )
-    links = stage(aimed.select("url", whole.alias("whole")), "links")
+    aimed = tag.select("url", value("href", "base").alias("base"), F.coalesce(link, refresh).alias("target"))
+    aimed = stage(aimed.where("url is not null and target is not null"), "targets")
+    links = stage(aimed.mapInArrow(_resolved, "url string, whole string"), "links")
     return links.select(node_of(F.col("url")).alias("a"), node_of(F.col("whole")).alias("b")).where("a is not null and b is not null")
 
 

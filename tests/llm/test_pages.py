@@ -2,6 +2,7 @@ import hashlib
 import re
 import time
 from html import unescape
+from urllib.parse import urljoin
 
 import pytest
 
@@ -232,3 +233,22 @@ def test_aliases_against_sql(spark):
     want = sorted(con.sql(url_filter.URL_FILTER_SQL).fetchall())
     got = url_filter.filter_urls(pages(spark, [*ALIASES, (20, None, None)]), url_filter.rule_table(spark, url_filter.RULES))
     assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_relative_and_escaped_aliases(spark):
+    page = "http://a.net/fr/dir/page?x=1"
+    references = ["page2.html", "../a", "../../../up", "./", "?id=3", "/es/./b/../c", "//b.net/es/", "http://c.org/", "d/e;f?a=1&b=2", "/fr/q?a=1&b=2", ".", ".."]
+    for base in (page, "http://a.net/fr/dir/", "http://a.net"):
+        for r in references:
+            assert url_filter.resolve(base, r).split(":", 1)[1] == urljoin(base, r).split(":", 1)[1], (base, r)
+    assert url_filter.resolve(page, "mailto:a@b.c") is None and url_filter.resolve("none", "a") is None
+    rows = [
+        (1, "http://x.org/s/1", '<link rel="canonical" href="2">'),
+        (2, "http://x.org/s/2", '<meta http-equiv="refresh" content="0; url=../../t?a=1&amp;b=2">'),
+        (3, "http://x.org/t?a=1&b=2", '<link rel="canonical" href="http://b.net/fr/z?c=1&amp;d=2">'),
+        (4, "http://x.org/u", '<base href="http://c.net/es/"><link rel=canonical href="v">'),
+        (5, "http://x.org/w", '<link rel="canonical" href="v">'),
+        (6, "http://x.org/y", '<link rel="canonical" href="mailto:a@b.net/fr/">'),
+    ]
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages(spark, rows), url_filter.rule_table(spark, url_filter.RULES)).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow"}
