@@ -1,15 +1,18 @@
 """Personal data by weak supervision (DataFrame functions only).
 
-Candidate spans come from strict and loose patterns. Labelers vote on each: the strict pattern with its
-checks, a gazetteer of known domains, prefixes and codes, words for and against in the context, and the
-characters at the edges. Expectation-maximisation over the table of vote patterns, whose size depends on
-the labelers alone, estimates how reliable each labeler is per kind; its posteriors are the soft labels
-from which grouped sums train a naive-Bayes span classifier. Strict spans always stay; loose ones are
-added where the classifier gives them more than even odds and they overlap no strict span.
+Candidate spans come from strict and loose patterns; loose ones are spelled-out or split addresses,
+IPv6, cards with other separators, national and 00-prefixed phones, and secrets (tokens, keys). Labelers
+vote on each: its form (checksum, shape, digit count), a gazetteer of known domains, prefixes and codes,
+words for and against in the context, and the characters at the edges. Expectation-maximisation over the
+table of vote patterns, whose size depends on the labelers alone, estimates how reliable each labeler is
+per kind; its posteriors are the soft labels from which grouped sums train a naive-Bayes span classifier
+on votes, length, digits, shape and the neighbouring word. Strict spans always stay; loose ones are added
+where the classifier gives them more than even odds and they overlap no strict span and no added one
+that is listed before.
 
 Defined cases: a null text counts as empty; texts without spans give zero counts, empty `spans` and the
 digest of the empty string; repeated rows give repeated results; with no candidates at all nothing is
-trained and nothing added. Other columns are ignored.
+trained and nothing added. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import stage, whole_text
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE = KINDS[:4]  # kinds with a strict pattern
 
 #: Strict patterns. They find what the plain forms
 #:   email [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+    ip [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)
@@ -37,25 +41,31 @@ STRICT = {
 }
 #: Loose patterns, whose spans are added only if the classifier believes them.
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]{2,63}+)+",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9.])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9.])",
-    "phone": r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{4}(?![0-9A-Za-z])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?: ?(?:\(at\)|\[at\]|@) ?[A-Za-z0-9-]{1,63}+(?:(?: ?(?:\(dot\)|\[dot\]) ?| dot |\.| \. )[A-Za-z0-9-]{2,63}+)+| at [A-Za-z0-9-]{1,63}+(?:(?: ?(?:\(dot\)|\[dot\]) ?| dot )[A-Za-z0-9-]{2,63}+)+)",
+    "ip": r"(?<![0-9A-Fa-f:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Fa-f:])",
+    "card": r"(?<![0-9.])(?:[0-9]{4}(?:[./_][0-9]{4}){3}|3[47][0-9]{2}[./_][0-9]{6}[./_][0-9]{5})(?![0-9.])",
+    "phone": r"(?<![0-9A-Za-z+.-])(?:(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{4}|00[1-9][0-9]{8,12})(?![0-9A-Za-z]|[.-][0-9])",
+    "secret": r"(?<![A-Za-z0-9_./@#-])(?=[A-Za-z_-]{0,64}+[0-9])[A-Za-z0-9_-]{20,}+",
 }
 FOR = {
     "email": r"(?i)(?:e-?mail|contact|write|mailto|address|courriel|correo|from|to)\W{0,4}$",
-    "ip": r"(?i)(?:\bip\b|address|host|server|from|client|peer|adresse)\W{0,4}$",
+    "ip": r"(?i)(?:\bip\b|ipv6|address|host|server|from|client|peer|adresse)\W{0,4}$",
     "card": r"(?i)(?:card|visa|master|amex|credit|debit|payment|karte|carte|tarjeta|number|no)\W{0,4}$",
     "phone": r"(?i)(?:phone|tel|call|mobile|cell|fax|dial|contact|telefon|t.l.phone|tel.fono)\W{0,4}$",
+    "secret": r"(?i)(?:token|secret|passw(?:or)?d|passphrase|key|bearer|auth|authorization|credentials?)\W{0,5}$",
+}
+_NUMBERED = r"(?i)(?:version|\bv|release|token|key|hash|id|isbn|section|licen[cs]e|sha|md5)\W{0,4}$"
+AGAINST = {kind: _NUMBERED for kind in BASE} | {
+    "secret": r"(?i)(?:commit|sha-?[0-9]{0,3}|md5|hash|checksum|digest|etag|\bid|uuid|revision|version|file|image)\W{0,5}$"
 }
-AGAINST = r"(?i)(?:version|\bv|release|token|key|hash|id|isbn|section|licen[cs]e|sha|md5)\W{0,4}$"
 GAZETTEER = {
-    "email": r"(?i)(?:\.|dot |\(dot\) ?|\[dot\] ?)(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu|example|test)$",
+    "email": r"(?i)(?:\. ?|dot |\(dot\) ?|\[dot\] ?)(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu|example|test)$",
     "ip": r"^(?:10|127|172|192|198|203)\.|^(?i:fe80|fd|20)",
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))",
-    "phone": r"^(?:\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])\D|\(?[2-9][0-9]{2}\)?[ .-])",
+    "phone": r"^(?:(?:\+|00)(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])|\(?[2-9][0-9]{2}\)?[ .-])",
+    "secret": r"^(?:(?:AKIA|ASIA)[A-Z0-9]{16}$|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk[-_]|pk[-_]|eyJ)",
 }
-VOTERS = ("strict", "gazetteer", "context", "edges")
+VOTERS = ("form", "gazetteer", "context", "edges")
 ROUNDS = 50
 
 
@@ -135,7 +145,7 @@ def _spans(kind: str, strict: bool) -> Column:
         pieces = F.split("text", pattern, -1)
         found = _let(pieces, lambda p: F.transform(matches, lambda m, k: part(F.get(p, k), m, F.get(p, k + 1))))
         kept = _let(found, placed)
-        return F.filter(kept, lambda s: _valid(kind, s["value"])) if strict else kept
+        return F.filter(kept, lambda s: _valid(kind, s["value"])) if strict or kind == "card" else kept
 
     matches = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
     return _let(matches, lambda m: F.when(F.size(m) == 0, F.array().cast(SPANS)).otherwise(zipped(m)))
@@ -145,23 +155,43 @@ def _per_kind(kind_no: Column, by_kind) -> Column:
     return reduce(lambda rest, k: F.when(kind_no == k, by_kind(KINDS[k])).otherwise(rest), range(len(KINDS)), F.lit(0))
 
 
+def _form(kind: str, value: Column) -> Column:
+    """Whether a value is made as its kind is: 1 for, -1 against, 0 where that cannot be told."""
+    n = F.length(_digits(value))
+    if kind == "email":
+        return F.when(value.rlike(r"[A-Za-z]{2,24}$"), 1).otherwise(-1)
+    if kind == "ip":
+        return F.when(value.rlike(r"^[0-9](?:\.[0-9]){3}$|^0|^(?:24|25)[0-9]\."), -1).when(value.contains("::") & ~value.rlike("[0-9A-Fa-f]{3}"), 0).otherwise(1)
+    if kind == "card":
+        return F.when(F.when((n >= 12) & (n <= 19), _luhn(value)).otherwise(False), 1).otherwise(-1)
+    if kind == "phone":
+        return F.when((n >= 10) & (n <= 13), 1).when((n >= 7) & (n <= 15), 0).otherwise(-1)
+    mixed = value.rlike(r"(?:[0-9][^0-9]+){3}|[0-9]{6}") & value.rlike(r"[A-Za-z]")
+    return F.when(value.rlike(r"^(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64})$") | ~value.rlike("[-]") & mixed, 1).when(mixed, 0).otherwise(-1)
+
+
 def _voted(span: Column) -> Column:
-    """The span without its strings: offsets, votes of -1, 0 or 1, and the classifier's features."""
+    """The span without its strings: offsets, votes of -1, 0 or 1, and the classifier's features, whose values are bounded in number."""
     value, before, after = span["value"], span["before"], span["after"]
     kind = span["kind_no"]
+    form = _per_kind(kind, lambda k: _form(k, value))
     gazetteer = _per_kind(kind, lambda k: F.when(value.rlike(GAZETTEER[k]), 1).otherwise(0))
-    context = F.when(before.rlike(AGAINST), -1).when(_per_kind(kind, lambda k: before.rlike(FOR[k]).cast("int")) == 1, 1).otherwise(0)
-    edges = F.when(before.rlike(r"[A-Za-z0-9_=/\"]$") | after.rlike(r"^[A-Za-z0-9_=/\"]"), -1).otherwise(1)
-    votes = F.array(F.when(span["strict"], 1).otherwise(-1), gazetteer, context, edges)
+    context = _per_kind(kind, lambda k: F.when(before.rlike(AGAINST[k]), -1).when(before.rlike(FOR[k]), 1).otherwise(0))
+    glued = F.when(before.rlike(r"[A-Za-z0-9_=/\"]$") | after.rlike(r"^[A-Za-z0-9_=/\"]"), -1).otherwise(1)
+    quoted = F.when(before.rlike("[=:] ?[\"'`]?$|[\"'`]$"), 1).when(after.rlike(r"^[./@]"), -1).otherwise(0)
+    edges = F.when(kind == KINDS.index("secret"), quoted).otherwise(glued)
+    votes = F.array(form, gazetteer, context, edges)
     side = lambda s, p: F.when(s.rlike(p), "word").when(F.length(s) == 0, "none").otherwise("other")
+    bucket = lambda s, n: F.pmod(F.xxhash64(s), F.lit(n)).cast("string")
+    shape = F.left(F.regexp_replace(F.regexp_replace(value, "[0-9]+", "9"), "[A-Za-z]+", "a"), F.lit(10))
     features = F.array(
         F.concat(F.lit("length="), F.least(F.floor(F.length(value) / 4), F.lit(10)).cast("string")),
         F.concat(F.lit("digits="), F.floor(F.length(_digits(value)) * 4 / F.length(value)).cast("string")),
+        F.concat(F.lit("shape="), bucket(shape, 64)),
+        F.concat(F.lit("word="), bucket(F.lower(F.regexp_extract(before, r"(\w+)\W*$", 1)), 256)),
         F.concat(F.lit("before="), side(before, r"[\w]\W?$")),
         F.concat(F.lit("after="), side(after, r"^\W?[\w]")),
-        F.concat(F.lit("context="), context.cast("string")),
-        F.concat(F.lit("gazetteer="), gazetteer.cast("string")),
-        F.concat(F.lit("edges="), edges.cast("string")),
+        *[F.concat(F.lit(f"{name}="), vote.cast("string")) for name, vote in zip(VOTERS, (form, gazetteer, context, edges))],
     )
     return F.struct(
         span["start"].alias("start"),
@@ -176,19 +206,13 @@ def _voted(span: Column) -> Column:
 def candidates(documents: DataFrame) -> DataFrame:
     """doc_id, spans: every strict and loose span with votes and features, without text."""
     rows = documents.select("doc_id", whole_text().alias("text"))
-    names = [f"{kind}_{strict}" for kind in KINDS for strict in (True, False)]
-    rows = rows.select("doc_id", *[_spans(kind, strict).alias(f"{kind}_{strict}") for kind in KINDS for strict in (True, False)])
+    strict, loose = [f"{k}_strict" for k in BASE], [f"{k}_loose" for k in KINDS]
+    rows = rows.select("doc_id", *[_spans(k, True).alias(f"{k}_strict") for k in BASE], *[_spans(k, False).alias(f"{k}_loose") for k in KINDS])
     # a loose span that overlaps a strict one says nothing new
-    rows = rows.withColumn("_strict", F.concat(*[F.col(f"{k}_True") for k in KINDS]))
-    rows = rows.select("doc_id", *[
-        (
-            F.col(n)
-            if n.endswith("True")
-            else F.filter(n, lambda a: ~F.exists("_strict", lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"])))
-        ).alias(n)
-        for n in names
-    ])
-    return rows.select("doc_id", F.transform(F.concat(*names), _voted).alias("spans"))
+    rows = rows.withColumn("_strict", F.concat(*strict))
+    apart = lambda a: ~F.exists("_strict", lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"]))
+    rows = rows.select("doc_id", *strict, *[F.filter(n, apart).alias(n) for n in loose])
+    return rows.select("doc_id", F.transform(F.concat(*strict, *loose), _voted).alias("spans"))
 
 
 def estimate(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int = ROUNDS) -> dict[tuple[int, tuple[int, ...]], float]:
@@ -253,7 +277,7 @@ def train(found: DataFrame) -> dict[str, float]:
 
 
 def find_private(documents: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (strict spans), base_sha256, spans, n_added."""
+    """doc_id, n_email, n_ip, n_card, n_phone (strict spans), base_sha256, spans, n_secret, n_added, n_spans (all of them)."""
     found = stage(candidates(documents), "candidates")
     odds = train(found)
     if odds:
@@ -271,12 +295,15 @@ def find_private(documents: DataFrame) -> DataFrame:
     name = lambda s: F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["kind_no"] + 1)
     told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s), s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("all", lambda s: s["strict"])
+    count = lambda spans: F.size(spans).cast("long")
     return rows.select(
         "doc_id",
-        *[F.size(F.array_remove(F.transform(base, lambda s: F.when(s["kind_no"] == k, 1).otherwise(0)), 0)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)],
+        *[count(F.filter(base, lambda s: s["kind_no"] == k)).alias(f"n_{kind}") for k, kind in enumerate(BASE)],
         F.sha2(told(base), 256).alias("base_sha256"),
         told(F.col("all")).alias("spans"),
-        F.size(F.filter("all", lambda s: ~s["strict"])).cast("long").alias("n_added"),
+        count(F.filter("all", lambda s: s["kind_no"] == KINDS.index("secret"))).alias("n_secret"),
+        count(F.filter("all", lambda s: ~s["strict"])).alias("n_added"),
+        count(F.col("all")).alias("n_spans"),
     )
 
 
