@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 from helpers import DOCUMENTS, documents
+from pyspark.sql import functions as F
 
 from tallyloom.llm import mixing, quality, spotsigs
 from tallyloom.llm.common import stage
@@ -63,6 +64,42 @@ def test_near_pairs(spark):
     assert got == want and want
 
 
+def test_no_row_is_lost_without_a_target(spark):
+    docs = documents(spark, [f"word{k} " * (k % 7 + 1) for k in range(120)])
+    topic = F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd")
+    goals = lambda values: spark.createDataFrame(values, "_source string, _target double")
+    targets = {"_source": goals([("src0", 60.0), ("src1", 40.0), ("src1", 10.0), ("nowhere", 50.0), (None, 3.0)])}
+    kept = mixing.mix(docs, targets, topic=topic, tokens=F.lit(1)).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(120))
+    assert {r._probability for r in kept if r._source == "src2"} == {mixing.BUDGET}  # held to nothing
+    dropped = mixing.mix(docs, targets, topic=topic, tokens=F.lit(1), unnamed="drop").collect()
+    assert len(dropped) == 120 and not any(r._drawn for r in dropped if r._source == "src2")
+    slim = mixing.mix(docs, targets, topic=topic, tokens=F.lit(1), columns=["doc_id"]).collect()
+    assert {(r.doc_id, r._drawn) for r in slim} == {(r.doc_id, r._drawn) for r in kept}
+    told = {(r.margin, r.value): r for r in mixing.margins(mixing.weigh(mixing.with_cells(docs, topic, F.lit(1)), targets)).collect()}
+    assert told["source", "src0"].target == 40.0 and abs(told["source", "src0"].expected - 40) < 0.1  # held to its supply
+    assert told["source", "src2"].target is None and told["source", "src2"].supply == 40
+
+
+def test_topics_are_clusters_of_words(spark):
+    rng = random.Random(4)
+    pools = [[f"{name}{k}" for k in range(12)] for name in ("ship", "rock", "leaf")]
+    texts = [" ".join(rng.choice(pools[k % 3]) for _ in range(rng.randrange(30, 90))) for k in range(90)]
+    docs = documents(spark, texts)
+    found = {r.doc_id: r._topic for r in mixing.with_cells(docs).collect()}
+    assert found == {r.doc_id: r._topic for r in mixing.with_cells(docs.repartition(7)).collect()}
+    kinds = [{found[k] for k in range(90) if k % 3 == j} for j in range(3)]
+    assert not kinds[0] & kinds[1] and not kinds[1] & kinds[2] and not kinds[0] & kinds[2]
+
+
+def test_pieces_are_about_tokens(spark):
+    from tallyloom.llm.packing import token_ids
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null").select("text", F.regexp_count("text", F.lit(mixing.PIECE)).alias("n")).limit(300).collect()
+    pieces, real = np.array([r.n for r in rows]), np.array([len(token_ids(r.text)) for r in rows])
+    assert np.corrcoef(pieces, real)[0, 1] > 0.95
+
+
 def brute_rake(tokens, targets, budget, sweeps=200):
     w = {c: t * budget for c, t in tokens.items()}
     for _ in range(sweeps):
