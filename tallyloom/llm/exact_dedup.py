@@ -18,35 +18,50 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, lookup_by_group, new_path, stage, whole_text
+from ..plans.envelope import exists
+from ..plans.staging import shared_dir
+from .common import ascii_lower, delete, lookup_by_group, stage, whole_text
 
 BUCKETS = 64
 COLUMNS = "text_sha256 string, keep_id long, batch string"
 
 
 class DigestIndex:
-    """A digest index kept as a bucketed table; `name` makes it persistent across batches.
+    """A digest index kept as a bucketed table; `name` makes it persistent across batches and sessions.
 
-    buckets: fixed when the table is made; by default as many as shuffle partitions, 64 at least.
+    A named index lies under a path of its name in the shared folder, with its number of buckets beside it,
+    and is registered from there in whatever session opens it. buckets: fixed when the index is made; by
+    default as many as shuffle partitions, 64 at least.
     """
 
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None):
         self.spark = spark
-        self.buckets = buckets or max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
-        self.path = new_path(spark, self.name)
+        self.home = f"{shared_dir(spark)}/tallyloom/index/{self.name}"
+        self.path, layout = f"{self.home}/rows", f"{self.home}/layout"
+        if exists(spark, f"{layout}/_SUCCESS"):
+            self.buckets = spark.read.schema("buckets int").json(layout).first()[0]
+        elif exists(spark, self.path):
+            raise ValueError(f"{self.path} holds rows of an index whose layout is lost")
+        else:
+            self.buckets = buckets or max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+            spark.createDataFrame([(self.buckets,)], "buckets int").coalesce(1).write.mode("overwrite").json(layout)
 
     def read(self) -> DataFrame:
         if not self.spark.catalog.tableExists(self.name):
-            self._writer(self.spark.createDataFrame([], COLUMNS)).option("path", self.path).saveAsTable(self.name)
+            by = f"CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {self.buckets} BUCKETS"
+            self.spark.sql(f"CREATE TABLE `{self.name}` ({COLUMNS}) USING parquet {by} LOCATION '{self.path}'")
         return self.spark.table(self.name)
 
     def append(self, rows: DataFrame) -> None:
         """rows: text_sha256, keep_id, batch. One file a bucket and batch."""
-        self._writer(rows.repartition(self.buckets, "text_sha256")).mode("append").saveAsTable(self.name)
+        self.read()
+        dealt = rows.repartition(self.buckets, "text_sha256").write.bucketBy(self.buckets, "text_sha256").sortBy("text_sha256")
+        dealt.mode("append").saveAsTable(self.name)
 
-    def _writer(self, rows: DataFrame):
-        return rows.write.bucketBy(self.buckets, "text_sha256").sortBy("text_sha256")
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS `{self.name}`")
+        delete(self.spark, self.home)
 
 
 def digests(documents: DataFrame) -> DataFrame:
@@ -75,8 +90,35 @@ def dedup_batch(documents: DataFrame, index: DigestIndex, batch: str | None = No
     )
 
 
+def kept_rows(documents: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+    """The documents that stay, one row for each text: decisions go back by doc_id and digest, null ids included.
+
+    Of rows that repeat both doc_id and text one stays. Without an index the documents are all there is.
+    """
+    spark = documents.sparkSession
+    own = index or DigestIndex(spark)
+    decided = stage(dedup_batch(documents, own).select("doc_id", "text_sha256", "kept"), "kept")
+    if index is None:
+        own.drop()
+    key, digest = F.col("doc_id").cast("long"), F.sha2(ascii_lower(whole_text()), 256)
+    named = documents.select(F.struct(*documents.columns).alias("_row"), key.alias("_id"), digest.alias("_digest"))
+    gone = decided.where("not kept").select("doc_id", "text_sha256").distinct()
+    met = named["_id"].eqNullSafe(gone["doc_id"]) & (named["_digest"] == gone["text_sha256"])
+    left = named.join(gone, met, "left_anti")
+    counts = decided.where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n"))
+    repeated = stage(counts.where("n > 1").drop("n"), "repeated")
+    if repeated.take(1):
+        met = left["_id"].eqNullSafe(repeated["doc_id"]) & (left["_digest"] == repeated["text_sha256"])
+        one = left.join(repeated, met, "left_semi").groupBy("_id", "_digest").agg(F.any_value("_row").alias("_row"))
+        left = left.join(repeated, met, "left_anti").select("_row").unionByName(one.select("_row"))
+    return left.select("_row.*")
+
+
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_batch(spark.read.parquet(f"{sf_dir}/documents.parquet"), DigestIndex(spark))
+    index = DigestIndex(spark)
+    found = dedup_batch(spark.read.parquet(f"{sf_dir}/documents.parquet"), index)
+    index.drop()  # decisions are staged; this query's index serves no later batch
+    return found
 
 
 EXACT_DEDUP_SQL = """

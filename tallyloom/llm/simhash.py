@@ -19,8 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bitslice import close_pairs, forest
-from .common import lookup_by_group, stage, tiles, whole_text
-from .components import connected_components
+from .common import connected_components, lookup_by_group, stage, tiles, whole_text
 
 SEED = 42
 TILE = 512

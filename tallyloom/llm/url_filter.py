@@ -20,8 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, lookup_by_group, stage
-from .components import connected_components
+from .common import ascii_lower, connected_components, lookup_by_group, stage
 
 RULES = [
     ("com", "/", "allow"),

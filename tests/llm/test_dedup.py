@@ -6,8 +6,8 @@ from helpers import DOCUMENTS, documents, groups, jaccard, shingles, simhash
 
 from tallyloom.llm import bitslice, near_text
 from tallyloom.llm import simhash as sh
-from tallyloom.llm.components import connected_components
-from tallyloom.llm.exact_dedup import DigestIndex, dedup_batch
+from tallyloom.llm.common import connected_components
+from tallyloom.llm.exact_dedup import DigestIndex, dedup_batch, kept_rows
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,6 +50,29 @@ def test_index_persists(spark):
     assert "SortMergeJoin" in plan and "Exchange" not in plan.split("== Physical Plan ==")[1]
 
 
+def test_index_outlives_the_session(spark):
+    name = f"kept_{random.randrange(10**9)}"
+    dedup_batch(documents(spark, ["a", "b"]), DigestIndex(spark, name, buckets=3))
+    other = spark.newSession()
+    spark.sql(f"DROP TABLE {name}")  # as where the catalog ends with the session
+    index = DigestIndex(other, name)
+    assert index.read().count() == 2 and index.buckets == 3
+    got = {r.doc_id: r for r in dedup_batch(documents(other, ["B", "c"], 10), index).collect()}
+    assert (got[10].keep_id, got[10].kept, got[11].kept) == (1, False, True)
+    plan = index.read().join(index.read().hint("merge"), "text_sha256")._jdf.queryExecution().toString()
+    assert "Exchange" not in plan.split("== Physical Plan ==")[1]
+    index.drop()
+    assert DigestIndex(other, name).read().count() == 0
+
+
+def test_kept_rows_lose_no_text(spark):
+    rows = [(5, "a"), (5, "unique"), (9, "A"), (None, "a"), (None, "null only"), (None, "null only"), (7, "x"), (7, "x"), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCUMENTS)
+    got = sorted(((r.doc_id, r.text) for r in kept_rows(docs).collect()), key=repr)
+    assert got == sorted([(5, "unique"), (9, "A"), (None, "null only"), (7, "x"), (8, None)], key=repr)
+    assert kept_rows(docs.where("false")).count() == 0 and kept_rows(docs).columns == docs.columns
+
+
 def test_hot_digest(spark):
     texts = ["same"] * 3000 + [f"t{k}" for k in range(1500)]
     got = dedup_batch(documents(spark, texts), DigestIndex(spark)).collect()
@@ -148,8 +171,37 @@ def test_similar_is_exact():
     assert root.tolist() == [want[k] for k in range(len(sets))]
 
 
-def test_bands_follow_the_corpus():
-    assert near_text.layout(0) == near_text.layout(4_000_000) == (12, 40)
-    for n in (10**8, 10**10, 10**12):
-        bits, bands = near_text.layout(n)
-        assert bits > 12 and (1 - (1 - near_text.DIFFER) ** bits) ** bands <= near_text.MISS
+def test_alike_sets_share_a_key():
+    rng = np.random.default_rng(4)
+    for least in (0.8, 0.55):
+        for n in (1, 2, 5, 9, 50, 180, 200):
+            frequent = np.sort(rng.integers(0, 400, 60))
+            for _ in range(60):
+                a = np.unique(rng.integers(0, 400, n))
+                b = np.unique(np.concatenate((a[rng.random(len(a)) < 0.9], rng.integers(0, 400, max(1, n // 9)))))
+                if jaccard(a.tolist(), b.tolist()) >= least:
+                    x, y = (near_text.prefix(s, frequent, least) for s in (a, b))
+                    assert set(x.tolist()) & set(y.tolist()), (a, b)
+
+
+def test_radius_is_five_deviations_out():
+    rng = np.random.default_rng(1)
+    for n, m in ((5, 4), (45, 36), (450, 360)):
+        apart = []
+        for _ in range(300):
+            h = rng.integers(0, 2**63, n, dtype=np.uint64)
+            x, y = near_text.long_print(h, near_text.WORDS), near_text.long_print(h[:m], near_text.WORDS)
+            apart.append(int(np.unpackbits((x ^ y).view(np.uint8)).sum()))
+        assert np.mean(apart) + 4.5 * np.std(apart) < near_text.RADIUS
+
+
+def test_near_duplicates_lose_no_row(spark):
+    """Ids that are null or repeat with other texts: every text stays unless one like it does."""
+    rng = random.Random(12)
+    base = " ".join(f"w{rng.randrange(3000)}" for _ in range(120))
+    other = " ".join(f"v{rng.randrange(3000)}" for _ in range(120))
+    rows = [(1, base), (1, other), (2, near(base, rng, 1)), (None, near(other, rng, 1)), (None, "all alone here in this text"), (7, "x y z"), (7, "x y z"), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCUMENTS)
+    kept = sorted(((r.doc_id, r.text) for r in near_text.drop_near_duplicates(docs).collect()), key=repr)
+    assert (None, "all alone here in this text") in kept and (8, "") in kept and kept.count((7, "x y z")) == 2
+    assert len(kept) == 6 and (1, base) in kept and ((1, other) in kept) != ((None, rows[3][1]) in kept)
