@@ -1,22 +1,25 @@
 """Quality by hierarchical empirical Bayes.
 
-A logistic classifier, fitted on a bounded sample of labelled documents, gives each document its
-evidence. Evidence is pooled by host and by path within the host: a host's rate of good documents is
-shrunk toward the global rate and a path's toward its host's, the more the fewer documents it has. How
-strongly is estimated from the spread of the rates themselves. A document's score is its own log-odds
-with the global prior replaced by that of its path.
-
-Defined cases: null texts count as empty; null hosts and paths are values of their own; without labels
-of both classes every document keeps the score 0.5 and stays; repeated rows score alike; an empty table
-gives no rows.
+A logistic classifier over kinds of characters and hashed words, fitted on a bounded sample of labelled
+documents, gives each document its evidence. Evidence is pooled by host and by path within the host: a
+host's rate of good documents is shrunk toward the global rate and a path's toward its host's, the more
+the fewer documents it has. How strongly is estimated from the spread of the rates themselves. A
+document's own evidence is left out of the rates that it is judged by, so it counts once: its score is its
+log-odds with the global prior replaced by that of its path without it.
+
+Defined cases: null texts count as empty; null hosts and paths are values of their own; the only document
+of a path has its host's rate, the only one of a host the global rate; without labels of both classes
+every document keeps the score 0.5 and stays; repeated rows score alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,18 +29,21 @@ from .common import stage, whole_text
 SAMPLE = 20_000
 THRESHOLD = 0.5
 LIMITS = (0.005, 0.995)
+BUCKETS = 256
 SYMBOLS = b"#$%&*|!"
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def features(text: str) -> list[float]:
-    """Shares of kinds of characters, repetition of words, and length, over the whole text."""
+def features(text: str) -> np.ndarray:
+    """Shares of kinds of characters, repetition of words, length, and hashed word counts, over the whole text."""
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
     n, n_words = max(len(raw), 1), max(len(words), 1)
     share = lambda chars: (len(raw) - len(raw.translate(None, chars))) / n
-    distinct, upper = len(set(words)), share(UPPER)
-    return [
+    counts = Counter(words)
+    distinct, upper = len(counts), share(UPPER)
+    out = np.zeros(KINDS + BUCKETS, np.float32)
+    out[:KINDS] = (
         math.sqrt(share(SYMBOLS)),
         upper,
         distinct / math.sqrt(n_words) / 10,
@@ -48,12 +54,20 @@ def features(text: str) -> list[float]:
         math.sqrt(share(b"0123456789")),
         math.sqrt(share(b"\n")),
         float(upper > 0.3),
-    ]
+    )
+    digest = xxhash.xxh32_intdigest
+    places = np.fromiter((digest(w.lower()) % BUCKETS for w in counts), np.int64, distinct)
+    hashed = np.bincount(places, np.fromiter(counts.values(), np.float64, distinct), BUCKETS)
+    out[KINDS:] = np.sqrt(hashed / n_words)
+    return out
+
+
+KINDS = 10
 
 
-@F.arrow_udf(T.ArrayType(T.DoubleType()))
+@F.arrow_udf(T.BinaryType())
 def feature_column(texts: pa.Array) -> pa.Array:
-    return pa.array([features(t.as_py()) for t in texts], pa.list_(pa.float64()))
+    return pa.array([features(t.as_py()).tobytes() for t in texts], pa.binary())
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
@@ -78,20 +92,21 @@ def train(documents: DataFrame, labels: DataFrame, target: str = "quality", samp
     known = labels.where(f"doc_id is not null and {target} is not null").groupBy("doc_id").agg(F.max(target).alias("_y"))
     chosen = known.orderBy(F.xxhash64(F.lit("fit"), "doc_id")).limit(sample)
     rows = documents.select("doc_id", whole_text().alias("_t")).join(F.broadcast(chosen), "doc_id")
-    got = rows.select(feature_column(F.col("_t")).alias("x"), "_y").collect()  # at most `sample` short rows
+    got = rows.select(feature_column(F.col("_t")).alias("x"), "_y").collect()  # at most `sample` rows of a kilobyte
     y = np.array([float(r[1]) for r in got])
     if not len(y) or y.min() == y.max():
         return None
-    w = fit(np.array([r[0] for r in got]), y)
+    w = fit(np.frombuffer(b"".join(r[0] for r in got), np.float32).reshape(len(got), -1).astype(np.float64), y)
     return [float(v) for v in w], float(y.mean())
 
 
 def log_odds(weights: list[float], text: Column) -> Column:
     """The classifier's log-odds as a column."""
+    slope, bias = np.array(weights[:-1]), weights[-1]
 
     @F.arrow_udf(T.DoubleType())
     def scored(texts: pa.Array) -> pa.Array:
-        return pa.array([sum(w * x for w, x in zip(weights, features(t.as_py()))) + weights[-1] for t in texts], pa.float64())
+        return pa.array([float(features(t.as_py()) @ slope) + bias for t in texts], pa.float64())
 
     # never null; said so lest a null check be pushed down as a second evaluation
     return F.coalesce(scored(text), F.lit(0.0))
@@ -102,35 +117,46 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def strength(groups: DataFrame, rate: str, count: str) -> float:
+def strength(groups: DataFrame, total: str, squares: str, count: str) -> float:
     """Pseudo-count of a Beta prior over group rates, by moments; large where groups hardly differ.
 
-    Three sums come to the driver.
+    The spread of the group means is held against what the spread within the groups explains. groups: the
+    count, total and sum of squares of each group's chances. Five sums come to the driver.
     """
-    r = groups.where(f"{count} >= 2").agg(
-        F.sum(F.col(rate) * F.col(count)), F.sum(count), F.sum(F.col(rate) * F.col(rate) * F.col(count)), F.count("*")
-    ).first()
+    n, mean = F.col(count), F.col(total) / F.col(count)
+    within = F.greatest(F.lit(0.0), F.col(squares) - n * mean * mean)
+    r = groups.where(F.col(count) >= 2).agg(F.sum(total), F.sum(n), F.sum(n * mean * mean), F.count("*"), F.sum(within / (n - 1))).first()
     if not r[1] or r[3] < 3:
         return 50.0
-    mean = r[0] / r[1]
-    spread = max(r[2] / r[1] - mean * mean, 0.0)
-    noise = mean * (1 - mean) * r[3] / r[1]
-    between = spread - noise
-    return float(min(1000.0, max(2.0, mean * (1 - mean) / between - 1))) if between > 0 else 1000.0
+    overall = r[0] / r[1]
+    between = max(r[2] / r[1] - overall * overall, 0.0) - r[4] / r[1]
+    return float(min(1000.0, max(2.0, overall * (1 - overall) / between - 1))) if between > 0 else 1000.0
 
 
-def site_rates(scored: DataFrame, host: str = "_host", path: str = "_path", p: str = "_p") -> DataFrame:
-    """(host, path, _rate): path rates shrunk toward host rates shrunk toward the global rate. scored must be staged."""
-    paths = stage(scored.groupBy(host, path).agg(F.sum(p).alias("_s"), F.count("*").alias("_n")), "paths")
-    hosts = paths.groupBy(host).agg(F.sum("_s").alias("_hs"), F.sum("_n").alias("_hn"))
+def site_sums(scored: DataFrame, host: str = "_host", path: str = "_path", p: str = "_p") -> tuple[DataFrame, float, float, float]:
+    """Sums of chances by path with those of its host (_s, _n, _hs, _hn), the global rate, and the strengths for hosts and paths."""
+    sums = [F.sum(p).alias("_s"), F.count("*").alias("_n"), F.sum(F.col(p) * F.col(p)).alias("_q")]
+    paths = stage(scored.groupBy(host, path).agg(*sums), "paths")
+    hosts = paths.groupBy(host).agg(F.sum("_s").alias("_hs"), F.sum("_n").alias("_hn"), F.sum("_q").alias("_hq"))
     total = paths.agg(F.coalesce(F.sum("_s"), F.lit(0.0)), F.coalesce(F.sum("_n"), F.lit(0))).first()
     overall = total[0] / total[1] if total[1] else 0.5
-    k_host = strength(hosts.select((F.col("_hs") / F.col("_hn")).alias("r"), F.col("_hn").alias("n")), "r", "n")
-    k_path = strength(paths.select((F.col("_s") / F.col("_n")).alias("r"), F.col("_n").alias("n")), "r", "n")
-    shrunk = hosts.select(host, ((F.col("_hs") + k_host * overall) / (F.col("_hn") + k_host)).alias("_host_rate"))
-    return paths.join(shrunk, host).select(
-        host, path, "_host_rate", ((F.col("_s") + k_path * F.col("_host_rate")) / (F.col("_n") + k_path)).alias("_rate")
-    )
+    found = paths.join(hosts.drop("_hq"), host).select(host, path, "_s", "_n", "_hs", "_hn")
+    return found, overall, strength(hosts, "_hs", "_hq", "_hn"), strength(paths, "_s", "_q", "_n")
+
+
+def without_own(p: Column, overall: float, k_host: float, k_path: float) -> tuple[Column, Column]:
+    """Rates of a document's host and path from the sums without its own chance p, shrunk toward the rate above."""
+    host = (F.col("_hs") - p + k_host * overall) / (F.col("_hn") - 1 + k_host)
+    return host, (F.col("_s") - p + k_path * host) / (F.col("_n") - 1 + k_path)
+
+
+def url_host(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1))
+
+
+def url_path(url: Column) -> Column:
+    """The first step of a URL's path, as a section of its site."""
+    return F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^/?#]*)", 1)
 
 
 def _sited(documents: DataFrame, host: Column, path: Column) -> DataFrame:
@@ -141,23 +167,26 @@ def _sited(documents: DataFrame, host: Column, path: Column) -> DataFrame:
 def classify(documents: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, target: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """The documents with _log_odds, _host_rate, _rate, _score and _keep; columns of these names are replaced.
 
-    host and path: columns that name the site and the section of a document (default: source and lang).
+    host and path: columns that name the site and the section of a document (default: source and lang; for tables
+    with a URL url_host and url_path of it).
     The sites' table is small and joined at its size; texts are read twice rather than shuffled.
     """
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
     model = train(documents, labels, target)
-    rows = _sited(documents.drop("_log_odds", "_host_rate", "_rate", "_score", "_keep"), host, path)
+    rows = _sited(documents.drop("_log_odds", "_host_rate", "_rate", "_score", "_keep", "_s", "_n", "_hs", "_hn"), host, path)
     if model is None:
         zero = F.lit(0.0)
         return rows.withColumns({"_log_odds": zero, "_host_rate": zero + 0.5, "_rate": zero + 0.5, "_score": zero + 0.5, "_keep": F.lit(True)})
     weights, prior = model
     rows = rows.withColumn("_log_odds", log_odds(weights, whole_text()))
     chance = 1 / (1 + F.exp(-F.col("_log_odds")))
-    rates = stage(site_rates(rows.select("_host", "_path", chance.alias("_p"))), "rates")
+    sums, *fitted = site_sums(rows.select("_host", "_path", chance.alias("_p")))
+    sums = stage(sums, "sites")
+    host_rate, path_rate = without_own(chance, *fitted)
+    joined = rows.join(sums, ["_host", "_path"]).withColumns({"_host_rate": host_rate, "_rate": path_rate}).drop("_s", "_n", "_hs", "_hn")
     told = F.col("_log_odds") - F.lit(math.log(prior / (1 - prior))) + _logit(F.col("_rate"))
-    joined = rows.join(rates, ["_host", "_path"]).withColumn("_score", 1 / (1 + F.exp(-told)))
-    return joined.withColumn("_keep", F.col("_score") >= threshold)
+    return joined.withColumn("_score", 1 / (1 + F.exp(-told))).withColumn("_keep", F.col("_score") >= threshold)
 
 
 def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,17 +199,66 @@ def test_quality_on_held_out_labels(spark):
 
 def test_quality_features_cover_the_whole_text():
     clean = "Some plain words here. " * 40
-    assert quality.features(clean) != quality.features(clean + "###" * 50)
+    assert not np.array_equal(quality.features(clean), quality.features(clean + "###" * 50))
+    assert not np.array_equal(quality.features(clean), quality.features(clean + "odd"))
     assert len(quality.features("")) == len(quality.features("é " * 10**6))
 
 
-def test_site_rates_shrink(spark):
-    rows = [("a", "x", 1.0)] * 1 + [("b", "x", 0.9)] * 400 + [("b", "y", 0.1)] * 1 + [("c", "x", 0.2)] * 300 + [("d", "x", 0.6)] * 200
-    got = {(r["_host"], r["_path"]): r for r in quality.site_rates(stage(spark.createDataFrame(rows, "_host string, _path string, _p double"), "s")).collect()}
-    mean = sum(r[2] for r in rows) / len(rows)
-    assert mean < got[("a", "x")]["_rate"] < 1.0
-    assert abs(got[("b", "x")]["_rate"] - 0.9) < 0.05 and got[("b", "y")]["_rate"] > 0.3
-    assert abs(got[("c", "x")]["_rate"] - 0.2) < 0.05
+def brute_rates(rows):
+    """For each row (host, path, p) the rates of its host and path from all other rows, strengths by moments."""
+
+    def groups(key):
+        out = {}
+        for r in rows:
+            out.setdefault(key(r), []).append(r[2])
+        return out
+
+    def strength(found):
+        many = [g for g in found.values() if len(g) >= 2]
+        n = sum(map(len, many))
+        if len(many) < 3:
+            return 50.0
+        mean = sum(map(sum, many)) / n
+        spread = sum(len(g) * (sum(g) / len(g) - mean) ** 2 for g in many) / n
+        noise = sum(np.var(g, ddof=1) for g in many) / n
+        return min(1000.0, max(2.0, mean * (1 - mean) / (spread - noise) - 1)) if spread > noise else 1000.0
+
+    hosts, paths = groups(lambda r: r[0]), groups(lambda r: r[:2])
+    k_host, k_path = strength(hosts), strength(paths)
+    overall = sum(r[2] for r in rows) / len(rows)
+    out = []
+    for k, r in enumerate(rows):
+        others = [x[2] for j, x in enumerate(rows) if j != k and x[0] == r[0]]
+        host = (sum(others) + k_host * overall) / (len(others) + k_host)
+        own = [x[2] for j, x in enumerate(rows) if j != k and x[:2] == r[:2]]
+        out.append((host, (sum(own) + k_path * host) / (len(own) + k_path)))
+    return out
+
+
+def test_shrinkage_against_brute_force(spark):
+    rng = random.Random(7)
+    for case in range(3):
+        rows = [(f"h{h}", f"p{q}", min(1.0, max(0.0, rng.gauss(0.3 + 0.1 * h, 0.2)))) for h in range(5) for q in range(4) for _ in range(rng.randrange(0, 9))]
+        rows += [("alone", "x", 0.9)] if case else [(h, q, 0.5) for h, q, _ in rows[:5]]
+        scored = stage(spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k long, _host string, _path string, _p double"), "s")
+        sums, *fitted = quality.site_sums(scored)
+        host, path = quality.without_own(F.col("_p"), *fitted)
+        got = {r.k: (r.h, r.q) for r in scored.join(sums, ["_host", "_path"]).select("k", host.alias("h"), path.alias("q")).collect()}
+        want = brute_rates(rows)
+        assert len(got) == len(rows)
+        assert all(abs(got[k][j] - want[k][j]) < 1e-6 for k in got for j in (0, 1))
+        if case:
+            assert abs(got[len(rows) - 1][0] - fitted[0]) < 1e-9  # the only one of its host: the global rate
+
+
+def test_sites_of_urls(spark):
+    """Pages by host and first step of the path, with labels by page."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet").withColumns({"doc_id": F.col("page_id"), "text": F.col("html")})
+    labels = pages.select("doc_id", (F.length("html") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic")).limit(60)
+    got = quality.classify(pages, labels, quality.url_host(F.col("url")), quality.url_path(F.col("url")))
+    assert got.count() == pages.count()
+    row = got.where("url is not null").select("url", "_host", "_path").first()
+    assert row._host and row._host in row.url.lower() and row._path.startswith("/")
 
 
 def test_quality_cases(spark):
