@@ -5,7 +5,8 @@ its ancestors, less with each level; a container's points are discounted by its
 container and the siblings that look like its continuation give the blocks of the article.
 
 Defined cases: null and empty pages give an empty text; unclosed and cut-off markup is closed at the
-end; nothing is dropped for its length. Other columns are ignored; repeated rows give repeated results.
+end; nothing is dropped for its length; a page whose only text stands in containers named like menus or
+adverts gives that text. Other columns are ignored; repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -122,7 +123,8 @@ def _judge(nodes: list[Node]) -> None:
             node.dropped = not (chars and linked < 0.25 * chars and (wrapper or section))
 
 
-def parse(html: str) -> Node:
+def parse(html: str, heed: bool = True) -> Node:
+    """The tree of a page. heed: drop containers for the words of the list in their class or id."""
     root = node = Node("#root", None, False)
     nodes = [root]
     opened: Counter[str] = Counter()
@@ -160,7 +162,7 @@ def parse(html: str) -> Node:
                 node = child
     if at < len(html):
         _add_text(node, html[at:], links)
-    if any(n.suspect for n in nodes):
+    if heed and any(n.suspect for n in nodes):
         _judge(nodes)
     for node in reversed(nodes[1:]):  # children before parents
         if not node.dropped:
@@ -276,14 +278,20 @@ def _blocks(node: Node, out: list[str], inside_header: bool = False) -> None:
 
 
 def main_text(html: str) -> str:
-    root = parse(html)
+    # where the words of the list leave nothing, they are not heeded: the best container is never dropped for its name
+    return _main_text(parse(html)) or _main_text(parse(html, heed=False))
+
+
+def _main_text(root: Node) -> str:
     best = score(root)
     out: list[str] = []
     if best is None:
         _blocks(root, out)
         return "\n".join(out)
     parent = best.parent
-    siblings = parent.children if parent is not None and best.tag not in ("article", "main", "body") else [best]
+    siblings = parent.children if parent is not None and best.tag not in ("main", "body") else [best]
+    if best.tag == "article":  # more articles beside it are of the page's text if they score like it
+        siblings = [node for node in siblings if node.tag == "article"]
     limit = best.score * 0.2
     for node in siblings:
         if node is best:

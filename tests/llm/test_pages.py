@@ -4,6 +4,7 @@ import time
 from html import unescape
 from urllib.parse import urljoin
 
+import duckdb
 import pytest
 
 from tallyloom.llm import html_text, url_filter, warc
@@ -63,6 +64,9 @@ LONG = "The method was held against earlier ones on all of the data, and the dif
         (f'<article><p>{LONG}</p><section class="discussion comments"><p>{LONG}</p></section></article>', LONG),
         (f'<div class="layout sidebar-right"><h1>Title</h1><p>{LONG}</p><div class="sidebar"><p>{LONG}</p></div></div>', f"Title\n{LONG}"),
         (f'<div class="comments"><p>{LONG}</p><p>{LONG}</p></div><div><p>{LONG}</p></div>', LONG),
+        (f'<div class="post-share-enabled"><p>{LONG}</p><p>{LONG}</p></div><nav>x</nav>', f"{LONG}\n{LONG}"),
+        (f'<div class="post-share-enabled"><article><p>{LONG}</p><p>{LONG}</p></article></div>', f"{LONG}\n{LONG}"),
+        (f"<main><article><h1>A</h1><p>{LONG}</p></article><article><h1>B</h1><p>{LONG}</p></article><article><a href=x>{LONG}</a></article></main>", f"A\n{LONG}\nB\n{LONG}"),
         (f'<article><div data-id="ad"><p>{LONG}</p></div><div title="the hidden cave"><p>{LONG}</p></div></article>', f"{LONG}\n{LONG}"),
         (f'<article><p>{LONG}</p><div hidden><p>no</p></div><div id=ad><p>no</p></div></article>', LONG),
     ],
@@ -135,6 +139,22 @@ def test_whole_articles_of_the_table(spark):
         assert got[r.page_id] == "\n".join(b for b in want if b), r.page_id
 
 
+@pytest.mark.parametrize("mark", [r"<\1div>", r"<\1section>", ""])
+def test_scores_find_the_article_without_its_mark(mark):
+    """The pages of the table with their article element renamed or removed, against what the element held."""
+    rows = duckdb.sql("select html from '/root/testdata/sf0.01/pages.parquet'").fetchall()
+    for (html,) in rows:
+        assert html_text.main_text(re.sub("<(/?)article>", mark, html)) == html_text.main_text(html)
+
+
+def test_scores_choose_between_articles():
+    """A page with a second, smaller article elsewhere keeps its own."""
+    rows = duckdb.sql("select html from '/root/testdata/sf0.001/pages.parquet'").fetchall()
+    for (html,) in rows:
+        teaser = "<section><article><h3>More</h3><p>See it.</p></article></section>"
+        assert html_text.main_text(html.replace("<article>", teaser + "<article>")) == html_text.main_text(html)
+
+
 def revisit_rows():
     big, small = "<p>é\r\n\r\nWARC/1.1 " + "x" * 1200, "y" * 999
     rows = [(k, f"http://h{k}.example/", big) for k in range(1, 40)] + [(k, "http://s/", small) for k in range(50, 53)]
