@@ -4,7 +4,8 @@ Every document is tokenized once and cut into full windows and one remainder, so
 the window. Only the length histogram (at most `window` rows, whatever the corpus) is planned on the
 driver: a bitset subset-sum over the remaining multiset picks the companions that bring the largest
 remaining length closest to the window, the counts are read off by backtracking, and the pattern is
-used as often as the histogram allows. Pieces find their place by rank within their length.
+used as often as the histogram allows. Pieces find their place by rank within their length, counted in
+salts of a bounded number of pieces, as most pieces of a large corpus have the length of the window.
 
 Defined cases: null and empty texts are the single id 0; repeated rows are packed each for itself;
 an empty table gives no rows; a long text is cut into as many windows as it needs.
@@ -27,7 +28,7 @@ from .common import stage, whole_text
 WINDOW = 1024
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
-SALTS = 256
+PER_SALT = 50_000  # pieces that one sort of a length holds, about
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -137,7 +138,8 @@ def pack(documents: DataFrame, window: int = WINDOW, tokenizer: str = TOKENIZER)
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = documents.sparkSession
     pieces = stage(cut(documents, window, tokenizer), "pieces")
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)))
+    salts = pieces.count() // PER_SALT + 1
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)))
     counts = stage(salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")), "lengths")
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("_n")).collect()}  # at most `window` rows
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
