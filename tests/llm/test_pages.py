@@ -1,4 +1,6 @@
+import gzip
 import hashlib
+import os
 import re
 import time
 from html import unescape
@@ -184,6 +186,43 @@ def test_warc_round_trip(spark):
     assert got == sorted(want)
 
 
+def test_archives_are_plain_warc(spark, tmp_path):
+    """Each file by the gzip module alone: a member a record, warcinfo first, fields of the standard, unique ids."""
+    rows, ids = revisit_rows(), set()
+    path = f"{tmp_path}/a"
+    listed = warc.write_archives(pages(spark, rows), path, date="2026-01-02T03:04:05Z", file_bytes=2000)
+    assert listed.agg({"records": "sum"}).first()[0] == len(rows) and listed.count() > 1
+    for row in listed.collect():
+        with open(f"{path}/{row.file}", "rb") as file:
+            data = file.read()
+        found = [warc.parse_record(m) for m in warc.members(data)]
+        assert b"".join(warc.members(data)) == gzip.decompress(data) and gzip.decompress(data).startswith(b"WARC/1.1\r\n")
+        assert [f["WARC-Type"] == "warcinfo" for f, _ in found] == [True] + [False] * row.records
+        for fields, block in found:
+            assert fields["WARC-Date"] == "2026-01-02T03:04:05Z" and len(block) == int(fields["Content-Length"])
+            ids.add(fields["WARC-Record-ID"])
+    assert len(ids) == len(rows) + listed.count()
+
+
+def test_revisit_without_its_response_stays(spark, tmp_path):
+    rows = [(1, "http://a/", "x" * 2000), (2, "http://b/", "x" * 2000), (3, "http://c/", "y")]
+    path = f"{tmp_path}/b"
+    listed = warc.write_archives(pages(spark, rows).repartition(3, "page_id"), path, file_bytes=1).collect()
+    for row in listed:
+        data = open(f"{path}/{row.file}", "rb").read()
+        if any(warc.parse_record(m)[0].get("Page-ID") == "2" for m in warc.members(data)):
+            os.remove(f"{path}/{row.file}")
+    got = {r.page_id: (r.record_type, r.payload_bytes, r.refers_to) for r in warc.resolved_records(spark, path).collect()}
+    assert got == {1: ("revisit", None, 2), 3: ("response", 1, None)}
+
+
+def test_warc_clashing_columns(spark):
+    crowded = pages(spark, revisit_rows()).selectExpr("*", "1 as n", "'x' as digest", "2 as original", "3 as refers_url", "4 as bytes", "5 as file", "6 as path", "7 as _html")
+    path = warc.new_path(spark, "warc-crowded")
+    warc.write_archives(crowded, path)
+    assert warc.resolved_records(spark, path).count() == len(revisit_rows())
+
+
 def test_warc_empty(spark):
     path = warc.new_path(spark, "warc-empty")
     warc.write_archives(pages(spark, []), path)
