@@ -8,7 +8,19 @@ from pyspark.sql import functions as F
 # Weekdays in order, cue patterns of scopes.
 DAYS = ["sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday"]
 EVERYDAY = "everyday"
-UNSUPPORTED = "edibles? gummies? gummy chocolates? drinks? beverages? sodas? topicals? tinctures? capsules? tablets?".split()
+UNSUPPORTED = [
+    r"\bedibles?\b",
+    r"\bgummies?\b",
+    r"\bgummy\b",
+    r"\bchocolates?\b",
+    r"\bdrinks?\b",
+    r"\bbeverages?\b",
+    r"\bsodas?\b",
+    r"\btopicals?\b",
+    r"\btinctures?\b",
+    r"\bcapsules?\b",
+    r"\btablets?\b",
+]
 STOREWIDE = [
     r"store[-\s]?wide",
     r"entire (menu|store|order)",
@@ -52,26 +64,37 @@ def minutes_until(end: Column, minute: int) -> Column:
     return F.pmod(minutes_of(end) - F.lit(minute), F.lit(24 * 60))
 
 
+#: What a deal's text says it covers, first fit wins. pattern, pattern that must not fit, kind, category, grams.
+SCOPES = [
+    (r"pre[-\s]?roll", None, "category", "Pre-Rolls", None),
+    (r"vape|vapor|cartridge|\bpen", None, "category", "Vaporizers", None),
+    (r"\bcart\b", r"\b(?:in\s+)?your\s+cart\b", "category", "Vaporizers", None),
+    (r"\beighths?\b|1\s*/\s*8", None, "category", "Flower", 3.5),
+    (r"\bounces?\b|\boz\b", None, "category", "Flower", 28.0),
+    (r"\bflower\b", None, "category", "Flower", None),
+    ("|".join(STOREWIDE), None, "storewide", None, None),
+    (r"\bbrands?\b(?!\s+new)", None, "brand", None, None),
+]
+
+
 def deal_scope(description: Column) -> Column:
-    """struct(kind, category, weight_grams): what a deal's text says it covers. Ambiguity is 'unresolved', never storewide."""
+    """struct(kind, category, weight_grams, targeted): what a deal's text says it covers.
+
+    targeted is the word that names goods out of the catalog. Ambiguity is 'unresolved', never storewide.
+    """
     d = F.lower(description)
-    has = lambda p: d.rlike(p)
-    made = lambda kind, category=None, grams=None: F.struct(
-        F.lit(kind).alias("kind"), F.lit(category).cast("string").alias("category"), F.lit(grams).cast("double").alias("weight_grams")
-    )
-    shopping = has(r"\b(?:in\s+)?your\s+cart\b")
-    eighth, ounce = has(r"\beighths?\b|1\s*/\s*8"), has(r"\bounces?\b|\boz\b")
-    return (
-        F.when(has(r"\b(?:" + "|".join(UNSUPPORTED) + r")\b"), made("unsupported-category"))
-        .when(has(r"pre[-\s]?roll"), made("category", "Pre-Rolls"))
-        .when(has(r"vape|vapor|cartridge|\bpen") | (has(r"\bcart\b") & ~shopping), made("category", "Vaporizers"))
-        .when(eighth, made("category", "Flower", 3.5))
-        .when(ounce, made("category", "Flower", 28.0))
-        .when(has(r"\bflower\b"), made("category", "Flower"))
-        .when(has("|".join(STOREWIDE)), made("storewide"))
-        .when(has(r"\bbrands?\b(?!\s+new)"), made("brand"))
-        .otherwise(made("unresolved"))
-    )
+
+    def made(kind: str, category: str | None = None, grams: float | None = None, targeted: Column | None = None) -> Column:
+        word = F.lit(None).cast("string") if targeted is None else targeted
+        return F.struct(F.lit(kind).alias("kind"), F.lit(category).cast("string").alias("category"), F.lit(grams).cast("double").alias("weight_grams"), word.alias("targeted"))
+
+    found = made("unresolved")
+    for pattern, unless, kind, category, grams in reversed(SCOPES):
+        fits = d.rlike(pattern) if unless is None else d.rlike(pattern) & ~d.rlike(unless)
+        found = F.when(fits, made(kind, category, grams)).otherwise(found)
+    words = [F.regexp_extract(d, f"({cue})", 1) for cue in UNSUPPORTED]
+    first = F.coalesce(*[F.when(w != "", w) for w in words])
+    return F.when(first.isNotNull(), made("unsupported-category", targeted=first)).otherwise(found)
 
 
 def layered_sale(description: Column) -> Column:

@@ -11,10 +11,37 @@ from .numbers import r2
 GRAMS_PER_OUNCE = 28.3495
 STANDARD_GRAMS = [0.35, 0.5, 0.7, 0.75, 0.8, 1, 1.2, 1.5, 2, 2.5, 3, 3.5, 4, 4.5, 5, 7, 10, 14, 28]
 SNAP_TOLERANCE = 0.02
-FILLER_WORDS = (
-    "flower preroll prerolls pre roll rolls vape vapes cartridge cartridges cart carts infused joint joints"
-    " disposable disp pk pack packs ct count oz ounce g gram grams mg by"
-).split()
+FILLER_WORDS = [
+    "flower",
+    "preroll",
+    "prerolls",
+    "pre",
+    "roll",
+    "rolls",
+    "vape",
+    "vapes",
+    "cartridge",
+    "cartridges",
+    "cart",
+    "carts",
+    "infused",
+    "joint",
+    "joints",
+    "disposable",
+    "disp",
+    "pk",
+    "pack",
+    "packs",
+    "ct",
+    "count",
+    "oz",
+    "ounce",
+    "g",
+    "gram",
+    "grams",
+    "mg",
+    "by",
+]
 WEIGHT_CATEGORIES = ["Flower", "Vaporizers", "Pre-Rolls", "Concentrate"]
 PRE_ROLLS = "Pre-Rolls"
 CONCENTRATE = "Concentrate"

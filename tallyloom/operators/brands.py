@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.products import brand_key
@@ -55,12 +55,20 @@ def availability(products: DataFrame) -> DataFrame:
 
 
 def cheapest_cells(best: DataFrame) -> DataFrame:
-    """best: brand_key, match_key, weight_grams, dispensary_id, price, name. Cells of two stores or more with all cheapest stores."""
-    cell = Window.partitionBy("brand_key", "match_key", "weight_grams")
-    seen = best.withColumn("low_price", F.min("price").over(cell))
-    grouped = seen.groupBy("brand_key", "match_key", "weight_grams", "low_price").agg(
-        F.count("*").alias("stores_carrying"),
-        F.sort_array(F.collect_list(F.when(F.col("price") == F.col("low_price"), F.col("dispensary_id")))).alias("cheapest_stores"),
-        F.min_by("name", F.struct("price", "dispensary_id")).alias("display_name"),
+    """best: brand_key, match_key, weight_grams, dispensary_id, price, name. Cells of two stores or more with all cheapest stores.
+
+    One grouping: the list of a cell holds one entry a store, and its lowest are read off it.
+    """
+    offers = F.sort_array(F.collect_list(F.struct("price", "dispensary_id", "name")))
+    cells = best.groupBy("brand_key", "match_key", "weight_grams").agg(offers.alias("_o")).where(F.size("_o") >= 2)
+    low = F.col("_o")[0]
+    cheapest = F.transform(F.filter("_o", lambda o: o["price"] == low["price"]), lambda o: o["dispensary_id"])
+    return cells.select(
+        "brand_key",
+        "match_key",
+        "weight_grams",
+        low["price"].alias("low_price"),
+        F.size("_o").cast("long").alias("stores_carrying"),
+        cheapest.alias("cheapest_stores"),
+        low["name"].alias("display_name"),
     )
-    return grouped.where("stores_carrying >= 2")

@@ -76,7 +76,11 @@ def offers(gated_records: DataFrame) -> DataFrame:
 
 
 def store_offers(found: DataFrame) -> DataFrame:
-    """The cheapest offer of each store in each cell of product and weight; ties by product id."""
+    """The cheapest offer of each store in each cell of product and weight; ties by product id.
+
+    Offers are dealt by cell at once, which serves the grouping by store and that by cell after it.
+    """
+    found = found.repartition("match_key", "weight_grams")
     best = F.min(F.struct("price", "product_id", "name", "category", "quantity_available"))
     return found.groupBy("match_key", "weight_grams", "dispensary_id").agg(best.alias("o")).select(
         "match_key", "weight_grams", "dispensary_id", "o.price", "o.name", "o.category", "o.quantity_available"
@@ -129,7 +133,7 @@ def flat_offers(cells: DataFrame) -> DataFrame:
 
 
 def rollup_by_category(cells: DataFrame) -> DataFrame:
-    """Count, mean relative gap and stores involved by category."""
+    """Count, mean relative gap and stores involved by category. cells are read twice: stage them."""
     flat = flat_offers(cells)
     stores = flat.groupBy("category").agg(F.countDistinct("dispensary_id").alias("distinct_stores"))
     sums = cells.groupBy("category").agg(F.count("*").alias("disparity_count"), r2(F.avg("spread_pct")).alias("avg_spread_pct"))

@@ -106,3 +106,13 @@ def kept_reference(old: DataFrame, new: DataFrame, key: str, value: str) -> Data
 def upsert_by_date(history: DataFrame, derived: DataFrame, date: str = "date") -> DataFrame:
     """History with the rows of derived dates replaced, in date order."""
     return history.join(derived.select(date).distinct(), date, "left_anti").unionByName(derived).orderBy(date)
+
+
+def histories(observations: DataFrame, products: DataFrame, keys: list[str], order: str, product: str) -> DataFrame:
+    """Observations with the identity of their product and their position in its history, from 1 in `order`.
+
+    products: one row per `product`; observations of unknown products are left out before they are sorted. A
+    task sorts the histories that fall to it and holds none whole.
+    """
+    known = observations.join(products, product)
+    return known.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))

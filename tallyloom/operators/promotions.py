@@ -11,7 +11,9 @@ from ..functions.products import EXCLUDED_FLAGS
 from ..functions.text import clean_description
 from .disparity import grams_of_option
 
-LINKABLE = ["Flower", "Vaporizers", "Pre-Rolls", "Concentrate"]
+#: Categories that a deal can cover. Edibles and concentrates are in no deal, the whole store's included.
+LINKABLE = ["Flower", "Vaporizers", "Pre-Rolls"]
+LINKED_KINDS = ["storewide", "category"]
 
 
 def usable_deals(deals: DataFrame) -> DataFrame:
@@ -24,6 +26,41 @@ def active_deals(deals: DataFrame, day: str, minute: int) -> DataFrame:
     return deals.where(deal_active(F.col("days_valid"), F.col("start_time"), F.col("end_time"), day, minute))
 
 
+def scoped_deals(deals: DataFrame) -> DataFrame:
+    """deal_id, dispensary_id, kind, category, weight_grams, targeted (the word that put a deal out of the catalog)."""
+    scoped = deals.select("deal_id", "dispensary_id", deal_scope(F.col("description")).alias("scope"))
+    return scoped.select("deal_id", "dispensary_id", "scope.*")
+
+
+def _goods(records: DataFrame) -> DataFrame:
+    """Priced products of the linkable categories, with what decides whether a scope covers them."""
+    priced = positive(price_of_record(F.col("special_price"), F.col("base_price")))
+    return records.where(priced & F.col("category").isin(LINKABLE)).select(
+        F.col("dispensary_id").alias("store"),
+        "product_id",
+        F.col("category").alias("product_category"),
+        grams_of_option(records).alias("grams"),
+        F.coalesce(F.arrays_overlap("flags", F.array(*[F.lit(f) for f in EXCLUDED_FLAGS])), F.lit(False)).alias("unsound"),
+    )
+
+
+def _covers() -> Column:
+    weighed = F.col("weight_grams").isNull() | (~F.col("unsound") & (F.col("grams") == F.col("weight_grams")))
+    return (F.col("kind") == "storewide") | ((F.col("kind") == "category") & (F.col("category") == F.col("product_category")) & weighed)
+
+
+def scope_products(deals: DataFrame, records: DataFrame) -> DataFrame:
+    """The products that each scope of a store covers: dispensary_id, kind, category, weight_grams, product_id.
+
+    Deals of a store that say the same share a scope, so this is the table of links without its repetitions:
+    scoped_deals joins to it on the first four columns. Flagged products are covered but where a weight is asked.
+    """
+    scopes = scoped_deals(deals).where(F.col("kind").isin(LINKED_KINDS)).select("dispensary_id", "kind", "category", "weight_grams").distinct()
+    goods = _goods(records)
+    met = scopes.join(goods, (scopes["dispensary_id"] == goods["store"]) & _covers())
+    return met.select("dispensary_id", "kind", "category", "weight_grams", "product_id")
+
+
 def deal_links(deals: DataFrame, records: DataFrame) -> DataFrame:
     """How many products each deal covers, with the deal's scope: deal_id, kind, linked.
 
@@ -34,28 +71,15 @@ def deal_links(deals: DataFrame, records: DataFrame) -> DataFrame:
     linkable categories, a category deal its category, a weighed one only sound products priced at that
     weight. Links say what is covered and never what is saved.
     """
-    scoped = deals.select("deal_id", "dispensary_id", deal_scope(F.col("description")).alias("scope")).select("deal_id", "dispensary_id", "scope.*")
-    priced = positive(price_of_record(F.col("special_price"), F.col("base_price")))
-    goods = (
-        records.where(priced & F.col("category").isin(LINKABLE))
-        .select(
-            F.col("dispensary_id").alias("store"),
-            F.col("category").alias("product_category"),
-            grams_of_option(records).alias("grams"),
-            F.coalesce(F.arrays_overlap("flags", F.array(*[F.lit(f) for f in EXCLUDED_FLAGS])), F.lit(False)).alias("unsound"),
-        )
-        .groupBy("store", "product_category", "grams", "unsound")
-        .agg(F.count("*").alias("_n"))
-    )
-    weighed = F.col("weight_grams").isNull() | (~F.col("unsound") & (F.col("grams") == F.col("weight_grams")))
-    covers = (F.col("kind") == "storewide") | ((F.col("kind") == "category") & (F.col("category") == F.col("product_category")) & weighed)
-    joined = scoped.join(goods, (scoped["dispensary_id"] == goods["store"]) & covers, "left")
+    scoped = scoped_deals(deals).drop("targeted")
+    goods = _goods(records).groupBy("store", "product_category", "grams", "unsound").agg(F.count("*").alias("_n"))
+    joined = scoped.join(goods, (scoped["dispensary_id"] == goods["store"]) & _covers(), "left")
     return joined.groupBy("deal_id", "dispensary_id", "kind", "category", "weight_grams").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("linked"))
 
 
 def link_counters(links: DataFrame) -> DataFrame:
     by = lambda kind: F.count_if(F.col("kind") == kind)
-    linkable = F.col("kind").isin("storewide", "category")
+    linkable = F.col("kind").isin(LINKED_KINDS)
     return links.agg(
         F.count("*").alias("total_deals"),
         by("storewide").alias("storewide_count"),

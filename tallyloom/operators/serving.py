@@ -108,3 +108,9 @@ def import_once(spark: SparkSession, products: DataFrame, keys: list[str], targe
     products.write.mode("overwrite").parquet(target)
     return spark.read.parquet(target).count()
 
+
+def carded_stores(deals: DataFrame, drops: DataFrame) -> DataFrame:
+    """Stores with a card for their deals, and those with drops alone, so that no drop is lost: dispensary_id, source."""
+    cards = deals.select("dispensary_id").distinct().withColumn("source", F.lit("deals"))
+    others = drops.select("dispensary_id").distinct().withColumn("source", F.lit("drops"))
+    return cards.unionByName(others.join(cards, "dispensary_id", "left_anti"))

@@ -81,9 +81,7 @@ def j12_region_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def j14_no_drop_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stores carded for their deals, and stores with drops that have no card."""
-    cards = adapter.deals(spark, sf_dir).where("deal_id % 5 = 0").select("dispensary_id").distinct().withColumn("source", F.lit("deals"))
-    drops = adapter.observations(spark, sf_dir).where("special").select("dispensary_id").distinct().withColumn("source", F.lit("drops"))
-    return cards.unionByName(drops.join(cards, "dispensary_id", "left_anti"))
+    return serving.carded_stores(adapter.deals(spark, sf_dir), adapter.observations(spark, sf_dir).where("special"))
 
 
 def m12_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,10 +189,11 @@ def dt5_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def src1_full_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Observations by product with identity, orphans left out: counts and span by product."""
-    o = adapter.observations(spark, sf_dir)
-    known = adapter.catalog(spark, sf_dir).where("partkey % 4 <> 0").select("partkey", "product_id")
-    return o.groupBy("dispensary_id", "partkey").agg(F.count("*").alias("observations"), F.max("obs_seq").alias("last_seq")).join(known, "partkey").drop("partkey")
+    """Every observation of every known product in order, with the product's identity; orphans are left out."""
+    o = adapter.observations(spark, sf_dir).withColumn("observed_at", F.col("observed_at").cast("string"))
+    known = adapter.catalog(spark, sf_dir).select("partkey", "product_id", "name", "category")
+    out = ingest.histories(o, known, ["dispensary_id", "partkey"], "obs_seq", "partkey")
+    return out.select("dispensary_id", "product_id", "name", "category", "position", "obs_seq", "observed_at", "base_price", "special_price", "quantity_available")
 
 
 def src7_api_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,7 +204,7 @@ def src7_api_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def src12_first_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = q._read(spark, sf_dir, "events").select("user_id", "event_id", F.get_json_object("props", "$.k").cast("int").alias("size"))
-    return payloads.first_nonempty(e.where("size % 3 = 0 or size = 0").withColumn("size", F.col("size") - 50), "user_id", "event_id", "size")
+    return payloads.first_nonempty(e.withColumn("size", F.col("size") - 50), "user_id", "event_id", "size")
 
 
 def src39_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,7 +305,7 @@ def s32_citation_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s33_badges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return serving.urgency_badges(adapter.deals(spark, sf_dir).where("deal_id % 6 = 0"), q.MINUTE)
+    return serving.urgency_badges(adapter.deals(spark, sf_dir), q.MINUTE)
 
 
 def js2_classifications(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ ORACLES = {
     "f37_priced_options": f"""WITH {RECORDS} SELECT category, count(*) FILTER (coalesce(special_price, base_price) > 0) AS priced,
         count(*) FILTER (coalesce(special_price, base_price) > 0 AND weight_grams = 28) AS priced_ounce FROM rec GROUP BY category""",
     "j12_region_status": f"""WITH RECURSIVE {PAIRS} SELECT cluster_id, count(*) FILTER (balance >= 2000) AS alive, bool_and(balance < 2000) AS all_stale FROM member JOIN place USING (dispensary_id) GROUP BY cluster_id""",
-    "j14_no_drop_lost": """WITH c AS (SELECT DISTINCT 's' || l_suppkey AS dispensary_id FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 5 = 0),
+    "j14_no_drop_lost": """WITH c AS (SELECT DISTINCT 's' || l_suppkey AS dispensary_id FROM lineitem),
         d AS (SELECT DISTINCT 's' || l_suppkey AS dispensary_id FROM lineitem WHERE l_discount >= 0.05::DOUBLE)
         SELECT dispensary_id, 'deals' AS source FROM c UNION ALL SELECT dispensary_id, 'drops' FROM d WHERE dispensary_id NOT IN (SELECT dispensary_id FROM c)""",
     "m12_uniform": """WITH a AS (SELECT p_partkey, (p_partkey + 1831565813) % 4294967296 AS a FROM part),
@@ -51,12 +51,12 @@ ORACLES = {
         SELECT event_id, CASE WHEN event_id % 3 = 0 AND t IS NOT NULL THEN ' Prices last observed as of ' || day || '; freshness currently unverified.'
             WHEN event_id % 3 = 0 THEN ' Freshness of these prices is currently unverified.' WHEN t IS NOT NULL THEN ' Prices observed as of ' || day || '.' ELSE '' END AS sentence,
           CASE WHEN t IS NULL THEN '' WHEN age <= 2 THEN 'fresh' ELSE 'stale' END AS fact, t IS NULL OR age > 14 AS artifact_stale FROM d""",
-    "src1_full_history": """SELECT 's' || l_suppkey AS dispensary_id, 'p' || l_partkey AS product_id, count(*) AS observations, max(l_orderkey * 8 + l_linenumber) AS last_seq
-        FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_partkey % 4 <> 0 GROUP BY l_suppkey, l_partkey""",
+    "src1_full_history": f"""WITH {RECORDS} SELECT dispensary_id, product_id, name, category, row_number() OVER (PARTITION BY dispensary_id, partkey ORDER BY seq) AS position,
+        seq AS obs_seq, strftime(observed_at, '%Y-%m-%d %H:%M:%S') AS observed_at, base_price, special_price, quantity AS quantity_available FROM obs JOIN cat USING (partkey)""",
     "src7_api_data": f"""WITH {DEALS}, {PLACES}, a AS (SELECT dispensary_id, count(*) AS n FROM deal WHERE {USABLE} AND {ACTIVE} GROUP BY 1)
         SELECT dispensary_id, coalesce(n, 0) AS active_deals FROM place LEFT JOIN a USING (dispensary_id)""",
     "src12_first_attempts": """WITH e AS (SELECT user_id, event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events),
-        f AS (SELECT user_id, event_id, k - 50 AS size, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM e WHERE k % 3 = 0 AND k > 50) SELECT user_id, event_id, size FROM f WHERE n = 1""",
+        f AS (SELECT user_id, event_id, k - 50 AS size, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM e WHERE k > 50) SELECT user_id, event_id, size FROM f WHERE n = 1""",
     "src39_reference": f"WITH {PLACES} SELECT dispensary_id, CASE WHEN balance > 0 AND balance < 8000 THEN balance / 1000 ELSE 4.5::DOUBLE END AS price FROM place",
     "src41_zip_places": "SELECT n_nationkey, CASE WHEN n_nationkey % 3 <> 1 THEN '98' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') END AS zip FROM nation",
     "src43_roster": f"WITH {PLACES} SELECT dispensary_id FROM place WHERE balance > 0 UNION SELECT 's' || l_suppkey FROM lineitem WHERE l_discount >= 0.05::DOUBLE",
@@ -77,7 +77,7 @@ ORACLES = {
     "f19_valid_drops": f"WITH {MEDIANS} SELECT dispensary_id, product_id, pct_vs_median FROM moved WHERE pct_vs_median < 0",
     "s32_citation_hits": f"""SELECT page_id AS answer_id, regexp_matches({HOST}, '(^|\\.)example\\.org$') AS cited, page_id % 2 = 0 AND NOT regexp_matches({HOST}, '(^|\\.)example\\.org$') AS named_only,
         CAST(2 AS INT) AS hosts FROM pages""",
-    "s33_badges": f"""WITH {DEALS}, b AS (SELECT dispensary_id, CASE WHEN type = 'happy_hour' AND w IN (1, 2, 3, 4) THEN deal_id END AS d, w FROM deal WHERE deal_id % 6 = 0)
+    "s33_badges": f"""WITH {DEALS}, b AS (SELECT dispensary_id, CASE WHEN type = 'happy_hour' AND w IN (1, 2, 3, 4) THEN deal_id END AS d, w FROM deal)
         SELECT dispensary_id, CASE WHEN count(d) = 0 THEN 'Active today' ELSE [NULL, '18:30', '1:00', '9:00', '15:00', NULL][any_value(w) + 1] END AS badge FROM b GROUP BY dispensary_id""",
     "js2_classifications": """WITH c AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, event_id % 5 <> 0 AS ok FROM events)
         SELECT event_id, CASE WHEN ok AND k % 9 BETWEEN 1 AND 6 THEN CAST(k % 9 AS INT) ELSE 0 END AS intent, CASE WHEN ok THEN floor(least(k / 50, 1) * 10000 + 0.5::DOUBLE) / 10000 ELSE 0 END AS confidence FROM c""",

@@ -124,11 +124,11 @@ moved AS (
 
 DEALS = """
 deal AS (
-  SELECT l_orderkey AS deal_id, 's' || l_suppkey AS dispensary_id, l_partkey % 10 AS phrase, CAST(floor(l_discount * 100 + 0.5::DOUBLE) AS INT) AS pct,
-    l_suppkey % 6 AS w, l_orderkey % 7 AS d, CASE WHEN l_orderkey % 4 = 0 THEN 'happy_hour' ELSE 'daily' END AS type,
+  SELECT l_orderkey * 8 + l_linenumber AS deal_id, 's' || l_suppkey AS dispensary_id, l_partkey % 10 AS phrase, CAST(floor(l_discount * 100 + 0.5::DOUBLE) AS INT) AS pct,
+    l_suppkey % 6 AS w, (l_orderkey + l_linenumber) % 7 AS d, CASE WHEN (l_orderkey + l_linenumber) % 4 = 0 THEN 'happy_hour' ELSE 'daily' END AS type,
     ['eighth of flower', 'pre-rolls 2 pack', 'vape carts', 'your cart storewide', 'live resin and shatter', 'edibles and drinks',
      'select brands', 'entire store', 'ounces over $100', 'something nice'][l_partkey % 10 + 1] AS words
-  FROM lineitem WHERE l_linenumber = 1)"""
+  FROM lineitem)"""
 
 CITES = """
 chk AS (
@@ -197,10 +197,17 @@ ORACLES = {
             WHEN 5 THEN 'unsupported-category' WHEN 6 THEN 'brand' WHEN 7 THEN 'storewide' WHEN 8 THEN 'category' ELSE 'unresolved' END AS kind,
           CASE phrase WHEN 0 THEN 'Flower' WHEN 1 THEN 'Pre-Rolls' WHEN 2 THEN 'Vaporizers' WHEN 8 THEN 'Flower' END AS category,
           CASE phrase WHEN 0 THEN 3.5::DOUBLE WHEN 8 THEN 28.0::DOUBLE END AS weight_grams FROM deal),
-        stock AS (SELECT dispensary_id, category AS c, weight_grams AS g, flagged, count(*) AS n FROM rec WHERE category <> 'Edible' AND coalesce(special_price, base_price) > 0 GROUP BY ALL)
+        stock AS (SELECT dispensary_id, category AS c, weight_grams AS g, flagged, count(*) AS n FROM rec WHERE category IN ('Flower', 'Vaporizers', 'Pre-Rolls') AND coalesce(special_price, base_price) > 0 GROUP BY ALL)
         SELECT s.deal_id, s.dispensary_id, s.kind, s.category, s.weight_grams, CAST(coalesce(sum(k.n), 0) AS BIGINT) AS linked
         FROM scope s LEFT JOIN stock k ON k.dispensary_id = s.dispensary_id AND (s.kind = 'storewide' OR s.kind = 'category' AND s.category = k.c
           AND (s.weight_grams IS NULL OR NOT k.flagged AND k.g = s.weight_grams)) GROUP BY s.deal_id, s.dispensary_id, s.kind, s.category, s.weight_grams""",
+    "d2_scope_products": f"""WITH {RECORDS}, {DEALS},
+        scope AS (SELECT DISTINCT dispensary_id, CASE WHEN phrase IN (3, 7) THEN 'storewide' ELSE 'category' END AS kind,
+            CASE phrase WHEN 0 THEN 'Flower' WHEN 1 THEN 'Pre-Rolls' WHEN 2 THEN 'Vaporizers' WHEN 8 THEN 'Flower' END AS category,
+            CASE phrase WHEN 0 THEN 3.5::DOUBLE WHEN 8 THEN 28.0::DOUBLE END AS weight_grams FROM deal WHERE phrase IN (0, 1, 2, 3, 7, 8)),
+        priced AS (SELECT dispensary_id, product_id, category AS c, weight_grams AS g, flagged FROM rec WHERE coalesce(special_price, base_price) > 0 AND category IN ('Flower', 'Vaporizers', 'Pre-Rolls'))
+        SELECT s.*, p.product_id FROM scope s JOIN priced p ON p.dispensary_id = s.dispensary_id
+          AND (s.kind = 'storewide' OR p.c = s.category AND (s.weight_grams IS NULL OR p.g = s.weight_grams AND NOT p.flagged))""",
     "d3_extraction_health": f"WITH {EVENTS}, {HEALTH.format(day='2024-01-30', extra=' UNION SELECT chr(118) || chr(45) || chr(110) || chr(111) || chr(110) || chr(101)')} SELECT * FROM status",
     "d4_special_states": f"""WITH {EVENTS}, last AS (SELECT dispensary_id, product_id, day, arg_max(special, seq) AS v FROM ev WHERE day <= DATE '2024-01-30' GROUP BY ALL),
         two AS (SELECT dispensary_id, product_id, max(v) FILTER (day = DATE '2024-01-30') AS now, arg_max(v, day) FILTER (day < DATE '2024-01-30') AS before FROM last GROUP BY ALL)
@@ -301,7 +308,7 @@ ORACLES = {
         SELECT doc_id, CASE WHEN regexp_matches(s, '(?i)\b(?:cure|cures|heals|healing|relieves pain|pain relief|treats anxiety|medical benefit|therapeutic|medicinal|kid|kids|cartoon)\b') THEN ''
           WHEN length(s) <= 160 THEN s WHEN w <> '' THEN rtrim(w) ELSE rtrim(h) END AS description FROM b""",
     "s12_deal_scope": f"""WITH {DEALS} SELECT deal_id, ['category', 'category', 'category', 'storewide', 'unresolved', 'unsupported-category', 'brand', 'storewide', 'category', 'unresolved'][phrase + 1] AS kind,
-        ['Flower', 'Pre-Rolls', 'Vaporizers', NULL, NULL, NULL, NULL, NULL, 'Flower', NULL][phrase + 1] AS category, CASE phrase WHEN 0 THEN 3.5::DOUBLE WHEN 8 THEN 28.0::DOUBLE END AS weight_grams FROM deal""",
+        ['Flower', 'Pre-Rolls', 'Vaporizers', NULL, NULL, NULL, NULL, NULL, 'Flower', NULL][phrase + 1] AS category, CASE phrase WHEN 0 THEN 3.5::DOUBLE WHEN 8 THEN 28.0::DOUBLE END AS weight_grams, CASE WHEN phrase = 5 THEN 'edibles' END AS targeted FROM deal""",
     "s13_deal_icons": f"""WITH {DEALS} SELECT deal_id, ['bud', 'joint-double', 'vape', 'store-wide', 'shatter', 'edible,drink', 'special-pricing', 'store-wide', 'bud', 'special-pricing'][phrase + 1] AS icons,
         ['bud', 'joint-single', 'vape', 'store-wide', 'shatter', 'edible,drink', 'special-pricing', 'store-wide', 'bud', 'special-pricing'][phrase + 1] AS categories FROM deal""",
     "s16_deal_titles": f"WITH {DEALS} SELECT deal_id, words AS title FROM deal",

@@ -15,7 +15,7 @@ from ..functions import text as ft
 from ..operators import brands, disparity, freshness, ingest, outreach, promotions, regions, series
 from ..sources import adapter, payloads
 from ..streaming import jobs
-from .staging import shared_dir
+from .staging import shared_dir, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,7 +35,8 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return disparity.gated(adapter.latest_records(spark, sf_dir), TODAY, LAG)
+    """Latest records with their gates. They are staged, as the anchor day is read off them too: observations are scanned once."""
+    return disparity.gated(staged(adapter.latest_records(spark, sf_dir), "records"), TODAY, LAG)
 
 
 def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +44,8 @@ def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return disparity.disparities(_best(spark, sf_dir))
+    """Cells staged, as most facts read them more than once."""
+    return staged(disparity.disparities(_best(spark, sf_dir)), "cells")
 
 
 def d1_disparities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +54,7 @@ def d1_disparities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d1_gate_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gated = _gated(spark, sf_dir)
+    gated = staged(_gated(spark, sf_dir), "gated")
     return disparity.gate_counters(gated, disparity.offers(gated))
 
 
@@ -64,6 +66,10 @@ def d2_deal_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return promotions.deal_links(adapter.deals(spark, sf_dir), adapter.latest_records(spark, sf_dir))
 
 
+def d2_scope_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return promotions.scope_products(adapter.deals(spark, sf_dir), adapter.latest_records(spark, sf_dir))
+
+
 def d2_link_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return promotions.link_counters(d2_deal_links(spark, sf_dir))
 
@@ -124,6 +130,7 @@ def d7_brand_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
 def d7_cheapest_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = _brand_offers(spark, sf_dir).withColumn("brand_key", fp.brand_key(F.col("brand"))).where("brand_key is not null")
     best = F.min(F.struct("price", "product_id", "name"))
+    keyed = keyed.repartition("brand_key", "match_key", "weight_grams")  # serves both groupings
     per_store = keyed.groupBy("brand_key", "match_key", "weight_grams", "dispensary_id").agg(best.alias("o")).select(
         "brand_key", "match_key", "weight_grams", "dispensary_id", "o.price", "o.name"
     )

@@ -89,11 +89,12 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (store, product): identity and its latest observation by insertion order.
 
-    The latest row is a partial aggregate, so a product's history is never gathered; identity joins after.
+    The latest row is a partial aggregate, so a product's history is never gathered; identity joins after. Each
+    column is picked by itself: buffers of fixed width allow a hash aggregate, where a struct would need a sort.
     """
-    fields = ["obs_seq", "observed_at", "base_price", "quantity_available", "special", "special_price"]
-    latest = observations(spark, sf_dir).groupBy("dispensary_id", "partkey").agg(F.max(F.struct(*fields)).alias("o"))
-    return latest.select("dispensary_id", "partkey", "o.*").join(catalog(spark, sf_dir), "partkey").drop("partkey", "obs_seq")
+    fields = ["observed_at", "base_price", "quantity_available", "special", "special_price"]
+    latest = observations(spark, sf_dir).groupBy("dispensary_id", "partkey").agg(*[F.max_by(c, "obs_seq").alias(c) for c in fields])
+    return latest.join(catalog(spark, sf_dir), "partkey").drop("partkey")
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,22 +129,23 @@ WINDOWS = [(None, None), ("09:00", "11:30"), ("16:00", "18:00"), ("22:00", "02:0
 
 
 def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deals made from line items of the first line number: text, days, window, kind and percentage."""
-    li = _table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    """One deal per line item: text, days, window, kind and percentage."""
+    li = _table(spark, sf_dir, "lineitem")
+    n = F.col("l_orderkey") + F.col("l_linenumber")
     phrase = F.get(F.array(*[F.lit(p) for p in PHRASES]), (F.col("l_partkey") % len(PHRASES)).cast("int"))
     pct = (F.floor(F.col("l_discount") * 100 + 0.5)).cast("int")
     w = (F.col("l_suppkey") % len(WINDOWS)).cast("int")
     days = ["monday", "tuesday", "friday", "saturday", "sunday", "everyday", "someday"]
     kth = lambda values, k: F.get(F.array(*[F.lit(v).cast("string") for v in values]), k)
     return li.select(
-        F.col("l_orderkey").alias("deal_id"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("deal_id"),
         F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dispensary_id"),
-        F.when(F.col("l_orderkey") % 4 == 0, "happy_hour").otherwise("daily").alias("type"),
+        F.when(n % 4 == 0, "happy_hour").otherwise("daily").alias("type"),
         F.concat(pct.cast("string"), F.lit("% off "), phrase).alias("description"),
         pct.alias("discount_pct"),
         kth([a for a, _ in WINDOWS], w).alias("start_time"),
         kth([b for _, b in WINDOWS], w).alias("end_time"),
-        F.array(kth(days, (F.col("l_orderkey") % 7).cast("int"))).alias("days_valid"),
+        F.array(kth(days, (n % 7).cast("int"))).alias("days_valid"),
     )
 
 
