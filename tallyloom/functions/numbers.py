@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ EARTH_RADIUS_MILES = 3958.8
 ROAD_FACTOR = 1.3
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row however often use names it, inside lambdas too."""
+    return F.transform(F.array(value), use)[0]
+
+
 def round_half_up(x: Column, digits: int) -> Column:
     """floor(x * 10^k + 0.5) / 10^k: halves go up, toward positive infinity."""
     scale = float(10**digits)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numbers import r2
+from .numbers import let, r2
 
 # Weights, words and categories that results depend on.
 GRAMS_PER_OUNCE = 28.3495
@@ -70,13 +70,14 @@ def grams_of(label: Column) -> Column:
 
 def canonical_grams(label: Column) -> Column:
     """Grams snapped to the nearest standard weight within two percent, else to the cent; null if none remain."""
-    grams = grams_of(label)
     standards = F.array(*[F.lit(float(s)) for s in STANDARD_GRAMS])
-    near = F.transform(
-        standards, lambda s, i: F.struct((F.abs(grams - s) / s).alias("delta"), (-i).alias("later"), s.alias("standard"))
-    )
-    close = F.filter(near, lambda c: c["delta"] <= SNAP_TOLERANCE)
-    return F.when(grams > 0, F.coalesce(F.array_min(close)["standard"], F.nullif(r2(grams), F.lit(0.0))))
+
+    def snapped(grams: Column) -> Column:
+        near = F.transform(standards, lambda s, i: F.struct((F.abs(grams - s) / s).alias("delta"), (-i).alias("later"), s.alias("standard")))
+        close = F.filter(near, lambda c: c["delta"] <= SNAP_TOLERANCE)
+        return F.when(grams > 0, F.coalesce(F.array_min(close)["standard"], F.nullif(r2(grams), F.lit(0.0))))
+
+    return let(grams_of(label), snapped)
 
 
 def plain_words(s: Column) -> Column:
@@ -99,18 +100,21 @@ def without_measurements(name: Column) -> Column:
 def name_words(name: Column, brand: Column) -> Column:
     """Distinctive words of a name, sorted, repeats kept, without the brand's words and filler."""
     words = F.split(plain_words(without_measurements(name)), " ")
-    brand_words = F.split(plain_words(brand), " ")
-    filler = F.array(*[F.lit(w) for w in FILLER_WORDS])
-    kept = F.filter(words, lambda w: (w != "") & ~F.array_contains(brand_words, w) & ~F.array_contains(filler, w))
-    return F.array_join(F.array_sort(kept), " ")
+    filler = F.array(*[F.lit(w) for w in ["", *FILLER_WORDS]])
+    dropped = F.concat(F.split(plain_words(brand), " "), filler)
+    kept = let(dropped, lambda d: F.filter(words, lambda w: ~F.array_contains(d, w)))
+    return F.array_join(F.sort_array(kept), " ")
 
 
 def match_key(name: Column, brand: Column, strain_type: Column, category: Column, subcategory: Column) -> Column:
     """Weight-free identity; null where neither brand nor name says anything. The form counts for concentrates alone."""
-    words = name_words(name, brand)
-    parts = F.concat_ws("|", plain_words(brand), words, plain_words(strain_type), plain_words(category))
-    key = F.when(category == CONCENTRATE, F.concat_ws("|", parts, plain_words(subcategory))).otherwise(parts)
-    return F.when((plain_words(brand) != "") | (words != ""), key)
+
+    def keyed(own: Column) -> Column:
+        parts = F.concat_ws("|", own["brand"], own["words"], plain_words(strain_type), plain_words(category))
+        key = F.when(category == CONCENTRATE, F.concat_ws("|", parts, plain_words(subcategory))).otherwise(parts)
+        return F.when((own["brand"] != "") | (own["words"] != ""), key)
+
+    return let(F.struct(plain_words(brand).alias("brand"), name_words(name, brand).alias("words")), keyed)
 
 
 def brand_key(brand: Column) -> Column:
