@@ -1,14 +1,17 @@
 """SpotSigs fingerprints: chains of content words that follow common-word anchors.
 
-At each anchor the next few content words form a chain; a text's fingerprint is the set of hashes of
-its (anchor, chain) pairs. Likeness is the Jaccard measure of two sets. Near-duplicate search deals the
-sets by length, since sets of too different length cannot be alike, and compares only sets that share
-one of their rarest signatures.
+At each anchor the next few content words form a chain; a text's fingerprint is the set of 64-bit hashes of
+its (anchor, chain) pairs. Likeness is the Jaccard measure of two sets. Near-duplicate search partitions the
+sets by length, since sets of too different length cannot be alike; sets of a partition and the next one meet
+by their first signatures in a fixed order (prefix filtering), and are compared by pruned Jaccard: only within
+the lengths that can be alike, and only with sets that share one of those first signatures. Links come back as
+forests, so groups of any size yield no pairs.
 
 Defined cases: a null text counts as empty; a text without a full chain has one signature of its whole
 word sequence, or none if it has no words; two empty sets are alike (1.0), an empty and another not
-(0.0); equal texts have equal fingerprints; repeated doc_ids follow each other in the order of their
-texts; the only document is its own next.
+(0.0), and sets without signatures are in no class with others; equal texts have equal fingerprints; repeated
+doc_ids follow each other in the order of their texts and share the smallest of their classes; a null doc_id has
+no class; the only document is its own next. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,16 +19,23 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, whole_text
+from .common import connected_components, lookup_by_group, stage, tiles, unstage, whole_text
+from .near_text import frequent_shingles, prefix
 
 CHAIN = 3
+LEAST = 0.8
+CAP = 1024
+RANGE_BYTES = 128 << 20
 WORD = re.compile(r"\w+")
 #: Anchors (first line of each language) and further common words, none of which can be part of a chain.
 ANCHORS = frozenset(
@@ -53,7 +63,7 @@ def signatures(text: str, chain: int = CHAIN) -> frozenset[int]:
         else:
             content.append(word)
     full = len(content) - chain
-    digest = xxhash.xxh32_intdigest
+    digest = xxhash.xxh64_intdigest
     found = frozenset([digest(" ".join([a, *content[k : k + chain]])) for a, k in spots if k <= full])
     if found:
         return found
@@ -73,8 +83,8 @@ def likeness(a: frozenset[int], b: frozenset[int], least: float = 0.0) -> float:
 
 
 def fingerprint(found: frozenset[int]) -> str:
-    """The signatures in order, eight hex digits each."""
-    return "".join(["%08x" % s for s in sorted(found)])
+    """The signatures in order, sixteen hex digits each."""
+    return "".join(["%016x" % s for s in sorted(found)])
 
 
 def next_ranges(documents: DataFrame, ranges: int) -> tuple[list[int], dict[int, list[int]]]:
@@ -108,17 +118,28 @@ def _range(column: Column, cuts: list[int]) -> Column:
 
 SCHEMA = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string,"
-    " near_edited double, near_next double"
+    " near_edited double, near_next double, class_id long"
 )
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
-TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
 FLUSH = 256
+CLASS, OWN, FOREIGN = 0, 1, 2  # kinds of rows dealt to a range
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, as they are shuffled."""
+    packer = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        texts = [packer.compress(t.as_py().encode("utf-8", "surrogatepass")) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["doc_id", "packed"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (range, foreign, doc_id, text), by range: own rows in descending doc_id, then the foreign next document."""
+    """Rows (range, kind, doc_id, packed, class) by range: own rows in descending doc_id, each after the row of its class, then the foreign next document."""
     out: list[tuple] = []
-    last = None  # range, doc_id, text, signatures of the row that waits for its next document
+    last = None  # range, doc_id, text, signatures, class of the row that waits for its next document
+    label = None  # range, doc_id and class of the last class row
+    unpacker = zstandard.ZstdDecompressor()
 
     def emit() -> pa.RecordBatch:
         batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), TYPES)], NAMES)
@@ -126,41 +147,51 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batch
 
     for batch in batches:
-        r, foreign, ids, texts = batch.columns
+        r, kind, ids, packed, classes = batch.columns
         for k in range(len(batch)):
-            now = (r[k].as_py(), ids[k].as_py(), texts[k].as_py())
-            mine = signatures(now[2])
-            if last is not None and last[0] == now[0]:
-                _, doc_id, text, own = last
-                half = len(text) // 2
-                edited = text[: len(text) - half] + now[2][:half]
+            at, what, doc_id = r[k].as_py(), kind[k].as_py(), ids[k].as_py()
+            if what == CLASS:
+                label = (at, doc_id, classes[k].as_py())
+                continue
+            text = unpacker.decompress(packed[k].as_py()).decode("utf-8", "surrogatepass")
+            mine = signatures(text)
+            if last is not None and last[0] == at:
+                _, before, whole, own, group = last
+                half = len(whole) // 2
+                edited = whole[: len(whole) - half] + text[:half]
                 changed = signatures(edited)
                 digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-                out.append((doc_id, len(text), digest, fingerprint(own), fingerprint(changed), likeness(own, changed), likeness(own, mine)))
+                out.append((before, len(whole), digest, fingerprint(own), fingerprint(changed), likeness(own, changed), likeness(own, mine), group))
                 if len(out) >= FLUSH:
                     yield emit()
-            last = None if foreign[k].as_py() else (*now, mine)
+            group = label[2] if label is not None and label[:2] == (at, doc_id) else doc_id
+            last = None if what == FOREIGN else (at, doc_id, text, mine, group)
     if out:
         yield emit()
 
 
 def edited_fingerprints(documents: DataFrame, ranges: int | None = None) -> DataFrame:
-    """Every document against its text edited with the next one's beginning, and against the next one.
+    """Every document against its text edited with the next one's beginning, against the next one, and its class among all.
 
-    Documents are dealt by ranges of doc_id, so that neighbours meet in one task; the first document
-    of a range also goes, marked, to the range before it.
+    Documents are dealt by ranges of doc_id, so that neighbours meet in one task; the first document of a range also
+    goes, marked, to the range before it. Classes of more than one document (see near_classes) go to the ranges as
+    rows of their own, so texts are shuffled once.
     """
     spark = documents.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts, wanted = next_ranges(documents, ranges or 2 * parts)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    own = F.struct(_range(F.col("doc_id"), cuts).alias("r"), F.lit(False).alias("foreign"))
+    size = documents.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0] if ranges is None else 0
+    cuts, wanted = next_ranges(documents, ranges or max(2 * parts, size // RANGE_BYTES))
+    classes = near_classes(documents)
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(_packed, "doc_id long, packed binary")
+    own = F.struct(_range(F.col("doc_id"), cuts).alias("r"), F.lit(OWN).alias("kind"))
     needs = spark.createDataFrame(list(wanted.items()), "doc_id long, extra array<int>")  # at most `ranges` rows
-    copies = F.transform(F.coalesce("extra", F.array().cast("array<int>")), lambda n: F.struct(n.alias("r"), F.lit(True).alias("foreign")))
+    copies = F.transform(F.coalesce("extra", F.array().cast("array<int>")), lambda n: F.struct(n.alias("r"), F.lit(FOREIGN).alias("kind")))
     joined = rows.join(F.broadcast(needs), "doc_id", "left")
-    dealt = joined.select(F.explode(F.concat(F.array(own), copies)).alias("to"), "doc_id", "text").select("to.r", "to.foreign", "doc_id", "text")
-    order = ["r", F.col("foreign"), F.col("doc_id").desc_nulls_last(), "text"]
-    return dealt.repartition("r").sortWithinPartitions(*order).mapInArrow(_compare, SCHEMA)
+    none = lambda kind: F.lit(None).cast(kind)
+    dealt = joined.select(F.explode(F.concat(F.array(own), copies)).alias("to"), "doc_id", "packed").select("to.r", "to.kind", "doc_id", "packed", none("long").alias("class_id"))
+    told = classes.where("doc_id <> class_id").select(_range(F.col("doc_id"), cuts).alias("r"), F.lit(CLASS).alias("kind"), "doc_id", none("binary").alias("packed"), "class_id")
+    order = ["r", F.col("kind") == FOREIGN, F.col("doc_id").desc_nulls_last(), "kind", "packed"]
+    return dealt.unionByName(told).repartition("r").sortWithinPartitions(*order).mapInArrow(_compare, SCHEMA)
 
 
 def spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,31 +200,110 @@ def spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [sorted(signatures(t.as_py())) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "sigs"])
+        found = [np.array(sorted(signatures(t.as_py())), np.uint64).view(np.int64) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "shingles"])
+
 
+def _key_rows(frequent: np.ndarray, least: float):
+    """Each set's size, a hash of the whole, and its first signatures in the order of keys."""
 
-def near_pairs(documents: DataFrame, least: float = 0.8) -> DataFrame:
-    """(a, b, likeness) between representatives of equal sets, a < b, likeness >= least. Exact.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.sort(np.array(list(signatures(t.as_py())), np.uint64).view(np.int64)) for t in batch.column(1)]
+            prints = pa.array([hashlib.sha256(f.tobytes()).digest()[:16] for f in found], pa.binary())
+            keys = pa.array([prefix(f, frequent, least) for f in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), prints, pa.array(map(len, found), pa.int32()), keys], ["id", "print", "n", "keys"])
 
-    A set is found by its 'prefix': its rarest signatures, so many that two alike sets must share one.
-    Sets meet by (signature, length class) where classes are a factor 1 / least apart, in their own and
-    the next class; the exact measure follows.
+    return run
+
+
+def pruned_links(sets: list[np.ndarray], least: float) -> list[int]:
+    """For each of sets sorted by length the first one tied to it by likeness of `least` or more.
+
+    A set meets those before it that are long enough and share one of its first signatures in the order of
+    the hashes, through an index of signatures; sets already tied are not compared again.
+    """
+    root = list(range(len(sets)))
+    sizes = [len(s) for s in sets]
+    index: dict[int, list[int]] = {}
+    whole = [frozenset(s.tolist()) for s in sets]
+    none = np.zeros(0, np.int64)
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, own in enumerate(sets):
+        low = bisect_left(sizes, math.ceil(sizes[i] * least - 1e-9))
+        met: set[int] = set()
+        for signature in prefix(np.sort(own), none, least).tolist():
+            posted = index.setdefault(signature, [])
+            met.update(posted[bisect_left(posted, low) :])
+            posted.append(i)
+        for j in sorted(met):
+            a, b = top(i), top(j)
+            if a != b:
+                both = len(whole[i] & whole[j])
+                if both >= least * (sizes[i] + sizes[j] - both) - 1e-9:
+                    root[max(a, b)] = min(a, b)
+    return [top(i) for i in range(len(sets))]
+
+
+def _tied(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, seen = None, [], set()
+
+        def links() -> pa.RecordBatch:
+            held.sort(key=lambda h: (len(h[1]), h[0]))
+            root = pruned_links([h[1] for h in held], least)
+            pairs = [(held[k][0], held[r][0]) for k, r in enumerate(root) if held[k][0] != held[r][0]]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*pairs) if pairs else ((), ()))], ["a", "b"])
+
+        for batch in batches:
+            tile, doc_id, sigs = batch.columns
+            for k in range(len(batch)):
+                if tile[k].as_py() != now:
+                    if len(held) > 1:
+                        yield links()
+                    now, held, seen = tile[k].as_py(), [], set()
+                own = (doc_id[k].as_py(), sigs[k].values.to_numpy(zero_copy_only=False))
+                same = (own[0], hash(own[1].tobytes()))
+                if same not in seen:  # a repeated row
+                    seen.add(same)
+                    held.append(own)
+        if len(held) > 1:
+            yield links()
+
+    return run
+
+
+def near_classes(documents: DataFrame, least: float = LEAST) -> DataFrame:
+    """(doc_id, class_id) of the documents that have an id: the smallest doc_id reachable over likenesses of `least` or more. Exact.
+
+    Of equal sets one is compared. Partitions by length are a factor 1 / least wide, so alike sets are in the same
+    or in adjoining ones: each set is in its own partition and visits the next.
     """
-    rows = documents.select(F.col("doc_id").cast("long"), whole_text().alias("text")).where("doc_id is not null")
-    sets = rows.mapInArrow(_sets, "doc_id long, sigs array<long>").where("size(sigs) > 0")
-    sets = stage(sets.groupBy("sigs").agg(F.min("doc_id").alias("id")), "sets")
-    each = sets.select("id", F.size("sigs").alias("n"), F.explode("sigs").alias("sig"))
-    rare = each.groupBy("sig").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = each.join(rare, "sig", "left").select("id", "n", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "sig").alias("s"))
-    prefix = F.col("n") - F.ceil(F.col("n") * least) + 1
-    short = ranked.groupBy("id", "n").agg(F.sort_array(F.collect_list("s")).alias("s")).select("id", "n", F.slice("s", F.lit(1), prefix.cast("int")).alias("s"))
-    keys = stage(short.select("id", "n", F.explode("s.sig").alias("sig"), F.floor(F.log("n") / -F.log(F.lit(least))).alias("class")), "prefixes")
-    left = keys.select(F.col("id").alias("a"), F.col("n").alias("na"), "sig", F.explode(F.array("class", F.col("class") + 1)).alias("class"))
-    right = keys.select(F.col("id").alias("b"), F.col("n").alias("nb"), "sig", "class")
-    met = left.join(right, ["sig", "class"]).where((F.col("na") <= F.col("nb")) & (F.col("na") >= least * F.col("nb")) & (F.col("a") != F.col("b")))
-    pairs = met.where("na < nb or a < b").select("a", "b").distinct()
-    sized = pairs.join(sets.select(F.col("id").alias("a"), F.col("sigs").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("sigs").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    found = sized.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (both / (F.size("x") + F.size("y") - both)).alias("likeness"))
-    return found.where(F.col("likeness") >= least)
+    rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), whole_text().alias("text"))
+    schema = "id long, print binary, n int, keys array<long>"
+    slim = rows.mapInArrow(_key_rows(frequent_shingles(rows, _sets), least), schema).withColumn("row", F.monotonically_increasing_id())
+    made = stage(slim, "keys")
+    equal = made.groupBy("print").agg(F.min("id").alias("low"), F.min_by("row", "id").alias("row"), F.count("*").alias("size"))
+    equal = stage(equal, "equal")
+    part = F.floor(F.log(F.col("n").cast("double")) / -math.log(least) + 1e-9)
+    each = made.where("n > 0").select("row", part.alias("p"), F.explode("keys").alias("sig")).select("row", F.explode(F.array("p", F.col("p") + 1)).alias("part"), "sig")
+    keyed = each.select("row", F.xxhash64("sig", "part").alias("key")).join(equal.select("row", F.col("low").alias("id")), "row").select("id", "key")
+    counted = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("who"), F.min("id").alias("low"))
+    # of keys with the same members one is enough
+    shared = stage(counted.where("n > 1").groupBy("who", "n", "low").agg(F.min("key").alias("key")).select("key"), "shared")
+    met = stage(keyed.join(shared, "key"), "met")
+    sets = rows.mapInArrow(_sets, "id long, sigs array<long>")
+    dealt = tiles(met, "key", "id", CAP).select("tile", "id").join(sets, "id").select("tile", "id", "sigs")
+    found = connected_components(dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tied(least), "a long, b long"))
+    labels = equal.join(found, equal["low"] == found["node"], "left").select("print", "size", F.coalesce("component", "low").alias("class_id"))
+    out = lookup_by_group(made.select("id", "print"), stage(labels, "labels"), "print", "size")
+    classes = stage(out.groupBy(F.col("id").alias("doc_id")).agg(F.min("class_id").alias("class_id")), "classes")
+    for table in (made, equal, shared, met):
+        unstage(table)
+    return classes

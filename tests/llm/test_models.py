@@ -2,7 +2,8 @@ import hashlib
 import random
 
 import numpy as np
-from helpers import DOCUMENTS, documents
+import pytest
+from helpers import DOCUMENTS, documents, groups
 from pyspark.sql import functions as F
 
 from tallyloom.llm import mixing, quality, spotsigs
@@ -31,8 +32,11 @@ def test_edited_fingerprints(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in zip(ids, texts)], DOCUMENTS)
     want = brute_spotsigs({i: t or "" for i, t in zip(ids, texts)})
     for ranges in (1, 7, 400):
-        got = {r.doc_id: tuple(r)[1:] for r in spotsigs.edited_fingerprints(docs, ranges).collect()}
-        assert got == want, ranges
+        rows = spotsigs.edited_fingerprints(docs, ranges).collect()
+        assert {r.doc_id: tuple(r)[1:7] for r in rows} == want, ranges
+        sets = {i: spotsigs.signatures(t or "") for i, t in zip(ids, texts)}
+        classes = groups(sorted(sets), lambda a, b: bool(sets[a]) and spotsigs.likeness(sets[a], sets[b]) >= spotsigs.LEAST or sets[a] == sets[b])
+        assert {r.doc_id: r.class_id for r in rows} == classes
 
 
 def test_spotsigs_small(spark):
@@ -40,7 +44,11 @@ def test_spotsigs_small(spark):
     one = spotsigs.edited_fingerprints(documents(spark, ["the big red house fell"])).first()
     assert one.near_next == 1.0 and one.n_chars == 22
     rows = [(1, "b", "", "", 0), (1, "a", "", "", 0), (None, "c", "", "", 0)]
-    assert spotsigs.edited_fingerprints(spark.createDataFrame(rows, DOCUMENTS)).count() == 3
+    got = spotsigs.edited_fingerprints(spark.createDataFrame(rows, DOCUMENTS)).collect()
+    assert len(got) == 3 and {(r.doc_id, r.class_id) for r in got} == {(1, 1), (None, None)}
+    same = [(k % 2, "the big red house fell and a small one stood", "", "", 0) for k in range(400)]
+    got = spotsigs.edited_fingerprints(spark.createDataFrame(same, DOCUMENTS)).collect()
+    assert len(got) == 400 and {r.class_id for r in got} == {0}
 
 
 def test_signatures():
@@ -50,18 +58,18 @@ def test_signatures():
     assert spotsigs.likeness(frozenset(), frozenset()) == 1.0 and spotsigs.likeness(frozenset([1]), frozenset()) == 0.0
 
 
-def test_near_pairs(spark):
+@pytest.mark.parametrize("cap", [1024, 6])
+def test_near_classes_against_brute_force(spark, cap, monkeypatch):
+    monkeypatch.setattr(spotsigs, "CAP", cap)
     rng = random.Random(6)
     base = [[rng.choice(["the", "of", "a"]) if rng.random() < 0.3 else f"w{rng.randrange(500)}" for _ in range(rng.randrange(20, 200))] for _ in range(25)]
-    texts = ["", None] + [" ".join(b) for b in base] + [" ".join([*b[:-1], "zz"]) for b in base] + [" ".join(b[: len(b) // 2]) for b in base] + [" ".join(base[0])]
-    sets = {}
-    for k, t in enumerate(texts):
-        s = spotsigs.signatures(t or "")
-        if s:
-            sets.setdefault(s, k)
-    want = {(min(i, j), max(i, j)) for s, i in sets.items() for t, j in sets.items() if i < j and spotsigs.likeness(s, t) >= 0.8}
-    got = {(r.a, r.b) for r in spotsigs.near_pairs(documents(spark, texts), 0.8).collect()}
-    assert got == want and want
+    texts = ["", None, ""] + [" ".join(b) for b in base] + [" ".join([*b[:-1], "zz"]) for b in base] + [" ".join(b[: len(b) * 9 // 10]) for b in base] + [" ".join(base[0])] * 3
+    for least in (0.8, 0.55):
+        sets = [spotsigs.signatures(t or "") for t in texts]
+        want = groups(range(len(texts)), lambda a, b: sets[a] == sets[b] or bool(sets[a] and sets[b]) and spotsigs.likeness(sets[a], sets[b]) >= least)
+        got = {r.doc_id: r.class_id for r in spotsigs.near_classes(documents(spark, texts), least).collect()}
+        assert got == want
+        assert 25 < len(set(want.values())) < len(texts) - 20
 
 
 def test_no_row_is_lost_without_a_target(spark):
