@@ -7,7 +7,7 @@ unless one of its members is explicitly allowed.
 
 Defined cases: a null URL or one without :// has an empty host and path and fits no rule; pages without
 aliases and rules are allowed; edges to URLs that are no pages count, as those URLs are judged by the
-rules too; repeated rows are judged alike; null html has no edges. Other columns are ignored.
+rules too; repeated rows are judged alike; null html has no edges, nor have links inside comments. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -91,7 +91,9 @@ def page_edges(pages: DataFrame) -> DataFrame:
     attribute = r"(?is)\b%s\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
     tags = F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
     first_base = F.regexp_extract("html", r"(?is)<base\b[^>]*\bhref\b[^>]*>", 0)
-    tag = pages.where(F.col("html").rlike("(?i)canonical|refresh")).select("url", first_base.alias("base"), F.explode(tags).alias("t"))
+    seen = F.regexp_replace("html", r"(?s)<!--.*?(?:-->|\z)", "")  # what stands in a comment is no link
+    named = pages.where(F.col("html").rlike("(?i)canonical|refresh")).select("url", seen.alias("html"))
+    tag = named.select("url", first_base.alias("base"), F.explode(tags).alias("t"))
     tag = stage(tag.where(F.col("t").rlike("(?i)canonical|refresh")), "tags")
 
     def value(name: str, of: str = "t") -> Column:
@@ -164,7 +166,7 @@ def _attribute(name: str) -> str:
 
 
 URL_FILTER_SQL = f"""
-WITH RECURSIVE p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+WITH RECURSIVE p AS (SELECT page_id, coalesce(url, '') AS url, regexp_replace(coalesce(html, ''), '(?s)<!--.*?(?:-->|\\z)', '', 'g') AS html FROM pages),
 rules(h, p, a) AS (VALUES {", ".join(str(r) for r in RULES)}),
 tag AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\b[^>]*>')) AS t FROM p WHERE regexp_matches(html, '(?i)canonical|refresh')),
 aim AS (

@@ -270,13 +270,15 @@ ALIASES = [
     (7, "http://e.org/1", GO % "http://x.net/fr/3"),
     (8, "http://lone.org/", ""),
     (9, "http://f.org/", LINK % "//x.net/es/9"),
+    (10, "http://g.org/", "<!-- " + LINK % "http://x.net/es/9" + " --><p>"),
+    (11, "http://h.org/", "<!-- a --><p>" + LINK % "http://x.net/es/9" + "<!-- b"),
 ]
 
 
 def test_aliases(spark):
     rows = ALIASES
     got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages(spark, rows), url_filter.rule_table(spark, url_filter.RULES)).collect()}
-    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow", 7: "allow", 8: "allow", 9: "block"}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow", 7: "allow", 8: "allow", 9: "block", 10: "allow", 11: "block"}
     more = spark.createDataFrame([("http://lone.org/", "https://q.net/es/7"), (None, "x")], "a string, b string")
     got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages(spark, rows), url_filter.rule_table(spark, url_filter.RULES), more).collect()}
     assert got[8] == "block"
@@ -294,6 +296,17 @@ def test_aliases_against_sql(spark):
     assert sorted(tuple(r) for r in got.collect()) == want
 
 
+def test_urls_with_hot_hosts_repeats_and_clashing_columns(spark):
+    """One host and one URL in most rows, a very long page, columns named like the operator's own."""
+    rows = [(k, "http://hot.org/a", GO % "http://x.net/es/1" if k == 0 else "") for k in range(600)]
+    rows += [(1000 + k, f"http://hot.org/{k}", "x" * 300_000 if k == 0 else None) for k in range(200)] + [(None, None, None)]
+    crowded = pages(spark, rows).selectExpr("*", "1 as host", "2 as path", "3 as node", "4 as rule", "5 as action", "6 as _n", "7 as component", "8 as a", "9 as b", "10 as t", "11 as base")
+    got = url_filter.filter_urls(crowded, url_filter.rule_table(spark, url_filter.RULES)).collect()
+    assert len(got) == len(rows)
+    assert {r.verdict for r in got if r.page_id is not None and r.page_id < 1000} == {"block"}
+    assert {r.verdict for r in got if r.page_id is None or r.page_id >= 1000} == {"allow"}
+
+
 def test_relative_and_escaped_aliases(spark):
     page = "http://a.net/fr/dir/page?x=1"
     references = ["page2.html", "../a", "../../../up", "./", "?id=3", "/es/./b/../c", "//b.net/es/", "http://c.org/", "d/e;f?a=1&b=2", "/fr/q?a=1&b=2", ".", ".."]
