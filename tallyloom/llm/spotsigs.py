@@ -164,24 +164,23 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append((before, len(whole), digest, fingerprint(own), fingerprint(changed), likeness(own, changed), likeness(own, mine), group))
                 if len(out) >= FLUSH:
                     yield emit()
-            group = label[2] if label is not None and label[:2] == (at, doc_id) else doc_id
+            group = label[2] if label is not None and label[:2] == (at, doc_id) else None
             last = None if what == FOREIGN else (at, doc_id, text, mine, group)
     if out:
         yield emit()
 
 
-def edited_fingerprints(documents: DataFrame, ranges: int | None = None) -> DataFrame:
-    """Every document against its text edited with the next one's beginning, against the next one, and its class among all.
+def edited_fingerprints(documents: DataFrame, ranges: int | None = None, classes: DataFrame | None = None) -> DataFrame:
+    """Every document against its text edited with the next one's beginning, and against the next one.
 
     Documents are dealt by ranges of doc_id, so that neighbours meet in one task; the first document of a range also
-    goes, marked, to the range before it. Classes of more than one document (see near_classes) go to the ranges as
-    rows of their own, so texts are shuffled once.
+    goes, marked, to the range before it. classes: from near_classes, to have class_id too (else null); its rows go to the
+    ranges as rows of their own, so texts are shuffled once.
     """
     spark = documents.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = documents.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0] if ranges is None else 0
     cuts, wanted = next_ranges(documents, ranges or max(2 * parts, size // RANGE_BYTES))
-    classes = near_classes(documents)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(_packed, "doc_id long, packed binary")
     own = F.struct(_range(F.col("doc_id"), cuts).alias("r"), F.lit(OWN).alias("kind"))
     needs = spark.createDataFrame(list(wanted.items()), "doc_id long, extra array<int>")  # at most `ranges` rows
@@ -189,13 +188,14 @@ def edited_fingerprints(documents: DataFrame, ranges: int | None = None) -> Data
     joined = rows.join(F.broadcast(needs), "doc_id", "left")
     none = lambda kind: F.lit(None).cast(kind)
     dealt = joined.select(F.explode(F.concat(F.array(own), copies)).alias("to"), "doc_id", "packed").select("to.r", "to.kind", "doc_id", "packed", none("long").alias("class_id"))
-    told = classes.where("doc_id <> class_id").select(_range(F.col("doc_id"), cuts).alias("r"), F.lit(CLASS).alias("kind"), "doc_id", none("binary").alias("packed"), "class_id")
+    if classes is not None:
+        dealt = dealt.unionByName(classes.select(_range(F.col("doc_id"), cuts).alias("r"), F.lit(CLASS).alias("kind"), "doc_id", none("binary").alias("packed"), "class_id"))
     order = ["r", F.col("kind") == FOREIGN, F.col("doc_id").desc_nulls_last(), "kind", "packed"]
-    return dealt.unionByName(told).repartition("r").sortWithinPartitions(*order).mapInArrow(_compare, SCHEMA)
+    return dealt.repartition("r").sortWithinPartitions(*order).mapInArrow(_compare, SCHEMA)
 
 
 def spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edited_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return edited_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("class_id")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
