@@ -66,7 +66,7 @@ def _record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
     """One gzip member."""
     head = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), *fields, ("Content-Length", str(len(block)))]
     lines = "".join(f"{name}: {value}\r\n" for name, value in head)
-    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
     return packer.compress(b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + SEPARATOR) + packer.flush()
 
 
