@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import brands, disparity, freshness, ingest, outreach, regions, series
+from tallyloom.operators import brands, disparity, freshness, ingest, outreach, promotions, regions, series, serving
 from tallyloom.operators.graph import components
 from tallyloom.plans import envelope
 from tallyloom.sources import payloads
@@ -241,3 +241,29 @@ def test_stated_percent_and_zip(spark):
     assert [r[0] for r in df.select(payloads.stated_percent(F.col("n"), F.col("t"))).collect()] == [None, 20, None]
     z = spark.createDataFrame([(" 98201-1234 ",), ("9820",)], "z string")
     assert [r[0] for r in z.select(payloads.zip_key(F.col("z"))).collect()] == ["98201", None]
+
+
+def test_stores_with_drops_alone_get_a_card(spark):
+    deals = spark.createDataFrame([("a",), ("a",), ("b",)], "dispensary_id string")
+    drops = spark.createDataFrame([("b",), ("c",), ("c",)], "dispensary_id string")
+    assert sorted(tuple(r) for r in serving.carded_stores(deals, drops).collect()) == [("a", "deals"), ("b", "deals"), ("c", "drops")]
+
+
+def test_histories_leave_orphans_out(spark):
+    seen = spark.createDataFrame([("s", 1, 30), ("s", 1, 10), ("t", 1, 20), ("s", 9, 5), ("s", None, 6)], "store string, product int, seq int")
+    known = spark.createDataFrame([(1, "one"), (2, "two")], "product int, name string")
+    got = sorted((r.store, r.seq, r.position, r.name) for r in ingest.histories(seen, known, ["store", "product"], "seq", "product").collect())
+    assert got == [("s", 10, 1, "one"), ("s", 30, 2, "one"), ("t", 20, 1, "one")]
+
+
+def test_scopes_cover_the_linkable_categories(spark):
+    """Concentrates and edibles are in no deal, not even the whole store's; flagged goods only where no weight is asked."""
+    goods = [("p1", "Flower", 3.5, 10.0, []), ("p2", "Flower", 3.5, 10.0, ["weight-mismatch"]), ("p3", "Concentrate", 1.0, 10.0, []), ("p4", "Edible", None, 10.0, []), ("p5", "Pre-Rolls", 1.0, 0.0, []), ("p6", "Vaporizers", 1.0, 5.0, None)]
+    records = spark.createDataFrame([("s", *g, None) for g in goods], "dispensary_id string, product_id string, category string, weight_grams double, base_price double, flags array<string>, special_price double")
+    deals = spark.createDataFrame([(1, "s", "20% off entire store"), (2, "s", "eighth of flower"), (3, "s", "flower deal"), (4, "s", "gummies half off"), (5, "t", "everything")], "deal_id int, dispensary_id string, description string")
+    got = {}
+    for r in promotions.scope_products(deals, records).collect():
+        got.setdefault((r.kind, r.category, r.weight_grams), set()).add(r.product_id)
+    assert got == {("storewide", None, None): {"p1", "p2", "p6"}, ("category", "Flower", 3.5): {"p1"}, ("category", "Flower", None): {"p1", "p2"}}
+    assert {r.deal_id: r.linked for r in promotions.deal_links(deals, records).collect()} == {1: 3, 2: 1, 3: 2, 4: 0, 5: 0}
+    assert {r.deal_id: r.targeted for r in promotions.scoped_deals(deals).collect()} == {1: None, 2: None, 3: None, 4: "gummies", 5: None}
