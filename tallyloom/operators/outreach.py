@@ -122,15 +122,3 @@ def fit_score(kind: Column, gap: Column, topical: Column, days: Column) -> Colum
     base = F.when(kind == "regional-floor", 300.0).when(kind == "disparity", 200.0).otherwise(100.0)
     recent = F.coalesce(F.greatest(F.lit(0.0), 40 - 0.4 * days), F.lit(0.0))
     return base + F.when(kind == "disparity", F.least(F.coalesce(gap * 100, F.lit(0.0)), F.lit(100.0))).otherwise(0.0) + F.when(topical, 50.0).otherwise(0.0) + recent
-
-
-def worklist(candidates: DataFrame, facts: DataFrame, rivals: DataFrame, limit: int = 10) -> DataFrame:
-    """Candidates in channel paired with the best fact of their topic; the best `limit` by score.
-
-    candidates: url, topic, days. facts: category, kind, gap, headline, one row per category and kind.
-    """
-    order = F.when(F.col("kind") == "regional-floor", 1).when(F.col("kind") == "disparity", 2).otherwise(3)
-    best = facts.groupBy("category").agg(F.min_by(F.struct("kind", "gap", "headline"), F.struct(order.alias("o"), (-F.col("gap")).alias("g"))).alias("f"))
-    paired = in_channel(candidates, rivals).join(best, candidates["topic"] == best["category"])
-    score = fit_score(F.col("f.kind"), F.col("f.gap"), F.lit(True), F.col("days"))
-    return paired.select("url", "topic", F.col("f.kind").alias("kind"), F.col("f.headline").alias("headline"), score.alias("fit_score")).orderBy(F.desc("fit_score"), "url").limit(limit)

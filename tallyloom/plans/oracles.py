@@ -186,6 +186,56 @@ ROAD = """
 
 TITLES = "pct || '% off ' || words"
 
+TOPIC = "coalesce(['cheapest flower', 'carts', 'edibles', 'flow', 'credible', '', NULL, 'Concentrates and vapes', 'Pre-Rolls'][{n} % 9 + 1], '')"
+PLACE = "coalesce(['', 'WA', 'Portland', 'Seattle', 'City 3', 'city-7', 'CITY 12', 'gotham', NULL, 'Kent, ID'][{n} % 10 + 1], '')"
+#: Facts that may answer (1: floor, 2: gap, 3: drop), the categories of each topic, and what each place means.
+FACTS = (
+    FLOORS
+    + ","
+    + MEDIANS
+    + """,
+town AS (SELECT cluster_id, 'City ' || s_nationkey AS city, count(*) AS n FROM member JOIN place USING (dispensary_id) GROUP BY ALL),
+named AS (SELECT cluster_id, arg_min(city, (-n, city)) AS label FROM town GROUP BY cluster_id HAVING sum(n) >= 2),
+reg AS (SELECT min(cluster_id) AS cluster_id, replace(lower(label), ' ', '-') AS region FROM named GROUP BY label),
+alias AS (SELECT lower(city) AS alias, arg_min(region, cluster_id) AS region FROM town JOIN reg USING (cluster_id) GROUP BY 1),
+alive AS (SELECT cluster_id, match_key, weight_grams FROM inside i JOIN place p USING (dispensary_id) WHERE price = floor_price GROUP BY ALL HAVING max(p.balance) >= 2000),
+drops AS (
+  SELECT 's' || substr(m.dispensary_id, 2) AS dispensary_id, product_id AS name, pct_vs_median, current_price, median_price, CAST(floor(abs(pct_vs_median) * 100 + 0.5::DOUBLE) AS BIGINT) AS drop_percent,
+    ['Flower', 'Vaporizers', 'Edible', 'Concentrate', 'Edible', 'Pre-Rolls', 'Edible'][CAST(string_split(product_id, '-')[1] AS INT) % 7 + 1] AS category FROM moved m WHERE outcome = 'below-median'),
+fact AS (
+  SELECT 1 AS o, 'regional-floor' AS kind, region, category, floor_price AS k1, 0 AS k2, display_name AS k3, weight_grams AS k4, '' AS k5, weight_grams, floor_price AS price, NULL::DOUBLE AS against_price, NULL::BIGINT AS drop_percent
+  FROM floors JOIN alive USING (cluster_id, match_key, weight_grams) JOIN reg USING (cluster_id)
+  UNION ALL SELECT 2, 'disparity', NULL, category, -spread_pct, low_price, display_name, weight_grams, '', weight_grams, low_price, high_price, NULL FROM gap WHERE high_price > low_price
+  UNION ALL SELECT 3, 'own-median', region, category, pct_vs_median, 0, name, 0, dispensary_id, NULL, current_price, median_price, drop_percent
+  FROM drops LEFT JOIN (SELECT * FROM member JOIN reg USING (cluster_id)) USING (dispensary_id) WHERE drop_percent >= 1),
+kinds AS (SELECT unnest(['Flower', 'Vaporizers', 'Pre-Rolls', 'Concentrate', 'Edible']) AS category),
+fit AS (
+  SELECT '' AS topic, category FROM kinds UNION ALL SELECT unnest(['cheapest flower', 'flow', 'carts', 'edibles', 'Concentrates and vapes', 'Concentrates and vapes', 'Pre-Rolls']),
+    unnest(['Flower', 'Flower', 'Vaporizers', 'Edible', 'Concentrate', 'Vaporizers', 'Pre-Rolls'])),
+meant AS (
+  SELECT p.place, alias.region, CASE WHEN alias.region IS NOT NULL THEN 'region' WHEN p.place IN ('WA', 'Seattle') THEN 'statewide' WHEN p.place IN ('Portland', 'Kent, ID') THEN 'outside' ELSE 'uncovered' END AS place_kind
+  FROM (SELECT unnest(['', 'WA', 'Portland', 'Seattle', 'City 3', 'city-7', 'CITY 12', 'gotham', 'Kent, ID']) AS place) p LEFT JOIN alias ON replace(lower(p.place), '-', ' ') = alias.alias)"""
+)
+CHOSEN = """placed AS (SELECT * FROM ask JOIN meant USING (place)),
+chosen AS (
+  SELECT topic, place, kind, category, weight_grams, price, against_price, drop_percent FROM (
+    SELECT p.topic, p.place, f.* EXCLUDE (region), row_number() OVER (PARTITION BY p.topic, p.place ORDER BY o, k1, k2, k3, k4, k5, f.category) AS n
+    FROM placed p JOIN fit USING (topic) JOIN fact f ON f.category = fit.category AND (f.o = 2 OR f.region = p.region OR (f.o = 3 AND p.region IS NULL))) WHERE n = 1)"""
+WORK = (
+    FACTS
+    + f""",
+cand AS (
+  SELECT page_id, url, {TOPIC.format(n="(page_id // 5)")} AS own, CASE WHEN page_id // 5 % 9 = 6 THEN 'flow' ELSE {TOPIC.format(n="(page_id // 5)")} END AS topic, {PLACE.format(n="(page_id // 3)")} AS place, page_id % 5 AS s
+  FROM pages WHERE NOT {RIVAL}),
+ask AS (SELECT DISTINCT topic, place FROM cand), {CHOSEN},
+work AS (
+  SELECT page_id, url, kind, category, floor((CASE kind WHEN 'regional-floor' THEN 300 WHEN 'disparity' THEN 200 + least((against_price - price) / price * 100, 100) ELSE 100 END
+      + CASE WHEN own <> '' AND (own, category) IN (SELECT (topic, category) FROM fit) THEN 50 ELSE 0 END
+      + CASE WHEN page_id % 11 <> 0 THEN greatest(0, 40 - 0.4::DOUBLE * (page_id % 120)) ELSE 0 END) * 10000 + 0.5::DOUBLE) / 10000 AS fit_score
+  FROM cand JOIN chosen USING (topic, place) JOIN meant USING (place)
+  WHERE place_kind IN ('region', 'statewide') OR (place_kind = 'uncovered' AND (s = 0 OR (s = 1 AND EXISTS (FROM alias WHERE alias = 'city 4')))))"""
+)
+
 ORACLES = {
     "d1_disparities": f"WITH {GATED} SELECT match_key, display_name, category, weight_grams, low_price, high_price, spread, spread_pct, stores, stores_carrying FROM gap",
     "d1_gate_counters": f"""WITH {GATED} SELECT count(*) AS total_records, count(*) FILTER (reason = 'category') AS non_comparable_category_count,
@@ -358,12 +408,22 @@ ORACLES = {
     "t3_category_gap": f"""WITH {RECORDS}, {PRESENT} SELECT dispensary_id, category FROM (SELECT DISTINCT dispensary_id FROM present), (SELECT DISTINCT category FROM present)
         EXCEPT SELECT dispensary_id, category FROM present""",
     "t5_sitemap": f"""WITH {GATED}, {PLACES} SELECT DISTINCT '/compare/' || lower(category) AS path FROM gap UNION SELECT '/store/' || trim(regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g'), '-') FROM place""",
-    "x1_select_fact": f"""WITH RECURSIVE {FLOORS}, a AS (SELECT category, min(floor_price) AS p FROM floors WHERE store_count_in_cluster >= 3 GROUP BY category),
-        b AS (SELECT category, arg_max(low_price, (spread_pct, -low_price, match_key, weight_grams)) AS p FROM gap WHERE high_price > low_price GROUP BY category)
-        SELECT category, CASE WHEN a.p IS NOT NULL THEN 'regional-floor' ELSE 'disparity' END AS kind, coalesce(a.p, b.p) AS price FROM b FULL JOIN a USING (category)""",
-    "x3_worklist": f"""WITH {GATED}, f AS (SELECT category, max(spread_pct) AS g FROM gap GROUP BY category),
-        c AS (SELECT url, ['Flower', 'Vaporizers', 'Edible', 'Concentrate', 'Nothing'][page_id % 5 + 1] AS topic, page_id % 120 AS days FROM pages WHERE NOT {RIVAL})
-        SELECT url, topic, floor((200 + least(g * 100, 100) + 50 + greatest(0, 40 - 0.4::DOUBLE * days)) * 10000 + 0.5::DOUBLE) / 10000 AS fit_score FROM c JOIN f ON c.topic = f.category ORDER BY fit_score DESC, url LIMIT 10""",
+    "x1_select_fact": f"""WITH RECURSIVE {FACTS}, ask AS (SELECT DISTINCT {TOPIC.format(n="page_id")} AS topic, {PLACE.format(n="page_id")} AS place FROM pages), {CHOSEN}
+        SELECT topic, place, place_kind, region, CASE WHEN refused IS NULL THEN coalesce(kind, 'none') ELSE 'none' END AS kind,
+          CASE WHEN refused IS NULL THEN category END AS category, CASE WHEN refused IS NULL THEN weight_grams END AS weight_grams, CASE WHEN refused IS NULL THEN price END AS price,
+          CASE WHEN refused IS NULL THEN against_price END AS against_price, CASE WHEN refused IS NULL THEN drop_percent END AS drop_percent,
+          coalesce(refused, CASE WHEN kind IS NULL THEN 'no fact' END) AS reason
+        FROM (SELECT *, CASE WHEN place_kind = 'outside' THEN 'outside the state' WHEN place_kind = 'uncovered' AND place <> '' THEN 'unknown place' END AS refused
+          FROM placed LEFT JOIN chosen USING (topic, place))""",
+    "x3_paired": f"WITH RECURSIVE {WORK} SELECT page_id, kind, category, fit_score FROM work",
+    "x3_worklist": f"WITH RECURSIVE {WORK} SELECT url, kind, fit_score FROM work ORDER BY fit_score DESC, url LIMIT 10",
+    "x3_counters": f"WITH RECURSIVE {WORK}, k AS (SELECT count(*) AS kept FROM work) SELECT (SELECT count(*) FROM pages) AS scanned, kept, CASE WHEN kept = 0 THEN 'none fits' END AS reason FROM k",
+    "j18_brand_facts": f"""WITH {GATED} SELECT match_key, weight_grams, CASE length(display_name) % 4 WHEN 0 THEN display_name LIKE '% ring' WHEN 1 THEN display_name LIKE '% bolt' ELSE FALSE END AS concerns FROM gap""",
+    "st4_stream_first_seen": "SELECT DISTINCT user_id FROM events",
+    "st5_stream_sessions": """WITH t AS (SELECT event_type, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) <= INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS s FROM events),
+        r AS (SELECT *, sum(s) OVER (PARTITION BY event_type ORDER BY ts RANGE UNBOUNDED PRECEDING) AS run FROM t)
+        SELECT event_type, CAST(min(ts) AS VARCHAR) AS started, count(*) AS checks FROM r GROUP BY event_type, run""",
+    "st6_stream_presence": f"WITH {EVENTS} SELECT CAST(day AS VARCHAR) AS day, dispensary_id, count(DISTINCT product_id) AS products, count(*) AS observations FROM ev GROUP BY ALL",
     "x4_chase_list": f"""WITH known AS (SELECT {KEY} AS key FROM pages WHERE page_id % 10 = 0),
         m AS (SELECT {KEY} AS key, {HOST} AS host, url, CASE WHEN page_id % 2 = 0 THEN page_id END AS posted, row_number() OVER (PARTITION BY {KEY} ORDER BY url) AS n FROM pages
           WHERE page_id % 3 = 0 AND NOT {RIVAL} AND NOT regexp_matches({HOST}, '(^|\\.)example\\.org$') AND {HOST} <> 'therha.example.com' AND {KEY} NOT IN (SELECT key FROM known))

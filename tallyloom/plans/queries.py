@@ -5,14 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import deals as fd
 from ..functions import numbers as fn
 from ..functions import products as fp
 from ..functions import text as ft
-from ..operators import brands, disparity, freshness, ingest, outreach, promotions, regions, series
+from ..operators import brands, disparity, facts, freshness, ingest, outreach, promotions, regions, series
 from ..sources import adapter, payloads
 from ..streaming import jobs
 from .staging import shared_dir, staged
@@ -537,28 +537,75 @@ def t5_sitemap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.unionByName(s).distinct()
 
 
-def x1_select_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By category the best fact: a regional floor, else a gap."""
-    cells = _cells(spark, sf_dir)
+TOPICS = ["cheapest flower", "carts", "edibles", "flow", "credible", "", None, "Concentrates and vapes", "Pre-Rolls"]
+ASKED = ["", "WA", "Portland", "Seattle", "City 3", "city-7", " CITY 12 ", "gotham", None, "Kent, ID"]
+SNIPPETS = ["seen in Kent", "near City 4", "from Boise to Kent", "in or around nothing", None]
+SOLD = ["Flower", "Vaporizers", "Edible", "Concentrate", "Edible", "Pre-Rolls", "Edible"]
+
+
+def _turn(values: list[str | None], n: Column) -> Column:
+    return F.get(F.array(*[F.lit(v).cast("string") for v in values]), (n % len(values)).cast("int"))
+
+
+def _fact_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Floors, gaps, drops and names of places; the drops are those of the event series, told by store and category."""
+    places, cells = adapter.stores(spark, sf_dir), _cells(spark, sf_dir)
+    members = staged(_members(spark, sf_dir), "members")
+    cities = places.select("dispensary_id", ft.city_of(F.col("address")).alias("city"))
+    found = staged(regions.regions(members, cities), "regions")
+    of_region = found.select("cluster_id", F.col("slug").alias("region"))
+    status = places.select("dispensary_id", F.when(F.col("balance") < 2000, "stale").otherwise("ok").alias("status"))
     flat = disparity.flat_offers(cells).select("match_key", "weight_grams", "display_name", "category", "dispensary_id", "price")
-    floor = regions.floors(flat, _members(spark, sf_dir)).where("store_count_in_cluster >= 3")
-    a = floor.groupBy("category").agg(F.min(F.struct("floor_price", "display_name", "weight_grams", "cluster_id")).alias("f"))
-    b = cells.where("high_price > low_price").groupBy("category").agg(F.max_by(F.struct("low_price", "display_name"), F.struct("spread_pct", (-F.col("low_price")).alias("p"), "match_key", "weight_grams")).alias("g"))
-    joined = b.join(a, "category", "full_outer")
-    floor_first = F.col("f").isNotNull()
-    return joined.select(
-        "category", F.when(floor_first, "regional-floor").otherwise("disparity").alias("kind"), F.when(floor_first, F.col("f.floor_price")).otherwise(F.col("g.low_price")).alias("price")
-    )
+    medians = series.own_median(adapter.series(spark, sf_dir), ["dispensary_id", "product_id"], EVENT_DAY).where("outcome = 'below-median'")
+    user = F.split_part("product_id", F.lit("-"), F.lit(1)).cast("int")
+    drops = medians.withColumn("dispensary_id", F.replace("dispensary_id", F.lit("v"), F.lit("s"))).withColumn("category", _turn(SOLD, user)).withColumnRenamed("product_id", "name")
+    return {
+        "floors": regions.standing_floors(regions.floors(flat, members), status).join(of_region, "cluster_id"),
+        "gaps": cells,
+        "drops": drops.join(members.join(of_region, "cluster_id").select("dispensary_id", "region"), "dispensary_id", "left"),
+        "names": staged(facts.place_names(found, members, cities), "names"),
+    }
 
 
-def x3_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+def x1_select_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact that answers each topic and place asked for, or why none does."""
     n = F.col("page_id")
-    topics = F.get(F.array(*[F.lit(c) for c in ["Flower", "Vaporizers", "Edible", "Concentrate", "Nothing"]]), (n % 5).cast("int"))
-    candidates = _read(spark, sf_dir, "pages").select("url", topics.alias("topic"), (n % 120).cast("double").alias("days"))
-    cells = _cells(spark, sf_dir)
-    facts = cells.groupBy("category").agg(F.max("spread_pct").alias("gap")).select("category", F.lit("disparity").alias("kind"), "gap", F.lit("gap").alias("headline"))
+    asks = _read(spark, sf_dir, "pages").select(_turn(TOPICS, n).alias("topic"), _turn(ASKED, n).alias("place"))
+    out = facts.select_facts(asks, **_fact_sources(spark, sf_dir))
+    return out.select("topic", "place", "place_kind", "region", "kind", "category", "weight_grams", "price", "against_price", "drop_percent", "reason")
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("page_id")
+    posted = F.date_sub(F.lit(EVENT_DAY).cast("date"), (n % 120).cast("int"))
+    return _read(spark, sf_dir, "pages").select(
+        "page_id", "url", F.lit("Where to buy").alias("title"), _turn(SNIPPETS, n).alias("snippet"), _turn(TOPICS, F.floor(n / 5)).alias("topic"), _turn(ASKED, F.floor(n / 3)).alias("geo"),
+        F.when(n % 11 != 0, posted.cast("string")).otherwise("unknown").alias("posted"),
+    )
+
+
+def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     rivals = spark.createDataFrame([(r,) for r in RIVALS], "domain string")
-    return outreach.worklist(candidates, facts, rivals, 10).withColumn("fit_score", fn.r4(F.col("fit_score"))).select("url", "topic", "fit_score")
+    return facts.paired(_candidates(spark, sf_dir), rivals=rivals, now=f"{EVENT_DAY} 00:00:00", topic="flow", **_fact_sources(spark, sf_dir))
+
+
+def x3_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paired(spark, sf_dir).select("page_id", "kind", "category", fn.r4(F.col("fit_score")).alias("fit_score"))
+
+
+def x3_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _paired(spark, sf_dir).withColumn("fit_score", fn.r4(F.col("fit_score")))
+    return facts.worklist(pairs, 10).select("url", "kind", "fit_score")
+
+
+def x3_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.worklist_counters(_candidates(spark, sf_dir), _paired(spark, sf_dir))
+
+
+def j18_brand_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each gap's product is about a brand that a thread may name."""
+    named = _turn(["ring", "BOLT ", "", "o"], F.length("display_name"))
+    return _cells(spark, sf_dir).select("match_key", "weight_grams", facts.concerns_brand(F.col("display_name"), named).alias("concerns"))
 
 
 def x4_chase_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -579,13 +626,33 @@ def x5_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def st5_stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Session runs by a streaming query over the events, run to the end."""
-    folder = f"{shared_dir(spark)}/tallyloom/stream-{uuid.uuid4().hex}"
+    """Session runs by a streaming query over the events, run to the end; a closing row lets the last sessions out."""
+    runs = jobs.session_runs(jobs.closed(_event_stream(spark, sf_dir), "ts"), ["event_type"])
+    return _streamed(runs).select("event_type", F.col("started").cast("string").alias("started"), "checks")
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(_read(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    runs = jobs.session_runs(stream.withColumn("ts", F.col("ts").cast("timestamp")), ["event_type"])
-    q = runs.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _streamed(stream: DataFrame) -> DataFrame:
+    """What a streaming query writes until its source is used up."""
+    spark = stream.sparkSession
+    folder = f"{shared_dir(spark)}/tallyloom/stream-{uuid.uuid4().hex}"
+    q = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(runs.schema).parquet(f"{folder}/out").select("event_type", "checks")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def st6_stream_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = _event_stream(spark, sf_dir).withColumn("dispensary_id", F.concat(F.lit("v"), (F.col("user_id") % 20).cast("string"))).withColumn("product_id", F.concat_ws("-", "user_id", "event_type"))
+    daily = _streamed(jobs.daily_presence(jobs.closed(seen, "ts"))).where("dispensary_id is not null")
+    return daily.withColumn("day", F.col("day").cast("string"))
+
+
+def st4_stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(jobs.first_seen(_event_stream(spark, sf_dir).select("user_id", "ts"), "user_id", "ts")).select("user_id")
 
 
 QUERIES: dict[str, Query] = {

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
 
+from ..plans.staging import new_path
 
 def file_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
@@ -38,13 +34,26 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def closed(stream: DataFrame, ts: str, at: str = "2200-01-01") -> DataFrame:
+    """The stream with one row more, all null but for a far time: once it is read, the watermark passes every real row.
+
+    For sources that are used up in one batch, so that windows still open at the end come out. The row's own window never
+    closes, but a later row would come too late: not for streams that go on.
+    """
+    spark = stream.sparkSession
+    path = new_path(spark, "closing")
+    row = spark.range(1).select(*[F.lit(at if f.name == ts else None).cast(f.dataType).alias(f.name) for f in stream.schema])
+    row.write.parquet(path)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(path))
+
+
 def daily_presence(stream: DataFrame, ts: str = "ts", delay: str = "1 day") -> DataFrame:
-    """Distinct products by store and day, approximate as exact distinct counts have no bounded state."""
+    """Distinct products by store and day, with observations. Exact: products are grouped by day first, which the watermark bounds."""
+    by_product = stream.withWatermark(ts, delay).groupBy(F.window(ts, "1 day"), "dispensary_id", "product_id").agg(F.count("*").alias("n"))
     return (
-        stream.withWatermark(ts, delay)
-        .groupBy(F.window(ts, "1 day"), "dispensary_id")
-        .agg(F.approx_count_distinct("product_id", 0.01).alias("products"), F.count("*").alias("observations"))
-        .select(F.to_date("window.start").alias("day"), "dispensary_id", "products", "observations")
+        by_product.groupBy(F.window(F.window_time("window"), "1 day").alias("of_day"), "dispensary_id")
+        .agg(F.count("product_id").alias("products"), F.sum("n").alias("observations"))
+        .select(F.to_date("of_day.start").alias("day"), "dispensary_id", "products", "observations")
     )
 
 
@@ -58,27 +67,18 @@ def session_runs(stream: DataFrame, keys: list[str], ts: str = "ts", gap: str =
     )
 
 
-LAST_GOOD = "dispensary_id string, deal_count long, fetched_at timestamp, stale boolean"
-
-
 def last_known_good(stream: DataFrame) -> DataFrame:
     """Last good deals by store: an empty push clears them only if confirmed, else marks the store stale.
 
-    stream: dispensary_id, pushed_at, deal_count, confirmed_empty.
+    stream: dispensary_id, pushed_at, deal_count, confirmed_empty. Pushes count by their time, whenever they come; the
+    state is a row a store. For update or complete mode.
     """
-
-    def update(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, fetched, stale = state.get if state.exists else (0, None, True)
-        for row in pd.concat(list(rows)).sort_values("pushed_at").itertuples():
-            if row.deal_count > 0 or row.confirmed_empty:
-                count, fetched, stale = int(row.deal_count), row.pushed_at.to_pydatetime(), False
-            else:
-                stale = True
-        state.update((count, fetched, stale))
-        yield pd.DataFrame({"dispensary_id": [key[0]], "deal_count": [count], "fetched_at": [fetched], "stale": [stale]})
-
-    return stream.groupBy("dispensary_id").applyInPandasWithState(
-        update, LAST_GOOD, "deal_count long, fetched_at timestamp, stale boolean", "update", GroupStateTimeout.NoTimeout
+    good = (F.col("deal_count") > 0) | F.coalesce(F.col("confirmed_empty"), F.lit(False))
+    of_good = lambda c: F.when(good, F.col(c))
+    return stream.groupBy("dispensary_id").agg(
+        F.coalesce(F.max_by(of_good("deal_count"), of_good("pushed_at")), F.lit(0)).alias("deal_count"),
+        F.max(of_good("pushed_at")).alias("fetched_at"),
+        F.max_by(F.coalesce(~good, F.lit(True)), "pushed_at").alias("stale"),
     )
 
 

@@ -13,22 +13,8 @@ def test_query_equals_sql(compare, name):
     compare(name)
 
 
-def test_every_query_has_sql_or_a_reason():
-    assert set(QUERIES) - set(ORACLES) == {"st5_stream_sessions"}
-
-
-def test_streamed_sessions_equal_batch(spark):
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
-    sf = "/root/testdata/sf0.001"
-    got = sorted((r.event_type, r.checks) for r in QUERIES["st5_stream_sessions"](spark, sf).collect())
-    e = spark.read.parquet(f"{sf}/events.parquet")
-    axis = Window.partitionBy("event_type").orderBy("ts")
-    new = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(axis).cast("timestamp")) > 600_000_000).cast("int")
-    runs = e.withColumn("run", F.sum(F.coalesce(new, F.lit(1))).over(axis)).groupBy("event_type", "run").agg(F.count("*").alias("n"))
-    want = sorted((r.event_type, r.n) for r in runs.collect())
-    assert [w for w in want if w not in got] == [] or len(want) - len(got) <= 5  # runs after the last watermark stay open
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):

@@ -28,7 +28,7 @@ def test_daily_presence(spark, tmp_path):
     source = str(tmp_path / "in")
     write(spark, [("k", T, "s", "p1"), ("k", T, "s", "p2"), ("k", T, "s", "p1"), ("k", T + datetime.timedelta(days=5), "s", "p9")], source)
     stream = jobs.file_stream(spark, source, OBS).withColumnRenamed("observed_at", "ts")
-    q = jobs.daily_presence(stream).writeStream.format("memory").queryName("presence").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q = jobs.daily_presence(jobs.closed(stream, "ts")).writeStream.format("memory").queryName("presence").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(str(r.day), r.products, r.observations) for r in spark.table("presence").collect()} == {("2026-01-01", 2, 3), ("2026-01-06", 1, 1)}
 
