@@ -2,25 +2,38 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .staging import delete
+
 EPOCH = "1970-01-01T00:00:00.000Z"
+SHAPE = "generated_at string, fact_count long, counters string, version string, number long"
 
 
 def write_fact(facts: DataFrame, counters: DataFrame, path: str, generated_at: str) -> bool:
-    """Write facts and their one-row counters below path; False, writing nothing, if facts fell from some to none.
+    """Write facts and their one-row counters below path; False, changing nothing, if facts fell from some to none.
 
-    The facts stay a table: an envelope never gathers them. The write is replaced as a whole.
+    The facts stay a table: an envelope never gathers them. They go to a folder of their own version; then a line
+    appended to the envelopes makes it the current one. A crash before that leaves the old fact whole, and readers of the
+    old version keep its files until the next write but one.
     """
     spark = facts.sparkSession
-    before = read_count(spark, path)
-    now = facts.count()
-    if before and not now:
+    before = read_envelope(spark, path).first()
+    version = uuid.uuid4().hex
+    folder = f"{path}/facts/{version}"
+    facts.write.parquet(folder)
+    now = spark.read.schema(facts.schema).parquet(folder).count()
+    if before["fact_count"] and not now:
+        delete(spark, folder)
         return False
-    meta = counters.select(F.lit(generated_at).alias("generated_at"), F.lit(now).cast("long").alias("fact_count"), F.to_json(F.struct("*")).alias("counters"))
-    facts.write.mode("overwrite").parquet(f"{path}/facts")
-    meta.write.mode("overwrite").json(f"{path}/envelope")
+    stamps = {"generated_at": F.lit(generated_at), "fact_count": F.lit(now).cast("long"), "version": F.lit(version), "number": F.lit(before["number"] + 1)}
+    meta = counters.select(F.to_json(F.struct("*")).alias("counters")).withColumns(stamps)
+    meta.coalesce(1).write.mode("append").json(f"{path}/envelope")
+    for old in envelopes(spark, path).where(F.col("number") == before["number"] - 1).select("version").collect():
+        delete(spark, f"{path}/facts/{old['version']}")
     return True
 
 
@@ -29,16 +42,23 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-SHAPE = "generated_at string, fact_count long, counters string"
+def envelopes(spark: SparkSession, path: str) -> DataFrame:
+    """Every envelope ever written below path; lines that cannot be read are left out."""
+    if not exists(spark, f"{path}/envelope"):
+        return spark.createDataFrame([], SHAPE)
+    return spark.read.schema(SHAPE).json(f"{path}/envelope").where("generated_at is not null and fact_count is not null and version is not null")
 
 
 def read_envelope(spark: SparkSession, path: str) -> DataFrame:
-    """The envelope of a fact, or the empty one, dated to the epoch, where there is none or it cannot be read."""
-    empty = spark.createDataFrame([(EPOCH, 0, "{}")], SHAPE)
-    if not exists(spark, f"{path}/envelope"):
-        return empty
-    found = spark.read.schema(SHAPE).json(f"{path}/envelope").where("generated_at is not null and fact_count is not null")
-    return found if found.take(1) else empty
+    """The current envelope of a fact, or the empty one, dated to the epoch, where there is none or it cannot be read."""
+    empty = spark.createDataFrame([(EPOCH, 0, "{}", None, 0)], SHAPE)
+    return envelopes(spark, path).unionByName(empty).orderBy(F.desc("number"), F.desc("generated_at"), "version").limit(1)
+
+
+def read_facts(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The facts of the current envelope; none where there is none."""
+    version = read_envelope(spark, path).first()["version"]
+    return spark.createDataFrame([], schema) if version is None else spark.read.schema(schema).parquet(f"{path}/facts/{version}")
 
 
 def read_count(spark: SparkSession, path: str) -> int:

@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import brands, disparity, freshness, ingest, outreach, promotions, regions, series, serving
+from tallyloom.operators import brands, disparity, facts, freshness, ingest, outreach, promotions, regions, series, serving
 from tallyloom.operators.graph import components
 from tallyloom.plans import envelope
 from tallyloom.sources import payloads
@@ -178,6 +178,12 @@ def test_envelope_guard(spark, tmp_path):
     assert envelope.read_count(spark, path) == 1
     assert not envelope.write_fact(facts.where("x = 9"), counters, path, "2026-01-02T00:00:00Z")
     assert envelope.read_envelope(spark, path).first().generated_at == "2026-01-01T00:00:00Z"
+    for day in (2, 3, 4):
+        assert envelope.write_fact(spark.createDataFrame([(day,)], "x int"), counters, path, f"2026-01-0{day}T00:00:00Z")
+        assert [r.x for r in envelope.read_facts(spark, path, "x int").collect()] == [day]
+    (tmp_path / "fact" / "facts" / "torn").mkdir()  # a write that stopped before its envelope
+    assert [r.x for r in envelope.read_facts(spark, path, "x int").collect()] == [4]
+    assert len([f for f in (tmp_path / "fact" / "facts").iterdir() if f.name != "torn"]) == 2
 
 
 def test_product_pages(spark):
@@ -267,3 +273,28 @@ def test_scopes_cover_the_linkable_categories(spark):
     assert got == {("storewide", None, None): {"p1", "p2", "p6"}, ("category", "Flower", 3.5): {"p1"}, ("category", "Flower", None): {"p1", "p2"}}
     assert {r.deal_id: r.linked for r in promotions.deal_links(deals, records).collect()} == {1: 3, 2: 1, 3: 2, 4: 0, 5: 0}
     assert {r.deal_id: r.targeted for r in promotions.scoped_deals(deals).collect()} == {1: None, 2: None, 3: None, 4: "gummies", 5: None}
+
+
+def test_facts_by_place_topic_and_kind(spark):
+    floors = spark.createDataFrame([("city-a", "Flower", "x", 3.5, 10.0, True), ("city-a", "Flower", "y", 3.5, 12.0, False), ("city-b", "Edible", "z", None, 5.0, False)], "region string, category string, display_name string, weight_grams double, floor_price double, stale boolean")
+    two = [("s1", 20.0, None), ("s2", 30.0, None)]
+    gaps = spark.createDataFrame([("Flower", "g", 3.5, 20.0, 30.0, 0.5, two), ("Concentrate", "even", 1.0, 20.0, 20.0, 0.0, two)], "category string, display_name string, weight_grams double, low_price double, high_price double, spread_pct double, stores_carrying array<struct<dispensary_id:string,price:double,quantity_available:double>>")
+    drops = spark.createDataFrame([("s1", "city-a", "Concentrate", "wax", 8.0, 10.0, -0.2), ("s9", None, "Concentrate", "rosin", 5.0, 10.0, -0.5), ("s1", "city-a", "Edible", "gum", 9.99, 10.0, -0.001)], "dispensary_id string, region string, category string, name string, current_price double, median_price double, pct_vs_median double")
+    names = spark.createDataFrame([("slug", "city-a", "city-a", "s1"), ("name", "city a", "city-a", "s1"), ("name", "old town", "city-a", "s1"), ("slug", "city-b", "city-b", "s5")], "by string, name string, region string, cluster_id string")
+    asks = [("flower", "Old Town"), ("flower", "wa"), ("dabs", "city a"), ("dabs", None), ("gummies", "City-A"), ("gummies", "city b"), ("flower", "Boise"), ("flower", "Atlantis"), (None, "city-a")]
+    got = {(r.topic, r.place): (r.kind, r.name, r.reason) for r in facts.select_facts(spark.createDataFrame(asks + asks[:2], "topic string, place string"), floors, gaps, drops, names).collect()}
+    assert got == {
+        ("flower", "Old Town"): ("regional-floor", "y", None), ("flower", "wa"): ("disparity", "g", None), ("dabs", "city a"): ("own-median", "wax", None), ("dabs", ""): ("own-median", "rosin", None),
+        ("gummies", "City-A"): ("none", None, "no fact"), ("gummies", "city b"): ("regional-floor", "z", None), ("flower", "Boise"): ("none", None, "outside the state"),
+        ("flower", "Atlantis"): ("none", None, "unknown place"), ("", "city-a"): ("regional-floor", "y", None),
+    }
+    loose = facts.select_facts(spark.createDataFrame([("flower", "Atlantis")], "topic string, place string"), floors, gaps, drops, names, refuse=False)
+    assert [(r.kind, r.reason) for r in loose.collect()] == [("disparity", None)]
+    people = [("http://a.com/1", "seen in Old Town", None), ("http://a.com/2", "seen in Old Town, Oregon", None), ("http://a.com/3", "kentucky or bust", None), ("http://a.com/4", "x", "Boise"), ("http://a.com/5", None, "statewide"), ("nolink", "kent", "wa")]
+    told = spark.createDataFrame([(u, t, None, "flower", g, None) for u, t, g in people], "url string, title string, snippet string, topic string, geo string, posted string")
+    rivals = spark.createDataFrame([("b.com",)], "domain string")
+    pairs = facts.paired(told, floors, gaps, drops, names, rivals, "2026-01-01 00:00:00")
+    assert {(r.url, r.kind, r.fit_score) for r in pairs.collect()} == {("http://a.com/1", "disparity", 300.0), ("http://a.com/5", "disparity", 300.0)}
+    assert tuple(facts.worklist_counters(told, pairs).first()) == (6, 2, None)
+    assert tuple(facts.worklist_counters(told.where("false"), pairs.where("false")).first()) == (0, 0, "no candidates")
+    assert [r[0] for r in spark.createDataFrame([("Acme Blue 1g", "blue"), ("Bluebird", "blue"), ("x", "")], "n string, b string").select(facts.concerns_brand(F.col("n"), F.col("b"))).collect()] == [True, False, False]
