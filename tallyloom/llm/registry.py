@@ -6,6 +6,7 @@ from functools import wraps
 
 from .common import prepare
 from .exact_dedup import EXACT_DEDUP_SQL, exact_dedup
+from .filter_audit import FILTER_AUDIT_SQL, filter_audit
 from .html_text import html_main_text
 from .mixing import mixing_weights
 from .packing import min_slack_packing
@@ -37,6 +38,7 @@ QUERIES = {
     "op8_simhash_near_dedup": simhash_near_dedup,
     "op9_quality_classifier": quality_classifier,
     "op10_url_filter": url_filter,
+    "op11_filter_audit": filter_audit,
 }
 QUERIES = {name: _prepared(query) for name, query in QUERIES.items()}
 
@@ -44,4 +46,5 @@ ORACLES = {
     "op1_exact_dedup": EXACT_DEDUP_SQL,
     "op3_warc_revisits": WARC_SQL,
     "op10_url_filter": URL_FILTER_SQL,
+    "op11_filter_audit": FILTER_AUDIT_SQL,
 }
