@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
+from .bpe import byte_bpe
 from .common import prepare
 from .exact_dedup import EXACT_DEDUP_SQL, exact_dedup
 from .filter_audit import FILTER_AUDIT_SQL, filter_audit
@@ -39,6 +40,7 @@ QUERIES = {
     "op9_quality_classifier": quality_classifier,
     "op10_url_filter": url_filter,
     "op11_filter_audit": filter_audit,
+    "op12_byte_bpe": byte_bpe,
 }
 QUERIES = {name: _prepared(query) for name, query in QUERIES.items()}
 
