@@ -16,6 +16,7 @@ from .quality import quality_classifier
 from .simhash import simhash_near_dedup
 from .spotsigs import spotsigs_fingerprints
 from .url_filter import URL_FILTER_SQL, url_filter
+from .vector_codes import vector_codes
 from .warc import WARC_SQL, warc_revisits
 
 
@@ -41,6 +42,7 @@ QUERIES = {
     "op10_url_filter": url_filter,
     "op11_filter_audit": filter_audit,
     "op12_byte_bpe": byte_bpe,
+    "op13_vector_codes": vector_codes,
 }
 QUERIES = {name: _prepared(query) for name, query in QUERIES.items()}
 
