@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.products import brand_key
+from ..functions.numbers import positive, price_of_record
+from ..functions.products import EXCLUDED_FLAGS, WEIGHT_CATEGORIES, brand_key
+from .tally import Tally, watched
 
 MIN_PRODUCT_DAYS = 10
 HIGH_SHARE = 0.95
@@ -54,6 +56,54 @@ def availability(products: DataFrame) -> DataFrame:
     )
 
 
+def store_matrix(records: DataFrame, tally: Tally | None = None) -> DataFrame:
+    """By brand: its spelling, products and stores, and the weights at which it is offered.
+
+    records: one row per store, product and option. Every product with a brand counts as available; only a buyable offer
+    of a sound record in a category with weights gives a weight. Counted on the way: products without a brand, and those
+    with one but without a match key, which take no part in the cells.
+    """
+    keyed = records.withColumn("brand_key", brand_key(F.col("brand")))
+    keyed = watched(
+        tally,
+        keyed,
+        null_brand_products=F.count_if(F.col("brand_key").isNull()),
+        unmatched_products=F.count_if(F.col("brand_key").isNotNull() & F.col("match_key").isNull()),
+    ).where("brand_key is not null")
+    spelled = keyed.groupBy("brand_key", "brand").agg(
+        F.count("*").alias("_n"),
+        F.countDistinct("dispensary_id", "product_id").alias("_products"),
+        F.collect_set("dispensary_id").alias("_stores"),
+        F.collect_set(F.when(weighable(records), F.col("weight_grams"))).alias("_tiers"),
+    )
+    found = spelled.groupBy("brand_key").agg(
+        F.trim(F.min_by("brand", F.struct((-F.col("_n")).alias("n"), "brand"))).alias("display_brand"),
+        F.sum("_products").alias("product_count"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_stores")))).alias("stores_carrying"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_tiers")))).alias("tiers"),
+    )
+    return watched(tally, found, total_brands=F.count("*"), multi_store_brands=F.count_if(F.size("stores_carrying") >= 2))
+
+
+def weighable(records: DataFrame) -> Column:
+    """Whether a record's option is a buyable offer with an honest weight."""
+    price = price_of_record(F.col("special_price"), F.col("base_price"))
+    flagged = F.coalesce(F.arrays_overlap("flags", F.array(*[F.lit(f) for f in EXCLUDED_FLAGS])), F.lit(False))
+    in_stock = F.col("quantity_available").isNull() | (F.col("quantity_available") > 0)
+    return F.coalesce(F.col("category").isin(WEIGHT_CATEGORIES) & ~flagged & F.col("weight_grams").isNotNull() & in_stock & positive(price), F.lit(False))
+
+
+def matrix_cells(records: DataFrame, tally: Tally | None = None) -> DataFrame:
+    """The like-for-like cells of each brand that two stores or more offer, with all cheapest stores."""
+    price = price_of_record(F.col("special_price"), F.col("base_price"))
+    keyed = records.where(weighable(records) & F.col("match_key").isNotNull()).withColumns({"brand_key": brand_key(F.col("brand")), "price": price})
+    cell = ["brand_key", "match_key", "weight_grams"]
+    keyed = keyed.where("brand_key is not null").repartition(*cell)  # serves both groupings
+    best = F.min(F.struct("price", "product_id", "name"))
+    per_store = keyed.groupBy(*cell, "dispensary_id").agg(best.alias("o")).select(*cell, "dispensary_id", "o.price", "o.name")
+    return watched(tally, cheapest_cells(per_store), cheapest_cells=F.count("*"))
+
+
 def cheapest_cells(best: DataFrame) -> DataFrame:
     """best: brand_key, match_key, weight_grams, dispensary_id, price, name. Cells of two stores or more with all cheapest stores.
 

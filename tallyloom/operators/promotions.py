@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions.deals import deal_active, deal_categories, deal_scope, tier_key
 from ..functions.numbers import positive, price_of_record
 from ..functions.products import EXCLUDED_FLAGS
 from ..functions.text import clean_description
+from ..plans.staging import staged
 from .disparity import grams_of_option
 
 #: Categories that a deal can cover. Edibles and concentrates are in no deal, the whole store's included.
@@ -64,17 +67,21 @@ def scope_products(deals: DataFrame, records: DataFrame) -> DataFrame:
 def deal_links(deals: DataFrame, records: DataFrame) -> DataFrame:
     """How many products each deal covers, with the deal's scope: deal_id, kind, linked.
 
-    Products are counted by store, category, weight and soundness before the join, so a deal meets a few
-    rows of its store and not its whole menu.
+    Deals of a store share few scopes and its products few kinds, so covered products are counted by scope first; a
+    deal then finds its scope's count by equality, and no deal is compared with products. A deal listed twice counts twice.
 
-    Stores join by equality and the scope decides: a whole-store deal covers all priced products of the
-    linkable categories, a category deal its category, a weighed one only sound products priced at that
-    weight. Links say what is covered and never what is saved.
+    A whole-store deal covers all priced products of the linkable categories, a category deal its category, a
+    weighed one only sound products priced at that weight. Links say what is covered and never what is saved.
     """
-    scoped = scoped_deals(deals).drop("targeted")
+    scope = ["dispensary_id", "kind", "category", "weight_grams"]
+    repeated = scoped_deals(deals).groupBy("deal_id", *scope).agg(F.count("*").alias("_times"))
+    scoped = staged(repeated, "scoped")  # read twice, and costly to make
     goods = _goods(records).groupBy("store", "product_category", "grams", "unsound").agg(F.count("*").alias("_n"))
-    joined = scoped.join(goods, (scoped["dispensary_id"] == goods["store"]) & _covers(), "left")
-    return joined.groupBy("deal_id", "dispensary_id", "kind", "category", "weight_grams").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("linked"))
+    scopes = scoped.where(F.col("kind").isin(LINKED_KINDS)).select(*scope).distinct()
+    counts = scopes.join(goods, (scopes["dispensary_id"] == goods["store"]) & _covers()).groupBy(*scope).agg(F.sum("_n").alias("_linked"))
+    counts = counts.withColumnsRenamed({c: f"_of_{c}" for c in scope})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in scope])
+    return scoped.join(counts, same, "left").select("deal_id", *scope, (F.col("_times") * F.coalesce("_linked", F.lit(0))).alias("linked"))
 
 
 def link_counters(links: DataFrame) -> DataFrame:

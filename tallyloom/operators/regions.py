@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import EARTH_RADIUS_MILES, ROAD_FACTOR, finite, haversine_miles, r4, round_trip_gas_cost
 from ..functions.text import slug
 from .graph import components
+from .tally import Tally, watched
 
 RADIUS_MILES = 10.0
 MIN_REGION_STORES = 2
@@ -45,6 +46,13 @@ def clusters(places: DataFrame, radius: float = RADIUS_MILES) -> DataFrame:
     )
 
 
+def present_places(presence: DataFrame, places: DataFrame, tally: Tally | None = None) -> DataFrame:
+    """The located stores of those that carry something. Counted on the way: stores with a place and without."""
+    located = F.coalesce(finite(F.col("lat")) & finite(F.col("lng")), F.lit(False))
+    carrying = presence.select("dispensary_id").distinct().join(places.select("dispensary_id", "lat", "lng"), "dispensary_id", "left")
+    return watched(tally, carrying, clustered_stores=F.count_if(located), unclustered_stores=F.count_if(~located)).where(located)
+
+
 def centroids(members: DataFrame) -> DataFrame:
     return members.groupBy("cluster_id").agg(
         F.count("*").alias("store_count"), r4(F.avg("lat")).alias("centroid_lat"), r4(F.avg("lng")).alias("centroid_lng")
@@ -62,11 +70,15 @@ def floors(offers: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
-def gaps(presence: DataFrame, members: DataFrame, status: DataFrame) -> DataFrame:
-    """(cluster_id, category) carried nowhere in a cluster, for clusters without a suspected extraction failure."""
+def gaps(presence: DataFrame, members: DataFrame, status: DataFrame, tally: Tally | None = None) -> DataFrame:
+    """(cluster_id, category) carried nowhere in a cluster, for clusters without a suspected extraction failure.
+
+    Counted on the way: clusters, and those whose gaps are suppressed.
+    """
     universe = presence.select("category").distinct()
     inside = members.join(status.select("dispensary_id", "status"), "dispensary_id", "left")
     healthy = inside.groupBy("cluster_id").agg(F.max((F.col("status") == "suspected-extraction-failure").cast("int")).alias("bad"))
+    healthy = watched(tally, healthy, total_clusters=F.count("*"), suppressed_clusters=F.count_if(F.coalesce("bad", F.lit(0)) == 1))
     wanted = healthy.where("coalesce(bad, 0) = 0").select("cluster_id").crossJoin(F.broadcast(universe))
     present = presence.join(members.select("cluster_id", "dispensary_id"), "dispensary_id").select("cluster_id", "category").distinct()
     return wanted.join(present, ["cluster_id", "category"], "left_anti")

@@ -22,6 +22,26 @@ def last_of_day(observations: DataFrame, keys: list[str], value: str, order: lis
     return observations.groupBy(*keys, "day").agg(F.max_by(value, F.struct(*order)).alias("value"))
 
 
+def daily_table(observations: DataFrame) -> DataFrame:
+    """One row per store, product and day: what the facts over series need of the day's observations.
+
+    special and brand: of the day's last observation; price: of its latest usable one; unusable: observations without
+    a usable price. It has the columns of the observations, so the facts read it in their place, and it is the table of
+    partials that a run appends a day to.
+    """
+    usable = positive(F.col("price"))
+    at = F.when(usable, F.struct("observed_at", "obs_seq"))
+    return observations.groupBy("dispensary_id", "product_id", "day").agg(
+        F.max_by("brand", "obs_seq").alias("brand"),
+        F.max_by("special", "obs_seq").alias("special"),
+        F.max_by("price", at).alias("price"),
+        F.max("observed_at").alias("observed_at"),
+        F.max("obs_seq").alias("obs_seq"),
+        F.count_if(~usable).alias("unusable"),
+        F.count("*").alias("observations"),
+    )
+
+
 def day_walk(daily: DataFrame, keys: list[str], start: str | None = None, end: str | None = None) -> DataFrame:
     """daily: keys, day, value. One row per key and calendar day: status gap, first, unchanged or changed.
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .staging import delete
 
@@ -13,30 +17,58 @@ EPOCH = "1970-01-01T00:00:00.000Z"
 SHAPE = "generated_at string, fact_count long, counters string, version string, number long"
 
 
-def write_fact(facts: DataFrame, counters: DataFrame, path: str, generated_at: str) -> bool:
-    """Write facts and their one-row counters below path; False, changing nothing, if facts fell from some to none.
+def write_fact(facts: DataFrame, counters: DataFrame | Callable[[], dict], path: str, generated_at: str) -> bool:
+    """Write facts and their counters below path; False, changing nothing, if facts fell from some to none.
 
+    counters: one row, or a function that is called when the facts are written and tells what was counted on the way.
     The facts stay a table: an envelope never gathers them. They go to a folder of their own version; then a line
     appended to the envelopes makes it the current one. A crash before that leaves the old fact whole, and readers of the
     old version keep its files until the next write but one.
+
+    Several writers may write at once: each commits under a number of its own, which it claims by creating a file that
+    must not exist, so none takes another's place and the last to claim is current.
     """
     spark = facts.sparkSession
-    before = read_envelope(spark, path).first()
     version = uuid.uuid4().hex
     folder = f"{path}/facts/{version}"
     facts.write.parquet(folder)
     now = spark.read.schema(facts.schema).parquet(folder).count()
+    before = read_envelope(spark, path).first()
     if before["fact_count"] and not now:
         delete(spark, folder)
         return False
-    stamps = {"generated_at": F.lit(generated_at), "fact_count": F.lit(now).cast("long"), "version": F.lit(version), "number": F.lit(before["number"] + 1)}
-    meta = counters.select(F.to_json(F.struct("*")).alias("counters")).withColumns(stamps)
-    meta.coalesce(1).write.mode("append").json(f"{path}/envelope")
-    for old in envelopes(spark, path).where(F.col("number") == before["number"] - 1).select("version").collect():
+    number = claim(spark, f"{path}/claims", before["number"] + 1)
+    stamps = {"generated_at": F.lit(generated_at), "fact_count": F.lit(now).cast("long"), "version": F.lit(version), "number": F.lit(number).cast("long")}
+    if callable(counters):
+        told = spark.range(1).select(F.lit(json.dumps(counters())).alias("counters"))
+    else:
+        told = counters.select(F.to_json(F.struct("*")).alias("counters"))
+    told.withColumns(stamps).coalesce(1).write.mode("append").json(f"{path}/envelope")
+    for old in envelopes(spark, path).where(F.col("number") == number - 2).select("version").collect():
         delete(spark, f"{path}/facts/{old['version']}")
     return True
 
 
+def claim(spark: SparkSession, folder: str, number: int) -> int:
+    """The first number from `number` on that no writer has claimed, now claimed: its file is created if absent, else not."""
+    jvm = spark.sparkContext._jvm
+    hadoop = jvm.org.apache.hadoop.fs.Path(folder)
+    system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(hadoop)
+    while True:
+        file = jvm.org.apache.hadoop.fs.Path(f"{folder}/{number:012d}")
+        try:
+            if system.getScheme() == "file":  # Hadoop's own file system looks first and creates then
+                jvm.java.nio.file.Files.createFile(jvm.java.nio.file.Paths.get(file.toUri().getPath(), spark.sparkContext._gateway.new_array(jvm.String, 0)), spark.sparkContext._gateway.new_array(jvm.java.nio.file.attribute.FileAttribute, 0))
+            else:
+                system.create(file, False).close()
+            return number
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" not in error.java_exception.getClass().getName():
+                raise
+            number += 1
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
@@ -55,7 +87,7 @@ def read_envelope(spark: SparkSession, path: str) -> DataFrame:
     return envelopes(spark, path).unionByName(empty).orderBy(F.desc("number"), F.desc("generated_at"), "version").limit(1)
 
 
-def read_facts(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_facts(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """The facts of the current envelope; none where there is none."""
     version = read_envelope(spark, path).first()["version"]
     return spark.createDataFrame([], schema) if version is None else spark.read.schema(schema).parquet(f"{path}/facts/{version}")

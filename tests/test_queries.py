@@ -2,10 +2,10 @@
 
 import pytest
 
-from tallyloom.plans import landed, landed_oracles, more, more_oracles, oracles, queries
+from tallyloom.plans import landed, landed_oracles, more, more_oracles, oracles, queries, runs, runs_oracles
 
-ORACLES = oracles.ORACLES | more_oracles.ORACLES | landed_oracles.ORACLES
-QUERIES = queries.QUERIES | more.QUERIES | landed.QUERIES
+ORACLES = oracles.ORACLES | more_oracles.ORACLES | landed_oracles.ORACLES | runs_oracles.ORACLES
+QUERIES = queries.QUERIES | more.QUERIES | landed.QUERIES | runs.QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
