@@ -92,7 +92,9 @@ def train(documents: DataFrame, labels: DataFrame, target: str = "quality", samp
     known = labels.where(f"doc_id is not null and {target} is not null").groupBy("doc_id").agg(F.max(target).alias("_y"))
     chosen = known.orderBy(F.xxhash64(F.lit("fit"), "doc_id")).limit(sample)
     rows = documents.select("doc_id", whole_text().alias("_t")).join(F.broadcast(chosen), "doc_id")
-    got = rows.select(feature_column(F.col("_t")).alias("x"), "_y").collect()  # at most `sample` rows of a kilobyte
+    made = rows.select("doc_id", feature_column(F.col("_t")).alias("x"), "_y")
+    one = made.groupBy("doc_id").agg(F.min_by("x", F.xxhash64("x")).alias("x"), F.any_value("_y").alias("_y"))  # ids may repeat
+    got = one.select("x", "_y").collect()  # at most `sample` rows of a kilobyte
     y = np.array([float(r[1]) for r in got])
     if not len(y) or y.min() == y.max():
         return None

@@ -286,3 +286,16 @@ def test_fit_separates():
     y = (x[:, 0] - x[:, 1] > 0.2).astype(float)
     w = quality.fit(x, y)
     assert ((x @ w[:-1] + w[-1] > 0) == (y > 0)).mean() > 0.97
+
+
+def test_fit_takes_one_text_an_id(spark, monkeypatch):
+    """A repeated doc_id brings one row to the driver, not all of its rows."""
+    docs = documents(spark, [f"good words number {k}" if k % 2 else f"## {k} $$" for k in range(60)])
+    many = spark.range(5000).selectExpr("7L as doc_id", "concat('again ', id % 3) as text", "'en' as lang", "'s' as source", "0L as n_chars")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    seen = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append(len(x)) or fit(x, y))
+    quality.train(docs.unionByName(many), labels, sample=60)
+    quality.train(docs.unionByName(many), labels, sample=10)
+    assert seen == [60, 10]
