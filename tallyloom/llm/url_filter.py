@@ -7,7 +7,8 @@ unless one of its members is explicitly allowed.
 
 Defined cases: a null URL or one without :// has an empty host and path and fits no rule; pages without
 aliases and rules are allowed; edges to URLs that are no pages count, as those URLs are judged by the
-rules too; repeated rows are judged alike; null html has no edges, nor have links inside comments. Other columns are ignored.
+rules too; repeated rows are judged alike; null html has no edges, nor have links inside comments or inside elements whose
+content is no markup of the page (scripts, styles, templates, text areas, titles). Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +32,11 @@ RULES = [
 ]
 
 
+RAW = ("script", "style", "template", "textarea", "title", "xmp", "iframe", "noembed", "noframes")
+#: Comments and raw elements, whichever begins first; one that never ends goes on to the end of the page.
+UNSEEN = r"(?is)<!--.*?(?:-->|\z)|" + "|".join(rf"<{e}\b[^>]*>.*?(?:</{e}\b|\z)" for e in RAW)
+
+
 def host_of(url: Column) -> Column:
     rest = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
     return ascii_lower(F.coalesce(rest, F.lit("")))
@@ -91,7 +97,7 @@ def page_edges(pages: DataFrame) -> DataFrame:
     attribute = r"(?is)\b%s\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
     tags = F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
     first_base = F.regexp_extract("html", r"(?is)<base\b[^>]*\bhref\b[^>]*>", 0)
-    seen = F.regexp_replace("html", r"(?s)<!--.*?(?:-->|\z)", "")  # what stands in a comment is no link
+    seen = F.regexp_replace("html", UNSEEN, "")  # what stands in a comment or a script is no link
     named = pages.where(F.col("html").rlike("(?i)canonical|refresh")).select("url", seen.alias("html"))
     tag = named.select("url", first_base.alias("base"), F.explode(tags).alias("t"))
     tag = stage(tag.where(F.col("t").rlike("(?i)canonical|refresh")), "tags")
@@ -147,7 +153,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None
     alias = lookup_by_group(members, stage(verdicts, "verdicts"), "component", "_n").select(
         "node", F.when((F.col("block") == 1) & (F.coalesce("allow", F.lit(0)) == 0), "block").otherwise("allow").alias("alias_verdict")
     )
-    found = rows.join(alias, "node", "left")
+    # a URL that many pages share, or none, is one row of `known`: such rows are not shuffled by it
+    rows = rows.withColumn("node", F.coalesce("node", F.lit("")))
+    known = stage(rows.groupBy("node").agg(F.count("*").alias("_n")).join(alias, "node", "left"), "aliases")
+    found = lookup_by_group(rows, known, "node", "_n")
     return found.select("page_id", "host", "path", "rule", F.coalesce("action", "alias_verdict", F.lit("allow")).alias("verdict"))
 
 
@@ -165,8 +174,12 @@ def _attribute(name: str) -> str:
     return "(" + " || ".join(f"regexp_extract(t, {pattern}, {k})" for k in (1, 2, 3)) + ")"
 
 
+_UNSEEN = "(?is)<!--.*?(?:-->|\\z)" + "".join(
+    rf"|<{e}\b[^>]*>.*?(?:</{e}\b|\z)" for e in "script style template textarea title xmp iframe noembed noframes".split()
+)
+
 URL_FILTER_SQL = f"""
-WITH RECURSIVE p AS (SELECT page_id, coalesce(url, '') AS url, regexp_replace(coalesce(html, ''), '(?s)<!--.*?(?:-->|\\z)', '', 'g') AS html FROM pages),
+WITH RECURSIVE p AS (SELECT page_id, coalesce(url, '') AS url, regexp_replace(coalesce(html, ''), '{_UNSEEN}', '', 'g') AS html FROM pages),
 rules(h, p, a) AS (VALUES {", ".join(str(r) for r in RULES)}),
 tag AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\b[^>]*>')) AS t FROM p WHERE regexp_matches(html, '(?i)canonical|refresh')),
 aim AS (

@@ -7,6 +7,7 @@ from html import unescape
 from urllib.parse import urljoin
 
 import duckdb
+import pandas
 import pytest
 
 from tallyloom.llm import html_text, url_filter, warc
@@ -324,3 +325,18 @@ def test_relative_and_escaped_aliases(spark):
     ]
     got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages(spark, rows), url_filter.rule_table(spark, url_filter.RULES)).collect()}
     assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow"}
+
+
+def test_links_in_raw_elements_are_none(spark):
+    link = '<link rel="canonical" href="http://q.net/es/z">'
+    hidden = ["<script>var t='%s'</script>", "<style>/* %s */</style>", "<TEXTAREA rows=2>%s</TEXTAREA>", "<template><p>%s</p></template>", "<title>%s</title>", "<script>%s", "<!-- <script> --><!-- %s -->", "<script>'<!--'</script><!-- %s"]
+    shown = ["<script>'<!--'</script>%s", "<!-- <script> -->%s", "<style></style >%s", "<p>script</p>%s", "<scripted>%s"]
+    rows = [(k, f"http://x.org/{k}", h % link) for k, h in enumerate(hidden)] + [(100 + k, f"http://x.org/s{k}", h % link) for k, h in enumerate(shown)]
+    rows.append((200, "http://x.org/long", "<p>x</p>" * 200_000 + "<script>" + "y" * 1_000_000 + "</script>" + link))
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages(spark, rows), url_filter.rule_table(spark, url_filter.RULES)).collect()}
+    assert {k for k, v in got.items() if v == "block"} == {k for k, *_ in rows if k >= 100}
+    con = duckdb.connect()
+    frame = pandas.DataFrame(rows[:-1], columns=["page_id", "url", "html"])
+    con.register("pages", frame)
+    told = con.sql(f"SELECT page_id, verdict FROM ({url_filter.URL_FILTER_SQL})").fetchall()
+    assert dict(told) == {k: v for k, v in got.items() if k < 200}
