@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import base64
 import re
-from array import array
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
@@ -37,21 +36,26 @@ from pyspark.sql import types as T
 from .common import stage, unstage, whole_text
 
 RANKS = "byte_bpe_50k.tiktoken"
-FREQUENT = 50_000
-LONGEST = 64
+FREQUENT = 200_000
+LONGEST = 32
 COUNTED = 300_000  # words that a task counts before it hands them on
-REMEMBERED = 200_000  # words beyond the table that a task remembers
-BLOCK = 1 << 23  # code points split at a time
-DEAL = 300_000  # words replayed at a time
+REMEMBERED = 150_000  # words beyond the table that a task remembers
+BLOCK = 1 << 22  # code points split at a time
+DEAL = 50_000  # words replayed at a time
 ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 
 
+def packed(ids: Iterable[int]) -> bytes:
+    return np.fromiter(ids, "<i4").tobytes()
+
+
 class Vocabulary:
     """Tokens by rank, ranks by token, and the ranks that pairs of tokens spell, by first * size + second."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
+        self.whole = {t: packed([i]) for t, i in ranks.items()}
         self.size = max(ranks.values()) + 1
         self.single = np.array([ranks[bytes([b])] for b in range(256)])
         splits = ((r, ranks.get(t[:k]), ranks.get(t[k:])) for t, r in ranks.items() for k in range(1, len(t)))
@@ -151,9 +155,9 @@ def _apart(at: np.ndarray, after: np.ndarray) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-def replay(words: list[bytes], known: Vocabulary) -> list[tuple[int, ...]]:
-    """The ids of each word, all merges of a rank applied in all words before those of the next."""
-    out: list[tuple[int, ...]] = [(known.ranks[w],) if w in known.ranks else () for w in words]
+def replay(words: list[bytes], known: Vocabulary) -> list[bytes]:
+    """The ids of each word as 32-bit integers, all merges of a rank applied in all words before those of the next."""
+    out = [known.whole.get(w, b"") for w in words]
     long = [k for k, w in enumerate(words) if w and not out[k]]
     if not long:
         return out
@@ -215,17 +219,16 @@ def replay(words: list[bytes], known: Vocabulary) -> list[tuple[int, ...]]:
                 places[s] = [p]
                 heappush(ranks, s)
     alive = tokens >= 0
-    ids = tokens[alive].tolist()
-    upto = np.cumsum(alive)[ends - 1].tolist()
+    ids = tokens[alive].astype("<i4").tobytes()
     begin = 0
-    for k, end in zip(long, upto):
-        out[k], begin = tuple(ids[begin:end]), end
+    for k, end in zip(long, (4 * np.cumsum(alive)[ends - 1]).tolist()):
+        out[k], begin = ids[begin:end], end
     for k in odd:
-        out[long[k]] = tuple(alone(words[long[k]], known))
+        out[long[k]] = packed(alone(words[long[k]], known))
     return out
 
 
-def replayed(words: list[str], known: Vocabulary, deal: int = DEAL) -> Iterator[tuple[int, ...]]:
+def replayed(words: list[str], known: Vocabulary, deal: int = DEAL) -> Iterator[bytes]:
     for at in range(0, len(words), deal):
         yield from replay([w.encode() for w in words[at : at + deal]], known)
 
@@ -268,13 +271,13 @@ def _replayed(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = list(replayed(batch.column(0).to_pylist(), vocabulary(name)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["word", "ids"])
 
     return run
 
 
 def frequent_words(documents: DataFrame, ranks: str = RANKS, most: int = FREQUENT) -> DataFrame:
-    """word, ids: the words of the corpus that occur oftenest, at most `most`, encoded by replay in many tasks."""
+    """word, ids (packed): the words of the corpus that occur oftenest, at most `most`, encoded by replay in many tasks."""
     texts = documents.select(F.lit(0).alias("k"), whole_text().alias("t"))
     apart = documents.sparkSession.sparkContext.broadcast(disputed())
     counts = stage(texts.mapInArrow(_counted(apart), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
@@ -285,15 +288,15 @@ def frequent_words(documents: DataFrame, ranks: str = RANKS, most: int = FREQUEN
         if total > most:
             least = r[0] + 1
             break
-    table = stage(counts.where(step >= least).select("word").repartition("word").mapInArrow(_replayed(ranks), "word string, ids array<int>"), "encoded")
+    table = stage(counts.where(step >= least).select("word").repartition("word").mapInArrow(_replayed(ranks), "word string, ids binary"), "encoded")
     unstage(counts)
     return table
 
 
-def encode(documents: DataFrame, ranks: str = RANKS, most: int = FREQUENT) -> DataFrame:
-    """doc_id, ids: one row a document."""
+def encode(documents: DataFrame, ranks: str = RANKS, most: int = FREQUENT, back: bool = False) -> DataFrame:
+    """doc_id, ids: one row a document. back: also the bytes that the ids spell, `decoded`, by the same workers."""
     table = frequent_words(documents, ranks, most)
-    shared = documents.sparkSession.sparkContext.broadcast({r.word: tuple(r.ids) for r in table.collect()})  # at most `most` rows
+    shared = documents.sparkSession.sparkContext.broadcast({r.word: bytes(r.ids) for r in table.collect()})  # at most `most` rows
     apart = documents.sparkSession.sparkContext.broadcast(disputed())
     unstage(table)
 
@@ -305,37 +308,43 @@ def encode(documents: DataFrame, ranks: str = RANKS, most: int = FREQUENT) -> Da
                 ids_of = common.copy()
             new = list(set(chain.from_iterable(found)).difference(ids_of))
             ids_of.update(zip(new, replayed(new, known)))
-            flat, ends = array("i"), [0]
-            for words in found:
-                flat.extend(chain.from_iterable(map(ids_of.__getitem__, words)))
-                ends.append(len(flat))
+            rows = [b"".join(map(ids_of.__getitem__, words)) for words in found]
             for w in new:
                 if len(w) > LONGEST:
                     del ids_of[w]
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), ids], ["doc_id", "ids"])
+            ends = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), "<i4")))
+            columns = [pa.array(keys, pa.int64()), ids] + ([spelled(ids, known)] if back else [])
+            yield pa.RecordBatch.from_arrays(columns, [f.split(" ")[0] for f in fields.split(", ")])
+
+    fields = "doc_id long, ids array<int>" + ", decoded binary" * back
+    return documents.select(F.col("doc_id").cast("long"), whole_text().alias("_text")).mapInArrow(run, fields)
+
 
-    return documents.select(F.col("doc_id").cast("long"), whole_text().alias("_text")).mapInArrow(run, "doc_id long, ids array<int>")
+def spelled(lists: pa.ListArray, known: Vocabulary) -> pa.Array:
+    """The bytes of each list of ids."""
+    ends = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+    flat = lists.flatten().to_numpy().tolist()  # one step for all rows: nested lists are slow to make
+    return pa.array([known.decode(flat[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())
 
 
 def decoded(ids: Column, ranks: str = RANKS) -> Column:
-    """The bytes that the ids spell."""
+    """The bytes that a column of ids spells; null where the ids are."""
 
     @F.arrow_udf(T.BinaryType())
     def run(lists: pa.Array) -> pa.Array:
-        known = vocabulary(ranks)
-        return pa.array([known.decode(x) for x in lists.to_pylist()], pa.binary())
+        return spelled(lists, vocabulary(ranks))
 
-    return run(ids)
+    return F.when(ids.isNotNull(), run(F.coalesce(ids, F.array().cast("array<int>"))))
 
 
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: one row per document."""
-    rows = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    spelled = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    rows = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), back=True)
+    listed = F.concat_ws(" ", F.col("ids").cast("array<string>"))
     return rows.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(spelled, 256).alias("ids_sha256"),
-        F.sha2(decoded(F.col("ids")), 256).alias("decoded_sha256"),
+        F.sha2(listed, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -23,7 +24,7 @@ def encoding():
 
 
 def ids_of(text, split):
-    return [i for ids in bpe.replay([w.encode() for w in split(text)], bpe.vocabulary()) for i in ids]
+    return np.frombuffer(b"".join(bpe.replay([w.encode() for w in split(text)], bpe.vocabulary())), "<i4").tolist()
 
 
 @pytest.fixture(scope="module")
@@ -56,7 +57,7 @@ def test_any_table_of_ranks():
         whole = tiktoken.Encoding("odd", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         words = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 30))) for _ in range(25)]
         for word, ids in zip(words, bpe.replay([w.encode() for w in words], bpe.Vocabulary(ranks))):
-            assert list(ids) == whole.encode_ordinary(word)
+            assert ids == bpe.packed(whole.encode_ordinary(word))
 
 
 def test_defined_cases(spark, encoding):
