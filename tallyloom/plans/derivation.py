@@ -207,13 +207,13 @@ def derive(run: Run, generated_at: str, facts: dict[str, Fact] = FACTS) -> DataF
     if "presence" in run.__dict__:
         drop_staged(run.presence)
     manifest = spark.createDataFrame(told, MANIFEST)
-    manifest.coalesce(1).write.mode("append").json(f"{run.root}/manifest")
+    manifest.coalesce(1).write.json(f"{run.root}/manifest/{name}")
     return manifest
 
 
 def manifests(spark: SparkSession, root: str) -> DataFrame:
     """The manifests of all runs below root."""
-    return spark.read.schema(MANIFEST).json(f"{root}/manifest") if envelope.exists(spark, f"{root}/manifest") else spark.createDataFrame([], MANIFEST)
+    return envelope.lines(spark, f"{root}/manifest", MANIFEST) if envelope.exists(spark, f"{root}/manifest") else spark.createDataFrame([], MANIFEST)
 
 
 def read(spark: SparkSession, root: str, fact: str, like: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def write_fact(facts: DataFrame, counters: DataFrame | Callable[[], dict], path:
 
     counters: one row, or a function that is called when the facts are written and tells what was counted on the way.
     The facts stay a table: an envelope never gathers them. They go to a folder of their own version; then a line
-    appended to the envelopes makes it the current one. A crash before that leaves the old fact whole, and readers of the
+    added to the envelopes makes it the current one. A crash before that leaves the old fact whole, and readers of the
     old version keep its files until the next write but one.
 
     Several writers may write at once: each commits under a number of its own, which it claims by creating a file that
@@ -43,30 +43,42 @@ def write_fact(facts: DataFrame, counters: DataFrame | Callable[[], dict], path:
         told = spark.range(1).select(F.lit(json.dumps(counters())).alias("counters"))
     else:
         told = counters.select(F.to_json(F.struct("*")).alias("counters"))
-    told.withColumns(stamps).coalesce(1).write.mode("append").json(f"{path}/envelope")
+    told.withColumns(stamps).coalesce(1).write.json(f"{path}/envelope/{number:012d}")  # writers share no folder
     for old in envelopes(spark, path).where(F.col("number") == number - 2).select("version").collect():
         delete(spark, f"{path}/facts/{old['version']}")
     return True
 
 
 def claim(spark: SparkSession, folder: str, number: int) -> int:
-    """The first number from `number` on that no writer has claimed, now claimed: its file is created if absent, else not."""
-    jvm = spark.sparkContext._jvm
+    """The first number from `number` on that no writer has taken, now taken."""
+    while not take_number(spark, folder, number):
+        number += 1
+    return number
+
+
+def take_number(spark: SparkSession, folder: str, number: int) -> bool:
+    """Take a number by creating its file, which must not exist: of several writers one succeeds."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
     hadoop = jvm.org.apache.hadoop.fs.Path(folder)
     system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     system.mkdirs(hadoop)
-    while True:
-        file = jvm.org.apache.hadoop.fs.Path(f"{folder}/{number:012d}")
-        try:
-            if system.getScheme() == "file":  # Hadoop's own file system looks first and creates then
-                jvm.java.nio.file.Files.createFile(jvm.java.nio.file.Paths.get(file.toUri().getPath(), spark.sparkContext._gateway.new_array(jvm.String, 0)), spark.sparkContext._gateway.new_array(jvm.java.nio.file.attribute.FileAttribute, 0))
-            else:
-                system.create(file, False).close()
-            return number
-        except Py4JJavaError as error:
-            if "FileAlreadyExists" not in error.java_exception.getClass().getName():
-                raise
-            number += 1
+    file = jvm.org.apache.hadoop.fs.Path(f"{folder}/{number:012d}")
+    try:
+        if system.getScheme() == "file":  # Hadoop's own local file system looks first and creates then
+            plain = jvm.java.nio.file.Paths.get(file.toUri().getPath(), gateway.new_array(jvm.String, 0))
+            jvm.java.nio.file.Files.createFile(plain, gateway.new_array(jvm.java.nio.file.attribute.FileAttribute, 0))
+        else:
+            system.create(file, False).close()
+        return True
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" not in error.java_exception.getClass().getName():
+            raise
+        return False
+
+
+def lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All JSON lines below path, in whatever folders writers made."""
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").json(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -78,7 +90,7 @@ def envelopes(spark: SparkSession, path: str) -> DataFrame:
     """Every envelope ever written below path; lines that cannot be read are left out."""
     if not exists(spark, f"{path}/envelope"):
         return spark.createDataFrame([], SHAPE)
-    return spark.read.schema(SHAPE).json(f"{path}/envelope").where("generated_at is not null and fact_count is not null and version is not null")
+    return lines(spark, f"{path}/envelope", SHAPE).where("generated_at is not null and fact_count is not null and version is not null")
 
 
 def read_envelope(spark: SparkSession, path: str) -> DataFrame:

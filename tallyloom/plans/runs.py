@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import ranking, series
 from ..sources import adapter
-from . import derivation
+from ..streaming import jobs, states
+from . import derivation, increments, keyed
 from . import queries as q
-from .staging import new_path
+from .staging import new_path, staged
 
 COUNTERS = "map<string,bigint>"
 
@@ -54,4 +58,53 @@ def derive_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def st3_stream_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stores going stale by silence: a stream of pushes, run to its end."""
+    states.keyed_state(spark)
+    pushes = q._event_stream(spark, sf_dir).select(F.concat(F.lit("v"), (F.col("user_id") % 40).cast("string")).alias("dispensary_id"), F.col("ts").alias("pushed_at"))
+    found = q._streamed(states.store_transitions(jobs.closed(pushes, "pushed_at")))
+    return found.select("dispensary_id", F.col("at").cast("string").alias("at"), "state")
+
+
+def st4_stream_told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event by which a user is first met, and those by which anew after five days: which it is, and when."""
+    states.keyed_state(spark)
+    found = q._streamed(states.told_once(q._event_stream(spark, sf_dir), "user_id", "ts", "event_id", keep_days=5))
+    return found.select(F.col("key").cast("long").alias("user_id"), F.col("at").cast("string").alias("at"), "event")
+
+
+HISTORY = "dispensary_id string, product_id string, brand string, last_day date, history array<struct<day:date,observations:bigint>>"
+
+
+def snk5_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products with their history: days up to the 20th stored, then each later day's products upserted, histories appended."""
+    table = keyed.KeyedTable(spark, new_path(spark, "products"), ["dispensary_id", "product_id"], HISTORY, buckets=16)
+    daily = staged(series.daily_table(adapter.series(spark, sf_dir)), "daily")
+    for low, high in (("2024-01-01", "2024-01-20"), ("2024-01-21", "2024-01-21"), ("2024-01-22", "2024-12-31")):
+        part = daily.where(F.col("day").between(F.lit(low).cast("date"), F.lit(high).cast("date")))
+        seen = F.sort_array(F.collect_list(F.struct("day", "observations"))).alias("history")  # of one product's days in the batch
+        batch = part.groupBy("dispensary_id", "product_id").agg(F.max_by("brand", "obs_seq").alias("brand"), F.max("day").alias("last_day"), seen)
+        table.upsert(batch, {"history": keyed.appended})
+    found = table.read()
+    told = F.array_join(F.transform("history", lambda h: F.concat(F.date_format(h["day"], "MMdd"), F.lit(":"), h["observations"].cast("string"))), ",")
+    return found.select("dispensary_id", "product_id", "brand", F.col("last_day").cast("string").alias("last_day"), told.alias("history"))
+
+
+def st7_daily_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own medians kept by increments: a history loaded, then two days appended, touched series recomputed."""
+    kept = increments.OwnMedians(spark, new_path(spark, "medians"), buckets=16)
+    watched = adapter.series(spark, sf_dir)
+    days = [datetime.date(2024, 1, d) for d in (28, 29, 30)]
+    kept.load(watched, days[0])
+    for before, day in zip(days, days[1:]):
+        kept.advance(watched, day, before)
+    return kept.read().drop("as_of")
+
+
+def o7_ranked_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every cell of price gaps in the order of its gap, over the whole table."""
+    cells = q._cells(spark, sf_dir).select("match_key", "weight_grams", "spread")
+    return ranking.ranked(cells, F.desc("spread"), "match_key", "weight_grams", name="place")
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not name.startswith("_")}

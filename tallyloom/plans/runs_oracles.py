@@ -99,4 +99,27 @@ _ROWS += [
     for fact, (relation, counts) in _COUNTS.items()
 ]
 
-ORACLES = {"derive_run": "\nUNION ALL ".join(f"SELECT * FROM ({r})" for r in _ROWS)}
+_AFTER = "lead(ts) OVER (PARTITION BY store ORDER BY ts)"
+
+ORACLES = {
+    "derive_run": "\nUNION ALL ".join(f"SELECT * FROM ({r})" for r in _ROWS),
+    "st3_stream_staleness": f"""WITH p AS (SELECT DISTINCT 'v' || user_id % 40 AS store, ts FROM events),
+        g AS (SELECT store, ts, ts - lag(ts) OVER (PARTITION BY store ORDER BY ts) AS since, {_AFTER} - ts AS until FROM p),
+        t AS (SELECT store, ts AS happened, 'ok' AS state FROM g WHERE since IS NULL OR since > INTERVAL 3 HOUR
+          UNION ALL SELECT store, ts + INTERVAL 3 HOUR, 'stale' FROM g WHERE until IS NULL OR until > INTERVAL 3 HOUR
+          UNION ALL SELECT store, ts + INTERVAL 6 HOUR, 'alert' FROM g WHERE until IS NULL OR until > INTERVAL 6 HOUR
+          UNION ALL SELECT store, ts + INTERVAL 24 HOUR, 'expired' FROM g WHERE until IS NULL OR until > INTERVAL 24 HOUR)
+        SELECT store AS dispensary_id, CAST(happened AS VARCHAR) AS "at", state FROM t""",
+    "st4_stream_told": """WITH RECURSIVE e AS (SELECT user_id, ts, event_id FROM events),
+        r(user_id, ts, event) AS (
+          SELECT user_id, min(ts), arg_min(event_id, (ts, event_id)) FROM e GROUP BY user_id
+          UNION ALL
+          SELECT user_id, ts, event_id FROM (SELECT e.*, row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) AS n
+            FROM r JOIN e ON e.user_id = r.user_id AND e.ts > r.ts + INTERVAL 5 DAY) WHERE n = 1)
+        SELECT user_id, CAST(ts AS VARCHAR) AS "at", event FROM r""",
+    "snk5_upsert": f"""WITH {EVENTS}, d AS (SELECT dispensary_id, product_id, day, count(*) AS n, arg_max(brand, seq) AS brand FROM ev GROUP BY ALL)
+        SELECT dispensary_id, product_id, arg_max(brand, day) AS brand, CAST(max(day) AS VARCHAR) AS last_day,
+          string_agg(strftime(day, '%m%d') || ':' || n, ',' ORDER BY day) AS history FROM d GROUP BY ALL""",
+    "st7_daily_medians": f"WITH {MEDIANS} SELECT dispensary_id, product_id, outcome, current_price, median_price, pct_vs_median, observed_days FROM moved",
+    "o7_ranked_gaps": f"WITH {GATED} SELECT match_key, weight_grams, spread, row_number() OVER (ORDER BY spread DESC, match_key, weight_grams) AS place FROM gap",
+}

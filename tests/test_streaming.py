@@ -4,7 +4,8 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from tallyloom.streaming import jobs
+from tallyloom.operators import freshness
+from tallyloom.streaming import jobs, states
 
 OBS = "product_key string, observed_at timestamp, dispensary_id string, product_id string"
 T = datetime.datetime(2026, 1, 1, 12)
@@ -52,3 +53,43 @@ def test_first_seen(spark, tmp_path):
     q = jobs.first_seen(jobs.file_stream(spark, source, OBS), "product_key", "observed_at").writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("seen").select(F.col("product_key")).count() == 2
+
+
+def ended(spark, stream, path):
+    q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+def test_stores_go_stale_by_silence(spark, tmp_path):
+    """The stream's transitions give what the batch predicates say at several instants; pushes come late and in pieces."""
+    states.keyed_state(spark)
+    source, schema = str(tmp_path / "in"), "dispensary_id string, pushed_at timestamp"
+    minutes = {"a": [0, 30, 500, 170, 680], "b": [5, 5, 2000], "c": [100, 280, 460, 641], "d": [3000]}
+    rows = [(s, T + datetime.timedelta(minutes=m)) for s, ms in minutes.items() for m in ms]
+    write(spark, [*rows[::2], (None, T), ("e", None)], source, schema)
+    write(spark, rows[1::2], source, schema)
+    stream = jobs.file_stream(spark, source, schema, files_per_trigger=100)
+    found = ended(spark, states.store_transitions(jobs.closed(stream, "pushed_at")), str(tmp_path / "q")).cache()
+    assert found.count() == found.distinct().count()
+    told = spark.createDataFrame(rows, schema)
+    for m in (0, 170, 171, 350, 351, 500, 860, 861, 2300, 3000, 3181, 5000):
+        now = str(T + datetime.timedelta(minutes=m))
+        last = told.where(F.col("pushed_at") <= F.lit(now).cast("timestamp")).groupBy("dispensary_id").agg(F.max("pushed_at").cast("string").alias("at"))
+        age = freshness.age_hours(F.col("at"), now)
+        want = last.select("dispensary_id", freshness.store_status(F.col("at"), now), freshness.deals_expired(F.col("at"), now), age > freshness.STORE_ALERT_HOURS)
+        assert sorted(map(tuple, states.status_at(found, now).collect())) == sorted(map(tuple, want.collect())), m
+
+
+def test_told_again_after_its_time(spark, tmp_path):
+    states.keyed_state(spark)
+    source, schema = str(tmp_path / "in"), "post string, ts timestamp, n long"
+    day = datetime.timedelta(days=1)
+    write(spark, [("a", T + 5 * day, 2), ("a", T, 1), ("b", T + day, 3), (None, T, 9), ("c", None, 9)], source, schema)
+    run = lambda: ended(spark, states.told_once(jobs.file_stream(spark, source, schema, 100), "post", "ts", "n"), str(tmp_path / "q")).collect()
+    assert sorted((r.key, r.event) for r in run()) == [("a", 1), ("b", 3)]
+    write(spark, [("a", T + 360 * day, 4), ("b", T + 362 * day, 5), ("a", T + 361 * day, 6), ("a", T + 400 * day, 7)], source, schema)
+    assert sorted((r.key, r.event) for r in run()) == [("a", 1), ("a", 6), ("b", 3), ("b", 5)]
+    write(spark, [("a", T + 721 * day, 8), ("a", T + 722 * day, 9)], source, schema)
+    got = run()
+    assert sorted((r.key, r.event, r.at - T) for r in got)[2:3] == [("a", 9, 722 * day)] and len(got) == 5
