@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapsed, host_matches, mention_key, phrase_present, plain_phrase, url_host
+from .ranking import ranked
 
 STOP_WORDS = ["the", "and", "for", "inc", "llc"]
 INTENTS = [1, 2, 3, 4, 5, 6]
@@ -37,10 +38,10 @@ def rival_ranking(checks: DataFrame, own: str) -> DataFrame:
 
 
 def trend(points: DataFrame, key: str, value: str) -> DataFrame:
-    """Each datapoint against the one before it."""
-    axis = Window.partitionBy(F.lit(1)).orderBy(key)
-    before = F.lag(value).over(axis)
-    return points.select(key, value, before.alias("previous"), (F.col(value) - before).alias("delta"))
+    """Each datapoint against the one before it, which is found by its place in the order of all."""
+    placed = ranked(points.select(key, value), key, name="_place")
+    before = placed.select((F.col("_place") + 1).alias("_place"), F.col(value).alias("previous"))
+    return placed.join(before, "_place", "left").select(key, value, "previous", (F.col(value) - F.col("previous")).alias("delta"))
 
 
 def first_citations(checks: DataFrame) -> DataFrame:
@@ -73,6 +74,34 @@ def inventory_tokens(names: DataFrame) -> DataFrame:
     return phrase.select(F.col("phrase").alias("token")).unionByName(words).distinct()
 
 
+def phrase_hits(posts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(id, phrase), once each: the phrases that stand in a text as whole words. posts: id, text. phrases: phrase.
+
+    Runs of words of the lengths that phrases have are joined to the phrases by equality, so neither the plan nor the work on
+    a text grows with the number of phrases. Spark broadcasts the phrases as long as they are few.
+    """
+    listed = phrases.select("phrase", plain_phrase(F.col("phrase")).alias("_run")).where("_run <> ''").distinct()
+    sizes = sorted(r[0] for r in listed.select(F.size(F.split("_run", " "))).distinct().collect())  # lengths of phrases: few
+    words = posts.select("id", F.split(plain_phrase(F.col("text")), " ").alias("_w"))
+
+    def runs(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size("_w") - n + 1)
+        return F.when(F.size("_w") >= n, F.transform(starts, lambda k: F.array_join(F.slice("_w", k, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+
+    every = F.array_distinct(F.concat(F.array().cast("array<string>"), *[runs(n) for n in sizes]))
+    return words.select("id", F.explode(every).alias("_run")).join(listed, "_run").select("id", "phrase").distinct()
+
+
+def prefilter_by_tables(posts: DataFrame, places: DataFrame, terms: DataFrame) -> DataFrame:
+    """As prefilter, with phrases from tables however large: places and terms: phrase, rank; the lowest rank is named."""
+    both = places.select("phrase", "rank", F.lit("geo").alias("kind")).unionByName(terms.select("phrase", "rank", F.lit("term").alias("kind")))
+    hits = phrase_hits(posts, both.select("phrase").distinct()).join(both, "phrase")
+    first = lambda kind: F.min_by(F.when(F.col("kind") == kind, F.col("phrase")), F.when(F.col("kind") == kind, F.struct("rank", "phrase"))).alias(kind)
+    named = hits.groupBy("id").agg(first("geo"), first("term"))
+    found = posts.join(named, "id", "left")
+    return found.withColumn("reason", F.when(F.col("geo").isNull(), "no place").when(F.col("term").isNull(), "no product"))
+
+
 def prefilter(posts: DataFrame, places: list[str], terms: list[str]) -> DataFrame:
     """posts: id, text. Add geo and term, the first of each that stands in the text, and reason if one is missing."""
     text = plain_phrase(F.col("text"))

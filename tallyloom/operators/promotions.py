@@ -13,6 +13,7 @@ from ..functions.products import EXCLUDED_FLAGS
 from ..functions.text import clean_description
 from ..plans.staging import staged
 from .disparity import grams_of_option
+from .ranking import ranked as ordered
 
 #: Categories that a deal can cover. Edibles and concentrates are in no deal, the whole store's included.
 LINKABLE = ["Flower", "Vaporizers", "Pre-Rolls"]
@@ -112,7 +113,7 @@ def feed(deals: DataFrame, places: DataFrame, minute: int, selected: str | None
     """The deal feed: deals ranked, grouped by store, stores by distance with unknown last, then by best deal.
 
     Adds store_rank and deal_rank. places: dispensary_id, distance_miles; an unknown distance is never
-    filtered. Ranking is within a store; only the store order is global, over one row per store.
+    filtered. Ranking is within a store; the order of stores is global, over one row per store, by ranges.
     """
     tier, value = tier_key(F.col("type"), F.col("start_time"), F.col("end_time"), F.col("discount_pct"), minute)
     chosen = deals.where(in_selection(F.col("description"), selected)).withColumn("tier", tier).withColumn("value", value)
@@ -122,9 +123,9 @@ def feed(deals: DataFrame, places: DataFrame, minute: int, selected: str | None
     own = Window.partitionBy("dispensary_id").orderBy("tier", "value", "deal_id")
     ranked = chosen.withColumn("deal_rank", F.row_number().over(own))
     heads = ranked.where("deal_rank = 1").join(places.select("dispensary_id", "distance_miles"), "dispensary_id", "left")
-    order = Window.orderBy(F.col("distance_miles").asc_nulls_last(), "tier", "value", "deal_id")
-    stores = heads.select("dispensary_id", "distance_miles", F.row_number().over(order).alias("store_rank"))
-    return ranked.join(stores, "dispensary_id")
+    heads = heads.select("dispensary_id", "distance_miles", "tier", "value", "deal_id")
+    stores = ordered(heads, F.col("distance_miles").asc_nulls_last(), "tier", "value", "deal_id", name="store_rank")
+    return ranked.join(stores.select("dispensary_id", "distance_miles", "store_rank"), "dispensary_id")
 
 
 def deal_blocks(deals: DataFrame) -> DataFrame:

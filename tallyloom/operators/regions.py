@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import EARTH_RADIUS_MILES, ROAD_FACTOR, finite, haversine_miles, r4, round_trip_gas_cost
 from ..functions.text import slug
+from ..plans.staging import staged
 from .graph import components
 from .tally import Tally, watched
 
@@ -38,12 +39,56 @@ def pairs_within(places: DataFrame, radius: float = RADIUS_MILES) -> DataFrame:
 
 
 def clusters(places: DataFrame, radius: float = RADIUS_MILES) -> DataFrame:
-    """cluster_id (its smallest store) and dispensary_id: single linkage, lone stores included."""
-    joined = components(pairs_within(places, radius).select("a", "b"))
-    located = places.where(finite(F.col("lat")) & finite(F.col("lng")))
-    return located.join(joined, located["dispensary_id"] == joined["node"], "left").select(
-        F.coalesce("component", "dispensary_id").alias("cluster_id"), "dispensary_id", "lat", "lng"
-    )
+    """cluster_id (its smallest store) and dispensary_id: single linkage, lone stores included.
+
+    Stores of a grid cell whose diagonal is within the radius are linked whatever their number, so a cell is one node
+    and only cells are linked: a dense city costs its cells and not its pairs.
+    """
+    located = staged(places.where(finite(F.col("lat")) & finite(F.col("lng"))).select("dispensary_id", "lat", "lng"), "located")
+    celled = staged(_celled(located, radius), "celled")
+    linked = components(_cell_links(celled, radius))
+    heads = celled.groupBy("r", "c").agg(F.min("dispensary_id").alias("head")).join(linked, F.col("head") == F.col("node"), "left")
+    heads = heads.select("r", "c", F.coalesce("component", "head").alias("cluster_id"))
+    return celled.join(heads, ["r", "c"]).select("cluster_id", "dispensary_id", "lat", "lng")
+
+
+def _celled(located: DataFrame, radius: float) -> DataFrame:
+    """Add r, c: cells no wider than radius / sqrt(2) either way, at the latitude where a degree is longest; and reach, how
+    many columns away a store within the radius may be, at the one where it is shortest."""
+    low, high = located.agg(F.min(F.abs("lat")), F.max(F.abs("lat"))).first()
+    side = 0.99 * math.degrees(radius / EARTH_RADIUS_MILES) / math.sqrt(2)
+    column = side / max(math.cos(math.radians(min(89.0, low or 0.0))), 1e-3)
+    widest = math.degrees(radius / EARTH_RADIUS_MILES) / math.cos(math.radians(min(89.0, (high or 0.0) + 0.5)))
+    return located.select("*", F.floor(F.col("lat") / side).alias("r"), F.floor(F.col("lng") / column).alias("c"), F.lit(math.ceil(widest / column)).alias("reach"))
+
+
+def _cell_links(celled: DataFrame, radius: float) -> DataFrame:
+    """(a, b): smallest stores of neighbouring cells that hold two stores within the radius of each other.
+
+    Cells meet through their eight outermost stores first; most are linked by these. Of the others only the stores that
+    the other cell's bounds leave within reach are compared, and nothing is kept of them but that there are some.
+    """
+    corners = [F.col("lat"), F.col("lng"), F.col("lat") + F.col("lng"), F.col("lat") - F.col("lng")]
+    outer = [f(F.struct("lat", "lng"), x) for x in corners for f in (F.min_by, F.max_by)]
+    bounds = [F.min("lat").alias("low"), F.max("lat").alias("top"), F.min("lng").alias("left"), F.max("lng").alias("right")]
+    cells = staged(celled.groupBy("r", "c").agg(F.min("dispensary_id").alias("head"), F.max("reach").alias("reach"), F.array_distinct(F.array(*outer)).alias("outer"), *bounds), "cells")
+    rows = F.explode(F.sequence(F.lit(-2), F.lit(2)))
+    around = cells.withColumn("_dr", rows).withColumn("_dc", F.explode(F.sequence(-F.col("reach"), F.col("reach"))))
+    theirs = around.select((F.col("r") + F.col("_dr")).alias("r"), (F.col("c") + F.col("_dc")).alias("c"), F.struct("head", "outer", *["low", "top", "left", "right"], F.col("r"), F.col("c")).alias("y"))
+    met = cells.join(theirs, ["r", "c"]).where("head < y.head")
+    miles = lambda p, q: haversine_miles(p["lat"], p["lng"], q["lat"], q["lng"])
+    near = F.exists("outer", lambda p: F.exists("y.outer", lambda q: miles(p, q) <= radius))
+    met = staged(met.withColumn("near", near), "met")
+    step = F.degrees(F.lit(radius / EARTH_RADIUS_MILES)) * 1.01
+    wide = step / F.cos(F.radians(F.least(F.lit(89.0), F.greatest(F.abs("top"), F.abs("low"), F.abs("y.top"), F.abs("y.low")) + 0.5)))
+    open_ = met.where("not near").withColumns({"step": step, "wide": wide})
+    own = open_.join(celled.select("r", "c", F.struct("lat", "lng").alias("p")), ["r", "c"])
+    within = lambda p, o: p["lat"].between(o("low") - F.col("step"), o("top") + F.col("step")) & p["lng"].between(o("left") - F.col("wide"), o("right") + F.col("wide"))
+    own = own.where(within(F.col("p"), lambda n: F.col(f"y.{n}"))).select("head", "y", "p", *["low", "top", "left", "right", "step", "wide"])
+    other = celled.select(F.col("r").alias("_r"), F.col("c").alias("_c"), F.struct("lat", "lng").alias("q"))
+    both = own.join(other, (F.col("y.r") == F.col("_r")) & (F.col("y.c") == F.col("_c"))).where(within(F.col("q"), F.col))
+    found = both.where(miles(F.col("p"), F.col("q")) <= radius).select("head", F.col("y.head").alias("b")).distinct()
+    return met.where("near").select(F.col("head").alias("a"), F.col("y.head").alias("b")).unionByName(found.select(F.col("head").alias("a"), "b"))
 
 
 def present_places(presence: DataFrame, places: DataFrame, tally: Tally | None = None) -> DataFrame:

@@ -7,7 +7,8 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ranking, series
+from ..functions import text as ft
+from ..operators import outreach, ranking, series
 from ..sources import adapter
 from ..streaming import jobs, states
 from . import derivation, increments, keyed
@@ -73,6 +74,16 @@ def st4_stream_told(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").cast("long").alias("user_id"), F.col("at").cast("string").alias("at"), "event")
 
 
+def f26_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations against as many phrases as there are turns and documents: the words that these begin with."""
+    turns = q._read(spark, sf_dir, "conversations")
+    begin = lambda c, n: F.array_join(F.slice(F.split(ft.plain_phrase(F.col(c)), " "), 1, n), " ")
+    places = turns.select(begin("text", 3).alias("phrase")).distinct().withColumn("rank", -F.length("phrase"))
+    terms = q._read(spark, sf_dir, "documents").select(begin("text", 2).alias("phrase")).distinct().withColumn("rank", F.lit(0))
+    posts = turns.select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text").dropDuplicates(["id"])
+    return outreach.prefilter_by_tables(posts, places, terms).select("id", "geo", "term", "reason")
+
+
 HISTORY = "dispensary_id string, product_id string, brand string, last_day date, history array<struct<day:date,observations:bigint>>"
 
 

@@ -117,6 +117,12 @@ ORACLES = {
           SELECT user_id, ts, event_id FROM (SELECT e.*, row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) AS n
             FROM r JOIN e ON e.user_id = r.user_id AND e.ts > r.ts + INTERVAL 5 DAY) WHERE n = 1)
         SELECT user_id, CAST(ts AS VARCHAR) AS "at", event FROM r""",
+    "f26_phrase_index": r"""WITH t AS (SELECT conv_id || '-' || turn AS id, trim(regexp_replace(lower(coalesce(any_value(text), '')), '[^a-z0-9]+', ' ', 'g')) AS s FROM conversations GROUP BY 1),
+        p AS (SELECT DISTINCT array_to_string(string_split(s, ' ')[1:3], ' ') AS phrase FROM t),
+        w AS (SELECT DISTINCT array_to_string(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')), ' ')[1:2], ' ') AS phrase FROM documents),
+        g AS (SELECT id, arg_min(phrase, (-length(phrase), phrase)) AS geo FROM t JOIN p ON phrase <> '' AND contains(' ' || s || ' ', ' ' || phrase || ' ') GROUP BY id),
+        h AS (SELECT id, min(phrase) AS term FROM t JOIN w ON phrase <> '' AND contains(' ' || s || ' ', ' ' || phrase || ' ') GROUP BY id)
+        SELECT id, geo, term, CASE WHEN geo IS NULL THEN 'no place' WHEN term IS NULL THEN 'no product' END AS reason FROM t LEFT JOIN g USING (id) LEFT JOIN h USING (id)""",
     "snk5_upsert": f"""WITH {EVENTS}, d AS (SELECT dispensary_id, product_id, day, count(*) AS n, arg_max(brand, seq) AS brand FROM ev GROUP BY ALL)
         SELECT dispensary_id, product_id, arg_max(brand, day) AS brand, CAST(max(day) AS VARCHAR) AS last_day,
           string_agg(strftime(day, '%m%d') || ':' || n, ',' ORDER BY day) AS history FROM d GROUP BY ALL""",

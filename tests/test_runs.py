@@ -8,7 +8,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import ranking, series
+from tallyloom.operators import outreach, ranking, regions, series
 from tallyloom.operators.tally import Tally
 from tallyloom.plans import derivation, envelope, keyed
 from tallyloom.plans.increments import OwnMedians
@@ -193,3 +193,52 @@ def test_places_over_a_whole_table(spark):
     order = sorted(values, key=lambda v: (-v[0], v[1]))
     assert sorted((r.place, (r.a, r.b)) for r in got) == list(enumerate(order, 1))
     assert ranking.ranked(rows.where("false"), "a").count() == 0
+
+
+def brute_clusters(places, radius):
+    from math import asin, cos, radians, sin, sqrt
+
+    def miles(p, q):
+        a, b, c, d = map(radians, (p[1], p[2], q[1], q[2]))
+        return 2 * 3958.8 * asin(min(1.0, sqrt(sin((c - a) / 2) ** 2 + cos(a) * cos(c) * sin((d - b) / 2) ** 2)))
+
+    low = {p[0]: p[0] for p in places}
+    changed = True
+    pairs = [(p[0], q[0]) for k, p in enumerate(places) for q in places[:k] if miles(p, q) <= radius]
+    while changed:
+        changed = False
+        for a, b in pairs:
+            m = min(low[a], low[b])
+            if (low[a], low[b]) != (m, m):
+                low[a] = low[b] = m
+                changed = True
+    return low
+
+
+@pytest.mark.parametrize("seed,spread,lat", [(1, 3.0, 47.0), (2, 0.6, 47.0), (3, 2.0, 0.0), (4, 4.0, 66.0)])
+def test_clusters_equal_brute_force(spark, seed, spread, lat):
+    rng = random.Random(seed)
+    places = [(f"s{k:03}", lat + rng.uniform(-spread, spread), -122 + rng.uniform(-spread, spread)) for k in range(220)]
+    places += [(f"t{k:03}", lat + 0.001 * k, -100.0) for k in range(60)]
+    rows = spark.createDataFrame([*places, ("none", None, 1.0), ("nan", float("nan"), 1.0)], "dispensary_id string, lat double, lng double")
+    got = {r.dispensary_id: r.cluster_id for r in regions.clusters(rows).collect()}
+    assert got == brute_clusters(places, regions.RADIUS_MILES)
+
+
+def test_a_dense_city_makes_no_pairs(spark):
+    """100,000 stores in one city are one cluster through a handful of cells; a far store is its own."""
+    city = spark.range(100_000).select(F.concat(F.lit("c"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("dispensary_id"), (47.0 + F.rand(3) * 0.5).alias("lat"), (-122.0 + F.rand(4) * 0.5).alias("lng"))
+    far = spark.createDataFrame([("x", 49.0, -122.0)], "dispensary_id string, lat double, lng double")
+    found = regions.clusters(city.unionByName(far)).groupBy("cluster_id").count().collect()
+    assert {(r.cluster_id, r["count"]) for r in found} == {("c000000", 100_000), ("x", 1)}
+
+
+def test_phrases_of_a_table(spark):
+    posts = spark.createDataFrame([(1, "In Kent, WA: cheap 1/8 oz!"), (2, "kentish cheap"), (3, None), (4, "la la land kent")], "id int, text string")
+    many = [(f"filler {k}",) for k in range(10_000)]
+    phrases = spark.createDataFrame([("Kent",), ("kent wa",), ("cheap 1 8",), ("la la",), ("",), (None,), ("!!",), ("kent",), *many], "phrase string")
+    got = sorted((r.id, r.phrase) for r in outreach.phrase_hits(posts, phrases).collect())
+    assert got == [(1, "Kent"), (1, "cheap 1 8"), (1, "kent"), (1, "kent wa"), (4, "Kent"), (4, "kent"), (4, "la la")]
+    plan = outreach.phrase_hits(posts, phrases)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "filler" not in plan
+    assert outreach.phrase_hits(posts, phrases.where("false")).count() == 0
