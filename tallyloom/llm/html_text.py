@@ -22,15 +22,15 @@ from pyspark.sql import functions as F
 
 _HARD = (
     r"</?(?:address|article|aside|blockquote|body|dl|d[dt]|fieldset|figure|footer|form|h[1-6]|header|html|li|main|nav|ol|p|pre|section|table|t[dhr]|ul)\b"
-    r"|<(?:svg|select|button|datalist|annotation)\b"
+    r"|<(?:svg|select|button|datalist|annotation|iframe)\b"
 )
-#: A control, drawing or annotation without its end tag before a block that it cannot hold ends at the next block.
+#: A control, drawing, frame or annotation without its end tag before a block that it cannot hold ends at the next block.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)"
     r"|<(?:svg|math|annotation(?:-xml)?)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<=/)>"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|object|canvas)\b[^>]*>"
+    r"|<(?P<raw>script|style|noscript|template|textarea|title|object|canvas)\b[^>]*>"
     r".*?(?:</(?P=raw)\b[^>]*>|$)"
-    r"|<(?P<short>svg|select|button|datalist|annotation-xml|annotation)\b[^>]*>"
+    r"|<(?P<short>svg|select|button|datalist|annotation-xml|annotation|iframe)\b[^>]*>"
     rf"(?:(?:(?!{_HARD}).)*?</(?P=short)\b[^>]*>|.*?(?={_HARD}|</?(?:div|hr|center|dir|details|dialog|hgroup|menu|search|summary|tbody|thead|tfoot|caption|figcaption)\b|$))"
     r"|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|</?[a-z][^>]*(?:>|$)|<[!?/][^>]*(?:>|$)",
@@ -53,10 +53,23 @@ UNWANTED = frozenset(
     " breadcrumbs comment comments commentlist respond disqus discussion cookie cookies consent gdpr footer footnav header"
     " masthead menu nav navbar navigation newsletter notice notices alert notification paywall subscribe subscription"
     " popup modal overlay pagination pager related recommended recommendations share sharing social sidebar sidebars"
-    " skip toolbar topbar widget widgets reply replies signup login".split()
+    " skip toolbar topbar widget widgets reply replies signup login thread threads".split()
 )
 #: Words that sections of an article bear too; inside one their containers are judged by what they hold.
-SECTION_WORDS = frozenset("alert discussion header notice notices related".split())
+SECTION_WORDS = frozenset("alert discussion header menu notice notices related".split())
+#: Words that name nothing but what is no article, whatever word stands beside them.
+ALWAYS = frozenset(
+    "advert adverts advertisement advertising adsense sponsored breadcrumb breadcrumbs comment comments commentlist respond disqus"
+    " cookie cookies consent gdpr newsletter paywall subscribe pagination sidebar sidebars reply replies signup login".split()
+)
+#: Words of layout: beside a word of the list they tell nothing. Any other word may make a name of the article's own, as in "ad-hoc".
+LAYOUT = frozenset(
+    "area bar block body bottom box boxes button buttons card cards center close col column columns container content cta fixed float"
+    " footer full global group head heading holder horizontal icon icons image img in inline inner item items label large layout left"
+    " link links list lower main mid middle mini mobile module more native outer page panel pane placeholder post posts primary rail"
+    " region right row secondary section side site slot small space sticky strip tab tabs title top unit upper vertical view"
+    " wide wrap wrapper zone js css id no nofollow desktop tablet print hidden visible us on by the a of".split()
+)
 CONTENT_TAGS = frozenset(["html", "body", "main", "article"])
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
@@ -88,7 +101,8 @@ def _unwanted(tag: str, attrs: str, inside_article: bool) -> tuple[bool, str]:
             for k, word in enumerate(words):
                 if word in UNWANTED and not (k and words[k - 1] in ("no", "has", "with", "without")):
                     if not (word == "header" and inside_article) and (not suspect or suspect in SECTION_WORDS):
-                        suspect = word
+                        own = [w for w in words if w not in UNWANTED and w not in LAYOUT and not w.isdigit() and len(w) > 2]
+                        suspect = "related" if inside_article and own and word not in ALWAYS else word
         elif name == "role" and value.lower() in DROPPED_ROLES:
             return True, ""
         elif name == "hidden" and not value or name == "aria-hidden" and value.lower() == "true":
@@ -277,6 +291,14 @@ def _blocks(node: Node, out: list[str], inside_header: bool = False) -> None:
     end()
 
 
+def _sentences(node: Node) -> bool:
+    """Whether a container holds nothing but paragraphs, the last of which ends as a sentence does, and no links."""
+    if node.linked or not node.children or any(n.tag != "p" for n in node.children) or any(isinstance(p, str) and p.strip() for p in node.parts):
+        return False
+    last = "".join(p for p in node.children[-1].parts if isinstance(p, str)).rstrip(" \t\n\r\f\"'\u201d\u2019\u00bb)")
+    return last.endswith((".", "!", "?", "\u2026", "\u3002"))
+
+
 def main_text(html: str) -> str:
     # where the words of the list leave nothing, they are not heeded: the best container is never dropped for its name
     return _main_text(parse(html)) or _main_text(parse(html, heed=False))
@@ -292,6 +314,10 @@ def _main_text(root: Node) -> str:
     siblings = parent.children if parent is not None and best.tag not in ("main", "body") else [best]
     if best.tag == "article":  # more articles beside it are of the page's text if they score like it
         siblings = [node for node in siblings if node.tag == "article"]
+    if best.tag == "article" and not any(n.tag in HEADINGS for n in _nodes(best)) and parent is not None:
+        # an article without a heading of its own has that before it in its main element
+        title = [n for n in parent.children[: parent.children.index(best)] if n.tag == "h1" and not n.dropped and density(n) < 0.25]
+        siblings = title[-1:] + siblings
     limit = best.score * 0.2
     for node in siblings:
         if node is best:
@@ -301,7 +327,7 @@ def _main_text(root: Node) -> str:
         elif node.tag in PARAGRAPHS:
             take = density(node) < 0.25
         else:
-            take = node.score >= limit and density(node) < 0.25
+            take = density(node) < 0.25 and (node.score >= limit or _sentences(node))
         if take:
             _blocks(node, out)
     return "\n".join(out)

@@ -340,3 +340,35 @@ def test_links_in_raw_elements_are_none(spark):
     con.register("pages", frame)
     told = con.sql(f"SELECT page_id, verdict FROM ({url_filter.URL_FILTER_SQL})").fetchall()
     assert dict(told) == {k: v for k, v in got.items() if k < 200}
+
+
+PROSE = "This is a long paragraph of the article, with commas, and words, that goes on for a good while so that it scores well here."
+IN_ARTICLE = f"<html><body><nav><a href=/a>x</a></nav><%s><h1>T</h1><p>{PROSE}</p>%s<p>{PROSE} End.</p></%s></body></html>"
+
+
+@pytest.mark.parametrize("tag", ["article", "main"])
+@pytest.mark.parametrize("name", ['section id="social-history"', 'section id="ad-hoc"', 'section id="banner-years"', 'div class="widget-text"', 'div id="menu"'])
+def test_names_of_the_articles_own_delete_no_prose(name, tag):
+    element = name.split()[0]
+    text = html_text.main_text(IN_ARTICLE % (tag, f"<{name}><p>Kept. {PROSE}</p></{element}>", tag))
+    assert text == f"T\n{PROSE}\nKept. {PROSE}\n{PROSE} End."
+
+
+@pytest.mark.parametrize(
+    "name",
+    ['div class="ad"', 'div class="ad-slot-2"', 'div id="comments"', 'section class="comments-area"', 'div class="comment-text-body"', 'div class="cookie-notice"', 'div class="social-share"', 'ol class="thread"', 'div class="sidebar-history"'],
+)
+def test_what_is_no_article_goes_from_within_it(name):
+    element = name.split()[0]
+    inner = "li" if element == "ol" else "p"
+    text = html_text.main_text(IN_ARTICLE % ("article", f"<{name}><{inner}>Gone. {PROSE}</{inner}></{element}>", "article"))
+    assert text == f"T\n{PROSE}\n{PROSE} End."
+
+
+def test_short_ends_titles_and_open_frames():
+    body = f"<body><div id=w><div class=lead><p>Short lead.</p></div><div><p>{PROSE}</p><p>{PROSE}</p></div><div><p>Bye now.</p></div><div><p><a href=x>More.</a></p></div></div></body>"
+    assert html_text.main_text(body) == f"Short lead.\n{PROSE}\n{PROSE}\nBye now."
+    assert html_text.main_text(f"<main><h1>Title</h1><article><p>{PROSE}</p></article></main>") == f"Title\n{PROSE}"
+    assert html_text.main_text(f"<main><h1>Site</h1><article><h1>Own</h1><p>{PROSE}</p></article></main>") == f"Own\n{PROSE}"
+    assert html_text.main_text(IN_ARTICLE % ("article", "<iframe src=x>", "article")).endswith("End.")
+    assert "fall" not in html_text.main_text(IN_ARTICLE % ("article", "<iframe src=x>fall</iframe>", "article"))
