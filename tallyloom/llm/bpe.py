@@ -40,8 +40,8 @@ FREQUENT = 200_000
 LONGEST = 32
 COUNTED = 300_000  # words that a task counts before it hands them on
 REMEMBERED = 150_000  # words beyond the table that a task remembers
-BLOCK = 1 << 22  # code points split at a time
-DEAL = 50_000  # words replayed at a time
+BLOCK = 1 << 23  # code points split at a time
+DEAL = 150_000  # words replayed at a time
 ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 
 
