@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from ..functions.matching import LOCALITIES, OUTSIDE, channel, place_kind, topic_fits
 from ..functions.numbers import drop_percent, positive
 from ..functions.text import phrase_present, plain_phrase, slug
+from ..functions.times import fact_freshness
 from .outreach import fit_score, in_channel
 
+BRAND_INTENTS = (2, 6)
 CATEGORIES = ["Flower", "Vaporizers", "Pre-Rolls", "Concentrate", "Edible"]
 
 
@@ -106,6 +108,27 @@ def concerns_brand(name: Column, brand: Column) -> Column:
     return (wanted != "") & phrase_present(plain_phrase(name), wanted)
 
 
+def mention_candidates(posts: DataFrame, dated: DataFrame, now: str, **sources: DataFrame) -> DataFrame:
+    """Classified posts with the fact that answers each, and how fresh that is: fact, name, category, region, price, fact_as_of, freshness.
+
+    posts: post_id, topic, place, intent, brand. dated: kind, as_of, a row for each kind of fact. Posts without an intent or
+    of intent 0 are left out. The fact is chosen by topic and place; for the intents that ask about one brand it is none
+    unless it is about that brand. Each kind of fact is as fresh as the run that made it; no fact has no freshness.
+    """
+    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    asked = posts.where("intent <> 0").withColumns({"_topic": text("topic"), "_place": text("place")})
+    chosen = select_facts(asked.select(F.col("_topic").alias("topic"), F.col("_place").alias("place")), **sources)
+    columns = ["name", "category", "region", "price"]
+    chosen = chosen.select(F.col("topic").alias("_topic"), F.col("place").alias("_place"), F.col("kind").alias("_kind"), *[F.col(c).alias(f"_{c}") for c in columns])
+    met = asked.join(chosen, ["_topic", "_place"])
+    unlike = F.col("intent").isin(*BRAND_INTENTS) & (text("brand") != "") & ~concerns_brand(F.col("_name"), F.col("brand"))
+    kept = (F.col("_kind") != "none") & ~F.coalesce(unlike, F.lit(False))
+    own = {"fact": F.when(kept, F.col("_kind"))} | {c: F.when(kept, F.col(f"_{c}")) for c in columns}
+    stamped = met.select(*[c for c in posts.columns if c not in own], *[v.alias(c) for c, v in own.items()])
+    stamped = stamped.join(dated.select(F.col("kind").alias("fact"), F.col("as_of").alias("fact_as_of")), "fact", "left")
+    return stamped.withColumn("freshness", F.when(F.col("fact").isNull(), "").otherwise(fact_freshness(F.coalesce("fact_as_of", F.lit("")), now)))
+
+
 def in_state(candidates: DataFrame, names: DataFrame) -> DataFrame:
     """Candidates about the state: by their place, or, where that says nothing, by title, snippet and place together.
 

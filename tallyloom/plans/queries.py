@@ -526,7 +526,7 @@ def jes5_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t3_category_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    present = _presence(spark, sf_dir)
+    present = staged(_presence(spark, sf_dir), "presence")
     stores = present.select("dispensary_id").distinct()
     return stores.crossJoin(F.broadcast(present.select("category").distinct())).join(present, ["dispensary_id", "category"], "left_anti")
 

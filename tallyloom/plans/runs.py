@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as ft
-from ..operators import outreach, ranking, series
+from ..operators import facts, outreach, ranking, series
 from ..sources import adapter
 from ..streaming import jobs, states
 from . import derivation, increments, keyed
@@ -84,6 +84,18 @@ def f26_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outreach.prefilter_by_tables(posts, places, terms).select("id", "geo", "term", "reason")
 
 
+AS_OF = [("regional-floor", f"{q.EVENT_DAY} 04:00:00"), ("disparity", "2023-11-01 04:00:00")]
+
+
+def x12_mention_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts with the fact that answers each: by topic and place, of the brand where one is asked about, as fresh as its run."""
+    n = F.col("page_id")
+    posts = q._read(spark, sf_dir, "pages").select(n.alias("post_id"), q._turn(q.TOPICS, n).alias("topic"), q._turn(q.ASKED, F.floor(n / 2)).alias("place"), (n % 8).alias("intent"), q._turn(["ring", "BOLT ", "", None], F.floor(n / 8)).alias("brand"))
+    dated = spark.createDataFrame(AS_OF, "kind string, as_of string")
+    found = facts.mention_candidates(posts, dated, f"{q.EVENT_DAY} 12:00:00", **q._fact_sources(spark, sf_dir))
+    return found.select("post_id", "fact", "category", "price", "fact_as_of", "freshness")
+
+
 HISTORY = "dispensary_id string, product_id string, brand string, last_day date, history array<struct<day:date,observations:bigint>>"
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracles import ARRIVALS, EVENTS, FLOORS, GATED, HEALTH, MEDIANS, PAIRS, PLACES, RECORDS
+from .oracles import ARRIVALS, EVENTS, FACTS, GATED, HEALTH, MEDIANS, PAIRS, PLACE, RECORDS, TOPIC
 from .oracles import ORACLES as FIRST
 
 DAY = "2024-01-30"
@@ -123,6 +123,18 @@ ORACLES = {
         g AS (SELECT id, arg_min(phrase, (-length(phrase), phrase)) AS geo FROM t JOIN p ON phrase <> '' AND contains(' ' || s || ' ', ' ' || phrase || ' ') GROUP BY id),
         h AS (SELECT id, min(phrase) AS term FROM t JOIN w ON phrase <> '' AND contains(' ' || s || ' ', ' ' || phrase || ' ') GROUP BY id)
         SELECT id, geo, term, CASE WHEN geo IS NULL THEN 'no place' WHEN term IS NULL THEN 'no product' END AS reason FROM t LEFT JOIN g USING (id) LEFT JOIN h USING (id)""",
+    "x12_mention_candidates": f"""WITH RECURSIVE {FACTS},
+        post AS (SELECT page_id AS post_id, page_id % 8 AS intent, CASE page_id // 8 % 4 WHEN 0 THEN 'ring' WHEN 1 THEN 'bolt' END AS brand,
+          {TOPIC.format(n="page_id")} AS topic, {PLACE.format(n="(page_id // 2)")} AS place FROM pages WHERE page_id % 8 <> 0),
+        ask AS (SELECT DISTINCT topic, place FROM post),
+        one AS (SELECT topic, place, kind, category, price, k3 AS name FROM (
+          SELECT a.topic, a.place, f.*, row_number() OVER (PARTITION BY a.topic, a.place ORDER BY o, k1, k2, k3, k4, k5, f.category) AS n
+          FROM ask a JOIN meant m ON m.place = a.place JOIN fit USING (topic) JOIN fact f ON f.category = fit.category AND (f.o = 2 OR f.region = m.region OR (f.o = 3 AND m.region IS NULL))
+          WHERE m.place_kind <> 'outside' AND NOT (m.place_kind = 'uncovered' AND a.place <> '')) WHERE n = 1),
+        kept AS (SELECT p.post_id, o.* FROM post p LEFT JOIN one o ON o.topic = p.topic AND o.place = p.place
+          AND NOT (p.intent IN (2, 6) AND p.brand IS NOT NULL AND NOT contains(' ' || lower(o.name) || ' ', ' ' || p.brand || ' ')))
+        SELECT post_id, kind AS fact, category, price, CASE kind WHEN 'regional-floor' THEN '2024-01-30 04:00:00' WHEN 'disparity' THEN '2023-11-01 04:00:00' END AS fact_as_of,
+          CASE WHEN kind IS NULL THEN '' WHEN kind = 'regional-floor' THEN 'fresh' WHEN kind = 'disparity' THEN 'stale' ELSE '' END AS freshness FROM kept""",
     "snk5_upsert": f"""WITH {EVENTS}, d AS (SELECT dispensary_id, product_id, day, count(*) AS n, arg_max(brand, seq) AS brand FROM ev GROUP BY ALL)
         SELECT dispensary_id, product_id, arg_max(brand, day) AS brand, CAST(max(day) AS VARCHAR) AS last_day,
           string_agg(strftime(day, '%m%d') || ':' || n, ',' ORDER BY day) AS history FROM d GROUP BY ALL""",
