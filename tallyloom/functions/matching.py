@@ -17,6 +17,7 @@ TOPIC_WORDS = {
 }
 OUTSIDE = "or oregon portland eugene salem id idaho boise coeur ca california ak alaska mt montana nv nevada az arizona".split()
 LOCALITIES = "seattle tacoma spokane olympia everett bellevue kent renton marysville bellingham yakima redmond kirkland auburn puyallup".split()
+AREA_CODES = {"bellingham": ["360", "564"], "everett": ["425", "564"], "mount-vernon": ["360", "564"]}
 AGENTS = [
     "Googlebot",
     "Google-Extended",
@@ -115,3 +116,22 @@ def uniform32(seed: Column) -> Column:
     t = times(a.bitwiseXOR(F.shiftrightunsigned(a, 15)), a.bitwiseOR(F.lit(1)))
     t = (t + times(t.bitwiseXOR(F.shiftrightunsigned(t, 7)), t.bitwiseOR(F.lit(61)))).bitwiseAND(mask).bitwiseXOR(t)
     return t.bitwiseXOR(F.shiftrightunsigned(t, 14)) / 4294967296.0
+
+
+def area_codes(region: Column) -> Column:
+    """The telephone prefixes by which a region is called, its main one first; an empty list where none is known."""
+    found = F.array().cast("array<string>")
+    for name, codes in AREA_CODES.items():
+        found = F.when(region == name, F.array(*[F.lit(c) for c in codes])).otherwise(found)
+    return found
+
+
+def area_code_keywords(region: Column) -> Column:
+    """Each prefix, bare and with its article: words that a page may be found by, and no claim of service."""
+    return F.flatten(F.transform(area_codes(region), lambda c: F.array(c, F.concat(F.lit("the "), c))))
+
+
+def area_nickname(region: Column, label: Column) -> Column:
+    """A sentence that names the main prefix; empty where none is known."""
+    first = F.get(area_codes(region), F.lit(0))
+    return F.coalesce(F.concat(F.lit("Locals sometimes call the "), label, F.lit(' area "the '), first, F.lit('."')), F.lit(""))

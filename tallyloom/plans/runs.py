@@ -7,6 +7,7 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import matching as fm
 from ..functions import text as ft
 from ..operators import facts, outreach, ranking, series
 from ..sources import adapter
@@ -84,6 +85,14 @@ def f26_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outreach.prefilter_by_tables(posts, places, terms).select("id", "geo", "term", "reason")
 
 
+def s31_area_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefixes, keywords and nickname of each store's region."""
+    towns = adapter.stores(spark, sf_dir).withColumn("label", q._turn(["Bellingham", "Everett", "Mount Vernon", "Seattle", None], F.substring("dispensary_id", 2, 12).cast("int")))
+    region = ft.slug(F.col("label"))
+    told = lambda c: F.array_join(c, ",")
+    return towns.select("dispensary_id", told(fm.area_codes(region)).alias("codes"), told(fm.area_code_keywords(region)).alias("keywords"), fm.area_nickname(region, F.col("label")).alias("nickname"))
+
+
 AS_OF = [("regional-floor", f"{q.EVENT_DAY} 04:00:00"), ("disparity", "2023-11-01 04:00:00")]
 
 

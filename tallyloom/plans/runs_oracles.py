@@ -135,6 +135,10 @@ ORACLES = {
           AND NOT (p.intent IN (2, 6) AND p.brand IS NOT NULL AND NOT contains(' ' || lower(o.name) || ' ', ' ' || p.brand || ' ')))
         SELECT post_id, kind AS fact, category, price, CASE kind WHEN 'regional-floor' THEN '2024-01-30 04:00:00' WHEN 'disparity' THEN '2023-11-01 04:00:00' END AS fact_as_of,
           CASE WHEN kind IS NULL THEN '' WHEN kind = 'regional-floor' THEN 'fresh' WHEN kind = 'disparity' THEN 'stale' ELSE '' END AS freshness FROM kept""",
+    "s31_area_codes": """SELECT 's' || s_suppkey AS dispensary_id, CASE s_suppkey % 5 WHEN 0 THEN '360,564' WHEN 1 THEN '425,564' WHEN 2 THEN '360,564' ELSE '' END AS codes,
+        CASE s_suppkey % 5 WHEN 0 THEN '360,the 360,564,the 564' WHEN 1 THEN '425,the 425,564,the 564' WHEN 2 THEN '360,the 360,564,the 564' ELSE '' END AS keywords,
+        CASE s_suppkey % 5 WHEN 0 THEN 'Locals sometimes call the Bellingham area "the 360."' WHEN 1 THEN 'Locals sometimes call the Everett area "the 425."'
+          WHEN 2 THEN 'Locals sometimes call the Mount Vernon area "the 360."' ELSE '' END AS nickname FROM supplier""",
     "snk5_upsert": f"""WITH {EVENTS}, d AS (SELECT dispensary_id, product_id, day, count(*) AS n, arg_max(brand, seq) AS brand FROM ev GROUP BY ALL)
         SELECT dispensary_id, product_id, arg_max(brand, day) AS brand, CAST(max(day) AS VARCHAR) AS last_day,
           string_agg(strftime(day, '%m%d') || ':' || n, ',' ORDER BY day) AS history FROM d GROUP BY ALL""",
