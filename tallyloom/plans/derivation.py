@@ -60,6 +60,11 @@ class Run:
             raise MissingFact(f"needs {name}, which this run did not write")
         return self.written[name]
 
+    def close(self) -> None:
+        """Delete what run_over staged; the facts stay."""
+        for table in (self.records, self.daily):
+            drop_staged(table)
+
     @cached_property
     def presence(self) -> DataFrame:
         return staged(self.records.select("dispensary_id", "category").distinct(), "presence")

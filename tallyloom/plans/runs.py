@@ -25,7 +25,9 @@ def _derived(spark: SparkSession, sf_dir: str) -> tuple[derivation.Run, DataFram
         spark, new_path(spark, "run"), adapter.latest_records(spark, sf_dir), watched, places=adapter.stores(spark, sf_dir), deals=adapter.deals(spark, sf_dir),
         record_day=q.TODAY, series_day=q.EVENT_DAY, max_lag_days=q.LAG,
     )
-    return run, derivation.derive(run, f"{q.EVENT_DAY}T00:00:00Z")
+    manifest = derivation.derive(run, f"{q.EVENT_DAY}T00:00:00Z")
+    run.close()
+    return run, manifest
 
 
 #: Of each fact, what names a row and the figure that is compared.

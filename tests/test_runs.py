@@ -8,7 +8,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import outreach, ranking, regions, series
+from tallyloom.operators import facts, outreach, ranking, regions, series
 from tallyloom.operators.tally import Tally
 from tallyloom.plans import derivation, envelope, keyed
 from tallyloom.plans.increments import OwnMedians
@@ -242,3 +242,16 @@ def test_phrases_of_a_table(spark):
     plan = outreach.phrase_hits(posts, phrases)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and "filler" not in plan
     assert outreach.phrase_hits(posts, phrases.where("false")).count() == 0
+
+
+def test_mentions_get_the_fact_that_answers_them(spark):
+    names = spark.createDataFrame([("slug", "kent", "kent", "s1"), ("name", "kent", "kent", "s1")], "by string, name string, region string, cluster_id string")
+    floors = spark.createDataFrame([("kent", "Flower", "Blue Dream", 3.5, 20.0, False)], "region string, category string, display_name string, weight_grams double, floor_price double, stale boolean")
+    gaps = spark.createDataFrame([("Edible", "Wyld Gummy", 1.0, 5.0, 9.0, 0.8, [("s1", 5.0), ("s2", 9.0)])], "category string, display_name string, weight_grams double, low_price double, high_price double, spread_pct double, stores_carrying array<struct<dispensary_id:string,price:double>>")
+    drops = spark.createDataFrame([], "dispensary_id string, region string, category string, name string, current_price double, median_price double, pct_vs_median double")
+    posts = [(1, "flower", "Kent", 1, "wyld"), (2, "flower", "Kent", 2, "wyld"), (3, "flower", "Kent", 2, "Blue dream!"), (4, "flower", "Kent", 6, ""), (5, "edibles", "WA", 6, "wyld"), (6, "flower", "Boise, ID", 1, None), (7, "x", "", 0, ""), (8, None, None, None, None)]
+    rows = spark.createDataFrame(posts, "post_id int, topic string, place string, intent int, brand string")
+    dated = spark.createDataFrame([("regional-floor", "2026-01-30 04:00:00"), ("disparity", "2025-11-01 04:00:00")], "kind string, as_of string")
+    found = facts.mention_candidates(rows, dated, "2026-01-30 12:00:00", floors=floors, gaps=gaps, drops=drops, names=names)
+    got = {r.post_id: (r.fact, r.freshness) for r in found.collect()}
+    assert got == {1: ("regional-floor", "fresh"), 2: (None, ""), 3: ("regional-floor", "fresh"), 4: ("regional-floor", "fresh"), 5: ("disparity", "stale"), 6: (None, "")}
