@@ -17,19 +17,21 @@ __all__ = ["connected_components", "delete", "new_path", "stage", "unstage"]
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 BATCH_ROWS = 1000
+BATCH_BYTES = "8m"
 
 
 def prepare(spark: SparkSession) -> None:
     """Settings of the session that the operators with Python tasks rely on.
 
     Workers on this machine can import the library; a cluster gets it with the job (--py-files). Documents
-    are long, so Arrow batches hold fewer rows than Spark's 10,000.
+    are long, so Arrow batches hold fewer rows than Spark's 10,000 and fewer bytes than its 64 MB.
     """
     root = str(Path(__file__).resolve().parents[2])
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(":"):
         spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{known}".rstrip(":")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def ascii_lower(text: Column) -> Column:
