@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.matching import LOCALITIES, OUTSIDE, channel, place_kind, topic_fits
-from ..functions.numbers import drop_percent, positive
+from ..functions.numbers import drop_percent, positive, usd
 from ..functions.text import phrase_present, plain_phrase, slug
 from ..functions.times import fact_freshness
 from .outreach import fit_score, in_channel
+from .ranking import ranked
 
 BRAND_INTENTS = (2, 6)
 CATEGORIES = ["Flower", "Vaporizers", "Pre-Rolls", "Concentrate", "Edible"]
@@ -172,6 +173,28 @@ def worklist(pairs: DataFrame, limit: int = 10) -> DataFrame:
     return pairs.orderBy(F.desc("fit_score"), "url").limit(limit)
 
 
+def worklist_lines(best: DataFrame, counters: DataFrame, generated_at: str) -> DataFrame:
+    """(n, line): the worklist as a page of Markdown, in order. best: of worklist, so few rows; counters: of worklist_counters.
+
+    Each row becomes a heading with its place, its thread with the day of posting if known, its channel and its fact.
+    """
+    place = ranked(best, F.desc("fit_score"), "url", name="_place")
+    title = F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.col("url"))
+    posted = F.when(F.try_to_timestamp(F.col("posted").cast("string")).isNotNull(), F.concat(F.lit(" ("), F.col("posted").cast("string"), F.lit(")"))).otherwise("")
+    fact = F.concat_ws(" ", "kind", F.concat(F.lit("in "), F.col("category")), F.concat(F.lit("at "), usd(F.col("price"))))
+    of_row = F.array(
+        F.concat(F.lit("## "), F.col("_place").cast("string"), F.lit(". "), title),
+        F.concat(F.lit("- Thread: "), F.col("url"), posted),
+        F.concat(F.lit("- Channel: "), F.col("channel")),
+        F.concat(F.lit("- Fact: "), fact),
+        F.lit(""),
+    )
+    lines = place.select("_place", F.posexplode(of_row)).select((F.col("_place") * 5 + F.col("pos")).alias("n"), F.col("col").alias("line"))
+    told = F.concat(F.lit(f"Generated {generated_at}. Scanned "), F.col("scanned").cast("string"), F.lit(", kept "), F.col("kept").cast("string"), F.lit("."))
+    head = F.array(F.lit("# Worklist"), F.lit(""), told, F.coalesce(F.concat(F.lit("Nothing to act on: "), F.col("reason"), F.lit(".")), F.lit("")))
+    return counters.select(F.posexplode(head)).select(F.col("pos").cast("long").alias("n"), F.col("col").alias("line")).unionByName(lines.withColumn("n", F.col("n").cast("long")))
+
+
 def worklist_counters(candidates: DataFrame, pairs: DataFrame) -> DataFrame:
     """One row: candidates scanned and kept, and the reason where none was."""
     both = candidates.agg(F.count("*").alias("scanned")).crossJoin(pairs.agg(F.count("*").alias("kept")))

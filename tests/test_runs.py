@@ -255,3 +255,19 @@ def test_mentions_get_the_fact_that_answers_them(spark):
     found = facts.mention_candidates(rows, dated, "2026-01-30 12:00:00", floors=floors, gaps=gaps, drops=drops, names=names)
     got = {r.post_id: (r.fact, r.freshness) for r in found.collect()}
     assert got == {1: ("regional-floor", "fresh"), 2: (None, ""), 3: ("regional-floor", "fresh"), 4: ("regional-floor", "fresh"), 5: ("disparity", "stale"), 6: (None, "")}
+
+
+def test_worklist_as_a_page(spark):
+    pairs = spark.createDataFrame(
+        [("http://b", " ", "2026-01-02", "reddit", "disparity", "Flower", 20.0, 210.5), ("http://a", "Where to buy", "unknown", "forum", "own-median", None, 8.5, 300.0)],
+        "url string, title string, posted string, channel string, kind string, category string, price double, fit_score double",
+    )
+    counters = facts.worklist_counters(spark.range(7), pairs)
+    lines = [r.line for r in facts.worklist_lines(facts.worklist(pairs), counters, "2026-01-30").orderBy("n").collect()]
+    assert lines[:4] == ["# Worklist", "", "Generated 2026-01-30. Scanned 7, kept 2.", ""]
+    assert lines[4] == "" or lines[4].startswith("## 1.")
+    page = "\n".join(lines)
+    assert "## 1. Where to buy\n- Thread: http://a\n- Channel: forum\n- Fact: own-median at $8.50\n" in page
+    assert "## 2. http://b\n- Thread: http://b (2026-01-02)\n- Channel: reddit\n- Fact: disparity in Flower at $20" in page
+    none = facts.worklist_lines(pairs.where("false"), facts.worklist_counters(spark.range(0), pairs.where("false")), "2026-01-30").collect()
+    assert [r.line for r in sorted(none, key=lambda r: r.n)][3] == "Nothing to act on: no candidates."
