@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numbers import let
+
 # Weekdays in order, cue patterns of scopes.
 DAYS = ["sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday"]
 EVERYDAY = "everyday"
@@ -82,19 +84,19 @@ def deal_scope(description: Column) -> Column:
 
     targeted is the word that names goods out of the catalog. Ambiguity is 'unresolved', never storewide.
     """
-    d = F.lower(description)
-
     def made(kind: str, category: str | None = None, grams: float | None = None, targeted: Column | None = None) -> Column:
         word = F.lit(None).cast("string") if targeted is None else targeted
         return F.struct(F.lit(kind).alias("kind"), F.lit(category).cast("string").alias("category"), F.lit(grams).cast("double").alias("weight_grams"), word.alias("targeted"))
 
-    found = made("unresolved")
-    for pattern, unless, kind, category, grams in reversed(SCOPES):
-        fits = d.rlike(pattern) if unless is None else d.rlike(pattern) & ~d.rlike(unless)
-        found = F.when(fits, made(kind, category, grams)).otherwise(found)
-    words = [F.regexp_extract(d, f"({cue})", 1) for cue in UNSUPPORTED]
-    first = F.coalesce(*[F.when(w != "", w) for w in words])
-    return F.when(first.isNotNull(), made("unsupported-category", targeted=first)).otherwise(found)
+    def scope(d: Column) -> Column:
+        found = made("unresolved")
+        for pattern, unless, kind, category, grams in reversed(SCOPES):
+            fits = d.rlike(pattern) if unless is None else d.rlike(pattern) & ~d.rlike(unless)
+            found = F.when(fits, made(kind, category, grams)).otherwise(found)
+        words = [F.nullif(F.regexp_extract(d, f"({cue})", 1), F.lit("")) for cue in UNSUPPORTED]
+        return let(F.coalesce(*words), lambda word: F.when(word.isNotNull(), made("unsupported-category", targeted=word)).otherwise(found))
+
+    return let(F.lower(description), scope)
 
 
 def layered_sale(description: Column) -> Column:
@@ -148,7 +150,11 @@ PRICE_FLOOR = r"\b(?:than|over|above|greater|spend|min(?:imum)?|orders?\s+(?:ove
 
 def deal_icons(description: Column) -> Column:
     """Icons of a deal, families by where they first stand; whole-store and whole-order deals have their own alone."""
-    text = F.regexp_replace(F.regexp_replace(description, EXCLUSIONS, " "), FALSE_FRIENDS, " ")
+    return let(description, lambda d: let(F.regexp_replace(F.regexp_replace(d, EXCLUSIONS, " "), FALSE_FRIENDS, " "), lambda text: _icons(d, text)))
+
+
+def _icons(description: Column, text: Column) -> Column:
+    """text: the description without what it excludes and without words that only look like goods."""
     has = lambda p: text.rlike(f"(?i){p}")
     at = lambda p: F.regexp_instr(text, F.lit(f"(?i){p}"))
     hit = lambda name, p: F.struct(at(p).alias("at"), F.lit(0).alias("rank"), name.alias("name"))
@@ -157,16 +163,19 @@ def deal_icons(description: Column) -> Column:
     one = F.lit(None).cast("struct<at:int,rank:int,name:string>")
     for n, p in reversed(CONCENTRATES):
         one = F.when(has(p), hit(F.lit(n), p)).otherwise(one)
-    ranked = [F.struct(h["at"].alias("at"), F.lit(k).alias("rank"), h["name"].alias("name")) for k, h in enumerate([*hits, one])]
-    found = F.array_sort(F.filter(F.array(*ranked), lambda h: F.coalesce(h["at"] > 0, F.lit(False))))
-    icons = F.array_distinct(F.transform(found, lambda h: h["name"]))
-    icons = F.when(has(PRICE) & ~has(PRICE_FLOOR), F.concat(icons, F.array(F.lit("price-drop")))).otherwise(icons)
+    ranked = F.transform(F.array(*hits, one), lambda h, k: F.struct(h["at"].alias("at"), k.alias("rank"), h["name"].alias("name")))
+    found = F.array_sort(F.filter(ranked, lambda h: F.coalesce(h["at"] > 0, F.lit(False))))
+    priced = has(PRICE) & ~has(PRICE_FLOOR)
+
+    def told(icons: Column) -> Column:
+        all_of = F.when(priced, F.concat(icons, F.array(F.lit("price-drop")))).otherwise(icons)
+        return let(all_of, lambda i: F.when(F.size(i) == 0, F.array(F.lit("special-pricing"))).otherwise(i))
+
     return (
         F.when(F.trim(F.coalesce(description, F.lit(""))) == "", F.array().cast("array<string>"))
         .when(has(WHOLE_STORE), F.array(F.lit("store-wide")))
         .when(has(WHOLE_ORDER), F.array(F.lit("online-order")))
-        .when(F.size(icons) == 0, F.array(F.lit("special-pricing")))
-        .otherwise(icons)
+        .otherwise(let(F.array_distinct(F.transform(found, lambda h: h["name"])), told))
     )
 
 

@@ -20,6 +20,19 @@ LINKABLE = ["Flower", "Vaporizers", "Pre-Rolls"]
 LINKED_KINDS = ["storewide", "category"]
 
 
+def by_text(deals: DataFrame, **made: Column) -> DataFrame:
+    """deals with the columns `made` of their description, each distinct description judged once: deals repeat few of them.
+
+    Rows find what was made by equality, nulls too; AQE broadcasts it where it is small and splits descriptions that many
+    rows share. Distinct ones are dealt out by number, as judging costs more than their bytes tell.
+    """
+    spark = deals.sparkSession
+    texts = deals.select("description").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "description")
+    judged = staged(texts.select(F.col("description").alias("_text"), *[c.alias(f"_made_{n}") for n, c in made.items()]), "judged")
+    found = deals.join(judged, F.col("description").eqNullSafe(F.col("_text")))
+    return found.select(*[c for c in deals.columns if c not in made], *[F.col(f"_made_{n}").alias(n) for n in made])
+
+
 def usable_deals(deals: DataFrame) -> DataFrame:
     """Deals with a usable window and usable days, their descriptions cleaned."""
     ok = usable_window(F.col("start_time"), F.col("end_time")) & usable_days(F.col("days_valid"))

@@ -341,12 +341,14 @@ def s9_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s12_deal_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapter.deals(spark, sf_dir).select("deal_id", fd.deal_scope(F.col("description")).alias("s")).select("deal_id", "s.*")
+    d = adapter.deals(spark, sf_dir).select("deal_id", "description")
+    return promotions.by_text(d, s=fd.deal_scope(F.col("description"))).select("deal_id", "s.*")
 
 
 def s13_deal_icons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = adapter.deals(spark, sf_dir)
-    return d.select("deal_id", F.array_join(fd.deal_icons(F.col("description")), ",").alias("icons"), F.array_join(fd.deal_categories(F.col("description")), ",").alias("categories"))
+    d, text = adapter.deals(spark, sf_dir).select("deal_id", "description"), F.col("description")
+    found = promotions.by_text(d, icons=F.array_join(fd.deal_icons(text), ","), categories=F.array_join(fd.deal_categories(text), ","))
+    return found.select("deal_id", "icons", "categories")
 
 
 def s16_deal_titles(spark: SparkSession, sf_dir: str) -> DataFrame:

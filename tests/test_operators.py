@@ -10,6 +10,8 @@ from tallyloom.operators.graph import components
 from tallyloom.plans import envelope
 from tallyloom.sources import payloads
 
+SF = "/root/testdata/sf0.001"
+
 RECORD = (
     "dispensary_id string, product_id string, name string, category string, brand string, strain_type string, subcategory string, flags array<string>,"
     " option string, observed_at timestamp_ntz, base_price double, special_price double, quantity_available double"
@@ -298,3 +300,56 @@ def test_facts_by_place_topic_and_kind(spark):
     assert tuple(facts.worklist_counters(told, pairs).first()) == (6, 2, None)
     assert tuple(facts.worklist_counters(told.where("false"), pairs.where("false")).first()) == (0, 0, "no candidates")
     assert [r[0] for r in spark.createDataFrame([("Acme Blue 1g", "blue"), ("Bluebird", "blue"), ("x", "")], "n string, b string").select(facts.concerns_brand(F.col("n"), F.col("b"))).collect()] == [True, False, False]
+
+
+DEAL = "deal_id long, dispensary_id string, type string, description string, discount_pct int, start_time string, end_time string, days_valid array<string>"
+SAID = [None, "", "10% off vape carts", "entire store", "10% off <b>vape</b>", None, "10% off vape carts"]
+
+
+def deals_saying(spark, texts):
+    return spark.createDataFrame([(k, "s1", "daily", t, 10, None, None, ["everyday"]) for k, t in enumerate(texts)], DEAL)
+
+
+def judges_rows(df):
+    """Whether texts are judged where the rows are, and not once a distinct text before."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return any(word in plan for word in ("regexp_", "RLIKE"))
+
+
+def test_each_deal_text_is_judged_once(spark):
+    judged = spark.sparkContext.accumulator(0)
+
+    def judge(text):
+        judged.add(1)
+        return f"<{text}>"
+
+    found = promotions.by_text(deals_saying(spark, SAID * 20), icons=F.udf(judge)("description")).collect()
+    assert judged.value == len(set(SAID)) and len(found) == 20 * len(SAID)
+    assert all(r.icons == f"<{r.description}>" for r in found)
+
+
+def test_icons_are_judged_by_text(spark):
+    from tallyloom.plans.queries import s12_deal_scope, s13_deal_icons
+
+    assert not judges_rows(s13_deal_icons(spark, SF)) and not judges_rows(s12_deal_scope(spark, SF))
+
+
+def test_selection_is_judged_by_text(spark):
+    deals = deals_saying(spark, SAID)
+    shown = promotions.selected_deals(deals, "vape")
+    assert not judges_rows(shown) and {r.deal_id for r in shown.collect()} == {2, 3, 4, 6}
+    assert shown.columns == deals.columns and promotions.selected_deals(deals, None).count() == len(SAID)
+
+
+def test_descriptions_of_deals_are_cleaned_by_text(spark):
+    deals = deals_saying(spark, SAID)
+    cleaned = promotions.usable_deals(deals.withColumn("start_time", F.lit(None).cast("string")))
+    assert "regexp_" not in cleaned._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.deal_id: r.description for r in cleaned.collect()} == {0: "", 1: "", 2: SAID[2], 3: SAID[3], 4: "10% off vape", 5: "", 6: SAID[6]}
+    assert cleaned.columns == deals.columns
+
+
+def test_scopes_are_judged_by_text(spark):
+    scoped = promotions.scoped_deals(deals_saying(spark, SAID))
+    assert not judges_rows(scoped)
+    assert {r.deal_id: r.kind for r in scoped.collect()} == {0: "unresolved", 1: "unresolved", 2: "category", 3: "storewide", 4: "category", 5: "unresolved", 6: "category"}
