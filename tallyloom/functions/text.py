@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numbers import let
+
 # Terms that a description may not hold, and its length.
 BLOCKED_TERMS = [
     "cure",
@@ -22,6 +24,8 @@ BLOCKED_TERMS = [
     "cartoon",
 ]
 DESCRIPTION_LENGTH = 160
+#: White space and control characters but the plain space.
+CONTROLS = r"\x00-\x1F\x7F   -     　"
 PICTOGRAPHS = (
     r"[©®‼⁉™ℹ↔-↪⌚-⏿Ⓜ▪-◾☀-➿⤴⤵"
     r"⬅-⭕〰〽㊗㊙\x{1F000}-\x{1FAFF}­͏؜ᅟᅠ឴឵᠋-᠏"
@@ -31,18 +35,24 @@ PICTOGRAPHS = (
 
 def blocked(text: Column) -> Column:
     """True where a blocked term stands as whole words, by ASCII word edges."""
-    return text.rlike(r"(?i)(?<![A-Za-z0-9_])(?:" + "|".join(BLOCKED_TERMS) + r")(?![A-Za-z0-9_])")
+    first = "".join(sorted({t[0] for t in BLOCKED_TERMS}))  # looked at before all else, as few characters begin a term
+    return text.rlike(rf"(?i)(?=[{first}])(?<![A-Za-z0-9_])(?:" + "|".join(BLOCKED_TERMS) + r")(?![A-Za-z0-9_])")
 
 
 def clean_description(raw: Column) -> Column:
     """Tags, pictographs and control characters to spaces, spaces collapsed; '' if blocked; cut at a word at 160."""
     s = F.regexp_replace(F.coalesce(raw, F.lit("")), "<[^>]*>", " ")
-    s = F.regexp_replace(s, PICTOGRAPHS, " ")
-    s = F.trim(F.regexp_replace(s, r"[\x00-\x20\x7F   -     　]+", " "))
-    head = F.left(s, F.lit(DESCRIPTION_LENGTH))
-    at_word = F.regexp_extract(head, r"(?s)^(.+) [^ ]*$", 1)
-    cut = F.when(F.length(s) <= DESCRIPTION_LENGTH, s).otherwise(F.rtrim(F.when(at_word != "", at_word).otherwise(head)))
-    return F.when(blocked(s), "").otherwise(cut)
+    s = F.regexp_replace(s, r"(?![\x00-\xA8])" + PICTOGRAPHS, " ")  # none stands before U+00A9
+    # runs of two or more, and single ones that are no plain space: the others stay as they are
+    s = F.trim(F.regexp_replace(s, rf"[\x20{CONTROLS}]{{2,}}|[{CONTROLS}]", " "))
+    return let(s, lambda t: F.when(blocked(t), "").otherwise(_cut(t)))
+
+
+def _cut(s: Column) -> Column:
+    """s, or what stands before the last space of its first 160 characters where it is longer."""
+    at_word = lambda head: F.regexp_extract(head, r"(?s)^(.+) [^ ]*$", 1)
+    short = lambda head: let(at_word(head), lambda w: F.rtrim(F.when(w != "", w).otherwise(head)))
+    return F.when(F.length(s) <= DESCRIPTION_LENGTH, s).otherwise(let(F.left(s, F.lit(DESCRIPTION_LENGTH)), short))
 
 
 def slug(s: Column) -> Column:

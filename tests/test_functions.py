@@ -128,3 +128,11 @@ def test_titles(spark):
     got = apply(spark, ["Up to 50% Off Sale - 30% Off Brand X", "30% off"], fd.layered_sale)
     assert (got[0].pct, got[0].subject) == (30.0, "Brand X") and got[1] is None
     assert apply(spark, ["Flower PULLMAN", "PULLMAN Flower"], fd.without_location) == ["Flower", "PULLMAN Flower"]
+
+
+def test_clean_description_is_made_once_a_row(spark):
+    cleaned = spark.range(1).select(ft.clean_description(F.concat(F.col("id").cast("string"), F.lit(" ok"))).alias("d"))
+    plan = cleaned._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<[^>]*>") == 1  # it stood in the plan several times, once for each use
+    text = "a  b\tc  ©\U0001f600 d \n" + "e" * 3 + " _cure kid9"
+    assert spark.createDataFrame([(text,)], "t string").select(ft.clean_description(F.col("t"))).first()[0] == "a b c d eee _cure kid9"
