@@ -45,7 +45,7 @@ def active_deals(deals: DataFrame, day: str, minute: int) -> DataFrame:
 
 def scoped_deals(deals: DataFrame) -> DataFrame:
     """deal_id, dispensary_id, kind, category, weight_grams, targeted (the word that put a deal out of the catalog)."""
-    scoped = deals.select("deal_id", "dispensary_id", deal_scope(F.col("description")).alias("scope"))
+    scoped = by_text(deals.select("deal_id", "dispensary_id", "description"), scope=deal_scope(F.col("description")))
     return scoped.select("deal_id", "dispensary_id", "scope.*")
 
 
