@@ -6,8 +6,10 @@ supply, since a document can be taken only once. Targets above a value's supply
 and sweeps go on until the margins meet their targets. Every document is then drawn with the probability
 weight / tokens of its cell, by a hash of its id, so that reruns draw the same documents.
 
-Topics are clusters of hashed word counts: centers are fitted on a bounded sample of documents (SAMPLE,
-the smallest hashes of their ids), and every document goes to its nearest by its whole text. Tokens are
+Topics are clusters of hashed word counts of whole texts, fitted on every document. Vectors and centers
+are integers, so that distances, sums and hence topics do not depend on how the table is dealt; first
+centers are drawn from all texts by their squared distance to those before. What comes to the driver is
+one vector a center and round, and the centers' sums. Tokens are
 pieces of words, numbers and signs, about what a byte-pair vocabulary makes of them; another column of
 topics or tokens can take their place.
 
@@ -22,16 +24,18 @@ a document depends on its id and cell alone.
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.ml.feature import HashingTF, RegexTokenizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, unstage, whole_text
+from .common import prepare, stage, unstage, whole_text
 
 BUDGET = 0.8
 POWER = 0.8
@@ -41,44 +45,127 @@ STILL = 1e-12
 GATHERED = 20_000
 MARGINS = ("source", "lang", "topic")
 TOPICS = 8
-SAMPLE = 2000
+ROUNDS = 15
 BUCKETS = 256
+#: Length of a vector of words. Sums of BUCKETS products of such numbers are exact in doubles.
+SCALE = 4096
 #: Up to six letters, up to three digits, or one other sign: about one token of a byte-pair vocabulary each.
 PIECE = r"\p{L}{1,6}+|\p{N}{1,3}+|[^\s\p{L}\p{N}]"
 LOG = logging.getLogger(__name__)
 
 
 def _counted(rows: DataFrame, text: str) -> DataFrame:
-    """rows with _vector: hashed word counts of the text, scaled to length one."""
+    """rows with _point: hashed word counts of the text as a whole-numbered vector of length SCALE, packed; without words zero."""
     cut = RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[\x20\x09-\x0D]+", toLowercase=True)
     counts = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=BUCKETS)
-    scaled = Normalizer(inputCol="_counts", outputCol="_vector")
-    return scaled.transform(counts.transform(cut.transform(rows))).drop("_words", "_counts")
+    counted = counts.transform(cut.transform(rows))
+    return counted.withColumn("_point", _packed(vector_to_array("_counts", "float32"))).drop("_words", "_counts")
 
 
-def fit_topics(documents: DataFrame, topics: int = TOPICS, sample: int = SAMPLE) -> KMeansModel | None:
-    """Cluster centers from at most `sample` documents; None where these do not differ. They are chosen by a hash of the
-    id, and their distinct word counts are read in order by one task, so that the centers do not depend on how the table is dealt."""
-    order = F.xxhash64(F.lit("topics"), "doc_id")
-    last = documents.select(order.alias("_order")).orderBy("_order").limit(sample).agg(F.max("_order")).first()[0]
-    if last is None:
-        return None
-    near = documents.select(order.alias("_order"), whole_text().alias("_text")).where(F.col("_order") <= last)
-    chosen = stage(near.orderBy("_order", "_text").limit(sample), "sample")
-    points = stage(_counted(chosen, "_text").select(vector_to_array("_vector").alias("_point")).distinct(), "points")
-    k = min(topics, points.count())
-    if k < 2:
+def _packed(counts: Column) -> Column:
+    @F.pandas_udf("binary")
+    def packed(batch: pd.Series) -> pd.Series:
+        made = np.array(batch.tolist(), np.float64).reshape(-1, BUCKETS)
+        length = np.sqrt((made * made).sum(1))
+        whole = np.rint(made * (SCALE / np.maximum(length, 1.0))[:, None]).astype("<i2")
+        return pd.Series([v.tobytes() for v in whole], dtype=object)
+
+    return packed(counts)
+
+
+def _vectors(points: Iterable[bytes]) -> np.ndarray:
+    """Packed points as rows."""
+    return np.frombuffer(b"".join(points), "<i2").reshape(-1, BUCKETS).astype(np.float64)
+
+
+def _squares(vectors: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Squared distances of all vectors to all centers, exact."""
+    return (vectors * vectors).sum(1)[:, None] - 2 * (vectors @ centers.T) + (centers * centers).sum(1)[None, :]
+
+
+def _first_centers(points: DataFrame, topics: int) -> np.ndarray:
+    """Up to `topics` different vectors, each drawn from all points with odds of its squared distance to those before.
+
+    A vector's turn is -log(u) / distance with u from its own hash, and the smallest turn of all is drawn; equal texts count
+    once. Ties go to the smaller vector.
+    """
+    centers = np.zeros((0, BUCKETS))
+    while len(centers) < topics:
+
+        def best(batches: Iterator[pa.RecordBatch], centers: np.ndarray = centers) -> Iterator[pa.RecordBatch]:
+            found: list[tuple] = []
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                vectors = _vectors(batch.column(0).to_pylist())
+                apart = _squares(vectors, centers).min(1) if len(centers) else np.ones(len(vectors))
+                uniform = ((batch.column(1).to_numpy() & ((1 << 52) - 1)) + 0.5) / (1 << 52)
+                turn = np.where(apart > 0, -np.log(uniform) / np.maximum(apart, 1), np.inf)
+                if turn.min() < np.inf:
+                    least = np.unique(vectors[turn == turn.min()], axis=0)[0]
+                    found.append((float(turn.min()), least.astype(np.int64).tolist()))
+            if found:
+                turn, vector = min(found)
+                yield pa.RecordBatch.from_arrays([pa.array([turn]), pa.array([vector], pa.list_(pa.int64()))], names=["turn", "vector"])
+
+        draws = points.select("_point", F.xxhash64(F.lit(len(centers)), "_point").alias("_hash"))
+        first = draws.mapInArrow(best, "turn double, vector array<long>").agg(F.min(F.struct("turn", "vector"))).first()[0]
+        if first is None:
+            break
+        centers = np.vstack([centers, np.array(first["vector"], np.float64)[None, :]])
+    return centers
+
+
+def fit_topics(points: DataFrame, topics: int = TOPICS, rounds: int = ROUNDS) -> np.ndarray | None:
+    """Cluster centers of all points (staged: they are read once a round); None where these do not differ.
+
+    A round assigns every point to its nearest center and replaces each center by its points' mean, rounded; it ends
+    early when no center moves. A task sends one row of sums for each bucket and center.
+    """
+    points = points.select("_point")
+    centers = _first_centers(points, topics)
+    if len(centers) < 2:
         return None
-    rows = points.repartition(1).sortWithinPartitions("_point").select(array_to_vector("_point").alias("_vector"))
-    return KMeans(k=k, featuresCol="_vector", predictionCol="_topic", initMode="random", seed=11, maxIter=15).fit(rows)
+    for _ in range(rounds):
+
+        def sums(batches: Iterator[pa.RecordBatch], centers: np.ndarray = centers) -> Iterator[pa.RecordBatch]:
+            total, count = np.zeros(centers.shape), np.zeros(len(centers), np.int64)
+            for batch in batches:
+                vectors = _vectors(batch.column(0).to_pylist())
+                own = np.eye(len(centers))[_squares(vectors, centers).argmin(1)]
+                total += own.T @ vectors
+                count += own.sum(0).astype(np.int64)
+            at = np.arange(centers.size)
+            columns = [at // BUCKETS, at % BUCKETS, total.astype(np.int64).ravel(), count.repeat(BUCKETS)]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["center", "bucket", "total", "n"])
+
+        rows = points.mapInArrow(sums, "center long, bucket long, total long, n long").groupBy("center", "bucket").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+        moved = centers.copy()
+        for r in rows.where("n > 0").collect():  # topics * BUCKETS rows at most
+            moved[r.center, r.bucket] = (2 * r.total + r.n) // (2 * r.n)
+        if (moved == centers).all():
+            break
+        centers = moved
+    return centers
+
 
+def topic_of(point: Column, centers: np.ndarray) -> Column:
+    """The number of the center nearest to a point, of equally near ones the smaller."""
 
-def with_cells(documents: DataFrame, topic: Column | None = None, tokens: Column | None = None) -> DataFrame:
+    @F.pandas_udf("int")
+    def nearest(batch: pd.Series) -> pd.Series:
+        return pd.Series(_squares(_vectors(batch), centers).argmin(1).astype("int32"))
+
+    return nearest(point)
+
+
+def with_cells(documents: DataFrame, topic: Column | None = None, tokens: Column | None = None, columns: list[str] | None = None) -> DataFrame:
     """Add _source, _lang, _topic and _tokens to the documents; columns of these names are replaced.
 
-    topic: a column; by default clusters of the texts. tokens: a count; by default pieces of the text.
+    topic: a column; by default clusters of the texts. tokens: a count; by default pieces of the text. columns: those of
+    the documents to keep; if given, what is kept of a row is staged and texts are read once.
     """
-    own = ["_source", "_lang", "_topic", "_tokens", "_probability", "_drawn", "_text", "_words", "_counts", "_vector"]
+    own = ["_source", "_lang", "_topic", "_tokens", "_probability", "_drawn", "_text", "_words", "_counts", "_point"]
     none = F.lit("(none)")
     rows = documents.drop(*own)
     counted = F.regexp_count(whole_text(), F.lit(PIECE)) if tokens is None else F.coalesce(tokens, F.lit(0))
@@ -89,13 +176,17 @@ def with_cells(documents: DataFrame, topic: Column | None = None, tokens: Column
         counted.cast("long").alias("_tokens"),
         *([] if topic is None else [F.coalesce(topic.cast("string"), none).alias("_topic")]),
     )
+    kept = ["_source", "_lang", "_tokens"]
     if topic is not None:
-        return rows
-    model = fit_topics(documents)
-    if model is None:
-        return rows.withColumn("_topic", F.lit("topic 0"))
-    placed = model.transform(_counted(rows.withColumn("_text", whole_text()), "_text")).drop("_text", "_vector")
-    return placed.withColumn("_topic", F.concat(F.lit("topic "), F.col("_topic").cast("string")))
+        return rows if columns is None else stage(rows.select(*columns, *kept, "_topic"), "rows")
+    prepare(documents.sparkSession)
+    rows = _counted(rows.withColumn("_text", whole_text()), "_text").drop("_text")
+    if columns is not None:
+        rows = stage(rows.select(*columns, *kept, "_point"), "counted")
+    centers = fit_topics(rows if columns is not None else stage(rows.select("_point"), "points"))
+    number = F.lit(0) if centers is None else topic_of(F.col("_point"), centers)
+    placed = rows.withColumn("_topic", F.concat(F.lit("topic "), number.cast("string"))).drop("_point")
+    return placed if columns is None else stage(placed, "rows")
 
 
 def tempered(cells: DataFrame, column: str, power: float, total: float) -> DataFrame:
@@ -258,10 +349,8 @@ def mix(
     corpus shares tempered by `power`. budget: share of all tokens to draw. columns: those of the documents
     to keep; if given, texts are read once and what is kept of a row is staged, else texts are read again.
     """
-    rows = with_cells(documents, topic, tokens)
+    rows = with_cells(documents, topic, tokens, columns)
     names = [f"_{m}" for m in MARGINS]
-    if columns is not None:
-        rows = stage(rows.select(*columns, *names, "_tokens"), "rows")
     weighed = weigh(rows, targets, budget, power, unnamed)
     # rounded, as sums of doubles depend on the order of rows in their last digits
     chance = F.round(F.when(F.col("_tokens") > 0, F.least(F.lit(1.0), F.col("_weight") / F.col("_tokens"))).otherwise(1.0), 9)

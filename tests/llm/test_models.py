@@ -299,3 +299,18 @@ def test_fit_takes_one_text_an_id(spark, monkeypatch):
     quality.train(docs.unionByName(many), labels, sample=60)
     quality.train(docs.unionByName(many), labels, sample=10)
     assert seen == [60, 10]
+
+
+def test_topics_are_fitted_on_every_document(spark):
+    """Words of a tenth of the documents make a topic of their own, however few of them a sample by ids would hold."""
+    rng = random.Random(9)
+    order = {r.doc_id: r.h for r in spark.range(6000).select(F.col("id").alias("doc_id"), F.xxhash64(F.lit("topics"), "id").alias("h")).collect()}
+    rare = set(sorted(order, key=order.get)[-600:])  # the last in the order in which 2,000 documents were chosen before
+    pools = {True: [f"leaf{k}" for k in range(12)], False: [f"ship{k}" for k in range(12)]}
+    docs = documents(spark, [" ".join(rng.choice(pools[k in rare]) for _ in range(40)) for k in range(6000)])
+    points = stage(mixing._counted(docs.withColumn("_text", F.col("text")), "_text"), "points")
+    centers = mixing.fit_topics(points, topics=2)
+    assert (mixing.fit_topics(points.repartition(7), topics=2) == centers).all()
+    found = {r.doc_id: r.t for r in points.select("doc_id", mixing.topic_of(F.col("_point"), centers).alias("t")).collect()}
+    assert len({found[k] for k in rare}) == 1 and len({t for k, t in found.items() if k not in rare}) == 1 and len(set(found.values())) == 2
+    assert mixing.fit_topics(stage(points.where("doc_id = 0").unionByName(points.where("doc_id = 0")), "points")) is None
