@@ -15,13 +15,15 @@ from .tally import Tally, watched
 
 RADIUS_MILES = 10.0
 MIN_REGION_STORES = 2
+BLOCK = 1000
 
 
 def pairs_within(places: DataFrame, radius: float = RADIUS_MILES) -> DataFrame:
     """(a, b, miles), a < b, of places at most `radius` apart. places: dispensary_id, lat, lng.
 
     Places meet through a grid whose cells are at least the radius wide at the data's highest latitude:
-    an equi-join with the nine cells around, not a cross join.
+    an equi-join with the nine cells around, not a cross join. Places of a crowded cell are dealt into blocks and every
+    block of the one side meets every block of the other, so a task holds some blocks and never a whole cell.
     """
     located = places.where(finite(F.col("lat")) & finite(F.col("lng"))).select("dispensary_id", "lat", "lng")
     top = located.agg(F.max(F.abs("lat"))).first()[0]
@@ -35,7 +37,16 @@ def pairs_within(places: DataFrame, radius: float = RADIUS_MILES) -> DataFrame:
     right = right.withColumn("_dr", F.explode(near)).withColumn("_dc", F.explode(near))
     right = right.withColumn("r", F.col("r") + F.col("_dr")).withColumn("c", F.col("c") + F.col("_dc")).drop("_dr", "_dc")
     miles = haversine_miles(F.col("lat_a"), F.col("lng_a"), F.col("lat_b"), F.col("lng_b"))
-    return left.join(right, ["r", "c"]).where("a < b").select("a", "b", miles.alias("miles")).where(F.col("miles") <= radius)
+    blocks = staged(right.groupBy("r", "c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_n")), "blocks")
+    of = lambda place: F.pmod(F.xxhash64(place), F.col("_n").cast("long")).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    left = left.join(blocks, ["r", "c"]).withColumn("i", of("a")).withColumn("j", each).drop("_n")
+    right = right.join(blocks, ["r", "c"]).withColumn("j", of("b")).withColumn("i", each).drop("_n")
+    tile = ["r", "c", "i", "j"]
+    # both by number, as few bytes make many pairs
+    n = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = left.repartition(n, *tile), right.repartition(n, *tile)
+    return left.join(right, tile).where("a < b").select("a", "b", miles.alias("miles")).where(F.col("miles") <= radius)
 
 
 def clusters(places: DataFrame, radius: float = RADIUS_MILES) -> DataFrame:

@@ -353,3 +353,20 @@ def test_scopes_are_judged_by_text(spark):
     scoped = promotions.scoped_deals(deals_saying(spark, SAID))
     assert not judges_rows(scoped)
     assert {r.deal_id: r.kind for r in scoped.collect()} == {0: "unresolved", 1: "unresolved", 2: "category", 3: "storewide", 4: "category", 5: "unresolved", 6: "category"}
+
+
+def test_availability_holds_no_list_for_a_product(spark):
+    rows = [("Acme", "s1", "p1", 1.0), ("acme", "s1", "p1", 2.0), ("Acme", "s2", "p1", None), ("Acme", None, "p9", 1.0), (None, "s1", "p2", 1.0), ("Bolt", "s3", None, None)]
+    found = brands.availability(spark.createDataFrame(rows, "brand string, dispensary_id string, product_id string, weight_grams double"))
+    assert "collect_set" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.brand_key: (r.product_count, r.stores_carrying, r.tiers) for r in found.collect()}
+    assert got == {"acme": (2, ["s1", "s2"], [1.0, 2.0]), "bolt": (0, ["s3"], [])}
+
+
+def test_pairs_of_a_crowded_cell_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(regions, "BLOCK", 10)
+    places = spark.range(90).select(F.format_string("s%02d", "id").alias("dispensary_id"), (47 + F.col("id") % 7 * 0.001).alias("lat"), F.lit(-122.0).alias("lng"))
+    found = regions.pairs_within(places.coalesce(1))
+    assert found.count() == found.select("a", "b").distinct().count() == 90 * 89 // 2
+    tasks = found.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 1 and max(r[1] for r in tasks) < 90 * 89 // 2 * 0.7
