@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import positive, price_of_record
 from ..functions.products import EXCLUDED_FLAGS, WEIGHT_CATEGORIES, brand_key
+from ..plans.staging import staged
 from .tally import Tally, watched
 
 MIN_PRODUCT_DAYS = 10
@@ -47,13 +48,17 @@ def personas(days: DataFrame, products: DataFrame, min_days: int = MIN_PRODUCT_D
 
 
 def availability(products: DataFrame) -> DataFrame:
-    """products: brand, dispensary_id, product_id, weight_grams. By brand: products, stores and weights carried."""
+    """products: brand, dispensary_id, product_id, weight_grams. By brand: products, stores and weights carried.
+
+    Products are counted by store first and lists are gathered of distinct values, so no list is held for a product.
+    """
     keyed = products.withColumn("brand_key", brand_key(F.col("brand"))).where("brand_key is not null")
-    return keyed.groupBy("brand_key").agg(
-        F.countDistinct("dispensary_id", "product_id").alias("product_count"),
-        F.sort_array(F.collect_set("dispensary_id")).alias("stores_carrying"),
-        F.sort_array(F.collect_set("weight_grams")).alias("tiers"),
-    )
+    carried = staged(keyed.select("brand_key", "dispensary_id", "product_id", "weight_grams"), "carried")  # read twice, and costly to make
+    own = F.when(F.col("dispensary_id").isNotNull(), F.col("product_id"))
+    stores = carried.groupBy("brand_key", "dispensary_id").agg(F.countDistinct(own).alias("_n")).groupBy("brand_key")
+    stores = stores.agg(F.sum("_n").alias("product_count"), F.sort_array(F.collect_list("dispensary_id")).alias("stores_carrying"))
+    tiers = carried.select("brand_key", "weight_grams").distinct().groupBy("brand_key").agg(F.sort_array(F.collect_list("weight_grams")).alias("tiers"))
+    return stores.join(tiers, "brand_key")
 
 
 def store_matrix(records: DataFrame, tally: Tally | None = None) -> DataFrame:
