@@ -8,8 +8,8 @@ weight / tokens of its cell, by a hash of its id, so that reruns draw the same d
 
 Topics are clusters of hashed word counts of whole texts, fitted on every document. Vectors and centers
 are integers, so that distances, sums and hence topics do not depend on how the table is dealt; first
-centers are drawn from all texts by their squared distance to those before. What comes to the driver is
-one vector a center and round, and the centers' sums. Tokens are
+centers are drawn from all different vectors by their squared distance to those before. What comes to the
+driver is one vector a center and round, and the centers' sums. Tokens are
 pieces of words, numbers and signs, about what a byte-pair vocabulary makes of them; another column of
 topics or tokens can take their place.
 
@@ -24,18 +24,18 @@ a document depends on its id and cell alone.
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Iterable, Iterator
+import math
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.ml.feature import HashingTF, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, stage, unstage, whole_text
+from .common import stage, unstage, whole_text
 
 BUDGET = 0.8
 POWER = 0.8
@@ -49,114 +49,104 @@ ROUNDS = 15
 BUCKETS = 256
 #: Length of a vector of words. Sums of BUCKETS products of such numbers are exact in doubles.
 SCALE = 4096
+#: No two such vectors are further apart, squared: places are rounded and not below zero.
+FAR = 2.0 * (SCALE + BUCKETS**0.5 / 2) ** 2
+DRAWS = 1000
 #: Up to six letters, up to three digits, or one other sign: about one token of a byte-pair vocabulary each.
 PIECE = r"\p{L}{1,6}+|\p{N}{1,3}+|[^\s\p{L}\p{N}]"
 LOG = logging.getLogger(__name__)
 
 
 def _counted(rows: DataFrame, text: str) -> DataFrame:
-    """rows with _point: hashed word counts of the text as a whole-numbered vector of length SCALE, packed; without words zero."""
+    """rows with _point: hashed word counts of the text as a whole-numbered vector of length SCALE; without words zero."""
     cut = RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[\x20\x09-\x0D]+", toLowercase=True)
     counts = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=BUCKETS)
-    counted = counts.transform(cut.transform(rows))
-    return counted.withColumn("_point", _packed(vector_to_array("_counts", "float32"))).drop("_words", "_counts")
+    scaled = Normalizer(inputCol="_counts", outputCol="_vector").transform(counts.transform(cut.transform(rows)))
+    point = F.transform(vector_to_array("_vector"), lambda x: F.rint(x * SCALE).cast("short"))
+    return scaled.withColumn("_point", point).drop("_words", "_counts", "_vector")
 
 
-def _packed(counts: Column) -> Column:
-    @F.pandas_udf("binary")
-    def packed(batch: pd.Series) -> pd.Series:
-        made = np.array(batch.tolist(), np.float64).reshape(-1, BUCKETS)
-        length = np.sqrt((made * made).sum(1))
-        whole = np.rint(made * (SCALE / np.maximum(length, 1.0))[:, None]).astype("<i2")
-        return pd.Series([v.tobytes() for v in whole], dtype=object)
+def _vector(point: Column) -> Column:
+    return array_to_vector(point.cast("array<double>"))
 
-    return packed(counts)
 
+def _square(point: Column, center: np.ndarray) -> Column:
+    """Squared distance of a point to a center, exact."""
+    apart = F.zip_with(point, F.lit(center.astype(np.float64)), lambda a, b: (a - b) * (a - b))
+    return F.aggregate(apart, F.lit(0.0), lambda t, x: t + x)
 
-def _vectors(points: Iterable[bytes]) -> np.ndarray:
-    """Packed points as rows."""
-    return np.frombuffer(b"".join(points), "<i2").reshape(-1, BUCKETS).astype(np.float64)
 
-
-def _squares(vectors: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    """Squared distances of all vectors to all centers, exact."""
-    return (vectors * vectors).sum(1)[:, None] - 2 * (vectors @ centers.T) + (centers * centers).sum(1)[None, :]
-
-
-def _first_centers(points: DataFrame, topics: int) -> np.ndarray:
+def _first_centers(points: DataFrame, topics: int, draws: int = DRAWS) -> np.ndarray:
     """Up to `topics` different vectors, each drawn from all points with odds of its squared distance to those before.
 
-    A vector's turn is -log(u) / distance with u from its own hash, and the smallest turn of all is drawn; equal texts count
-    once. Ties go to the smaller vector.
+    A vector's turn is -log(u) / distance with u from its own hash, and the smallest turn of all is drawn. Ties go to the
+    smaller vector. No distance exceeds FAR, so the smallest turn among the `draws` largest u tells below which u no vector
+    comes first; the distances of all others are computed. points: different ones.
     """
-    centers = np.zeros((0, BUCKETS))
+    centers = np.zeros((0, BUCKETS), np.int64)
     while len(centers) < topics:
-
-        def best(batches: Iterator[pa.RecordBatch], centers: np.ndarray = centers) -> Iterator[pa.RecordBatch]:
-            found: list[tuple] = []
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                vectors = _vectors(batch.column(0).to_pylist())
-                apart = _squares(vectors, centers).min(1) if len(centers) else np.ones(len(vectors))
-                uniform = ((batch.column(1).to_numpy() & ((1 << 52) - 1)) + 0.5) / (1 << 52)
-                turn = np.where(apart > 0, -np.log(uniform) / np.maximum(apart, 1), np.inf)
-                if turn.min() < np.inf:
-                    least = np.unique(vectors[turn == turn.min()], axis=0)[0]
-                    found.append((float(turn.min()), least.astype(np.int64).tolist()))
-            if found:
-                turn, vector = min(found)
-                yield pa.RecordBatch.from_arrays([pa.array([turn]), pa.array([vector], pa.list_(pa.int64()))], names=["turn", "vector"])
-
-        draws = points.select("_point", F.xxhash64(F.lit(len(centers)), "_point").alias("_hash"))
-        first = draws.mapInArrow(best, "turn double, vector array<long>").agg(F.min(F.struct("turn", "vector"))).first()[0]
-        if first is None:
+        hashed = F.xxhash64(F.lit(len(centers)), "_point").bitwiseAND(F.lit((1 << 52) - 1))
+        odds = points.select(((hashed + 0.5) / float(1 << 52)).alias("_u"), "_point")
+        apart = F.least(F.lit(FAR), F.lit(FAR), *[_square(F.col("_point"), c) for c in centers])
+        turn = F.when(apart > 0, -F.log("_u") / apart)
+        smallest = F.min(F.when(turn.isNotNull(), F.struct(turn.alias("turn"), "_point")))
+        found = odds.orderBy(F.desc("_u"), "_point").limit(draws).agg(smallest).first()[0]
+        least = 0.0 if found is None else math.exp(-found["turn"] * FAR) * (1 - 1e-9)
+        found = odds.where(F.col("_u") >= least).agg(smallest).first()[0]
+        if found is None:
             break
-        centers = np.vstack([centers, np.array(first["vector"], np.float64)[None, :]])
+        centers = np.vstack([centers, np.array(found["_point"], np.int64)[None, :]])
     return centers
 
 
+def nearest(spark: SparkSession, centers: np.ndarray) -> Callable[[DataFrame, str], DataFrame]:
+    """A function that adds to rows with a _vector the number of the nearest center, of equally near ones always the same.
+
+    Clusters of the centers alone are the centers: so Spark's model comes to hold them, which finds the nearest much faster
+    than expressions do.
+    """
+    place = {tuple(c): k for k, c in reversed(list(enumerate(centers.tolist())))}
+    table = spark.createDataFrame([([float(x) for x in c],) for c in place], "at array<double>").coalesce(1)
+    means = KMeans(k=max(2, len(place)), initMode="random", seed=11, maxIter=1, solver="row", featuresCol="_vector", predictionCol="_near")
+    model = means.fit(table.select(array_to_vector("at").alias("_vector")))
+    own = F.lit(np.array([place[tuple(np.rint(c).astype(int).tolist())] for c in model.clusterCenters()], np.int32))
+    return lambda rows, name: model.transform(rows).withColumn(name, own[F.col("_near")]).drop("_near")
+
+
 def fit_topics(points: DataFrame, topics: int = TOPICS, rounds: int = ROUNDS) -> np.ndarray | None:
-    """Cluster centers of all points (staged: they are read once a round); None where these do not differ.
+    """Cluster centers of all points; None where these do not differ.
 
     A round assigns every point to its nearest center and replaces each center by its points' mean, rounded; it ends
-    early when no center moves. A task sends one row of sums for each bucket and center.
+    early when no center moves. Equal points are one with a count, and only points that change their center are summed anew.
     """
-    points = points.select("_point")
+    counted = points.groupBy("_point").agg(F.count("*").alias("_n"))
+    points = stage(counted.withColumn("_vector", _vector(F.col("_point"))), "points")
     centers = _first_centers(points, topics)
     if len(centers) < 2:
         return None
+    totals = np.zeros((len(centers), BUCKETS + 1), np.int64)  # the last place counts the points
+    was = points.withColumn("_was", F.lit(None).cast("int"))
     for _ in range(rounds):
-
-        def sums(batches: Iterator[pa.RecordBatch], centers: np.ndarray = centers) -> Iterator[pa.RecordBatch]:
-            total, count = np.zeros(centers.shape), np.zeros(len(centers), np.int64)
-            for batch in batches:
-                vectors = _vectors(batch.column(0).to_pylist())
-                own = np.eye(len(centers))[_squares(vectors, centers).argmin(1)]
-                total += own.T @ vectors
-                count += own.sum(0).astype(np.int64)
-            at = np.arange(centers.size)
-            columns = [at // BUCKETS, at % BUCKETS, total.astype(np.int64).ravel(), count.repeat(BUCKETS)]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["center", "bucket", "total", "n"])
-
-        rows = points.mapInArrow(sums, "center long, bucket long, total long, n long").groupBy("center", "bucket").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-        moved = centers.copy()
-        for r in rows.where("n > 0").collect():  # topics * BUCKETS rows at most
-            moved[r.center, r.bucket] = (2 * r.total + r.n) // (2 * r.n)
-        if (moved == centers).all():
+        near = nearest(points.sparkSession, centers)
+        moved = near(was, "_now").where("not _now <=> _was")
+        sides = F.explode(F.array(F.struct(F.col("_now").alias("center"), F.col("_n").alias("n")), F.struct(F.col("_was").alias("center"), (-F.col("_n")).alias("n"))))
+        each = moved.select("_point", sides.alias("_s")).where("_s.center is not null")
+        each = each.select("_s.*", F.posexplode(F.concat("_point", F.array(F.lit(1).cast("short")))).alias("at", "x")).where("x <> 0")
+        for r in each.groupBy("center", "at").agg(F.sum(F.col("x") * F.col("n")).alias("t")).collect():  # a row a center and bucket
+            totals[r.center, r["at"]] += r.t
+        n = totals[:, BUCKETS:]
+        after = np.where(n > 0, (2 * totals[:, :BUCKETS] + n) // np.maximum(2 * n, 1), centers)
+        if (after == centers).all():
             break
-        centers = moved
+        centers, was = after, near(points, "_was")
+    unstage(points)
     return centers
 
 
 def topic_of(point: Column, centers: np.ndarray) -> Column:
-    """The number of the center nearest to a point, of equally near ones the smaller."""
-
-    @F.pandas_udf("int")
-    def nearest(batch: pd.Series) -> pd.Series:
-        return pd.Series(_squares(_vectors(batch), centers).argmin(1).astype("int32"))
-
-    return nearest(point)
+    """The number of the center nearest to a point, of equally near ones the smaller, as a column; see also nearest()."""
+    apart = F.array(*[_square(point, c) for c in centers])
+    return (F.array_position(apart, F.array_min(apart)) - 1).cast("int")
 
 
 def with_cells(documents: DataFrame, topic: Column | None = None, tokens: Column | None = None, columns: list[str] | None = None) -> DataFrame:
@@ -165,7 +155,7 @@ def with_cells(documents: DataFrame, topic: Column | None = None, tokens: Column
     topic: a column; by default clusters of the texts. tokens: a count; by default pieces of the text. columns: those of
     the documents to keep; if given, what is kept of a row is staged and texts are read once.
     """
-    own = ["_source", "_lang", "_topic", "_tokens", "_probability", "_drawn", "_text", "_words", "_counts", "_point"]
+    own = ["_source", "_lang", "_topic", "_tokens", "_probability", "_drawn", "_text", "_words", "_counts", "_point", "_vector", "_near"]
     none = F.lit("(none)")
     rows = documents.drop(*own)
     counted = F.regexp_count(whole_text(), F.lit(PIECE)) if tokens is None else F.coalesce(tokens, F.lit(0))
@@ -179,13 +169,15 @@ def with_cells(documents: DataFrame, topic: Column | None = None, tokens: Column
     kept = ["_source", "_lang", "_tokens"]
     if topic is not None:
         return rows if columns is None else stage(rows.select(*columns, *kept, "_topic"), "rows")
-    prepare(documents.sparkSession)
     rows = _counted(rows.withColumn("_text", whole_text()), "_text").drop("_text")
     if columns is not None:
         rows = stage(rows.select(*columns, *kept, "_point"), "counted")
     centers = fit_topics(rows if columns is not None else stage(rows.select("_point"), "points"))
-    number = F.lit(0) if centers is None else topic_of(F.col("_point"), centers)
-    placed = rows.withColumn("_topic", F.concat(F.lit("topic "), number.cast("string"))).drop("_point")
+    if centers is None:
+        numbered = rows.withColumn("_topic", F.lit(0))
+    else:
+        numbered = nearest(rows.sparkSession, centers)(rows.withColumn("_vector", _vector(F.col("_point"))), "_topic")
+    placed = numbered.withColumn("_topic", F.concat(F.lit("topic "), F.col("_topic").cast("string"))).drop("_point", "_vector")
     return placed if columns is None else stage(placed, "rows")
 
 

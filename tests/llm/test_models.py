@@ -314,3 +314,41 @@ def test_topics_are_fitted_on_every_document(spark):
     found = {r.doc_id: r.t for r in points.select("doc_id", mixing.topic_of(F.col("_point"), centers).alias("t")).collect()}
     assert len({found[k] for k in rare}) == 1 and len({t for k, t in found.items() if k not in rare}) == 1 and len(set(found.values())) == 2
     assert mixing.fit_topics(stage(points.where("doc_id = 0").unionByName(points.where("doc_id = 0")), "points")) is None
+
+
+def test_topics_run_no_python_on_executors(spark):
+    """The whole query is of DataFrame functions: no plan that it runs has a node of Python."""
+    plans = []
+    write = type(spark.range(1).write).parquet
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(spark.range(1).write), "parquet", lambda self, *a, **k: plans.append(self._df._jdf.queryExecution().toString()) or write(self, *a, **k))
+        found = mixing.mix(docs, columns=["doc_id"])
+    plans.append(found._jdf.queryExecution().toString())
+    assert len(plans) > 5 and not [p for p in plans if any(w in p for w in ("Python", "Pandas", "InArrow"))]
+
+
+def test_first_centers_and_nearest_against_plain_sums(spark):
+    """Draws over the largest hashes and the rest they leave open, centers and places are those of sums over all points."""
+    rng = random.Random(11)
+    docs = documents(spark, [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 9))) for _ in range(300)])
+    points = stage(mixing._counted(docs.withColumn("_text", F.col("text")), "_text"), "points")
+    different = stage(points.select("_point").distinct(), "different")
+    first = mixing._first_centers(different, 5)
+    assert (mixing._first_centers(different, 5, draws=3) == first).all() and len(first) == 5
+    vectors = np.array([r._point for r in points.select("_point").collect()], np.int64)
+    centers = first.copy()
+    for _ in range(mixing.ROUNDS):
+        own = ((vectors[:, None, :] - centers[None, :, :]) ** 2).sum(2).argmin(1)
+        sizes = np.bincount(own, minlength=5)
+        means = np.array([(2 * vectors[own == k].sum(0) + n) // (2 * n) if n else centers[k] for k, n in enumerate(sizes)])
+        if (means == centers).all():
+            break
+        centers = means
+    fitted = mixing.fit_topics(points, topics=5)
+    apart = lambda c: ((vectors[:, None, :] - c[None, :, :]) ** 2).sum(2).min(1).sum()
+    assert (fitted == centers).all() or abs(apart(fitted) / apart(centers) - 1) < 0.01  # ties may fall otherwise
+    placed = mixing.nearest(spark, fitted)(points.withColumn("_vector", mixing._vector(F.col("_point"))), "t")
+    for r in placed.select("_point", "t", mixing.topic_of(F.col("_point"), fitted).alias("u")).collect():
+        far = ((np.array(r._point, np.int64) - fitted) ** 2).sum(1)
+        assert far[r.t] == far[r.u] == far.min()
