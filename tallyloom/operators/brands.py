@@ -66,27 +66,24 @@ def store_matrix(records: DataFrame, tally: Tally | None = None) -> DataFrame:
 
     records: one row per store, product and option. Every product with a brand counts as available; only a buyable offer
     of a sound record in a category with weights gives a weight. Counted on the way: products without a brand, and those
-    with one but without a match key, which take no part in the cells.
+    with one but without a match key, which take no part in the cells. Rows are counted by spelling and store first, and
+    weights are gathered of distinct values, so no list is held for a product.
     """
-    keyed = records.withColumn("brand_key", brand_key(F.col("brand")))
-    keyed = watched(
-        tally,
-        keyed,
-        null_brand_products=F.count_if(F.col("brand_key").isNull()),
-        unmatched_products=F.count_if(F.col("brand_key").isNotNull() & F.col("match_key").isNull()),
-    ).where("brand_key is not null")
-    spelled = keyed.groupBy("brand_key", "brand").agg(
-        F.count("*").alias("_n"),
-        F.countDistinct("dispensary_id", "product_id").alias("_products"),
-        F.collect_set("dispensary_id").alias("_stores"),
-        F.collect_set(F.when(weighable(records), F.col("weight_grams"))).alias("_tiers"),
-    )
-    found = spelled.groupBy("brand_key").agg(
+    key, none = brand_key(F.col("brand")), F.array().cast("array<double>")
+    own = F.when(F.col("dispensary_id").isNotNull(), F.col("product_id"))
+    stores = records.groupBy("brand", "dispensary_id").agg(F.count("*").alias("_n"), F.count_if(F.col("match_key").isNull()).alias("_unmatched"), F.countDistinct(own).alias("_products"))
+    sums = [F.sum(c).alias(c) for c in ("_n", "_unmatched", "_products")]
+    spelled = stores.groupBy("brand").agg(*sums, F.collect_list("dispensary_id").alias("_stores")).withColumn("brand_key", key)
+    unbranded = F.col("brand_key").isNull()
+    spelled = watched(tally, spelled, null_brand_products=F.sum(F.when(unbranded, F.col("_n"))), unmatched_products=F.sum(F.when(~unbranded, F.col("_unmatched"))))
+    named = spelled.where("brand_key is not null").groupBy("brand_key").agg(
         F.trim(F.min_by("brand", F.struct((-F.col("_n")).alias("n"), "brand"))).alias("display_brand"),
         F.sum("_products").alias("product_count"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("_stores")))).alias("stores_carrying"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_tiers")))).alias("tiers"),
     )
+    weights = records.where(weighable(records)).select("brand", "weight_grams").distinct().select(key.alias("brand_key"), "weight_grams")
+    tiers = weights.where("brand_key is not null").groupBy("brand_key").agg(F.array_sort(F.collect_set("weight_grams")).alias("_tiers"))
+    found = named.join(tiers, "brand_key", "left").withColumn("tiers", F.coalesce("_tiers", none)).drop("_tiers")
     return watched(tally, found, total_brands=F.count("*"), multi_store_brands=F.count_if(F.size("stores_carrying") >= 2))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import brands, disparity, facts, freshness, ingest, outreach, promotions, regions, series, serving
 from tallyloom.operators.graph import components
+from tallyloom.operators.tally import Tally
 from tallyloom.plans import envelope
 from tallyloom.sources import payloads
 
@@ -370,3 +371,18 @@ def test_pairs_of_a_crowded_cell_are_dealt_out(spark, monkeypatch):
     assert found.count() == found.select("a", "b").distinct().count() == 90 * 89 // 2
     tasks = found.groupBy(F.spark_partition_id()).count().collect()
     assert len(tasks) > 1 and max(r[1] for r in tasks) < 90 * 89 // 2 * 0.7
+
+
+def test_store_matrix_holds_no_list_for_a_product(spark):
+    """No grouping counts products and gathers lists at once; odd rows count as before."""
+    shape = "brand string, dispensary_id string, product_id string, match_key string, category string, weight_grams double, flags array<string>, quantity_available double, special_price double, base_price double"
+    row = lambda brand, store, product, weight, key="k", stock=1.0: (brand, store, product, key, "Flower", weight, [], stock, None, 5.0)
+    rows = [row("Ring", "s1", "p1", 3.5), row("Ring", "s1", "p1", 7.0), row("RING ", "s1", "p1", 3.5), row("Ring", "s2", "p2", 1.0, stock=0.0), row("Ring", "s2", None, 3.5, key=None)]
+    rows += [row("Ring", None, "p3", 3.5), row("Bolt", "s1", "p4", 3.5, stock=0.0), row(None, "s1", "p5", 3.5, key=None), row(" ", "s3", "p6", 2.0)]
+    tally = Tally()
+    found = brands.store_matrix(spark.createDataFrame(rows, shape), tally)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "count(distinct" in line and "collect" in line], plan
+    got = {r.brand_key: (r.display_brand, r.product_count, r.stores_carrying, r.tiers) for r in found.collect()}
+    assert got == {"ring": ("Ring", 3, ["s1", "s2"], [3.5, 7.0]), "bolt": ("Bolt", 1, ["s1"], [])}
+    assert tally.counts() == {"null_brand_products": 2, "unmatched_products": 1, "total_brands": 2, "multi_store_brands": 1}
