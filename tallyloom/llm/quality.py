@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from .common import stage, whole_text
 
 SAMPLE = 20_000
+BLOCK = 1000
 THRESHOLD = 0.5
 LIMITS = (0.005, 0.995)
 BUCKETS = 256
@@ -71,14 +72,21 @@ def feature_column(texts: pa.Array) -> pa.Array:
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Logistic regression by Newton steps on standardised features; returns weights in raw units, bias last."""
-    mean, scale = x.mean(0), x.std(0) + 1e-9
-    z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
-    w = np.zeros(z.shape[1])
+    """Logistic regression by Newton steps on standardised features; returns weights in raw units, bias last.
+
+    Rows are standardised a block at a time, so what is held beside x doesn't grow with its rows.
+    """
+    blocks = [slice(k, k + BLOCK) for k in range(0, len(x), BLOCK)]
+    mean = sum(x[b].sum(0, dtype=np.float64) for b in blocks) / len(x)
+    scale = np.sqrt(sum(((x[b] - mean) ** 2).sum(0) for b in blocks) / len(x)) + 1e-9
+    w = np.zeros(x.shape[1] + 1)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        grad = z.T @ (p - y) + ridge * w * len(y) * 0.1
-        hess = (z * (p * (1 - p) + 1e-6)[:, None]).T @ z + np.eye(len(w)) * ridge * len(y) * 0.1
+        grad, hess = ridge * w * len(y) * 0.1, np.eye(len(w)) * ridge * len(y) * 0.1
+        for b in blocks:
+            z = np.column_stack([(x[b] - mean) / scale, np.ones(len(y[b]))])
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            grad += z.T @ (p - y[b])
+            hess += (z * (p * (1 - p) + 1e-6)[:, None]).T @ z
         step = np.linalg.solve(hess, grad)
         w -= step
         if np.abs(step).max() < 1e-8:
@@ -94,11 +102,14 @@ def train(documents: DataFrame, labels: DataFrame, target: str = "quality", samp
     rows = documents.select("doc_id", whole_text().alias("_t")).join(F.broadcast(chosen), "doc_id")
     made = rows.select("doc_id", feature_column(F.col("_t")).alias("x"), "_y")
     one = made.groupBy("doc_id").agg(F.min_by("x", F.xxhash64("x")).alias("x"), F.any_value("_y").alias("_y"))  # ids may repeat
-    got = one.select("x", "_y").collect()  # at most `sample` rows of a kilobyte
-    y = np.array([float(r[1]) for r in got])
-    if not len(y) or y.min() == y.max():
+    x, y, n = np.empty((sample, KINDS + BUCKETS), np.float32), np.empty(sample), 0
+    for row in one.select("x", "_y").toLocalIterator():  # at most `sample` rows of a kilobyte, a partition at a time
+        x[n], y[n] = np.frombuffer(row[0], np.float32), row[1]
+        n += 1
+    x, y = x[:n], y[:n]
+    if not n or y.min() == y.max():
         return None
-    w = fit(np.frombuffer(b"".join(r[0] for r in got), np.float32).reshape(len(got), -1).astype(np.float64), y)
+    w = fit(x, y)
     return [float(v) for v in w], float(y.mean())
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -301,6 +302,27 @@ def test_fit_takes_one_text_an_id(spark, monkeypatch):
     assert seen == [60, 10]
 
 
+def test_fit_holds_little_beside_its_rows(spark, monkeypatch):
+    """Training takes rows as single floats, and fitting copies a block of them at a time; weights as by whole matrices."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(2, 3, size=(8300, 40)).astype(np.float32)
+    y = (x[:, 0] - x[:, 1] + rng.normal(size=len(x)) > 0.5).astype(float)
+    tracemalloc.start()
+    w = quality.fit(x, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * x.nbytes
+    z = np.column_stack([(x - x.mean(0, dtype=float)) / (x.std(0, dtype=float) + 1e-9), np.ones(len(x))])
+    own = np.append(w[:-1] * (x.std(0, dtype=float) + 1e-9), w[-1] + w[:-1] @ x.mean(0, dtype=float))
+    slope = z.T @ (1 / (1 + np.exp(-z @ own)) - y) / len(y) + 1e-3 * own
+    assert np.abs(slope).max() < 1e-6  # the optimum
+    kinds, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, y: kinds.append(x.dtype) or fit(x, y))
+    docs = documents(spark, [f"good words number {k}" if k % 2 else f"## {k} $$" for k in range(20)])
+    quality.train(docs, spark.createDataFrame([(k, k % 2, 0) for k in range(20)], "doc_id long, quality int, toxic int"))
+    assert kinds == [np.float32]
+
+
 def test_topics_are_fitted_on_every_document(spark):
     """Words of a tenth of the documents make a topic of their own, however few of them a sample by ids would hold."""
     rng = random.Random(9)
