@@ -22,3 +22,13 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_identities_are_made_in_many_tasks(spark):
+    """Parts lie in one small file, but their keys and weights are made in as many tasks as a shuffle has."""
+    from tallyloom.sources import adapter
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sf_dir = "/root/testdata/sf0.001"
+    assert adapter.catalog(spark, sf_dir).rdd.getNumPartitions() == parts > 1
+    assert adapter.catalog(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/part.parquet").count()
