@@ -30,8 +30,9 @@ from functools import reduce
 
 import numpy as np
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
+from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,18 +55,25 @@ FAR = 2.0 * (SCALE + BUCKETS**0.5 / 2) ** 2
 DRAWS = 1000
 #: Up to six letters, up to three digits, or one other sign: about one token of a byte-pair vocabulary each.
 PIECE = r"\p{L}{1,6}+|\p{N}{1,3}+|[^\s\p{L}\p{N}]"
+#: The same with the white space behind it: of a text that doesn't begin with such, nothing is left between them.
+SPACED = r"\p{L}{1,6}+\s*+|\p{N}{1,3}+\s*+|\S\s*+"
 LOG = logging.getLogger(__name__)
 
 
 def _counted(rows: DataFrame, text: str) -> DataFrame:
     """rows with _point: hashed word counts of the text as a whole-numbered vector of length SCALE; without words zero."""
-    cut = RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[\x20\x09-\x0D]+", toLowercase=True)
+    cut = rows.withColumn("_words", F.array_remove(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), ""))
     counts = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=BUCKETS)
-    scaled = Normalizer(inputCol="_counts", outputCol="_vector").transform(counts.transform(cut.transform(rows)))
+    scaled = Normalizer(inputCol="_counts", outputCol="_vector").transform(counts.transform(cut))
     point = F.transform(vector_to_array("_vector"), lambda x: F.rint(x * SCALE).cast("short"))
     return scaled.withColumn("_point", point).drop("_words", "_counts", "_vector")
 
 
+def pieces(text: Column) -> Column:
+    """The count of PIECE in a text, without a list of them: each becomes one sign, as does one put before white space at the start."""
+    return F.length(F.regexp_replace(F.concat(F.lit("."), text), SPACED, ".")) - 1
+
+
 def _vector(point: Column) -> Column:
     return array_to_vector(point.cast("array<double>"))
 
@@ -117,29 +125,24 @@ def fit_topics(points: DataFrame, topics: int = TOPICS, rounds: int = ROUNDS) ->
     """Cluster centers of all points; None where these do not differ.
 
     A round assigns every point to its nearest center and replaces each center by its points' mean, rounded; it ends
-    early when no center moves. Equal points are one with a count, and only points that change their center are summed anew.
+    early when no center moves. points: staged, with _point and, if it is there, its _vector.
     """
-    counted = points.groupBy("_point").agg(F.count("*").alias("_n"))
-    points = stage(counted.withColumn("_vector", _vector(F.col("_point"))), "points")
+    if own := "_vector" not in points.columns:
+        points = stage(points.select("_point", _vector(F.col("_point")).alias("_vector")), "points")
     centers = _first_centers(points, topics)
     if len(centers) < 2:
         return None
-    totals = np.zeros((len(centers), BUCKETS + 1), np.int64)  # the last place counts the points
-    was = points.withColumn("_was", F.lit(None).cast("int"))
+    # of places that are whole and not below zero, sums of magnitudes: exact in doubles
+    sums = [vector_to_array(Summarizer.normL1(F.col("_vector"))).alias("t"), F.count("*").alias("n")]
     for _ in range(rounds):
-        near = nearest(points.sparkSession, centers)
-        moved = near(was, "_now").where("not _now <=> _was")
-        sides = F.explode(F.array(F.struct(F.col("_now").alias("center"), F.col("_n").alias("n")), F.struct(F.col("_was").alias("center"), (-F.col("_n")).alias("n"))))
-        each = moved.select("_point", sides.alias("_s")).where("_s.center is not null")
-        each = each.select("_s.*", F.posexplode(F.concat("_point", F.array(F.lit(1).cast("short")))).alias("at", "x")).where("x <> 0")
-        for r in each.groupBy("center", "at").agg(F.sum(F.col("x") * F.col("n")).alias("t")).collect():  # a row a center and bucket
-            totals[r.center, r["at"]] += r.t
-        n = totals[:, BUCKETS:]
-        after = np.where(n > 0, (2 * totals[:, :BUCKETS] + n) // np.maximum(2 * n, 1), centers)
+        after = centers.copy()
+        for r in nearest(points.sparkSession, centers)(points, "_now").groupBy("_now").agg(*sums).collect():  # a row a center
+            after[r["_now"]] = (2 * np.array(r["t"]).astype(np.int64) + r["n"]) // (2 * r["n"])
         if (after == centers).all():
             break
-        centers, was = after, near(points, "_was")
-    unstage(points)
+        centers = after
+    if own:
+        unstage(points)
     return centers
 
 
@@ -158,7 +161,7 @@ def with_cells(documents: DataFrame, topic: Column | None = None, tokens: Column
     own = ["_source", "_lang", "_topic", "_tokens", "_probability", "_drawn", "_text", "_words", "_counts", "_point", "_vector", "_near"]
     none = F.lit("(none)")
     rows = documents.drop(*own)
-    counted = F.regexp_count(whole_text(), F.lit(PIECE)) if tokens is None else F.coalesce(tokens, F.lit(0))
+    counted = pieces(whole_text()) if tokens is None else F.coalesce(tokens, F.lit(0))
     rows = rows.select(
         "*",
         F.coalesce(F.col("source").cast("string"), none).alias("_source"),
@@ -170,13 +173,14 @@ def with_cells(documents: DataFrame, topic: Column | None = None, tokens: Column
     if topic is not None:
         return rows if columns is None else stage(rows.select(*columns, *kept, "_topic"), "rows")
     rows = _counted(rows.withColumn("_text", whole_text()), "_text").drop("_text")
+    rows = rows.withColumn("_vector", _vector(F.col("_point")))
     if columns is not None:
-        rows = stage(rows.select(*columns, *kept, "_point"), "counted")
-    centers = fit_topics(rows if columns is not None else stage(rows.select("_point"), "points"))
+        rows = stage(rows.select(*columns, *kept, "_point", "_vector"), "counted")
+    centers = fit_topics(rows if columns is not None else stage(rows.select("_point", "_vector"), "points"))
     if centers is None:
         numbered = rows.withColumn("_topic", F.lit(0))
     else:
-        numbered = nearest(rows.sparkSession, centers)(rows.withColumn("_vector", _vector(F.col("_point"))), "_topic")
+        numbered = nearest(rows.sparkSession, centers)(rows, "_topic")
     placed = numbered.withColumn("_topic", F.concat(F.lit("topic "), F.col("_topic").cast("string"))).drop("_point", "_vector")
     return placed if columns is None else stage(placed, "rows")
 

@@ -5,6 +5,7 @@ import tracemalloc
 import numpy as np
 import pytest
 from helpers import DOCUMENTS, documents, groups
+from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
 from pyspark.sql import functions as F
 
 from tallyloom.llm import mixing, quality, spotsigs
@@ -374,3 +375,30 @@ def test_first_centers_and_nearest_against_plain_sums(spark):
     for r in placed.select("_point", "t", mixing.topic_of(F.col("_point"), fitted).alias("u")).collect():
         far = ((np.array(r._point, np.int64) - fitted) ** 2).sum(1)
         assert far[r.t] == far[r.u] == far.min()
+
+
+ODD = ["", " ", "\t\n\x0b\f\r", " a", "a ", "\n One  two\r\nthree\x0b", "abcdefghijklm 1234567 ¼½", "Ünïcödé ΣΑΣ İstanbul straße", "a b c\u0085d e", "é 👩‍👩‍👧 \U00020000\U0001d400", "..  ,, -- a1b22c333d4444", "$ \\ $1 \\1", "x" * 5000, "\x1c\x1d\x00 \x7f"]
+
+
+def test_pieces_and_words_without_lists_or_patterns_of_pieces(spark):
+    """Counted in a text made short, not in a list of pieces; the words are those of Spark's tokenizer."""
+    docs = documents(spark, ODD)
+    for r in docs.select("text", F.regexp_count("text", F.lit(mixing.PIECE)).alias("n"), mixing.pieces(F.col("text")).alias("got")).collect():
+        assert r.got == r.n, r.text
+    assert "regexp_extract_all" not in mixing.with_cells(docs, F.lit("a"))._jdf.queryExecution().optimizedPlan().toString()
+    cut = RegexTokenizer(inputCol="text", outputCol="_words", pattern=r"[\x20\x09-\x0D]+", toLowercase=True).transform(docs)
+    counts = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=mixing.BUCKETS).transform(cut)
+    want = Normalizer(inputCol="_counts", outputCol="v").transform(counts).select("doc_id", "v").collect()
+    got = {r.doc_id: r._point for r in mixing._counted(docs, "text").select("doc_id", "_point").collect()}
+    for r in want:
+        assert got[r.doc_id] == [round(x * mixing.SCALE) for x in r.v.toArray().tolist()], ODD[r.doc_id]
+
+
+def test_rounds_make_no_row_a_bucket(spark):
+    """Vectors are summed by center as they are: a round is one scan and one small grouping, without a row for each place."""
+    docs = documents(spark, [" ".join("abcdefgh"[(k * j) % 8] for j in range(1 + k % 9)) for k in range(60)])
+    points = stage(mixing._counted(docs, "text").select("_point"), "points")
+    with pytest.MonkeyPatch.context() as patch:
+        for name in ("explode", "posexplode"):
+            patch.setattr(mixing.F, name, lambda *a: pytest.fail("a row a bucket"))
+        assert len(mixing.fit_topics(points, topics=3)) == 3
