@@ -130,10 +130,11 @@ def in_selection(description: Column, selected: str | None) -> Column:
 
 
 def feed(deals: DataFrame, places: DataFrame, minute: int, selected: str | None = None, radius: float | None = None) -> DataFrame:
-    """The deal feed: deals ranked, grouped by store, stores by distance with unknown last, then by best deal.
+    """The deal feed: deals ranked, grouped by store, stores by distance with unknown last, then by best deal, then by id.
 
     Adds store_rank and deal_rank. places: dispensary_id, distance_miles; an unknown distance is never
-    filtered. Ranking is within a store; the order of stores is global, over one row per store, by ranges.
+    filtered, deals of stores that places do not list are in no feed. Ranking is within a store; the order of
+    stores is global, over one row per store, by ranges. The id comes last as best deals of stores can share a deal_id.
     """
     tier, value = tier_key(F.col("type"), F.col("start_time"), F.col("end_time"), F.col("discount_pct"), minute)
     chosen = selected_deals(deals, selected).withColumn("tier", tier).withColumn("value", value)
@@ -142,9 +143,9 @@ def feed(deals: DataFrame, places: DataFrame, minute: int, selected: str | None
         chosen = chosen.join(near.select("dispensary_id"), "dispensary_id", "left_semi")
     own = Window.partitionBy("dispensary_id").orderBy("tier", "value", "deal_id")
     ranked = chosen.withColumn("deal_rank", F.row_number().over(own))
-    heads = ranked.where("deal_rank = 1").join(places.select("dispensary_id", "distance_miles"), "dispensary_id", "left")
+    heads = ranked.where("deal_rank = 1").join(places.select("dispensary_id", "distance_miles"), "dispensary_id")
     heads = heads.select("dispensary_id", "distance_miles", "tier", "value", "deal_id")
-    stores = ordered(heads, F.col("distance_miles").asc_nulls_last(), "tier", "value", "deal_id", name="store_rank")
+    stores = ordered(heads, F.col("distance_miles").asc_nulls_last(), "tier", "value", "deal_id", "dispensary_id", name="store_rank")
     return ranked.join(stores.select("dispensary_id", "distance_miles", "store_rank"), "dispensary_id")
 
 

@@ -356,6 +356,16 @@ def test_scopes_are_judged_by_text(spark):
     assert {r.deal_id: r.kind for r in scoped.collect()} == {0: "unresolved", 1: "unresolved", 2: "category", 3: "storewide", 4: "category", 5: "unresolved", 6: "category"}
 
 
+def test_stores_of_the_feed_that_share_a_best_deal_go_by_id(spark):
+    """Line items repeat a deal_id, so stores can be alike in all that the feed is ordered by; deals of unlisted stores are in no feed."""
+    stores = [f"s{k:02}" for k in range(40)]
+    rows = [(d, s, "daily", "10% off", 10, None, None, ["everyday"]) for s in reversed(["gone", None, *stores]) for d in (8, 9)]
+    deals = spark.createDataFrame(rows, DEAL).repartition(3, "dispensary_id")
+    places = spark.createDataFrame([(s, 1.5 if s < "s20" else None) for s in reversed(stores)], "dispensary_id string, distance_miles double")
+    got = [(r.store_rank, r.dispensary_id, r.deal_rank, r.deal_id) for r in promotions.feed(deals, places, 0).collect()]
+    assert sorted(got) == [(k + 1, s, n, d) for k, s in enumerate(stores) for n, d in ((1, 8), (2, 9))]
+
+
 def test_availability_holds_no_list_for_a_product(spark):
     rows = [("Acme", "s1", "p1", 1.0), ("acme", "s1", "p1", 2.0), ("Acme", "s2", "p1", None), ("Acme", None, "p9", 1.0), (None, "s1", "p2", 1.0), ("Bolt", "s3", None, None)]
     found = brands.availability(spark.createDataFrame(rows, "brand string, dispensary_id string, product_id string, weight_grams double"))
