@@ -89,15 +89,16 @@ def _first_centers(points: DataFrame, topics: int, draws: int = DRAWS) -> np.nda
 
     A vector's turn is -log(u) / distance with u from its own hash, and the smallest turn of all is drawn. Ties go to the
     smaller vector. No distance exceeds FAR, so the smallest turn among the `draws` largest u tells below which u no vector
-    comes first; the distances of all others are computed. points: different ones.
+    comes first; the distances of all others are computed. The centers stand in the text of each plan, which the driver
+    keeps: so they are named once, and what is made of them is short. points: different ones.
     """
     centers = np.zeros((0, BUCKETS), np.int64)
     while len(centers) < topics:
         hashed = F.xxhash64(F.lit(len(centers)), "_point").bitwiseAND(F.lit((1 << 52) - 1))
         odds = points.select(((hashed + 0.5) / float(1 << 52)).alias("_u"), "_point")
         apart = F.least(F.lit(FAR), F.lit(FAR), *[_square(F.col("_point"), c) for c in centers])
-        turn = F.when(apart > 0, -F.log("_u") / apart)
-        smallest = F.min(F.when(turn.isNotNull(), F.struct(turn.alias("turn"), "_point")))
+        turn = _let(apart, lambda a: F.when(a > 0, F.struct((-F.log("_u") / a).alias("turn"), "_point")))
+        smallest = F.min(turn).alias("smallest")
         found = odds.orderBy(F.desc("_u"), "_point").limit(draws).agg(smallest).first()[0]
         least = 0.0 if found is None else math.exp(-found["turn"] * FAR) * (1 - 1e-9)
         found = odds.where(F.col("_u") >= least).agg(smallest).first()[0]

@@ -377,6 +377,21 @@ def test_first_centers_and_nearest_against_plain_sums(spark):
         assert far[r.t] == far[r.u] == far.min()
 
 
+def test_plans_of_first_centers_are_short(spark):
+    """The driver keeps the text of each plan, and the centers known so far stand in it: about ten times each."""
+    rng = np.random.default_rng(3)
+    rows = [(rng.integers(0, 4096, mixing.BUCKETS).tolist(),) for _ in range(40)]
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    last = max((store.executionsList().apply(k).executionId() for k in range(store.executionsList().size())), default=-1)
+    assert len(mixing._first_centers(spark.createDataFrame(rows, "_point array<short>"), 4)) == 4
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    runs = store.executionsList()
+    texts = [runs.apply(k).physicalPlanDescription() for k in range(runs.size()) if runs.apply(k).executionId() > last]
+    # a place of a center takes six signs at most; two plans for each of the centers, with up to three known
+    assert len(texts) == 8 and max(map(len, texts)) < 3 * mixing.BUCKETS * 6 * 20
+
+
 ODD = ["", " ", "\t\n\x0b\f\r", " a", "a ", "\n One  two\r\nthree\x0b", "abcdefghijklm 1234567 ¼½", "Ünïcödé ΣΑΣ İstanbul straße", "a b c\u0085d e", "é 👩‍👩‍👧 \U00020000\U0001d400", "..  ,, -- a1b22c333d4444", "$ \\ $1 \\1", "x" * 5000, "\x1c\x1d\x00 \x7f"]
 
 
