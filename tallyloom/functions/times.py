@@ -10,17 +10,25 @@ ARTIFACT_DAYS = 14
 FACT_DAYS = 2
 
 
+#: H:MM or HH:MM of a day.
+CLOCK = "^([01]?[0-9]|2[0-3]):[0-5][0-9]$"
+
+
 def clock_minutes(time: Column) -> Column:
     """Minutes of H:MM or HH:MM, else null."""
-    hour = F.regexp_extract(time, "^([0-9]{1,2}):([0-9]{2})$", 1).try_cast("int")
-    minute = F.regexp_extract(time, "^([0-9]{1,2}):([0-9]{2})$", 2).try_cast("int")
-    return F.when((hour <= 23) & (minute <= 59), hour * 60 + minute)
+    hour = F.substring_index(time, ":", 1).try_cast("int")
+    minute = F.substring(F.substring_index(time, ":", -1), 1, 2).try_cast("int")  # an end of line may follow
+    return F.when(time.rlike(CLOCK), hour * 60 + minute)
 
 
 def window_open(start: Column, end: Column, minute: int) -> Column:
-    """Whether a window holds at a minute of the day, whatever the weekday; one that is not stated in full is open."""
-    s, e, now = clock_minutes(start), clock_minutes(end), F.lit(minute)
-    return F.when(s.isNull() | e.isNull(), True).when(e > s, (now >= s) & (now < e)).otherwise((now >= s) | (now < e))
+    """Whether a window holds at a minute of the day, whatever the weekday; one that is not stated in full is open.
+
+    It holds where its next end comes no later than its next start. Each time stands here once: a filter reads a text
+    anew for each use of it.
+    """
+    until = lambda time: F.pmod(clock_minutes(time) - (minute + 1), F.lit(1440))
+    return F.coalesce(until(end) <= until(start), F.lit(True))
 
 
 def time_of_day(time: Column) -> Column:

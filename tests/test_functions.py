@@ -7,6 +7,7 @@ from tallyloom.functions import deals as fd
 from tallyloom.functions import numbers as fn
 from tallyloom.functions import products as fp
 from tallyloom.functions import text as ft
+from tallyloom.functions import times
 
 
 def apply(spark, values, function, schema="x string"):
@@ -136,3 +137,27 @@ def test_clean_description_is_made_once_a_row(spark):
     assert plan.count("<[^>]*>") == 1  # it stood in the plan several times, once for each use
     text = "a  b\tc  ©\U0001f600 d \n" + "e" * 3 + " _cure kid9"
     assert spark.createDataFrame([(text,)], "t string").select(ft.clean_description(F.col("t"))).first()[0] == "a b c d eee _cure kid9"
+
+
+def test_clock_times(spark):
+    texts = ["0:00", "9:05", "09:05", "23:59", "24:00", "9:60", "99:99", "9:5", "009:05", " 9:05", "9:05 ", "9:05\n", "9:05\r\n", "9:05\u2028", "9:05\n\n", "\n9:05", "-1:00", "9:05:00", "٩:05", ":05", "", "x", None]
+    assert apply(spark, [(t,) for t in texts], times.clock_minutes, "t string") == [0, 545, 545, 1439, *[None] * 7, 545, 545, 545, *[None] * 9]
+
+
+@pytest.mark.parametrize("minute", [0, 59, 60, 720, 1439])
+def test_window_open_at_and_between_its_ends(spark, minute):
+    stated = {"00:00": 0, "0:59": 59, "1:00": 60, "1:01": 61, "11:59": 719, "12:00": 720, "12:01": 721, "23:58": 1438, "23:59": 1439, "24:00": None, "x": None, None: None}
+    rows = [(a, b) for a in stated for b in stated]
+
+    def holds(s, e):
+        if s is None or e is None:
+            return True
+        return s <= minute < e if e > s else minute >= s or minute < e
+
+    assert apply(spark, rows, lambda a, b: times.window_open(a, b, minute), "a string, b string") == [holds(stated[a], stated[b]) for a, b in rows]
+
+
+def test_window_open_reads_each_text_once(spark):
+    df = spark.createDataFrame([("09:00", "10:00")], "a string, b string").where(times.window_open(F.col("a"), F.col("b"), 545))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert (plan.count("RLIKE"), plan.count("regexp_extract")) == (2, 0)  # 32 stood there, none of them rlike
