@@ -1,8 +1,11 @@
 """Streams run to the end give what the batch operators give."""
 
 import datetime
+import random
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from tallyloom.operators import freshness
 from tallyloom.streaming import jobs, states
@@ -81,6 +84,134 @@ def test_stores_go_stale_by_silence(spark, tmp_path):
         assert sorted(map(tuple, states.status_at(found, now).collect())) == sorted(map(tuple, want.collect())), m
 
 
+class Kept:
+    """The state and timers of one key, kept in memory, and how often they were asked or changed."""
+
+    def __init__(self):
+        self.states, self.timers, self.calls = {}, set(), 0
+
+    def getMapState(self, name, *_):
+        return self.states.setdefault(name, KeptMap(self))
+
+    def getValueState(self, name, *_):
+        return self.states.setdefault(name, KeptValue(self))
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def listTimers(self):
+        self.calls += 1
+        return iter(sorted(self.timers))
+
+    def batch(self, processor, pushes, watermark, key=("s",)):
+        rows = [Row(micros=m[0], event=m[1]) if isinstance(m, tuple) else Row(micros=m) for m in pushes]
+        times = TimerValues(0, watermark)
+        found = list(processor.handleInputRows(key, iter(rows), times)) if rows else []
+        for at in sorted(t for t in self.timers if t <= watermark):
+            found += processor.handleExpiredTimer(key, times, ExpiredTimerInfo(at))
+            self.timers.discard(at)
+        return [(*r,) for r in found]
+
+
+class KeptValue:
+    def __init__(self, handle):
+        self.handle, self.value = handle, None
+
+    def exists(self):
+        self.handle.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.handle.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.handle.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.update(None)
+
+
+class KeptMap:
+    def __init__(self, handle):
+        self.handle, self.values = handle, {}
+
+    def containsKey(self, key):
+        self.handle.calls += 1
+        return key in self.values
+
+    def getValue(self, key):
+        self.handle.calls += 1
+        return self.values.get(key)
+
+    def updateValue(self, key, value):
+        self.handle.calls += 1
+        self.values[key] = value
+
+    def removeKey(self, key):
+        self.handle.calls += 1
+        self.values.pop(key, None)
+
+    def iterator(self):
+        self.handle.calls += 1
+        return iter(list(self.values.items()))
+
+
+def started(processor):
+    handle = Kept()
+    processor.init(handle)
+    return handle, processor
+
+
+def silences(pushes):
+    """What the pushes of one store bring, by definition."""
+    times = sorted({*pushes})
+    for before, at, after in zip([None, *times], times, [*times[1:], None]):
+        if before is None or at - before > 3 * states.HOUR:
+            yield ("s", at, "ok")
+        for state, hours in (("stale", 3), ("alert", 6), ("expired", 24)):
+            if after is None or after - at > hours * states.HOUR:
+                yield ("s", at + hours * states.HOUR, state)
+
+
+def test_a_run_of_pushes_is_held_once_with_one_timer():
+    """The work with the state goes with runs and batches, not with hours: these 200 hours took 821 calls."""
+    handle, processor = started(states.Silence())
+    pushes = [k * states.HOUR // 3 for k in range(1, 600)]
+    assert handle.batch(processor, [*pushes, None], 0) == []
+    assert len(handle.timers) == 1 and handle.states["hours"].values == {(0,): (pushes[0], pushes[-1])} and handle.calls < 10
+    more = [pushes[-1] + k * states.HOUR for k in (1, 2)]
+    told = handle.batch(processor, more, pushes[-1] // 1000)
+    assert told == [("s", pushes[0], "ok")] and len(handle.timers) == 1
+    assert sorted(told + handle.batch(processor, [], 10**13)) == sorted(silences([*pushes, *more])) and handle.calls < 30 and not handle.timers
+
+
+def test_silences_of_pushes_in_any_order_and_batches():
+    """Pushes that come late, twice and in pieces; half of the streams go on from the state and timers of an earlier version."""
+    for seed in range(300):
+        dealt = random.Random(seed)
+        gaps = [dealt.choice([0, 1, 40, 180, 181, 359, 361, 1440, 1441, 4000]) for _ in range(60)]
+        clock = [60_000_000 * sum(gaps[: k + 1]) + 10**15 for k in range(60)]
+        handle, processor = started(states.Silence())
+        found, pushes, watermark, before = [], [], 0, 0
+        if seed % 2:
+            pushes = clock[:8]
+            for hour in {m // states.HOUR for m in pushes}:
+                of_hour = [m for m in pushes if m // states.HOUR == hour]
+                handle.states["hours"].values[(hour,)] = (min(of_hour), max(of_hour))
+                handle.timers |= {-(-m // 1000) for m in (min(of_hour), *(max(of_hour) + h * states.HOUR for h in (3, 6, 24)))}
+        for k in range(8 if seed % 2 else 0, 60, 4):
+            some = [m - dealt.choice([0, 0, 1, 5, 20]) * states.HOUR for m in clock[k : k + 4]]
+            some = [m for m in [*some, some[0]] if m > before * 1000]
+            found += handle.batch(processor, dealt.sample(some, len(some)), watermark)
+            pushes += some
+            before, watermark = watermark, max(watermark, (max(pushes) - dealt.choice([0, 2, 6]) * states.HOUR) // 1000)
+        found += handle.batch(processor, [], 10**13)
+        assert sorted(found) == sorted(silences(pushes)), seed
+
+
 def test_told_again_after_its_time(spark, tmp_path):
     states.keyed_state(spark)
     source, schema = str(tmp_path / "in"), "post string, ts timestamp, n long"
