@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import re
 
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -105,7 +106,7 @@ class Kept:
         return iter(sorted(self.timers))
 
     def batch(self, processor, pushes, watermark, key=("s",)):
-        rows = [Row(micros=m[0], event=m[1]) if isinstance(m, tuple) else Row(micros=m) for m in pushes]
+        rows = [Row(key=key[0], micros=m[0], event=m[1]) if isinstance(m, tuple) else Row(micros=m) for m in pushes]
         times = TimerValues(0, watermark)
         found = list(processor.handleInputRows(key, iter(rows), times)) if rows else []
         for at in sorted(t for t in self.timers if t <= watermark):
@@ -224,3 +225,33 @@ def test_told_again_after_its_time(spark, tmp_path):
     write(spark, [("a", T + 721 * day, 8), ("a", T + 722 * day, 9)], source, schema)
     got = run()
     assert sorted((r.key, r.event, r.at - T) for r in got)[2:3] == [("a", 9, 722 * day)] and len(got) == 5
+
+
+def sent(stream):
+    """The columns that a stream with state by key sends to Python."""
+    return re.findall(r"(\w+)#", re.search(r"transformWithStateUDF\((.*?)\)#", stream._jdf.queryExecution().analyzed().toString())[1])
+
+
+def test_told_late_and_null_rows(spark, tmp_path):
+    """Events later than the delay are left out, as before; their times are not sent to Python."""
+    states.keyed_state(spark)
+    source, schema = str(tmp_path / "in"), "post string, TS timestamp, n long"
+    day = datetime.timedelta(days=1)
+    write(spark, [("a", T + 10 * day, 1), ("b", T - 9000 * day, 2), ("b", T + day, None), (None, T + day, 3), ("c", None, 4)], source, schema)
+    stream = states.told_once(jobs.file_stream(spark, source, schema, 100), "post", "ts", "n", keep_days=2)
+    assert sent(stream) == ["key", "micros", "event"]  # the time itself stood there too
+    run = lambda: sorted(((r.key, r.event, r.at - T) for r in ended(spark, stream, str(tmp_path / "q")).collect()), key=str)
+    first = run()
+    assert first == [("a", 1, 10 * day), ("b", 2, -9000 * day), ("b", None, day)]
+    late = [("d", T, 5), ("d", T + 9 * day, 6), ("d", T + 9 * day + datetime.timedelta(microseconds=1), 7), ("c", T + 8 * day, 8), ("e", T + 9 * day, 9), ("b", None, 10)]
+    write(spark, [*late, ("e", T + 300 * 365 * day, 11)], source, schema)
+    assert run() == sorted([*first, ("d", 7, 9 * day + datetime.timedelta(microseconds=1)), ("e", 11, 300 * 365 * day)], key=str)
+
+
+def test_told_from_the_time_kept(spark):
+    handle, processor = started(states.Once(5 * 24 * states.HOUR))
+    day = 24 * states.HOUR
+    assert [m for _, m, _ in handle.batch(processor, [(9 * day, 2), (day, 1), (6 * day, 4), (6 * day + 1, 6), (6 * day + 1, 5)], 0)] == [day, 6 * day + 1]
+    assert handle.batch(processor, [(11 * day + 1, 7), (None, 8)], 0) == [] and handle.calls < 6
+    assert handle.batch(processor, [(11 * day + 2, 9)], 7 * day // 1000) == [("s", 11 * day + 2, 9)]
+    assert handle.batch(processor, [], 17 * day // 1000) == [] and handle.states["seen"].value is None and not handle.timers
