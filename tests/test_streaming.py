@@ -106,7 +106,7 @@ class Kept:
         return iter(sorted(self.timers))
 
     def batch(self, processor, pushes, watermark, key=("s",)):
-        rows = [Row(key=key[0], micros=m[0], event=m[1]) if isinstance(m, tuple) else Row(micros=m) for m in pushes]
+        rows = [Row(key=key[0], micros=m[0], event=m[1]) if isinstance(m, tuple) else Row(dispensary_id=key[0], micros=m) for m in pushes]
         times = TimerValues(0, watermark)
         found = list(processor.handleInputRows(key, iter(rows), times)) if rows else []
         for at in sorted(t for t in self.timers if t <= watermark):
@@ -255,3 +255,18 @@ def test_told_from_the_time_kept(spark):
     assert handle.batch(processor, [(11 * day + 1, 7), (None, 8)], 0) == [] and handle.calls < 6
     assert handle.batch(processor, [(11 * day + 2, 9)], 7 * day // 1000) == [("s", 11 * day + 2, 9)]
     assert handle.batch(processor, [], 17 * day // 1000) == [] and handle.states["seen"].value is None and not handle.timers
+
+
+def test_late_pushes_bring_nothing(spark, tmp_path):
+    """Pushes later than the delay are left out, as before; their times are not sent to Python."""
+    states.keyed_state(spark)
+    source, schema = str(tmp_path / "in"), "dispensary_id string, pushed_at timestamp"
+    hour, least = datetime.timedelta(hours=1), datetime.timedelta(microseconds=1)
+    write(spark, [("a", T + 100 * hour), (None, T), ("b", None)], source, schema)
+    stream = states.store_transitions(jobs.file_stream(spark, source, schema, 100))
+    assert sent(stream) == ["dispensary_id", "micros"]  # the time itself stood there too
+    ended(spark, stream, str(tmp_path / "q"))
+    write(spark, [("c", T + 99 * hour), ("d", T + 99 * hour + least), ("a", T + 98 * hour), ("e", T + 9000 * hour)], source, schema)
+    found = [(r.dispensary_id, r.at - T, r.state) for r in ended(spark, stream, str(tmp_path / "q")).collect()]
+    brings = lambda s, at: [(s, at, "ok"), *((s, at + n * hour, state) for state, n in (("stale", 3), ("alert", 6), ("expired", 24)))]
+    assert sorted(found) == sorted(brings("a", 100 * hour) + brings("d", 99 * hour + least))
